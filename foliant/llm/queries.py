@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import bpe, html_text, packing
+from foliant.llm import bpe, html_text, minhash, packing, toxicity
 from foliant.llm._shared import table
 
 
@@ -23,6 +24,18 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_best_fit_packing, op6_html_extraction)}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"), size=4)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_best_fit_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity)}
 
 ORACLE: dict[str, str] = {}

@@ -1,18 +1,46 @@
-"""Documents to packed training sequences: toxicity, near copies, repeated substrings, packing."""
+"""Documents to packed training sequences: toxicity, near copies, repeated substrings, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the
+last return the columns of documents. SQL can't express the first stage, so ORACLE_SQL is None; the
+stages are tested against brute force."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm import minhash, packing, suffixes, toxicity
+from foliant.llm._shared import table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.7. The model is fitted on the table's labelled documents."""
+    labelled = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit_on(labelled, table(spark, sf_dir, "labels", "doc_id", "toxic"), F.lit(True))
+    return toxicity.filtered(docs, model)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    kept = minhash.near_copies(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
 
-from foliant.llm import packing
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that strings of 200 bytes met elsewhere cover; n_chars follows. Every
+    document stays, if with an empty text."""
+    changed = suffixes.dedup_texts(docs)
+    changed = changed.withColumn("n_chars", F.length("text").cast("long"))
+    return changed
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document, with the sequence of 4096 tokens and the place they are packed into."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [("toxicity", not_toxic), ("minhash_near_dedup", one_of_near_copies), ("suffix_dedup", without_repeats), ("best_fit_packing", pack)]
 ORACLE_SQL = None
 
 

@@ -302,16 +302,33 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column, rows_toxic: int =
 _scorers: dict[str, Scorer] = {}
 
 
+def scorer_of(shared) -> Scorer:
+    """The scorer of a broadcast model, one at a time in a worker; its words stay known between batches."""
+    key = str(shared.value.bias) + str(shared.value.arc)
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(shared.value)
+    return _scorers[key]
+
+
+def filtered(docs: DataFrame, model: Model, below: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs, all columns, whose score is under `below`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scorer, texts = scorer_of(shared), texts_of(batch.column(text_col))
+        values = np.concatenate([scorer.documents(texts[i : i + 500])[0] for i in range(0, len(texts), 500)])
+        return batch.filter(pa.array(values < below))
+
+    return map_batches(docs, kernel, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans_from: float = 0.5) -> DataFrame:
     """(id, score, spans): spans are the character offsets of runs of tokens with P(toxic) >= spans_from."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample of fit_on allows
-    key = str(shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer, texts = _scorers[key], texts_of(batch.column(1))
+        scorer, texts = scorer_of(shared), texts_of(batch.column(1))
         values, spans = [], []
         for i in range(0, len(texts), 500):
             part = texts[i : i + 500]

@@ -1 +1 @@
-
+"""Byte-level kernels without Spark: values, files, filters, page contents, chunking, binary rows."""

@@ -1 +1 @@
-
+"""DataFrame operators over decoded files."""

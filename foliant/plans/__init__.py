@@ -1 +1 @@
-
+"""Plans built from small descriptions: the scan algebra."""

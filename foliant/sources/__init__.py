@@ -1 +1 @@
-
+"""Reading and writing files of bytes."""

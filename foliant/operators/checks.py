@@ -32,7 +32,7 @@ def content_errors(decoded: DataFrame, depth: int = 8, single_references: bool =
     for _ in range(depth):
         joined = rows.join(targets, ["file_id", "target"], "left")
         inner = F.filter(F.transform(F.from_json("target_json", "array<string>"), ref_number), lambda x: x.isNotNull())
-        is_list = F.col("target_json").startswith("[@") & ~F.col("has_stream")
+        is_list = F.col("target_json").startswith('["@') & ~F.col("has_stream")
         missing = _error(joined.where("has_stream is null"), "ContentMissing", "owner", "target")
         bare = _error(joined.where(~F.col("has_stream") & ~is_list), "ContentStreamMissing", "owner", "target")
         out = missing.unionByName(bare) if out is None else out.unionByName(missing).unionByName(bare)

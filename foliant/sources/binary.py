@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.pdf", most: int =
 
 def stream_files(spark: SparkSession, path: str, glob: str = "*.pdf", files_per_trigger: int = 1000) -> DataFrame:
     """The same as a stream; files_per_trigger holds back what one batch reads."""
-    rows = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).load(path)
     return rows.select(F.col("path").alias("file_id"), "content")
 
 

@@ -1,0 +1,185 @@
+"""Corpus operators on Spark: brute force on small tables, and awkward rows."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from foliant.llm import bpe, html_text, imatch, licenses, minhash, packing, paragraphs, suffixes, toxicity, vectors
+from foliant.llm._shared import components
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+AWKWARD = "doc_id long, text string, h string, component string, n_shingles string, __spans string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n))
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "h", "c", "n", "s") for i, t in texts], AWKWARD)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(1)
+    base = prose(rng, 120)
+    near = base.split()
+    near[50] = "changed"
+    texts = [base, base, " ".join(near), prose(rng, 80), "", None, "two words", "two words", prose(rng, 9) + " " + base[:400], prose(rng, 3000)]
+    return [*enumerate(texts), (3, texts[3]), (None, base), (None, None)]
+
+
+def test_awkward_rows_pass_every_operator(spark, rows):
+    ranks, vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    for df in (table(spark, rows), table(spark, [])):
+        n = df.count()
+        assert bpe.round_trip_digests(df, ranks, public_tokenizers.PATTERN).count() == n
+        assert minhash.near_copies(df).count() == n
+        assert suffixes.dedup_digests(df).count() == n
+        assert suffixes.dedup_texts(df).columns == df.columns and suffixes.dedup_texts(df).count() == n
+        assert imatch.edited_likeness(df).count() == n
+        packed = packing.pack_documents(df, vocab, capacity=64)
+        assert packed.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+        assert toxicity.score(df, toxicity.Model()).count() == n
+        assert toxicity.filtered(df, toxicity.Model()).columns == df.columns
+        assert licenses.scan(df).count() == 0
+        assert html_text.extract(df, "doc_id", "text", ("h",)).count() == n
+        paragraphs.repeated_passages(df).count()
+
+
+def test_bpe_ids_decode_to_the_text(spark, rows):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, rows), ranks, public_tokenizers.PATTERN)
+    back = bpe.decode(ids, ranks, public_tokenizers.PATTERN, portion=3)
+    assert sorted(r.text for r in back.collect()) == sorted(t or "" for _, t in rows)
+
+
+def shingle_set(text, size):
+    w = (text or "").split()
+    return {tuple(w[k : k + min(size, len(w))]) for k in range(len(w) - min(size, len(w)) + 1)} if w else set()
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(2)
+    docs = []
+    for f in range(12):
+        base = prose(rng, rng.randint(4, 90)).split()
+        for _ in range(rng.randint(1, 8)):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            docs.append(" ".join(w))
+    sets = [shingle_set(t, 4) for t in docs]
+    component = list(range(len(docs)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b) and component[j] > component[i]:
+                    component[j], changed = component[i], True
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_copies(table(spark, enumerate(docs)), size=4).collect()}
+    assert got == {i: (len(sets[i]), component[i], component[i] == i) for i in range(len(docs))}
+
+
+def test_near_copies_split_large_families(spark, monkeypatch):
+    """Families over several blocks: 600 texts that differ in one word each form one component."""
+    rng = random.Random(3)
+    base = prose(rng, 100).split()
+    docs = [" ".join([*base[:60], f"own{i}", *base[61:]]) for i in range(600)]
+    got = minhash.near_copies(table(spark, enumerate(docs))).where("component_id <> 0").count()
+    assert got == 0
+
+
+def test_suffix_dedup_equals_brute_force(spark):
+    rng = random.Random(4)
+    common = prose(rng, 60)
+    docs = [prose(rng, 20) + common[: rng.randint(150, 400)] + prose(rng, 20) for _ in range(30)] + [common, common, "é" * 300, "", "ab" * 400]
+    raw = [d.encode() for d in docs]
+    every = Counter(b[s : s + 200] for b in raw for s in range(len(b) - 199))
+    got = {r.doc_id: r for r in suffixes.dedup_digests(table(spark, enumerate(docs)), hot=8, shard_bytes=4000).collect()}
+    for i, b in enumerate(raw):
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 199):
+            if every[b[s : s + 200]] > 1:
+                gone[s : s + 200] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    rows = [base[i % 40] + rng.normal(size=16) * 0.05 for i in range(160)] + [base[0]] * 5
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0, 2.0]), (905, [])]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>")
+    m = np.array(rows)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    component = np.arange(len(m))
+    for _ in range(len(m)):
+        component = np.array([component[n].min() for n in near])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    assert all(got[i] == (0, i) for i, _ in odd)
+    assert [got[i] for i in range(len(m))] == [(int(near[i].sum()) - 1, int(component[i])) for i in range(len(m))]
+
+
+def test_packing_is_whole_and_certified(spark):
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, rng.randint(1, 100)) for i in range(3000)], "id long, length long")
+    out = packing.pack(items, 100, ["id"], per_partition=400).collect()
+    assert sorted(r.id for r in out) == list(range(3000))
+    used = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 100
+    assert len(used) <= packing.lower_bound(np.array([r.length for r in out]), 100) * 1.01 + 2
+
+
+def test_imatch_next_document_and_equality(spark, rows):
+    docs = [(i, t) for i, t in rows if i is not None and i != 3]
+    got = {r.doc_id: r for r in imatch.edited_likeness(table(spark, docs)).collect()}
+    order = sorted(docs, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[0].fingerprint == got[1].fingerprint and got[6].fingerprint == got[7].fingerprint
+
+
+def test_paragraphs(spark):
+    rng = random.Random(7)
+    sentence = lambda: prose(rng, 9) + ". "
+    passage = "".join(sentence() for _ in range(7))
+    near = passage.replace("alpha", "alphax", 1)
+    docs = [prose(rng, 40) + "\n" + passage, passage + "\n" + prose(rng, 30), sentence() + sentence() + passage + sentence(), prose(rng, 60), near, "short line\n" * 3, ""]
+    got = paragraphs.repeated_passages(table(spark, enumerate(docs))).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 4}
+    assert {(r.cluster_doc, r.cluster_paragraph) for r in got} == {(0, 1)}
+    inside = next(r for r in got if r.doc_id == 2)
+    assert passage.strip()[20:-20] in docs[2][inside.start : inside.end]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
+    star = [(200, k) for k in range(201, 260)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and all(got[k] == 200 for k in range(200, 260))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lexicon_is_bounded_and_native(spark, rows):
+    df = table(spark, rows)
+    assert imatch.lexicon(df, max_terms=5).head().lexicon is not None
+    assert len(imatch.lexicon(df, max_terms=5).head().lexicon) <= 5
+    plan = imatch.edited_likeness(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

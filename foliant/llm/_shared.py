@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterator
@@ -27,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that shuffle files of steps that were cut off leave the
+    executors' disks now and not whenever its heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """df through a kernel that turns one Arrow batch into another."""
 
@@ -38,6 +47,21 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+_holder: list = ["", None]
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Says that a kernel is about to fill its cache in this worker, and empties that of another one:
+    workers live on from stage to stage, and what they remember for one is no use to the next."""
+    if _holder[0] != name:
+        if _holder[1] is not None:
+            _holder[1]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+        _holder[:] = [name, clear]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

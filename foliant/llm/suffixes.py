@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import cut, map_batches, pieces_for
+from foliant.llm._shared import cut, hold, map_batches, pieces_for, release
 from foliant.llm.minhash import bytes_of, mix
 
 GRAM = 32
-GROUP = 2 << 20
+GROUP = 1 << 20
 _rng = np.random.default_rng(977)
 TABLES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -127,6 +127,7 @@ def runs(docs: DataFrame, length: int, kind: str, brief: bool) -> DataFrame:
     """Runs with the hash c of their content; brief: only what is counted."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hold("runs", lambda: None)
         texts = bytes_of(batch.column("text"))
         out: list[tuple[np.ndarray, ...]] = []
         for part in grouped([len(t) for t in texts]):
@@ -325,10 +326,11 @@ def shard_sorter(length: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def spans(docs: DataFrame, length: int, kind: str, hot: int, shard_bytes: int) -> DataFrame:
-    """(id, h, start, n): n windows from byte start on are repeated. docs: id, h, text."""
+    """(id, h, spans): n windows from byte start on are repeated, for each of spans. docs: id, h, text."""
     counts = runs(docs, length, kind, True).groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("again").alias("again"))
     counts = counts.where("k > 1 or again").select("m", "k", (F.col("c1") != F.col("c2")).alias("contested"))
     hits = cut(runs(docs, length, kind, False).join(counts, "m"))
+    release(docs.sparkSession)
     settled = hits.where("not contested and k > 1").select("id", "h", "start", "n")
     open_ = hits.where("contested or k = 1")
     contents = cut(open_.groupBy("m", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "h", "start", "n")).alias("x")))
@@ -353,6 +355,7 @@ def spans(docs: DataFrame, length: int, kind: str, hot: int, shard_bytes: int) -
     same = (F.col("d.id").eqNullSafe(F.col("w.id"))) & (F.col("d.h") == F.col("w.h"))
     fetched = docs.dropDuplicates(["id", "h"]).alias("d").join(wanted.alias("w"), same).select("d.id", "d.h", "d.text", "w.parts")
     pieces = cut(map_batches(fetched, slices, f"id {kind}, h long, m long, copies long, contents long, start int, content binary"))
+    release(docs.sparkSession)
     usual = pieces.where(F.col("contents") <= hot)
     total = usual.agg(F.sum(F.octet_length("content"))).head()[0] or 0
     shards = pieces_for(total, shard_bytes)
@@ -373,7 +376,10 @@ def spans(docs: DataFrame, length: int, kind: str, hot: int, shard_bytes: int) -
     crowd = map_batches(pieces.where(F.col("contents") > hot).select("id", "h", "copies", "start", "content"), windows, f"id {kind}, h long, copies long, start int, a long, b long")
     twice = crowd.groupBy("a", "b").agg(F.sum("copies").alias("k")).where("k > 1").select("a", "b")
     hashed = crowd.where("copies = 1").join(twice, ["a", "b"], "left_semi").select("id", "h", "start", F.lit(1).alias("n"))
-    return settled.unionByName(copied).unionByName(sorted_).unionByName(hashed)
+    found = cut(settled.unionByName(copied).unionByName(sorted_).unionByName(hashed).groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    del counts, hits, settled, open_, contents, copied, variety, chosen, wanted, fetched, pieces, usual, sorted_, crowd, twice, hashed
+    release(docs.sparkSession)
+    return found
 
 
 def removed(starts: list[dict[str, int]] | None, length: int) -> list[tuple[int, int]]:
@@ -387,21 +393,29 @@ def removed(starts: list[dict[str, int]] | None, length: int) -> list[tuple[int,
     return out
 
 
-def located(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int, shard_bytes: int) -> tuple[DataFrame, str]:
+def located(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int, shard_bytes: int) -> DataFrame:
+    """(row, spans): docs' columns as one struct, so that their names can't clash with others."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    found = spans(source, length, kind, hot, shard_bytes).groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    same = (F.col("d.id").eqNullSafe(F.col("s.id"))) & (F.col("d.h") == F.col("s.h"))
-    return source.alias("d").join(found.alias("s"), same, "left").select("d.id", "d.h", "d.text", "s.spans"), kind
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    found = spans(rows.select("id", "h", "text"), length, kind, hot, shard_bytes).toDF("found_id", "found_h", "spans")
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("h") == F.col("found_h"))
+    return rows.select("row", "id", "h").join(found, same, "left").select("row", "spans")
+
+
+def fields(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    row = batch.column("row")
+    return dict(zip([f.name for f in row.type], row.flatten(), strict=True))
 
 
 def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 256, shard_bytes: int = 1 << 20) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    rows, kind = located(docs, length, id_col, text_col, hot, shard_bytes)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = located(docs.select(id_col, text_col), length, id_col, text_col, hot, shard_bytes)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, gone, count, sha = [], [], [], []
-        for text, s in zip(bytes_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+        row = fields(batch)
+        for text, s in zip(bytes_of(row[text_col]), batch.column("spans").to_pylist(), strict=True):
             parts = removed(s, length)
             digest, at = hashlib.sha256(), 0
             for a, b in parts:
@@ -412,30 +426,29 @@ def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
             gone.append(sum(b - a for a, b in parts))
             count.append(len(parts))
             sha.append(digest.hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([row[id_col], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(rows.select("id", "text", "spans"), kernel, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(rows, kernel, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 256, shard_bytes: int = 1 << 20) -> DataFrame:
     """docs with the repeated bytes of their texts removed; code points of which a part would be left go whole."""
-    rows, kind = located(docs, length, id_col, text_col, hot, shard_bytes)
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = located(docs, length, id_col, text_col, hot, shard_bytes)
+    names = docs.columns
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for text, s in zip(bytes_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-            kept, at = [], 0
+        texts: list[str | None] = []
+        row = fields(batch)
+        for text, s in zip(row[text_col].to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            if s is None:
+                texts.append(text)
+                continue
+            raw, kept, at = (text or "").encode(), [], 0
             for a, b in removed(s, length):
-                kept.append(text[at:a])
+                kept.append(raw[at:a])
                 at = b
-            kept.append(text[at:])
-            texts.append(b"".join(p.decode("utf-8", "ignore").encode() for p in kept).decode())
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(texts, pa.string())], ["id", "h", "__text"])
-
-    changed = map_batches(rows.where("spans is not null").select("id", "h", "text", "spans"), kernel, f"id {kind}, h long, __text string").dropDuplicates(["id", "h"])
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit("")))).alias("d")
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & (F.col("d.__h") == F.col("c.h"))
-    joined = keyed.join(changed.alias("c"), same, "left")
-    picked = {c: F.col(f"d.`{c}`") for c in others} | {id_col: F.col(f"d.{id_col}"), text_col: F.coalesce("c.__text", f"d.{text_col}")}
-    return joined.select(*[picked[c].alias(c) for c in docs.columns])
+            kept.append(raw[at:])
+            texts.append("".join(p.decode("utf-8", "ignore") for p in kept))
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else row[c] for c in names], names)
+
+    return map_batches(rows, kernel, docs.schema)

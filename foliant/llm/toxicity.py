@@ -27,16 +27,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import map_batches, texts_of
+from foliant.llm._shared import hold, map_batches, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 PLAINER = str.maketrans("013457", "oieast")  # digits that stand for letters
 BLOCK = 64
 
 
+def plain(word: str) -> str:
+    if word.isdigit():
+        return "0"
+    return word.lower() if word.isalpha() else word.lower().translate(PLAINER)
+
+
+SIZES, CASES = [f"n{k}" for k in range(10)], ["u0", "u1", "u2"]
+
+
 def features(word: str) -> list[str]:
-    w = word.lower().translate(PLAINER) if not word.isdigit() else "0"
-    return ["w" + w, *(f"p{w[:k]}" for k in range(3, 10) if len(w) > k), "z" + w[-3:], "n" + str(min(len(w), 9)), "u" + str(word[:1].isupper() + word.isupper())]
+    w = plain(word)
+    n = len(w)
+    out = ["w" + w, "z" + w[-3:], SIZES[n] if n < 9 else "n9", CASES[word[:1].isupper() + word.isupper()]]
+    for k in range(3, n if n < 10 else 10):
+        out.append("p" + w[:k])
+    return out
 
 
 def marks(word: str) -> list[str]:
@@ -58,25 +71,29 @@ def chain(products: np.ndarray) -> np.ndarray:
     """Row vectors (1, 1) M_0 ... M_i, each scaled to sum 1, for matrices M: (n, 2, 2) of positive entries."""
     n = len(products)
     rows = -(-n // BLOCK)
-    m = np.empty((rows * BLOCK, 2, 2))
-    m[:n], m[n:] = products, np.eye(2)
-    m = m.reshape(rows, BLOCK, 2, 2)
-    p = np.empty_like(m)
-    p[:, 0] = m[:, 0]
-    for k in range(1, BLOCK):
-        a, b = p[:, k - 1], m[:, k]
-        c = np.einsum("rij,rjk->rik", a, b)
-        p[:, k] = c / c.sum(axis=(1, 2), keepdims=True)
-    ends = p[:, -1].reshape(rows, 4).tolist()
-    x, y, starts = 0.5, 0.5, []
-    for a, b, c, d in ends:
-        starts.append((x, y))
-        x, y = x * a + y * c, x * b + y * d
-        s = x + y
-        x, y = x / s, y / s
-    v = np.array(starts)
-    out = np.einsum("ri,rkij->rkj", v, p).reshape(-1, 2)[:n]
-    return out / out.sum(axis=1, keepdims=True)
+    entries = []
+    for i in (0, 1):
+        for j in (0, 1):
+            x = np.full(rows * BLOCK, float(i == j))
+            x[:n] = products[:, i, j]
+            entries.append(np.ascontiguousarray(x.reshape(rows, BLOCK).T))  # a row for each place in the blocks
+    a, b, c, d = entries
+    for k in range(1, BLOCK):  # running products, in place
+        p, q, r, s = a[k - 1], b[k - 1], c[k - 1], d[k - 1]
+        w, x, y, z = p * a[k] + q * c[k], p * b[k] + q * d[k], r * a[k] + s * c[k], r * b[k] + s * d[k]
+        scale = 1 / (w + x + y + z)
+        a[k], b[k], c[k], d[k] = w * scale, x * scale, y * scale, z * scale
+    u, v, starts = 0.5, 0.5, []
+    for w, x, y, z in zip(a[-1].tolist(), b[-1].tolist(), c[-1].tolist(), d[-1].tolist(), strict=True):
+        starts.append(u)
+        u, v = u * w + v * y, u * x + v * z
+        s = u + v
+        u, v = u / s, v / s
+    left = np.array(starts)
+    right = 1 - left
+    one, two = left * a + right * c, left * b + right * d
+    total = one + two
+    return np.stack([(one / total).T.reshape(-1)[:n], (two / total).T.reshape(-1)[:n]], axis=1)
 
 
 def marginals(score: np.ndarray, first: np.ndarray, arc: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,17 +169,23 @@ def fit_field(docs: list[list[str]], tags: list[np.ndarray], rounds: int = 30, r
 
 
 class Scorer:
-    """A model with the scores of words it has met, 400,000 at most."""
+    """A model with the scores of words it has met, about 300,000 at most."""
 
     def __init__(self, model: Model):
         self.model, self.known, self.values, self.n = model, {}, np.zeros((3, 1 << 12)), 0
+        parts = (model.unary, model.before, model.after)
+        self.weights = {f: tuple(p.get(f, 0.0) for p in parts) for f in set().union(*parts)}
 
     def _index(self, word: str) -> int:
         if self.n == self.values.shape[1]:
             self.values = np.concatenate([self.values, np.zeros_like(self.values)], axis=1)
-        f = features(word)
-        for k, part in enumerate((self.model.unary, self.model.before, self.model.after)):
-            self.values[k, self.n] = sum(part.get(x, 0.0) for x in f)
+        u = b = a = 0.0
+        get = self.weights.get
+        for f in features(word):
+            w = get(f)
+            if w is not None:
+                u, b, a = u + w[0], b + w[1], a + w[2]
+        self.values[:, self.n] = u, b, a
         if len(word) <= 64:
             self.known[word] = self.n
         self.n += 1
@@ -170,7 +193,7 @@ class Scorer:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of the tokens of all texts, one after the other; how many tokens each text has."""
-        if self.n > 400_000:
+        if self.n > 300_000:
             self.known, self.n = {}, 0
         get, ids, counts = self.known.get, [], []
         for text in texts:
@@ -304,6 +327,7 @@ _scorers: dict[str, Scorer] = {}
 
 def scorer_of(shared) -> Scorer:
     """The scorer of a broadcast model, one at a time in a worker; its words stay known between batches."""
+    hold("toxicity", _scorers.clear)
     key = str(shared.value.bias) + str(shared.value.arc)
     if key not in _scorers:
         _scorers.clear()

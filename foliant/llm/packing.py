@@ -3,8 +3,9 @@
 Documents are tokenised once; only (id, piece, start, length, checksum) goes on. Pieces are dealt to
 partitions, each packed by best-fit decreasing. Dual feasible functions give a lower bound of each
 partition's number of sequences. Where the packing meets its bound it is final but for the emptiest
-sequence, in which rounding loses up to one sequence a partition; where it doesn't, all sequences with
-room are opened. Opened pieces are exchanged, that is dealt anew to fewer partitions and packed again,
+sequence, in which rounding loses up to one sequence a partition; where it doesn't, its sequences
+are opened: all of them in the first three rounds, in which partitions at most double, later those with
+room. Opened pieces are exchanged, that is dealt anew to fewer partitions and packed again,
 until they fit in one partition that meets its bound or rounds no longer help.
 
 Nulls: a null text counts as empty and still has its end token. A null id is kept as it is. Repeated
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import cut, map_batches, pieces_for, texts_of
+from foliant.llm._shared import cut, hold, map_batches, pieces_for, texts_of
 
 #: Text of these characters alone needs no normaliser but lower(): all are composed, and letters below
 #: U+0130 have lower cases of one letter that don't depend on what follows.
@@ -53,9 +54,9 @@ class PackedTokenizer:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         words = self.find(text.lower())
-        new = list({w for w in words if w not in self.words})
+        new = list(set(words).difference(self.words))
         if new:
-            if len(self.words) >= 400_000:
+            if len(self.words) >= 300_000:
                 self.words.clear()
                 new = list(set(words))
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -73,6 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     end = struct.pack("<I", end_id)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hold("packing", packed_tokenizer.cache_clear)
         t = packed_tokenizer(tokenizer)
         row, piece, start, length, crc = [], [], [], [], []
         for i, text in enumerate(texts_of(batch.column(1))):
@@ -151,7 +153,7 @@ def packer(names: list[str], length_col: str, capacity: int, salt: int, last: bo
         elif len(rooms) <= lower_bound(lengths, capacity):
             opened = np.arange(len(rooms)) == int(rooms.argmax())
         else:
-            opened = rooms > 0
+            opened = np.ones(len(rooms), bool) if salt < 3 else rooms > 0
         columns = [group.column(c) for c in names]
         return pa.table([*columns, pa.array((salt << 56) + (part << 32) + bins), pa.array(offsets), pa.array(~opened[bins])], [*names, "sequence_id", "offset", "settled"])
 

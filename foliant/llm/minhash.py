@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm._shared import components, cut, map_batches
+from foliant.llm._shared import components, cut, hold, map_batches
 
 COORDINATES, POSTED, LEAST, MATCHES = 64, 24, 10, 36  # a pair with Jaccard 0.8 agrees in 36 of 64 but for one in a million
 BLOCK = 256
@@ -41,9 +41,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold("words", _words.clear)
     out = list(map(_words.get, words))
     if None in out:
-        if len(_words) > 500_000:
+        if len(_words) > 300_000:
             _words.clear()
         for i, h in enumerate(out):
             if h is None:

@@ -3,10 +3,12 @@
 Paragraphs (lines of at least `min_words` words) of one set of five-word shingles form a class. Bands
 of three of 24 MinHash values, eight of them, bring together 99.7 % of pairs with a Jaccard similarity
 of 0.8; in each band's list, cut into blocks, pairs whose signatures agree enough make forests of few
-edges, and each resulting family is confirmed on full shingle sets, again in blocks. Passages inside
-different paragraphs are found by their sentences: a paragraph of whose sentences enough words stand
-elsewhere too is joined to the others that hold them. The components of all links are clusters; the
-first paragraph of each, by document and place, is kept.
+edges, and each resulting family is confirmed on full shingle sets, again in blocks. The components of
+confirmed links are clusters; the first paragraph of each, by document and place, is kept.
+
+Passages that begin, end or break lines anywhere are found as runs of at least `min_words` words, of the
+whole text, that stand word for word elsewhere too. Each is reported up to its ends under its first place,
+which is kept; runs unlike each other are never joined.
 
 Nulls: a null text counts as empty. Rows are told apart by id and text, null ids are kept. Rows that
 are equal count as one. Texts are read whole. Other columns are not read; an empty table gives no rows."""
@@ -21,13 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliant.llm._shared import components, cut, map_batches, texts_of
-from foliant.llm.minhash import A, B, candidates, in_blocks, links, mix, shingles
+from foliant.llm._shared import components, cut, map_batches, release, texts_of
+from foliant.llm.minhash import A, B, M, candidates, in_blocks, links, mix, shingles, word_hashes
 
 BANDS, ROWS = 8, 3
 MATCHES = 11  # of 24; a pair at 0.8 has fewer with a chance of one in 20,000
-SENTENCE = re.compile(r"[^.!?]+[.!?]*")
+WORD = re.compile(rb"\S+")
 
 
 def paragraphs_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]:
@@ -66,23 +69,115 @@ def sketched(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
     return map_batches(docs, kernel, f"id {kind}, h long, number int, start int, end int, words int, n_shingles long, c binary, bands binary, signature binary")
 
 
-def sentences(docs: DataFrame, kind: str, min_words: int, least: int) -> DataFrame:
-    """(id, h, number, s, start, end, words): sentences of at least `least` words in paragraphs."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, out = [], []
-        for r, text in enumerate(texts_of(batch.column("text"))):
-            for number, start, end, _ in paragraphs_of(text, min_words):
-                for m in SENTENCE.finditer(text, start, end):
-                    words = m.group().lower().split()
-                    if len(words) >= least:
-                        rows.append(r)
-                        out.append((number, xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63), m.start(), m.end(), len(words)))
-        number, s, start, end, words = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [], [])
-        take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), pa.array(number, pa.int32()), pa.array(s, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32())], ["id", "h", "number", "s", "start", "end", "words"])
-
-    return map_batches(docs, kernel, f"id {kind}, h long, number int, s long, start int, end int, words int")
+def run_hashes(w: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    n = len(w) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out, at, power, width, rest = None, 0, w, 1, size
+    while rest:
+        if rest & 1:
+            part = power[at : at + n]
+            out, at = part if out is None else mix(out * M[0] + part), at + width
+        rest >>= 1
+        if rest:
+            power, width = mix(power[:-width] * M[0] + power[width:]), 2 * width
+    return out
+
+
+def chosen(h: np.ndarray, among: int) -> np.ndarray:
+    """Places of the least hash of every `among` neighbours, the last of equal ones."""
+    if len(h) < among:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(h, among)[:, ::-1].argmin(axis=1)
+    return np.unique(np.arange(among - 1, len(h)) - least)
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Rows (id, h, s, at) whose s stands at another place too, with the first such place."""
+    place, every = F.struct("id", "h", "at"), Window.partitionBy("s")
+    rows = rows.select("id", "h", "at", F.min(place).over(every).alias("first"), F.max(place).over(every).alias("last"))
+    return rows.where("first.at <> last.at or first.h <> last.h or not (first.id <=> last.id)").drop("last")
+
+
+def repeated_runs(source: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """(id, h, number, start, end, words, first_id, first_h, first_number, alone): each maximal run of min_words
+    words or more, over any lines, that stands word for word at its first place, or stands there itself and
+    elsewhere too. alone: the run and its first place each lie within one line.
+
+    Half as long runs are chosen by their hashes, so that each run of min_words words holds one chosen alike
+    wherever it stands; around those that repeat all runs of min_words words are compared."""
+    half = (min_words + 1) // 2
+    among = min_words - half + 1
+
+    def hashes(text: str) -> np.ndarray:
+        return word_hashes(text.encode().lower().split())
+
+    def rows_of(batch: pa.RecordBatch, s: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+        take = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
+        return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), pa.array(np.concatenate(s).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))], ["id", "h", "s", "at"])
+
+    def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = [run_hashes(hashes(t), half) for t in texts_of(batch.column("text"))]
+        at = [chosen(x, among) for x in s]
+        return rows_of(batch, [x[y] for x, y in zip(s, at, strict=True)], at)
+
+    def around(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = [run_hashes(hashes(t), min_words) for t in texts_of(batch.column("text"))]
+        at = []
+        for x, held in zip(s, batch.column("held").to_pylist(), strict=True):
+            near = np.unique(np.array(held, np.int64)[:, None] - np.arange(among))
+            at.append(near[(near >= 0) & (near < len(x))])
+        return rows_of(batch, [x[y] for x, y in zip(s, at, strict=True)], at)
+
+    def islands(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take, begin, size = [], [], []
+        for r, ats in enumerate(batch.column("ats").to_pylist()):
+            ats = np.unique(np.array(ats, np.int64))
+            for part in np.split(ats, np.flatnonzero(np.diff(ats) > 1) + 1):
+                take.append(r)
+                begin.append(int(part[0]))
+                size.append(int(part[-1] - part[0]) + min_words)
+        pick = pa.array(take, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in ("id", "h", "first_id", "first_h", "shift")), pa.array(begin, pa.int32()), pa.array(size, pa.int32())], ["id", "h", "first_id", "first_h", "shift", "begin", "words"])
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = []
+        for text, wanted in zip(texts_of(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            raw = text.encode()
+            words = [m.span() for m in WORD.finditer(raw)]
+            found = []
+            for x in wanted:
+                a, b = words[x["begin"]][0], words[x["begin"] + x["words"] - 1][1]
+                start, number = len(raw[:a].decode()), raw.count(b"\n", 0, a)
+                found.append({**x, "number": number, "start": start, "end": start + len(raw[a:b].decode()), "alone": b"\n" not in raw[a:b]})
+            spans.append(found)
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("words", pa.int32()), ("number", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("alone", pa.bool_())])))], ["id", "h", "spans"])
+
+    def with_text(df: DataFrame) -> DataFrame:
+        texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
+        return df.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).drop("__id", "__h")
+
+    spark = source.sparkSession
+    schema = f"id {kind}, h long, s long, at int"
+    held = cut(repeated(map_batches(source, anchors, schema)).groupBy("id", "h").agg(F.collect_set("at").alias("held")))
+    release(spark)
+    same = repeated(map_batches(with_text(held), around, schema)).select("id", "h", "at", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), (F.col("first.at") - F.col("at")).alias("shift"))
+    same = same.groupBy("id", "h", "first_id", "first_h", "shift").agg(F.collect_set("at").alias("ats"))
+    runs = cut(map_batches(same, islands, f"id {kind}, h long, first_id {kind}, first_h long, shift int, begin int, words int"))
+    release(spark)
+    both = runs.select("id", "h", "begin", "words").unionByName(runs.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"), (F.col("begin") + F.col("shift")).alias("begin"), "words"))
+    wanted = both.groupBy("id", "h").agg(F.collect_set(F.struct("begin", "words")).alias("wanted"))
+    spans = map_batches(with_text(wanted), placed, f"id {kind}, h long, spans array<struct<begin:int,words:int,number:int,start:int,end:int,alone:boolean>>")
+    spans = cut(spans.select("id", "h", F.explode("spans").alias("x")).select("id", "h", "x.*").dropDuplicates(["id", "h", "begin", "words"]))
+    release(spark)
+    theirs = spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("begin").alias("__begin"), F.col("words").alias("__words"), F.col("number").alias("first_number"), F.col("alone").alias("__alone"))
+    there = F.col("first_id").eqNullSafe(F.col("__id")) & (F.col("first_h") == F.col("__h")) & (F.col("begin") + F.col("shift") == F.col("__begin")) & (F.col("words") == F.col("__words"))
+    own = spans.withColumnsRenamed({"id": "o_id", "h": "o_h", "begin": "o_begin", "words": "o_words"})
+    here = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("h") == F.col("o_h")) & (F.col("begin") == F.col("o_begin")) & (F.col("words") == F.col("o_words"))
+    out = runs.join(own, here).join(theirs, there)
+    itself = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("shift") == 0)
+    return cut(out.select("id", "h", "number", "start", "end", "words", "first_id", "first_h", "first_number", itself.alias("itself"), (F.col("alone") & F.col("__alone")).alias("alone")))
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
@@ -97,7 +192,7 @@ def with_sets(rows: DataFrame) -> DataFrame:
     return rows.select(*columns, "text", "start", "end").mapInArrow(run, "id binary, component binary, total long, n_shingles long, signature binary, shingles binary")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, sentence_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, kept) of each paragraph, or part
     of one, that stands elsewhere too; start and end count characters of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -116,25 +211,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, s
     unique = source.dropDuplicates(["id", "h"]).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
     texts = family.join(unique, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("doc_h") == F.col("__h")))
     full = cut(with_sets(texts))
+    release(docs.sparkSession)
     linked = in_blocks(full, ["component"], "id", "total").groupBy("component", "__pair").applyInArrow(links(percent, MATCHES), "a binary, b binary")
-
-    parts = sentences(source.dropDuplicates(["id", "h"]), kind, min_words, sentence_words)
-    often = parts.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    hits = cut(parts.join(often, "s"))
-    passages = hits.groupBy("id", "h", "number").agg(F.sum("words").alias("hit_words"), F.min("start").alias("hit_start"), F.max("end").alias("hit_end"), F.collect_set("s").alias("held")).where(F.col("hit_words") >= min_words)
-    passages = cut(passages.join(found.select("id", "h", "number", "c"), ["id", "h", "number"]))
-    of_sentence = passages.select("c", F.explode("held").alias("s"))
-    hubs = of_sentence.groupBy("s").agg(F.min("c").alias("hub"), F.max("c").alias("other")).where("hub <> other").select("s", "hub")
-    joined = of_sentence.join(hubs, "s").where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(cut(linked.unionByName(joined))).toDF("c", "cluster")
-
-    whole = classes.select("c", "copies").join(clusters, "c", "left").where("copies > 1 or cluster is not null").select("c", F.coalesce("cluster", "c").alias("cluster"), "copies")
-    in_links = cut(linked).select(F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("alike", F.lit(True))
-    rows = found.select("id", "h", "number", "start", "end", "words", "c").join(whole, "c").join(in_links, "c", "left").join(passages.select("id", "h", "number", "hit_start", "hit_end", "hit_words"), ["id", "h", "number"], "left")
-    entire = F.coalesce("alike", F.lit(False)) | (F.col("copies") > 1)
-    rows = rows.where(entire | F.col("hit_words").isNotNull()).select("id", "number", F.when(entire, F.col("start")).otherwise(F.col("hit_start")).alias("start"), F.when(entire, F.col("end")).otherwise(F.col("hit_end")).alias("end"), F.when(entire, F.col("words")).otherwise(F.col("hit_words")).cast("long").alias("n_words"), "cluster")
-    rows = cut(rows)
-    firsts = rows.groupBy("cluster").agg(F.min(F.struct("id", "number")).alias("first"))
-    out = rows.join(firsts, "cluster")
-    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("number") == F.col("first.number"))
-    return out.select(F.col("id").alias(id_col), F.col("number").alias("paragraph"), "start", "end", "n_words", F.col("first.id").alias("cluster_doc"), F.col("first.number").alias("cluster_paragraph"), kept.alias("kept"))
+    clusters = components(cut(linked)).toDF("c", "cluster")
+    whole = classes.select("c", "copies").join(clusters, "c", "left").where("copies > 1 or cluster is not null").select("c", F.coalesce("cluster", "c").alias("cluster"))
+    rows = cut(found.select("id", "h", "number", "start", "end", "words", "c").join(whole, "c"))
+    firsts = rows.groupBy("cluster").agg(F.min(F.struct("id", "h", "number")).alias("first"))
+    entire = cut(rows.join(firsts, "cluster").select("id", "h", "number", "start", "end", F.col("words").cast("long").alias("n_words"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.number").alias("first_number")))
+    release(docs.sparkSession)
+    entire = entire.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("number") == F.col("first_number")))
+
+    runs = repeated_runs(source, kind, min_words)
+    lines = entire.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"), F.col("number").alias("l_number"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    within = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")) & (F.col("number") == F.col("l_number")) & (F.col("start") >= F.col("l_start")) & (F.col("end") <= F.col("l_end"))
+    runs = runs.join(lines, within, "left_anti")
+    # where the first place is within a paragraph that has a cluster, that one's
+    heads = entire.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), F.col("number").alias("e_number"), F.col("first_id").alias("e_first_id"), F.col("first_h").alias("e_first_h"), F.col("first_number").alias("e_first_number"))
+    headed = F.col("first_id").eqNullSafe(F.col("e_id")) & (F.col("first_h") == F.col("e_h")) & (F.col("first_number") == F.col("e_number")) & F.col("alone")
+    runs = runs.join(heads, headed, "left")
+    pick = lambda new, old: F.when(F.col("e_h").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
+    runs = runs.select("id", "number", "start", "end", F.col("words").cast("long").alias("n_words"), pick("e_first_id", "first_id"), pick("e_first_number", "first_number"), F.col("itself").alias("kept"))
+    out = entire.select(*runs.columns).unionByName(runs)
+    return out.select(F.col("id").alias(id_col), F.col("number").alias("paragraph"), "start", "end", "n_words", F.col("first_id").alias("cluster_doc"), F.col("first_number").alias("cluster_paragraph"), "kept")

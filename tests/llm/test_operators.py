@@ -169,6 +169,18 @@ def test_paragraphs(spark):
     assert passage.strip()[20:-20] in docs[2][inside.start : inside.end]
 
 
+def test_passages_over_lines_of_short_sentences(spark):
+    """Runs of 60 words in short lines, in lists, and cut into inside sentences."""
+    rng = random.Random(8)
+    words = prose(rng, 60).split()
+    lines = "\n".join(" ".join(words[k : k + 5]) + "." for k in range(0, 60, 5))
+    docs = [prose(rng, 7) + "\n" + lines + "\n" + prose(rng, 4), prose(rng, 30) + " " + lines.replace("\n", " ") + " " + prose(rng, 30), prose(rng, 90)]
+    got = {r.doc_id: r for r in paragraphs.repeated_passages(table(spark, enumerate(docs))).collect()}
+    assert set(got) == {0, 1}
+    assert all(docs[i][r.start : r.end].split() == lines.split() and r.n_words == 60 and r.kept == (i == 0) for i, r in got.items())
+    assert {(r.cluster_doc, r.cluster_paragraph) for r in got.values()} == {(0, 1)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     star = [(200, k) for k in range(201, 260)]

@@ -3,9 +3,9 @@
 A page is parsed to a tree with the implied end tags of HTML. Parts that are never the article
 (scripts, forms, menus, footers, what its class, id or role names as advert, notice, sidebar, comments)
 are pruned. Each node's composite density is its characters per tag, adjusted by the shares of link
-characters and link tags; the sum of its children's densities picks the subtree. The least density on
-the path from there to body is the threshold: the subtree is widened to ancestors that reach it, and
-blocks of it that are nothing but lists of links are left out.
+characters and link tags; the sum of the densities of its child blocks picks the subtree, twice as much
+counting for article and main. The least density on the path from there to body is the threshold: blocks
+beside it that reach it, down from body, give the node of their greatest sum too.
 
 Nulls: null html gives an empty text. Truncated markup is read as far as it goes. Columns other than
 those named are not read; repeated rows give equal rows; pages may be of any length."""
@@ -36,6 +36,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "aler
 WORDS = {"ad", "ads", "adv", "advert", "adverts", "nav", "navbar", "menu", "footer", "sidebar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "banner", "popup", "modal", "overlay", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "social", "share", "sharing", "related", "recommended", "recommendations", "newsletter", "subscribe", "signup", "login", "breadcrumb", "breadcrumbs", "pagination", "pager", "sponsor", "sponsored", "promo", "promotion", "masthead", "widget", "toolbar", "skip", "paywall", "alert", "aside", "toc", "header", "advertisement", "advertising", "topbar", "alerts", "discussion"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
+BONUS = 2  # for the density sum of article and main
 
 
 class Node:
@@ -174,41 +175,47 @@ def measure(root: Node) -> tuple[list[Node], Node]:
         else:
             base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
             node.density = c / t * max(math.log(c / max(lc, 1) * t / lt + 1e-9), 0.0) / max(base, 1e-9)
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.pruned)
+        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.pruned and x.tag not in INLINE)
     return nodes, body
 
 
-def choose(root: Node) -> Node:
+def choose(root: Node) -> list[Node]:
+    """The outermost nodes of the main text, in their order.
+
+    The greatest density sum picks a node; the least density on its path to body is the threshold. Of each
+    subtree that reaches it and whose path does, the node of the greatest sum is content too."""
     nodes, body = measure(root)
     inside = [x for x in nodes if x.chars]
     if not inside:
-        return body
-    marked = [x for x in inside if x.tag in {"article", "main"}]
-    best = max(inside, key=lambda x: (x.total, x.density))
-    path, node = [], best
+        return [body]
+    score = lambda x: (x.total * (BONUS if x.tag in {"article", "main"} else 1), x.density)
+    peak: dict[Node, Node] = {}
+    for node in reversed(inside):
+        peak[node] = max([node, *(peak[c] for c in node.children if isinstance(c, Node) and c in peak)], key=score)
+    best = peak[body] if body in peak else max(inside, key=score)
+    threshold, node = body.density, best
     while node is not None and node is not body:
-        path.append(node)
-        node = node.parent
-    threshold = min([x.density for x in path] + [body.density])
-    top = best
-    for node in path:
-        if node.density >= threshold and node.tag not in {"html", "body"}:
-            top = node
-    if best is body or top.tag == "html":
-        top = body
-    holders = [x for x in marked if x in path]
-    if holders:
-        return holders[0] if holders[0].tag == "article" or len(holders) == 1 else next((x for x in holders if x.tag == "article"), holders[0])
-    if marked:
-        return max(marked, key=lambda x: x.chars)
-    return top
+        threshold, node = min(threshold, node.density), node.parent
+    content, reached = {best}, {body}
+    for node in inside:
+        if node.parent in reached and node.density >= threshold and node.tag not in INLINE:
+            reached.add(node)
+            content.add(peak[node])
+    return [x for x in inside if x in content and not above(x, content)]
+
+
+def above(node: Node, content: set[Node]) -> bool:
+    here = node.parent
+    while here is not None and here not in content:
+        here = here.parent
+    return here is not None
 
 
 def links_only(node: Node) -> bool:
     return node.tag in {"ul", "ol", "dl", "div", "section", "table"} and node.link_tags >= 3 and node.link_chars >= 0.8 * max(node.chars, 1)
 
 
-def text_of(top: Node) -> str:
+def text_of(tops: list[Node]) -> str:
     blocks: list[str] = []
     now: list[str] = []
 
@@ -219,14 +226,14 @@ def text_of(top: Node) -> str:
                 blocks.append(block)
             now.clear()
 
-    stack: list[Node | str | None] = [top]
+    stack: list[Node | str | None] = list(reversed(tops))
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             now.append(x)
-        elif not x.pruned and (x is top or not links_only(x)):
+        elif not x.pruned and (x in tops or not links_only(x)):
             if x.tag not in INLINE:
                 flush()
                 stack.append(None)

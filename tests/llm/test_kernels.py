@@ -150,6 +150,16 @@ def test_main_text():
     assert html_text.main_text(bare) == "A long paragraph of running text, with words. And another paragraph that follows it."
 
 
+def test_density_chooses_the_text():
+    words = lambda k: " ".join(f"word{k} of running text" for _ in range(40))
+    links = "".join(f"<li><a href=/{k}>link number {k}</a>" for k in range(12))
+    body = f"<h1>Head</h1><p>{words(1)}</p><p>{words(2)}</p>"
+    whole = f"Head {words(1)} {words(2)}"
+    assert html_text.main_text(f"<body><div class=page><div class=left><ul>{links}</ul></div><div class=text>{body}</div></div><div class=bottom><ul>{links}</ul></div>") == whole
+    assert html_text.main_text(f"<body><article><a href=/t>Teaser</a></article><div>{body}</div>") == whole
+    assert html_text.main_text(f"<body><article>{body}</article><article>{body}</article>") == f"{whole} {whole}"
+
+
 def test_licences():
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.85)
     mit = licenses.TEMPLATES["MIT"]

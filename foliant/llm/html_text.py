@@ -2,7 +2,7 @@
 
 A page is parsed to a tree with the implied end tags of HTML. Parts that are never the article
 (scripts, forms, menus, footers, what its class, id or role names as advert, notice, sidebar, comments)
-are pruned. Each node's composite density is its characters per tag, adjusted by the shares of link
+are pruned; inside article and main names count for containers only, and only whole ones. Each node's composite density is its characters per tag, adjusted by the shares of link
 characters and link tags; the sum of the densities of its child blocks picks the subtree, twice as much
 counting for article and main. The least density on the path from there to body is the threshold: blocks
 beside it that reach it, down from body, give the node of their greatest sum too.
@@ -31,6 +31,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
 
+CONTAINERS = {"div", "ul", "ol", "dl", "table", "figure", "center"}
 NEVER = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "form", "button", "select", "textarea", "input", "nav", "menu", "footer", "aside", "dialog", "title", "noembed", "noframes", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar", "tablist", "status"}
 WORDS = {"ad", "ads", "adv", "advert", "adverts", "nav", "navbar", "menu", "footer", "sidebar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "banner", "popup", "modal", "overlay", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "social", "share", "sharing", "related", "recommended", "recommendations", "newsletter", "subscribe", "signup", "login", "breadcrumb", "breadcrumbs", "pagination", "pager", "sponsor", "sponsored", "promo", "promotion", "masthead", "widget", "toolbar", "skip", "paywall", "alert", "aside", "toc", "header", "advertisement", "advertising", "topbar", "alerts", "discussion"}
@@ -63,6 +64,10 @@ def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         if name in {"class", "id"}:
             for token in value.split():
                 words = SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token))
+                if inside_article:  # whole names of containers alone; headings, paragraphs and sections are text
+                    if tag in CONTAINERS and WORDS.issuperset(words):
+                        return True
+                    continue
                 if WORDS.intersection(words) and not {"article", "content", "post", "entry", "main"}.intersection(words[:1]):
                     return True
                 if WORDS.intersection(words) and words[-1] in {"comments", "comment", "ad", "ads", "nav", "footer", "sidebar", "menu", "related", "share", "header"}:
@@ -211,10 +216,6 @@ def above(node: Node, content: set[Node]) -> bool:
     return here is not None
 
 
-def links_only(node: Node) -> bool:
-    return node.tag in {"ul", "ol", "dl", "div", "section", "table"} and node.link_tags >= 3 and node.link_chars >= 0.8 * max(node.chars, 1)
-
-
 def text_of(tops: list[Node]) -> str:
     blocks: list[str] = []
     now: list[str] = []
@@ -233,7 +234,7 @@ def text_of(tops: list[Node]) -> str:
             flush()
         elif isinstance(x, str):
             now.append(x)
-        elif not x.pruned and (x in tops or not links_only(x)):
+        elif not x.pruned:
             if x.tag not in INLINE:
                 flush()
                 stack.append(None)

@@ -160,6 +160,12 @@ def test_density_chooses_the_text():
     assert html_text.main_text(f"<body><article>{body}</article><article>{body}</article>") == f"{whole} {whole}"
 
 
+def test_article_parts_stay():
+    links = "".join(f"<li><a href=/{k}>Reference {k}</a>" for k in range(4))
+    page = f"<body><article><h1>Head</h1><section id='discussion'><h2 id='related-work'>Related</h2><p class='notice'>Text</p></section><h2 id='social-impact'>Impact</h2><ol class='related-work'>{links}</ol><div class='ads'>Buy</div><div class='social-share'>Share</div></article>"
+    assert html_text.main_text(page) == "Head Related Text Impact Reference 0 Reference 1 Reference 2 Reference 3"
+
+
 def test_licences():
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.85)
     mit = licenses.TEMPLATES["MIT"]

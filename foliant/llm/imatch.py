@@ -7,9 +7,9 @@ hashes is the fingerprint. The likeness of two fingerprints is the share of equa
 subsets of which either text holds a term. A text without any lexicon term has the hash of all its
 distinct terms as its fingerprint, alike only to its equals.
 
-The lexicon's size is bounded whatever the corpus: terms in at least a share s of the documents number
-at most (mean distinct terms a document) / s, and of those `max_terms` are kept by their hash. It is
-made from all documents, and joined as one row of at most max_terms numbers.
+The lexicon holds every term of the band. Its size is bounded whatever the corpus: terms in at least a
+share s of the documents number at most (mean distinct terms a document) / s. It is made from all
+documents, and joined as one row of numbers, dealt to slots, so that a term is looked for in one slot.
 
 Nulls: a null text counts as empty; an empty text's fingerprint is that of no terms. Rows with a null
 id, ties and repeated rows keep their own rows. Texts are used whole. Other columns are not read."""
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SLOTS = 4096
 #: Shares of the lexicon that the randomised subsets hold: one in 1, 2, 4, ... of the terms.
 RATES = (1, 2, 2, *(4,) * 3, *(8,) * 4, *(16,) * 6, *(32,) * 8, *(64,) * 8, *(128,) * 8)
 
@@ -32,15 +33,31 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = 0.002, most_share: float = 0.2, max_terms: int = 2048) -> DataFrame:
-    """One row: lexicon, the sorted hashes of at most max_terms terms of the band."""
+def band_terms(docs: DataFrame, text_col: str = "text", least_share: float = 0.002, most_share: float = 0.2) -> DataFrame:
+    """(term, n, docs): every term of the band, with the number of documents that have it."""
     counts = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = docs.agg(F.count(F.lit(1)).alias("docs"))
-    band = counts.join(F.broadcast(total), (F.col("n") >= F.greatest(F.lit(2.0), F.col("docs") * least_share)) & (F.col("n") <= F.greatest(F.lit(3.0), F.col("docs") * most_share)))
-    kept = band.orderBy(F.xxhash64("term", F.lit(17)), "term").limit(max_terms)
+    return counts.join(F.broadcast(total), (F.col("n") >= F.greatest(F.lit(2.0), F.col("docs") * least_share)) & (F.col("n") <= F.greatest(F.lit(3.0), F.col("docs") * most_share)))
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = 0.002, most_share: float = 0.2, max_terms: int = 2048) -> DataFrame:
+    """One row: lexicon, the sorted hashes of at most max_terms terms of the band; a sample to look at."""
+    kept = band_terms(docs, text_col, least_share, most_share).orderBy(F.xxhash64("term", F.lit(17)), "term").limit(max_terms)
     return kept.agg(F.array_sort(F.collect_list("term")).alias("lexicon"))
 
 
+def slot(term: Column) -> Column:
+    return F.pmod(term, F.lit(SLOTS)).cast("int")
+
+
+def slots(docs: DataFrame, text_col: str = "text", **band: float) -> DataFrame:
+    """One row: lexicon, an array of SLOTS arrays that hold all terms of the band."""
+    filled = band_terms(docs, text_col, **band).groupBy(slot(F.col("term")).alias("slot")).agg(F.collect_list("term").alias("held"))
+    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+    dense = every.join(filled, "slot", "left").select("slot", F.coalesce("held", F.array().cast("array<bigint>")).alias("held"))
+    return dense.agg(F.array_sort(F.collect_list(F.struct("slot", "held"))).alias("x")).select(F.col("x.held").alias("lexicon"))
+
+
 def in_subset(k: int, rate: int) -> Callable[[Column], Column]:
     return lambda t: F.pmod(F.xxhash64(t, F.lit(k)), F.lit(rate)) == 0
 
@@ -68,14 +85,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **band: float) -> DataFrame:
     """(id, fingerprint) of every row."""
-    return with_hashes(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), {"own": "__text"}, lexicon(docs, text_col, **band)).select(F.col("__id").alias(id_col), as_text(F.col("own")).alias("fingerprint"))
+    return with_hashes(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), {"own": "__text"}, slots(docs, text_col, **band)).select(F.col("__id").alias(id_col), as_text(F.col("own")).alias("fingerprint"))
 
 
 def with_hashes(df: DataFrame, texts: dict[str, str], words: DataFrame) -> DataFrame:
     """df with a column of subset hashes for each text column named in texts."""
     df = df.join(F.broadcast(words))  # one row of bounded size
     df = df.withColumns({f"__all_{name}": terms(F.col(col)) for name, col in texts.items()})
-    df = df.withColumns({f"__in_{name}": F.array_intersect(F.coalesce("lexicon", F.array().cast("array<bigint>")), f"__all_{name}") for name in texts})
+    df = df.withColumns({f"__in_{name}": F.array_sort(F.filter(f"__all_{name}", lambda t: F.array_contains(F.element_at("lexicon", slot(t) + 1), t))) for name in texts})
     return df.withColumns({name: hashes(F.col(f"__in_{name}"), F.col(f"__all_{name}")) for name in texts})
 
 
@@ -114,5 +131,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("__text"), F.lit(1), n - half), F.substring(F.col("__next"), F.lit(1), half))
     rows = rows.withColumns({"n_chars": n.cast("long"), "__edited": edited})
-    done = with_hashes(rows, {"own": "__text", "edited": "__edited", "next": "__next"}, lexicon(docs, text_col, **band))
+    done = with_hashes(rows, {"own": "__text", "edited": "__edited", "next": "__next"}, slots(docs, text_col, **band))
     return done.select(F.col("__id").alias(id_col), "n_chars", F.sha2(F.encode("__edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))

@@ -195,3 +195,11 @@ def test_lexicon_is_bounded_and_native(spark, rows):
     assert len(imatch.lexicon(df, max_terms=5).head().lexicon) <= 5
     plan = imatch.edited_likeness(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_term_of_the_band_counts(spark):
+    """3,800 terms lie in the band; short texts keep theirs."""
+    large = " ".join(f"w{k}" for k in range(3000))
+    docs = [large, large] + [f"a{k // 2} b{k // 2}" for k in range(800)]
+    got = imatch.fingerprints(table(spark, enumerate(docs))).collect()
+    assert len(got) == len(docs) and all("." in r.fingerprint for r in got)

@@ -8,7 +8,8 @@ balls: a vector joins the leader it meets in its window if it lies within half t
 and then, by the triangle inequality, it is linked with all others of the ball. Later passes look for
 links between balls. A found pair of balls is settled for each member by the same inequality against
 the other ball's centre and radius where that decides, and else by comparison with the ball's members
-in blocks. Counts of links are exact for all pairs of balls found; the passes decide recall.
+in blocks. Counts of links are exact for all pairs of balls found; the passes decide recall, and their
+number grows with that of the vectors so that it stays. Windows go on over borders of partitions.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of
 different lengths with each other. Null ids are kept and link like others, with a null component.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,32 +111,63 @@ def led(df: DataFrame, kind: str, near: float, window: int) -> DataFrame:
     return df.select("id", "vector").mapInArrow(run, f"id {kind}, leader {kind}, leader_vector binary")
 
 
+def passes_for(n: int, cosine: float, window: int, least: int, miss: float = 0.004) -> int:
+    """Passes, `least` at least, after which a pair at the threshold has been missed with a chance of `miss`.
+
+    The pair's signs agree in one projection with a chance of 1 - angle / pi, others' with one of a half, so
+    about (window / n) ** rho is the chance that it lies within a window of one pass."""
+    agree = 1 - math.acos(cosine) / math.pi
+    met_once = min(1.0, window / max(n, 1)) ** -math.log2(agree)
+    return least if met_once >= 1 else max(least, math.ceil(math.log(miss) / math.log1p(-met_once)))
+
+
+def balls_met(raw: list[bytes], leaders: list, cosine: float, window: int) -> set[tuple]:
+    """Pairs of leaders, the smaller first, of which two members within `window` places have the cosine or more."""
+    names = np.unique(np.array(leaders))
+    ball = np.searchsorted(names, np.array(leaders))
+    found: set[tuple[int, int]] = set()
+    for rows in by_length(raw):
+        m, b = unit([raw[i] for i in rows]), ball[rows]
+        for at in range(0, len(rows), window):
+            block = slice(at, at + window)
+            back = slice(max(0, at - window), at + window)
+            i, j = np.nonzero((m[block] @ m[back].T >= cosine - SLACK) & (b[block][:, None] != b[back][None, :]))
+            x, y = b[block][i], b[back][j]
+            found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+    return {(names[x].item(), names[y].item()) for x, y in found}
+
+
 def met(df: DataFrame, kind: str, cosine: float, window: int) -> DataFrame:
-    """(a, b): pairs of balls of which two members within `window` places have the cosine or more."""
+    """(a, b): pairs of balls of which two members within `window` places have the cosine or more.
+
+    The first and last `window` rows of each partition are given on and met across its borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before_v: list[bytes] = []
-        before_l: list = []
+        part, before_v, before_l, ids = TaskContext.get().partitionId(), [], [], pa.int64()
+
+        def out(pairs: list[tuple], border: int | None, raw: list[bytes], leaders: list) -> pa.RecordBatch:
+            n, k = len(pairs), len(raw)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs] + [None] * k, ids), pa.array([y for _, y in pairs] + [None] * k, ids), pa.array([None] * n + [border] * k, pa.int32()), pa.array([None] * n + ([part] * k), pa.int32()), pa.array([None] * n + list(range(k)), pa.int32()), pa.array([None] * n + leaders, ids), pa.array([None] * n + raw, pa.binary())], ["a", "b", "border", "part", "place", "leader", "vector"])
+
+        head = 0
         for batch in batches:
-            raw, leaders = before_v + batch.column("vector").to_pylist(), before_l + batch.column("leader").to_pylist()
-            names = np.unique(np.array(leaders))
-            ball = np.searchsorted(names, np.array(leaders))
-            found: set[tuple[int, int]] = set()
-            for rows in by_length(raw):
-                m, b = unit([raw[i] for i in rows]), ball[rows]
-                for at in range(0, len(rows), window):
-                    block = slice(at, at + window)
-                    back = slice(max(0, at - window), at + window)
-                    i, j = np.nonzero((m[block] @ m[back].T >= cosine - SLACK) & (b[block][:, None] < b[back][None, :]))
-                    found.update(zip(b[block][i].tolist(), b[back][j].tolist(), strict=True))
-                    i, j = np.nonzero((m[block] @ m[back].T >= cosine - SLACK) & (b[block][:, None] > b[back][None, :]))
-                    found.update(zip(b[back][j].tolist(), b[block][i].tolist(), strict=True))
+            ids = batch.column("leader").type
+            own_v, own_l = batch.column("vector").to_pylist(), batch.column("leader").to_pylist()
+            raw, leaders = before_v + own_v, before_l + own_l
+            yield out(sorted(balls_met(raw, leaders, cosine, window)), part, own_v[: window - head], own_l[: window - head])
+            head = min(window, head + len(own_v))
             before_v, before_l = raw[-window:], leaders[-window:]
-            pairs = sorted(found)
-            kind_of = batch.column("leader").type
-            yield pa.RecordBatch.from_arrays([pa.array([names[x].item() for x, _ in pairs], kind_of), pa.array([names[y].item() for _, y in pairs], kind_of)], ["a", "b"])
+        yield out([], part + 1, before_v, before_l)
+
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("place", "ascending")])
+        pairs = sorted(balls_met(table.column("vector").to_pylist(), table.column("leader").to_pylist(), cosine, window))
+        ids = table.column("leader").type
+        return pa.table([pa.array([x for x, _ in pairs], ids), pa.array([y for _, y in pairs], ids)], ["a", "b"])
 
-    return df.select("leader", "vector").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    every = cut(df.select("leader", "vector").mapInArrow(run, f"a {kind}, b {kind}, border int, part int, place int, leader {kind}, vector binary"))
+    edges = every.where("border is not null").select("border", "part", "place", "leader", "vector")
+    return every.where("a is not null").select("a", "b").unionByName(edges.groupBy("border").applyInArrow(across, f"a {kind}, b {kind}")).distinct()
 
 
 def against_ball(cosine: float) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -200,6 +233,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int = 16, wind
     classes = cut(rows.where("copy is not null").groupBy("copy").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"), F.first("vector").alias("vector")))
     n = classes.count()
     parts = pieces_for(n, per_partition)
+    passes = passes_for(n, cosine, window, passes)
     points = classes.select("id", "vector")
 
     first = led(in_order(keyed(points, [1], ["id", "vector"], "id long, vector binary"), parts), "long", half, window)

@@ -203,3 +203,18 @@ def test_every_term_of_the_band_counts(spark):
     docs = [large, large] + [f"a{k // 2} b{k // 2}" for k in range(800)]
     got = imatch.fingerprints(table(spark, enumerate(docs))).collect()
     assert len(got) == len(docs) and all("." in r.fingerprint for r in got)
+
+
+def test_windows_go_over_borders(spark):
+    """Neighbours in order meet though they lie in other partitions."""
+    rng = np.random.default_rng(10)
+    v = [rng.normal(size=16) for _ in range(300)]
+    rows = [(k, x.tobytes()) for k, x in enumerate(y for x in v for y in (x, x + rng.normal(size=16) * 0.01))][1:-1]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 299), "leader long, vector binary")  # a border in each pair
+    got = {(r.a, r.b) for r in vectors.met(df, "long", 0.99, 4).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(1, 299)}
+
+
+def test_passes_grow_with_the_vectors():
+    n = [vectors.passes_for(k, 0.9, 128, 16) for k in (100, 2000, 50_000, 1_000_000)]
+    assert n[0] == n[1] == 16 < n[2] < n[3] and all(p <= 40 for p in n)

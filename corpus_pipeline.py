@@ -22,9 +22,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    kept = minhash.near_copies(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: that of the smallest id.
+
+    Rows are told apart by id and text. Repeated rows are one; texts under one id, and those without an id,
+    are compared each on its own."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    keyed = docs.withColumn("__row", own)
+    found = minhash.near_copies(keyed.select("__row", "text"), size=5, percent=80, id_col="__row")
+    kept = found.where("kept").select("__row").distinct()
+    return one_of_each(keyed.join(kept, "__row", "left_semi"))
+
+
+def one_of_each(keyed: DataFrame) -> DataFrame:
+    """One row of each __row. Only rows that repeat are compared."""
+    often = keyed.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row")
+    once = keyed.join(often, "__row", "left_anti")
+    return once.unionByName(keyed.join(often, "__row", "left_semi").dropDuplicates(["__row"])).drop("__row")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

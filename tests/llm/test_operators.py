@@ -218,3 +218,15 @@ def test_windows_go_over_borders(spark):
 def test_passes_grow_with_the_vectors():
     n = [vectors.passes_for(k, 0.9, 128, 16) for k in (100, 2000, 50_000, 1_000_000)]
     assert n[0] == n[1] == 16 < n[2] < n[3] and all(p <= 40 for p in n)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated rows, other texts under one id, and null ids."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    docs = table(spark, [(1, a), (1, a), (1, b), (2, a), (3, b), (None, a), (None, c), (None, c), (4, "")])
+    got = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (None, c), (4, "")])

@@ -18,26 +18,33 @@ def _error(df: DataFrame, kind: str, owner: str | None, target: str | None) -> D
     return df.select("file_id", F.lit(kind).alias("kind"), (F.col(owner) if owner else F.lit(None)).cast("long").alias("owner"), (F.col(target) if target else F.lit(None)).cast("long").alias("target"))
 
 
-def content_errors(decoded: DataFrame, depth: int = 8, single_references: bool = False) -> DataFrame:
+def content_errors(decoded: DataFrame, single_references: bool = False) -> DataFrame:
     """References under Contents to objects that are missing or have no stream. References to an array of
-    references are followed, to a bounded depth."""
+    references are followed until no array is left; one that is met again on its own path is ContentTooDeep."""
     objects = by_number(decoded)
     refs = references("Contents")
     if single_references:
         one = ref_number(prim("Contents"))
         refs = F.when(one.isNotNull(), F.array(one)).otherwise(refs)
     rows = objects.select("file_id", F.col("obj_num").alias("owner"), F.explode(refs).alias("target"))
-    targets = objects.select("file_id", F.col("obj_num").alias("target"), "has_stream", F.col("prim_json").alias("target_json"))
-    out = None
-    for _ in range(depth):
-        joined = rows.join(targets, ["file_id", "target"], "left")
-        inner = F.filter(F.transform(F.from_json("target_json", "array<string>"), ref_number), lambda x: x.isNotNull())
-        is_list = F.col("target_json").startswith('["@') & ~F.col("has_stream")
-        missing = _error(joined.where("has_stream is null"), "ContentMissing", "owner", "target")
-        bare = _error(joined.where(~F.col("has_stream") & ~is_list), "ContentStreamMissing", "owner", "target")
-        out = missing.unionByName(bare) if out is None else out.unionByName(missing).unionByName(bare)
-        rows = joined.where(is_list).select("file_id", "owner", F.explode(inner).alias("target"))
-    return out.unionByName(_error(rows, "ContentTooDeep", "owner", "target"))
+    inner = F.filter(F.transform(F.from_json("prim_json", "array<string>"), ref_number), lambda x: x.isNotNull())
+    is_list = F.col("prim_json").startswith('["@') & ~F.col("has_stream")
+    targets = objects.select("file_id", F.col("obj_num").alias("target"), "has_stream", F.coalesce(is_list, F.lit(False)).alias("is_list"), F.when(is_list, inner).alias("inner"))
+    joined = rows.join(targets, ["file_id", "target"], "left")
+    joined.where("is_list").select("file_id", "owner", "target", "inner").createOrReplaceTempView("__foliant_lists_met")
+    targets.createOrReplaceTempView("__foliant_targets")
+    nested = decoded.sparkSession.sql("""
+        WITH RECURSIVE nested(file_id, owner, target, has_stream, is_list, is_cycle, path, inner) MAX RECURSION LEVEL 1000000 AS (
+          SELECT file_id, owner, target, false, true, false, array(target), inner FROM __foliant_lists_met
+          UNION ALL
+          SELECT k.file_id, k.owner, k.next, t.has_stream, coalesce(t.is_list, false), array_contains(k.path, k.next), concat(k.path, array(k.next)), t.inner
+          FROM (SELECT file_id, owner, path, explode(inner) AS next FROM nested WHERE is_list AND NOT is_cycle) k
+          LEFT JOIN __foliant_targets t ON k.file_id = t.file_id AND k.next = t.target
+        )
+        SELECT file_id, owner, target, has_stream, is_list, is_cycle FROM nested LIMIT ALL""")
+    reached = joined.where("not coalesce(is_list, false)").select("file_id", "owner", "target", "has_stream", F.lit(False).alias("is_cycle")).unionByName(nested.where("not is_list or is_cycle").select("file_id", "owner", "target", "has_stream", "is_cycle"))
+    kind = F.when(F.col("is_cycle"), "ContentTooDeep").when(F.col("has_stream").isNull(), "ContentMissing").when(~F.col("has_stream"), "ContentStreamMissing")
+    return reached.select("file_id", kind.alias("kind"), F.col("owner").cast("long").alias("owner"), F.col("target").cast("long").alias("target")).where("kind is not null")
 
 
 def page_tree(decoded: DataFrame, meta: DataFrame, depth: int = 16) -> DataFrame:
@@ -80,7 +87,7 @@ def validate_df(decoded: DataFrame, meta: DataFrame, single_references: bool = F
     lost = _error(tree.where("kind = 'missing' and level > 0"), "PageMissing", "parent", "node")
     wrong = _error(tree.where("kind = 'invalid'"), "InvalidPageTreeObject", "parent", "node")
     cycles = _error(tree.where("kind = 'cycle'"), "PageTreeCycle", "parent", "node")
-    out = content_errors(decoded, 3, single_references)
+    out = content_errors(decoded, single_references)
     for more in (no_objects, no_xrefs, no_root, no_catalog, no_pages, no_top, only_page, lost, wrong, cycles):
         out = out.unionByName(more)
     return out

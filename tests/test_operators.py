@@ -71,6 +71,15 @@ def test_validation(spark):
     assert faults(spark, wrong) == {("InvalidPageTreeObject", 2, 5)}
 
 
+def test_contents_in_nested_lists(spark):
+    """Lists of references are followed to their end, however deep; a list that holds itself ends there."""
+    listed = page()
+    listed[2] = (3, 0, o.updated(listed[2][2], Contents=o.array(o.ref(6))), None)
+    chain = [(k, 0, o.array(o.ref(k + 1)), None) for k in range(6, 18)]
+    assert faults(spark, [*listed, *chain, (18, 0, o.array(o.ref(4), o.ref(50)), None)]) == {("ContentMissing", 3, 50)}
+    assert faults(spark, [*listed, (6, 0, o.array(o.ref(4), o.ref(6)), None)]) == {("ContentTooDeep", 3, 6)}
+
+
 def test_policies(spark):
     js = page(catalog={"Names": o.dictionary(JavaScript=o.dictionary()), "AA": o.dictionary(S=o.name("JavaScript"))})
     embedded = [*page(), (6, 0, o.dictionary(Type=o.name("EmbeddedFile")), b"e"), (7, 0, o.dictionary(Subtype=o.name("FileAttachment")), None)]

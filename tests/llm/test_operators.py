@@ -181,6 +181,16 @@ def test_passages_over_lines_of_short_sentences(spark):
     assert {(r.cluster_doc, r.cluster_paragraph) for r in got.values()} == {(0, 1)}
 
 
+def test_unlike_passages_do_not_chain(spark):
+    """Only what repeats is reported, each run alone; unlike texts with common lines are no cluster."""
+    rng = random.Random(9)
+    a, b, one = prose(rng, 30), prose(rng, 30), prose(rng, 8) + "."
+    own = [prose(rng, 40) for _ in range(6)]
+    docs = [f"{own[0]} {one} {a} {own[1]}", f"{own[2]} {a} {own[3]} {b} {one}", f"{own[4]} {one} {b} {own[5]}"]
+    got = sorted(paragraphs.repeated_passages(table(spark, enumerate(docs))).collect(), key=lambda r: (r.doc_id, r.start))
+    assert [(r.doc_id, docs[r.doc_id][r.start : r.end], r.cluster_doc, r.kept) for r in got] == [(0, a, 0, True), (1, a, 0, False), (1, b, 1, True), (2, b, 1, False)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     star = [(200, k) for k in range(201, 260)]

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,17 +19,51 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in spark.checkpoint.dir; a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one spark.checkpoint.dir names.
 
-    Where the session names no such folder (tests on one machine) a temporary one is set."""
-    sc = df.sparkSession.sparkContext
+    Where the session names none, one of this machine is taken if Spark runs within this process, as in
+    tests; on a cluster that would go wrong, so it is an error there."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="foliant-checkpoints-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and stored in the shared folder; a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Tables:
+    """Intermediate results as tables in the shared folder, compressed and by column; they are deleted at
+    the end of the with block, so nothing that is computed later may read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.parquet(path)
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver collect its garbage, so that shuffle files of steps that were cut off leave the
     executors' disks now and not whenever its heap happens to fill."""

@@ -1,17 +1,17 @@
 """Removal of repeated substrings, found in sorted suffixes.
 
-A byte goes if a string of `length` bytes that covers it starts anywhere else too. Which strings can
-repeat at all is decided first: each window of `length` bytes has a minimizer, the least hash of its
-32-byte grams, and equal windows have equal minimizers. Runs of windows with one minimizer are counted
-by it; a minimizer met once, with no repetition inside its run, proves its windows unique, and runs of
-equal content with nothing else under their minimizer are settled as repeated. What remains is a small
-part of the text: one run of each different content. These are dealt to shards by their minimizer and
-each shard's suffixes are sorted by external induced sorting: suffixes of type L and S are induced from
-the sorted leftmost S suffixes through queues, one for each first byte, which go to disk when they
-outgrow memory; the order of the leftmost S suffixes comes from a first induction, which names their
-substrings, and from the recursion on those names. Neighbouring suffixes with a common prefix of
-`length` mark repeated windows. Runs under a minimizer with very many different contents (a common line
-within different texts) would load one shard; their windows are compared by 128-bit hashes instead.
+A byte goes if a string of `length` bytes that covers it starts anywhere else too. Suffixes are sorted by
+external induced sorting (module induced), in shards: windows of `length` bytes are dealt by their
+minimizer, the least hash of their grams, so that equal windows meet in one shard. Two neighbours among a
+shard's sorted suffixes that have `length` bytes in common mark repeated windows.
+
+What needs no sorting is left out before. A minimizer met once, with no repetition inside its run of
+windows, proves them unique. Runs of windows are counted by their content; one run of each content goes on,
+and none where a minimizer has one content alone, whose runs are copies of each other. Within a shard,
+windows that hold a gram met nowhere else in it are unique, too, and cut out.
+
+A minimizer whose contents would take half a shard (a common line within different texts) is split: the
+windows under it are dealt anew by the minimizers of longer grams, again and again, at last by themselves.
 
 Nulls: a null text counts as empty. Rows are told apart by id and text, so null and repeated ids keep
 their own text; a row that occurs twice is a repetition. Texts are taken whole as UTF-8, matches don't
@@ -20,9 +20,6 @@ cross rows. Other columns are not read; an empty table gives no rows."""
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,11 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import cut, hold, map_batches, pieces_for, release
+from foliant.llm._shared import Tables, cut, hold, map_batches, pieces_for, release
+from foliant.llm.induced import Scratch, sorted_suffixes
 from foliant.llm.minhash import bytes_of, mix
 
 GRAM = 32
-GROUP = 1 << 20
+SAMPLED = 8  # one gram in so many is looked at within a shard
+GROUP = 1 << 18  # bytes hashed at once
+LONG = 4096  # windows in a run; longer runs are cut
 _rng = np.random.default_rng(977)
 TABLES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -71,25 +71,27 @@ def sliding(x: np.ndarray, width: int, low: bool) -> np.ndarray:
     return op(left[: n - width + 1], right[width - 1 : n])
 
 
-def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def runs_of(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, minimizer, whether it occurs more than once in the run) of each run."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     empty = np.zeros(0, np.int64)
+    nothing = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
     if len(data) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
-    w = length - GRAM + 1
-    grams = window_hashes(data, GRAM)
+        return nothing
+    w = length - gram + 1
+    grams = window_hashes(data, gram)
     least = sliding(grams, w, True)
     n = len(least)
     owner = np.repeat(np.arange(len(texts)), sizes)[:n]
     valid = np.arange(n) + length <= ends[owner]
     change = np.ones(n, bool)
-    change[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    if w > 1:
+        change[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(change & valid)
     if not len(starts):
-        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return nothing
     bounds = np.flatnonzero(change | ~valid)
     nxt = np.searchsorted(bounds, starts, "right")
     count = np.where(nxt < len(bounds), bounds[np.minimum(nxt, len(bounds) - 1)], n) - starts
@@ -108,6 +110,11 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
             ok = (r <= hi) & (r < len(starts))
             ok[ok] = value[r[ok]] == grams[p[ok]]
             again[r[ok]] = True
+    parts = -(-count // LONG)
+    if parts.max() > 1:
+        of = np.repeat(np.arange(len(starts)), parts)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, count, value, again = starts[of] + k * LONG, np.minimum(count[of] - k * LONG, LONG), value[of], again[of]
     text = owner[starts]
     return text, starts - (ends - sizes)[text], count, value, again
 
@@ -123,8 +130,11 @@ def grouped(sizes: list[int]) -> Iterator[slice]:
         yield slice(at, len(sizes))
 
 
-def runs(docs: DataFrame, length: int, kind: str, brief: bool) -> DataFrame:
-    """Runs with the hash c of their content; brief: only what is counted."""
+RUN = "m long, c long, a long, b long, start int, n int, again boolean"
+
+
+def runs(docs: DataFrame, length: int) -> DataFrame:
+    """Runs of windows of each text: minimizer m, hash c of the content, row (a, b), n windows from start on."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         hold("runs", lambda: None)
@@ -133,253 +143,176 @@ def runs(docs: DataFrame, length: int, kind: str, brief: bool) -> DataFrame:
         for part in grouped([len(t) for t in texts]):
             own = texts[part]
             text, start, count, value, again = runs_of(own, length)
-            c = np.array([xxhash.xxh3_64_intdigest(own[t][s : s + k + length - 1]) for t, s, k in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)], dtype=np.uint64)
-            out.append((text + part.start, start, count, value, again, c))
+            c = [xxhash.xxh3_64_intdigest(own[t][s : s + k + length - 1]) for t, s, k in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)]
+            out.append((text + part.start, start, count, value, again, np.array(c, dtype=np.uint64)))
         text, start, count, value, again, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        m, c = pa.array(value.view(np.int64)), pa.array(c.view(np.int64))
-        if brief:
-            return pa.RecordBatch.from_arrays([m, c, pa.array(again)], ["m", "c", "again"])
         take = pa.array(text)
-        return pa.RecordBatch.from_arrays([m, c, batch.column("id").take(take), batch.column("h").take(take), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["m", "c", "id", "h", "start", "n"])
-
-    schema = "m long, c long, again boolean" if brief else f"m long, c long, id {kind}, h long, start int, n int"
-    return map_batches(docs, kernel, schema)
-
-
-class DiskQueue:
-    """Positions, first in first out; beyond `room` of them they wait in a file."""
-
-    def __init__(self, folder: str, name: str, room: int):
-        self.path, self.room, self.parts, self.held, self.spilled = os.path.join(folder, name), room, [], 0, False
-
-    def push(self, positions: np.ndarray) -> None:
-        if len(positions):
-            self.parts.append(positions)
-            self.held += len(positions)
-            if self.held > self.room:
-                with open(self.path, "ab") as f:
-                    for p in self.parts:
-                        p.astype(np.int64).tofile(f)
-                self.parts, self.held, self.spilled = [], 0, True
-
-    def take(self) -> list[np.ndarray]:
-        parts = []
-        if self.spilled:
-            data = np.fromfile(self.path, np.int64)
-            parts = [data[i : i + self.room] for i in range(0, len(data), self.room)]
-            os.remove(self.path)
-        parts += self.parts
-        self.parts, self.held, self.spilled = [], 0, False
-        return parts
-
-
-def induce(t: np.ndarray, s_type: np.ndarray, leftmost: np.ndarray, folder: str, room: int) -> np.ndarray:
-    """All suffixes in the order that the given order of leftmost S suffixes induces."""
-    top = int(t.max()) + 1
-    first = t[leftmost]
-    order = np.argsort(first, kind="stable")
-    bounds = np.searchsorted(first[order], np.arange(top + 1))
-    queues = [DiskQueue(folder, f"q{c}", room) for c in range(top)]
-
-    def spread(positions: np.ndarray, want_s: bool) -> None:
-        p = positions[positions > 0] - 1
-        p = p[s_type[p] == want_s]
-        if len(p):
-            c = t[p]
-            o = np.argsort(c, kind="stable")
-            p, c = p[o], c[o]
-            cuts = np.flatnonzero(np.diff(c)) + 1
-            for part in np.split(p, cuts):
-                queues[int(t[part[0]])].push(part)
-
-    large: list[list[np.ndarray]] = []
-    for c in range(top):
-        done: list[np.ndarray] = []
-        while parts := queues[c].take():
-            for p in parts:
-                done.append(p)
-                spread(p, False)
-        large.append(done)
-        spread(leftmost[order[bounds[c] : bounds[c + 1]]], False)
-    out: list[np.ndarray] = []
-    for c in range(top - 1, -1, -1):
-        while parts := queues[c].take():
-            for p in parts:
-                out.append(p)
-                spread(p, True)
-        for p in reversed(large[c]):
-            out.append(p[::-1])
-            spread(p[::-1], True)
-    out.append(np.array([len(t) - 1]))  # the end, least of all, follows no suffix that could induce it
-    return np.concatenate(out)[::-1]
-
-
-def doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names, by doubling the sorted prefix."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: max(n - k, 0)] = rank[k:]
-        order = np.lexsort((second, rank))
-        r, s = rank[order], second[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (s[1:] != s[:-1]))])
-        rank, k = new, 2 * k
-        if rank.max(initial=0) == n - 1 or k >= 2 * n:
-            return np.argsort(rank, kind="stable")
-
-
-def suffix_array(t: np.ndarray, folder: str | None = None, room: int = 1 << 18) -> np.ndarray:
-    """The suffix array of t, small non-negative integers that end with the one least value, by induced sorting."""
-    if len(t) < 3:
-        return np.array(sorted(range(len(t)), key=lambda i: t[i:].tolist()), dtype=np.int64)
-    own = tempfile.mkdtemp(dir=folder, prefix="induced-")
-    try:
-        t = t.astype(np.int64)
-        n = len(t)
-        step = np.sign(np.diff(t))
-        where = np.where(step != 0, np.arange(n - 1), n - 1)
-        nearest = np.minimum.accumulate(where[::-1])[::-1]
-        s_type = np.ones(n, bool)
-        inner = nearest < n - 1
-        s_type[: n - 1] = False
-        s_type[: n - 1][inner] = step[nearest[inner]] > 0
-        leftmost = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-        sorted_once = induce(t, s_type, leftmost, own, room)
-        is_left = np.zeros(n, bool)
-        is_left[leftmost] = True
-        by_substring = sorted_once[is_left[sorted_once]]
-        # names: equal leftmost S substrings, told by length and hash, have equal names
-        size = np.full(n, 1)
-        size[leftmost[:-1]] = np.diff(leftmost) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix((2 * t + s_type + 1).astype(np.uint64)) * powers(n, BASES[0]), out=sums[1:])
-        code = mix((sums[np.minimum(leftmost + size[leftmost], n)] - sums[leftmost]) * powers(n, INVERSE[0])[leftmost])
-        of = np.zeros(n, np.uint64)
-        of[leftmost] = code
-        a, b = by_substring[:-1], by_substring[1:]
-        fresh = (of[a] != of[b]) | (size[a] != size[b])
-        name = np.zeros(n, np.int64)
-        name[by_substring] = np.concatenate([[0], np.cumsum(fresh)])
-        if fresh.all():
-            ranked = by_substring
-        else:
-            ranked = leftmost[doubled(name[leftmost])]
-        return induce(t, s_type, ranked, own, room)
-    finally:
-        shutil.rmtree(own, ignore_errors=True)
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(c.view(np.int64)), batch.column("a").take(take), batch.column("b").take(take), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], ["m", "c", "a", "b", "start", "n", "again"])
 
+    return map_batches(docs, kernel, RUN)
 
-def repeated_windows(pieces: list[bytes], known: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece, whether the window at each of its places is repeated. known: pieces whose content
-    itself occurs twice."""
-    sizes = np.array([len(p) for p in pieces])
-    # bytes count from 1; 0 stands between pieces and ends the text
-    t = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    t += 1
-    t[ends] = 1
-    t = np.concatenate([t, [0]])
-    order = suffix_array(t)
-    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
-    order = order[order < len(owner)]
-    order = order[order + length <= ends[owner[order]]]
-    raw = np.zeros(len(t) + 8 + length, np.uint8)
-    raw[: len(owner)] = (t[:-1] - 1).astype(np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    a, b = order[:-1], order[1:]
-    live = np.arange(len(a))
-    for at in [*range(0, length - 7, 8), length - 8]:
-        if len(live):
-            live = live[(words[a[live] + at] == words[b[live] + at]).all(axis=1)]
-    equal = np.zeros(len(a), bool)
-    equal[live] = True
-    hit = np.zeros(len(order), bool)
-    hit[1:] |= equal
-    hit[:-1] |= equal
-    flags = np.zeros(len(owner) + 1, bool)
-    flags[order[hit]] = True
-    begins = ends - sizes
-    return [np.ones(max(n - length + 1, 0), bool) if k else flags[s : s + max(n - length + 1, 0)] for s, n, k in zip(begins.tolist(), sizes.tolist(), known.tolist(), strict=True)]
-
-
-def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True))
 
+def runs_within(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs of each piece (m, copies, a, b, start, content) by the minimizers of longer grams, with their
+    content and the piece's copies. Windows under another minimizer of the piece stay apart."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = bytes_of(batch.column("content"))
+        out: list[tuple[np.ndarray, ...]] = []
+        contents: list[bytes] = []
+        for part in grouped([len(t) for t in texts]):
+            own = texts[part]
+            text, start, count, value, again = runs_of(own, length, gram)
+            contents += [own[t][s : s + k + length - 1] for t, s, k in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)]
+            out.append((text + part.start, start, count, value, again))
+        text, start, count, value, again = (np.concatenate(x) for x in zip(*out, strict=True))
+        take = pa.array(text)
+        m = mix(batch.column("m").to_numpy().view(np.uint64)[text] * BASES[0] + value)
+        c = np.array([xxhash.xxh3_64_intdigest(x) for x in contents], dtype=np.uint64)
+        at = batch.column("start").to_numpy()[text] + start
+        return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), batch.column("a").take(take), batch.column("b").take(take), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), batch.column("copies").take(take), pa.array(contents, pa.binary())], ["m", "c", "a", "b", "start", "n", "again", "copies", "content"])
 
-def shard_sorter(length: int) -> Callable[[pa.Table], pa.Table]:
+    return map_batches(pieces, kernel, RUN + ", copies long, content binary")
+
+
+def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of each run of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return edges[::2], edges[1::2] - edges[::2]
+
+
+def in_doubt(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each place of the joined pieces, whether a window begins there of which all sampled grams occur
+    elsewhere in them, too."""
+    place = np.arange(len(data))
+    flags = place + length <= ends[owner]
+    if len(data) >= GRAM:
+        h = window_hashes(data, GRAM)
+        spots = np.flatnonzero((h % np.uint64(SAMPLED) == 0) & (place[: len(h)] + GRAM <= ends[owner[: len(h)]]))
+        order = np.argsort(h[spots])
+        v = h[spots][order]
+        edge = np.ones(len(v) + 1, bool)
+        edge[1:-1] = v[1:] != v[:-1]
+        once = spots[order[edge[1:] & edge[:-1]]]
+        # windows over a gram met once; those of the pieces before and after don't reach it
+        ruled = np.bincount(np.maximum(once - (length - GRAM), 0), minlength=len(data)) - np.bincount(once + 1, minlength=len(data) + 1)[: len(data)]
+        flags &= np.cumsum(ruled) == 0
+    return flags
+
+
+def repeated_windows(pieces: list[bytes], length: int, room: int = 1 << 22) -> list[np.ndarray]:
+    """For each piece, whether the window at each of its places is repeated among all pieces. room: suffix
+    tuples held in memory; more go to disk."""
+    sizes = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    first, number = stretches(in_doubt(data, ends, owner, length))
+    flags = np.zeros(len(data), bool)
+    if len(first):
+        # the open stretches, bytes counted from 2, a 1 behind each, and 0 at the end
+        widths = number + length
+        begin = np.cumsum(widths) - widths
+        source = np.repeat(first - begin, widths) + np.arange(int(widths.sum()))
+        t = np.append(data[np.minimum(source, len(data) - 1)].astype(np.uint16) + 2, np.uint16(0))
+        t[begin + widths - 1] = 1
+        hit = np.zeros(len(t), bool)
+        with Scratch(room) as scratch:
+            before = np.zeros(1, np.int64)
+            for position, common in sorted_suffixes(t, 258, scratch, length):
+                both = np.flatnonzero(common >= length)
+                hit[position[both]] = True
+                hit[np.where(both > 0, position[both - 1], before[0])] = True
+                before = position[-1:].copy()
+        inside = np.arange(len(source)) - np.repeat(begin, widths) < np.repeat(number, widths)
+        flags[source[hit[:-1] & inside]] = True
+    return np.split(flags, ends[:-1])
+
+
+def shard_sorter(length: int, room: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        pieces = table.column("content").to_pylist()
+        hold("shards", lambda: None)
         copies, start = table.column("copies").to_numpy(), table.column("start").to_numpy()
-        keep, s, n = [], [], []
-        for i, flags in enumerate(repeated_windows(pieces, copies > 1, length)):
-            if copies[i] == 1:
-                for a, k in stretches(flags):
-                    keep.append(i)
-                    s.append(int(start[i]) + a)
-                    n.append(k)
-        take = pa.array(keep, pa.int64())
-        return pa.table([table.column("id").take(take), table.column("h").take(take), pa.array(s, pa.int32()), pa.array(n, pa.int32())], ["id", "h", "start", "n"])
+        keep, s, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, flags in enumerate(repeated_windows(table.column("content").to_pylist(), length, room)):
+            if copies[i] == 1:  # of copied ones it is known
+                first, number = stretches(flags)
+                keep.append(np.full(len(first), i))
+                s.append(start[i] + first)
+                n.append(number)
+        take = pa.array(np.concatenate(keep))
+        return pa.table([table.column("a").take(take), table.column("b").take(take), pa.array(np.concatenate(s).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32))], ["a", "b", "start", "n"])
 
     return run
 
 
-def spans(docs: DataFrame, length: int, kind: str, hot: int, shard_bytes: int) -> DataFrame:
-    """(id, h, spans): n windows from byte start on are repeated, for each of spans. docs: id, h, text."""
-    counts = runs(docs, length, kind, True).groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("again").alias("again"))
-    counts = counts.where("k > 1 or again").select("m", "k", (F.col("c1") != F.col("c2")).alias("contested"))
-    hits = cut(runs(docs, length, kind, False).join(counts, "m"))
-    release(docs.sparkSession)
-    settled = hits.where("not contested and k > 1").select("id", "h", "start", "n")
-    open_ = hits.where("contested or k = 1")
-    contents = cut(open_.groupBy("m", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "h", "start", "n")).alias("x")))
-    copied = open_.join(contents.where("copies > 1").select("m", "c"), ["m", "c"], "left_semi").select("id", "h", "start", "n")
-    variety = contents.groupBy("m").agg(F.count(F.lit(1)).alias("contents"))
-    chosen = contents.join(variety, "m").select("m", "copies", "contents", "x.*")
-    wanted = chosen.groupBy("id", "h").agg(F.collect_list(F.struct("m", "copies", "contents", "start", "n")).alias("parts"))
-
-    def slices(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, m, copies, contents, start, content = [], [], [], [], [], []
+def slices(fetched: DataFrame, length: int) -> DataFrame:
+    """(m, copies, crowded, a, b, start, content) of the wanted parts of each text."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, m, copies, crowded, start, content = [], [], [], [], [], []
         for r, (text, parts) in enumerate(zip(bytes_of(batch.column("text")), batch.column("parts").to_pylist(), strict=True)):
             for p in parts:
                 rows.append(r)
                 m.append(p["m"])
                 copies.append(p["copies"])
-                contents.append(p["contents"])
+                crowded.append(p["crowded"])
                 start.append(p["start"])
                 content.append(text[p["start"] : p["start"] + p["n"] + length - 1])
         take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), pa.array(m, pa.int64()), pa.array(copies, pa.int64()), pa.array(contents, pa.int64()), pa.array(start, pa.int32()), pa.array(content, pa.binary())], ["id", "h", "m", "copies", "contents", "start", "content"])
-
-    same = (F.col("d.id").eqNullSafe(F.col("w.id"))) & (F.col("d.h") == F.col("w.h"))
-    fetched = docs.dropDuplicates(["id", "h"]).alias("d").join(wanted.alias("w"), same).select("d.id", "d.h", "d.text", "w.parts")
-    pieces = cut(map_batches(fetched, slices, f"id {kind}, h long, m long, copies long, contents long, start int, content binary"))
-    release(docs.sparkSession)
-    usual = pieces.where(F.col("contents") <= hot)
-    total = usual.agg(F.sum(F.octet_length("content"))).head()[0] or 0
-    shards = pieces_for(total, shard_bytes)
-    sorted_ = usual.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInArrow(shard_sorter(length), f"id {kind}, h long, start int, n int")
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, place, a, b = [], [], [], []
-        for r, (content, start) in enumerate(zip(batch.column("content").to_pylist(), batch.column("start").to_pylist(), strict=True)):
-            data = np.frombuffer(content, np.uint8)
-            k = len(data) - length + 1
-            rows.append(np.full(k, r))
-            place.append(start + np.arange(k))
-            a.append(window_hashes(data, length, 0))
-            b.append(window_hashes(data, length, 1))
-        take = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), batch.column("copies").take(take), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["id", "h", "copies", "start", "a", "b"])
-
-    crowd = map_batches(pieces.where(F.col("contents") > hot).select("id", "h", "copies", "start", "content"), windows, f"id {kind}, h long, copies long, start int, a long, b long")
-    twice = crowd.groupBy("a", "b").agg(F.sum("copies").alias("k")).where("k > 1").select("a", "b")
-    hashed = crowd.where("copies = 1").join(twice, ["a", "b"], "left_semi").select("id", "h", "start", F.lit(1).alias("n"))
-    found = cut(settled.unionByName(copied).unionByName(sorted_).unionByName(hashed).groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    del counts, hits, settled, open_, contents, copied, variety, chosen, wanted, fetched, pieces, usual, sorted_, crowd, twice, hashed
-    release(docs.sparkSession)
-    return found
+        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(copies, pa.int64()), pa.array(crowded, pa.bool_()), batch.column("a").take(take), batch.column("b").take(take), pa.array(start, pa.int32()), pa.array(content, pa.binary())], ["m", "copies", "crowded", "a", "b", "start", "content"])
+
+    return map_batches(fetched, kernel, "m long, copies long, crowded boolean, a long, b long, start int, content binary")
+
+
+def grams(length: int) -> list[int]:
+    """Sizes of grams, each level's closer to the window; those of the last are the windows."""
+    out, gram = [], min(GRAM, length)
+    while gram < length:
+        out.append(gram)
+        gram = length - (length - gram) // 3
+        if length - gram < 4:
+            break
+    return [*out, length]
+
+
+def spans(docs: DataFrame, length: int, shard_bytes: int, room: int, keep: Tables) -> DataFrame:
+    """(a, b, spans): n windows from byte start on are repeated, for each of spans. docs: a, b, text."""
+    span = ["a", "b", "start", "n"]
+    found: list[DataFrame] = []
+    source = runs(docs, length).withColumn("copies", F.lit(1).cast("long"))
+    for level, gram in enumerate(grams(length)):
+        content = ["content"] if level else []
+        every = keep(source)
+        counts = every.groupBy("m").agg(F.sum("copies").alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("again").alias("again")).where("k > 1 or again")
+        counts = counts.select("m", (F.col("c1") == F.col("c2")).alias("alone"), "k")
+        hits = keep(every.drop("again").join(counts, "m"))
+        found.append(hits.where("alone and k > 1").select(span))
+        open_ = hits.where("not (alone and k > 1)")
+        # a minimizer's contents, each with a row that holds it
+        contents = keep(open_.groupBy("m", "c").agg(F.sum("copies").alias("copies"), F.min(F.struct(*span, *content)).alias("x")))
+        found.append(open_.join(contents.where("copies > 1").select("m", "c"), ["m", "c"], "left_semi").select(span))
+        sizes = contents.groupBy("m").agg(F.sum(F.col("x.n").cast("long") + (length - 1)).alias("bytes"))
+        chosen = contents.join(sizes.where(F.col("bytes") > shard_bytes // 2), "m", "left").withColumn("crowded", F.col("bytes").isNotNull())
+        if level:
+            pieces = chosen.select("m", "copies", "crowded", "x.a", "x.b", "x.start", "x.content")
+        else:
+            wanted = chosen.groupBy("x.a", "x.b").agg(F.collect_list(F.struct("m", "copies", "crowded", "x.start", "x.n")).alias("parts"))
+            pieces = slices(docs.join(wanted, ["a", "b"]).dropDuplicates(["a", "b"]), length)
+        pieces = keep(pieces)
+        usual = pieces.where("not crowded")
+        total = usual.agg(F.sum(F.octet_length("content"))).head()[0] or 0
+        if total:
+            shard = F.pmod(F.xxhash64("m"), F.lit(pieces_for(total, shard_bytes)))
+            found.append(keep(usual.withColumn("shard", shard).groupBy("shard").applyInArrow(shard_sorter(length, room), "a long, b long, start int, n int")))
+        crowd = pieces.where("crowded")
+        if gram == length or crowd.isEmpty():
+            break
+        source = runs_within(crowd, length, grams(length)[level + 1])
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return cut(out.groupBy("a", "b").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
 
 
 def removed(starts: list[dict[str, int]] | None, length: int) -> list[tuple[int, int]]:
@@ -393,13 +326,15 @@ def removed(starts: list[dict[str, int]] | None, length: int) -> list[tuple[int,
     return out
 
 
-def located(docs: DataFrame, length: int, id_col: str, text_col: str, hot: int, shard_bytes: int) -> DataFrame:
-    """(row, spans): docs' columns as one struct, so that their names can't clash with others."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    found = spans(rows.select("id", "h", "text"), length, kind, hot, shard_bytes).toDF("found_id", "found_h", "spans")
-    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("h") == F.col("found_h"))
-    return rows.select("row", "id", "h").join(found, same, "left").select("row", "spans")
+def located(docs: DataFrame, length: int, id_col: str, text_col: str, shard_bytes: int, room: int) -> DataFrame:
+    """(row, spans): docs' columns as one struct, so that their names can't clash with others. Two hashes of
+    id and text tell rows apart."""
+    text, none = F.coalesce(text_col, F.lit("")), F.col(id_col).isNull()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), none, text).alias("a"), F.xxhash64(text, F.lit(1), F.col(id_col), none).alias("b"), F.col(text_col).alias("text"))
+    with Tables(docs.sparkSession) as keep:
+        found = spans(rows.select("a", "b", "text"), length, shard_bytes, room, keep)
+    release(docs.sparkSession)
+    return rows.select("row", "a", "b").join(found, ["a", "b"], "left").select("row", "spans")
 
 
 def fields(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -407,10 +342,10 @@ def fields(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     return dict(zip([f.name for f in row.type], row.flatten(), strict=True))
 
 
-def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 256, shard_bytes: int = 1 << 20) -> DataFrame:
+def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, room: int = 1 << 22) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = located(docs.select(id_col, text_col), length, id_col, text_col, hot, shard_bytes)
+    rows = located(docs.select(id_col, text_col), length, id_col, text_col, shard_bytes, room)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, gone, count, sha = [], [], [], []
@@ -431,9 +366,9 @@ def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
     return map_batches(rows, kernel, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup_texts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 256, shard_bytes: int = 1 << 20) -> DataFrame:
+def dedup_texts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, room: int = 1 << 22) -> DataFrame:
     """docs with the repeated bytes of their texts removed; code points of which a part would be left go whole."""
-    rows = located(docs, length, id_col, text_col, hot, shard_bytes)
+    rows = located(docs, length, id_col, text_col, shard_bytes, room)
     names = docs.columns
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from foliant.llm import bpe, html_text, licenses, packing, suffixes, toxicity
+from foliant.llm import bpe, html_text, induced, licenses, packing, suffixes, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -89,11 +89,44 @@ def test_bound_never_exceeds_the_optimum():
         assert packing.lower_bound(np.array(items), 12) <= optimum(items)
 
 
-def test_suffix_arrays_and_repeated_windows(monkeypatch):
+def ordered(t, symbols, room, most):
+    """Suffixes in ascending order, and what each has in common with the one before."""
+    with induced.Scratch(room) as scratch:
+        parts = [(p.copy(), c.copy()) for p, c in induced.sorted_suffixes(t, symbols, scratch, most)]
+        files = scratch.count
+    position, common = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return position[::-1].tolist(), [0, *common[1:][::-1].tolist()], files
+
+
+def test_suffixes_and_common_prefixes_in_any_memory():
+    rng = random.Random(11)
+    for case in range(250):
+        n, symbols = rng.randint(0, 60), rng.choice([2, 3, 5, 40])
+        t = [rng.randint(1, symbols - 1) for _ in range(n)]
+        if case % 3 == 0 and n:
+            t = (t[: rng.randint(1, 6)] * 40)[:n]
+        t = np.array([*t, 0])
+        order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        for room, most in ((1 << 20, 200), (7, 200), (16, 5)):
+            position, common, _ = ordered(t, symbols, room, most)
+            assert position == order
+            for a, b, c in zip(order[:-1], order[1:], common[1:], strict=True):
+                x, y = [*t[a:].tolist(), -1], [*t[b:].tolist(), -2]
+                assert c == min(most, next(k for k in range(len(t) + 1) if x[k] != y[k]))
+
+
+def test_queues_go_to_disk():
+    """A string of forty times the room in memory, with long repetitions."""
+    rng = np.random.default_rng(13)
+    once = rng.integers(1, 30, 20_000)
+    t = np.concatenate([once, once, [0]])
+    held, spilled = ordered(t, 31, 1 << 20, 200), ordered(t, 31, 1000, 200)
+    assert held[:2] == spilled[:2] and held[2] == 0 and spilled[2] > 40
+    assert sum(c >= 200 for c in held[1]) == 20_000 - 199
+
+
+def test_repeated_windows(monkeypatch):
     rng = random.Random(11)
-    for _ in range(150):
-        t = np.array([rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 40))] + [0])
-        assert suffixes.suffix_array(t, room=rng.choice([2, 1000])).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
     monkeypatch.setattr(suffixes, "GRAM", 8)
     for _ in range(80):
         words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(4)]
@@ -105,8 +138,8 @@ def test_suffix_arrays_and_repeated_windows(monkeypatch):
             held = [texts[t][s + i : s + i + 40] for i in range(c)]
             assert a or len(set(held)) == len(held)
         every = Counter(t[s : s + 40] for t in texts for s in range(len(t) - 39))
-        for t, flags in zip(texts, suffixes.repeated_windows(texts, np.zeros(len(texts), bool), 40), strict=True):
-            assert flags.tolist() == [every[t[s : s + 40]] > 1 for s in range(max(0, len(t) - 39))]
+        for t, flags in zip(texts, suffixes.repeated_windows(texts, 40, rng.choice([50, 1 << 20])), strict=True):
+            assert flags[: max(0, len(t) - 39)].tolist() == [every[t[s : s + 40]] > 1 for s in range(max(0, len(t) - 39))]
 
 
 def test_marginals_equal_enumeration():

@@ -101,7 +101,7 @@ def test_suffix_dedup_equals_brute_force(spark):
     docs = [prose(rng, 20) + common[: rng.randint(150, 400)] + prose(rng, 20) for _ in range(30)] + [common, common, "é" * 300, "", "ab" * 400]
     raw = [d.encode() for d in docs]
     every = Counter(b[s : s + 200] for b in raw for s in range(len(b) - 199))
-    got = {r.doc_id: r for r in suffixes.dedup_digests(table(spark, enumerate(docs)), hot=8, shard_bytes=4000).collect()}
+    got = {r.doc_id: r for r in suffixes.dedup_digests(table(spark, enumerate(docs)), shard_bytes=4000, room=2000).collect()}
     for i, b in enumerate(raw):
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - 199):

@@ -1,14 +1,16 @@
 """Repeated passages: MinHash banding of paragraphs, exact verification, clusters by components.
 
-Paragraphs (lines of at least `min_words` words) of one set of five-word shingles form a class. Bands
-of three of 24 MinHash values, eight of them, bring together 99.7 % of pairs with a Jaccard similarity
-of 0.8; in each band's list, cut into blocks, pairs whose signatures agree enough make forests of few
-edges, and each resulting family is confirmed on full shingle sets, again in blocks. The components of
-confirmed links are clusters; the first paragraph of each, by document and place, is kept.
-
-Passages that begin, end or break lines anywhere are found as runs of at least `min_words` words, of the
-whole text, that stand word for word elsewhere too. Each is reported up to its ends under its first place,
-which is kept; runs unlike each other are never joined.
+Paragraphs (lines of at least `min_words` words; 1 takes every line) of one set of five-word shingles form a
+class. Bands of three of 24 MinHash values, eight of them, bring together 99.7 % of pairs with a Jaccard
+similarity of 0.8; what collides in a band is joined by counted collisions, and each resulting family is
+confirmed on full shingle sets. The components of confirmed links are clusters; the first paragraph of each,
+by document and place, is kept.
+
+Passages that begin, end or break lines anywhere are cut out by their content: of any 39 neighbouring runs of
+12 words the one of the least hash is an anchor, so that equal passages of 50 words have an anchor alike.
+Anchors that repeat, and what lies between them, are followed from each place to the first place they stand
+at, and extended word by word to the ends of what both have in common. Passages of at least `min_run` words
+are reported under their first place, which is kept; passages unlike each other are never joined.
 
 Nulls: a null text counts as empty. Rows are told apart by id and text, null ids are kept. Rows that
 are equal count as one. Texts are read whole. Other columns are not read; an empty table gives no rows."""
@@ -21,36 +23,64 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm._shared import components, cut, map_batches, release, texts_of
-from foliant.llm.minhash import A, B, M, candidates, in_blocks, links, mix, shingles, word_hashes
+from foliant.llm._shared import Tables, cut, map_batches, texts_of
+from foliant.llm.minhash import A, B, M, confirmed, families, mix, shingles, shingles_of, word_hashes
 
 BANDS, ROWS = 8, 3
 MATCHES = 11  # of 24; a pair at 0.8 has fewer with a chance of one in 20,000
 WORD = re.compile(rb"\S+")
 
 
-def paragraphs_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """(number, start, end, words) of lines with at least min_words words."""
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        n = len(line.split())
-        if n >= min_words:
-            yield number, at, at + len(line), n
-        at += len(line) + 1
+ANCHOR, AMONG = 12, 39  # words of an anchor, and runs among which it is chosen
+PARAGRAPH = pa.struct([("number", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("n_shingles", pa.int64()), ("c", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())])
+FOUND = pa.struct([("s", pa.int64()), ("u", pa.int64()), ("at", pa.int32()), ("next", pa.int32())])
+B64, B64_INVERSE = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+def lists_of(counts: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
 
+def anchors_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash of the words from the anchor to the end of the next one, place, the next one's) of each anchor."""
+    h = run_hashes(w, ANCHOR)
+    at = chosen(h, AMONG)
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(mix(w) * powers(len(w), B64), out=sums[1:])
+    following = np.append(at[1:], at[-1:])
+    return h[at], mix((sums[following + ANCHOR] - sums[at]) * powers(len(w), B64_INVERSE)[at]), at, following
+
+
+def read(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """(id, h, paragraphs, anchors) of each text."""
 
-def sketched(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, where, sets = [], [], []
-        for r, text in enumerate(texts_of(batch.column("text"))):
-            for number, start, end, words in paragraphs_of(text, min_words):
-                rows.append(r)
-                where.append((number, start, end, words))
-                sets.append(shingles(text[start:end].encode(), 5))
+        where, sets, held, found, anchored = [], [], [], [], []
+        for text in texts_of(batch.column("text")):
+            lines = text.split("\n")
+            words = [x.encode().lower().split() for x in lines]
+            w = word_hashes([x for line in words for x in line])
+            at = k = n = 0
+            for number, (line, own) in enumerate(zip(lines, words, strict=True)):
+                if len(own) >= max(1, min_words):
+                    where.append((number, at, at + len(line), len(own)))
+                    sets.append(shingles_of(w[k : k + len(own)], 5))
+                    n += 1
+                at += len(line) + 1
+                k += len(own)
+            held.append(n)
+            found.append(anchors_of(w))
+            anchored.append(len(found[-1][0]))
         n = len(sets)
         least = np.zeros((n, BANDS * ROWS), np.uint64)
         counts = np.array([len(s) for s in sets], dtype=np.int64)
@@ -62,11 +92,13 @@ def sketched(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
         for k in range(ROWS):
             band = mix(band + least[:, k::ROWS])
         sketch = (mix(least) & np.uint64(255)).astype(np.uint8)
-        number, start, end, words = (list(x) for x in zip(*where, strict=True)) if where else ([], [], [], [])
-        take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(counts), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([x.tobytes() for x in band.astype(np.uint32)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "h", "number", "start", "end", "words", "n_shingles", "c", "bands", "signature"])
+        number, start, end, size = (list(x) for x in zip(*where, strict=True)) if where else ([], [], [], [])
+        columns = [pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(size, pa.int32()), pa.array(counts), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([x.tobytes() for x in band.astype(np.uint32)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())]
+        s, u, at, following = (np.concatenate(x) for x in zip(*found, strict=True))
+        anchors = pa.StructArray.from_arrays([pa.array(s.view(np.int64)), pa.array(u.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(following.astype(np.int32))], fields=list(FOUND))
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(held, pa.StructArray.from_arrays(columns, fields=list(PARAGRAPH))), lists_of(anchored, anchors)], ["id", "h", "paragraphs", "anchors"])
 
-    return map_batches(docs, kernel, f"id {kind}, h long, number int, start int, end int, words int, n_shingles long, c binary, bands binary, signature binary")
+    return map_batches(docs, kernel, f"id {kind}, h long, paragraphs array<struct<number:int,start:int,end:int,words:int,n_shingles:long,c:binary,bands:binary,signature:binary>>, anchors array<struct<s:long,u:long,at:int,next:int>>")
 
 
 def run_hashes(w: np.ndarray, size: int) -> np.ndarray:
@@ -93,95 +125,96 @@ def chosen(h: np.ndarray, among: int) -> np.ndarray:
     return np.unique(np.arange(among - 1, len(h)) - least)
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Rows (id, h, s, at) whose s stands at another place too, with the first such place."""
-    place, every = F.struct("id", "h", "at"), Window.partitionBy("s")
-    rows = rows.select("id", "h", "at", F.min(place).over(every).alias("first"), F.max(place).over(every).alias("last"))
-    return rows.where("first.at <> last.at or first.h <> last.h or not (first.id <=> last.id)").drop("last")
-
-
-def repeated_runs(source: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """(id, h, number, start, end, words, first_id, first_h, first_number, alone): each maximal run of min_words
-    words or more, over any lines, that stands word for word at its first place, or stands there itself and
-    elsewhere too. alone: the run and its first place each lie within one line.
-
-    Half as long runs are chosen by their hashes, so that each run of min_words words holds one chosen alike
-    wherever it stands; around those that repeat all runs of min_words words are compared."""
-    half = (min_words + 1) // 2
-    among = min_words - half + 1
-
-    def hashes(text: str) -> np.ndarray:
-        return word_hashes(text.encode().lower().split())
-
-    def rows_of(batch: pa.RecordBatch, s: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
-        take = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
-        return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), pa.array(np.concatenate(s).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))], ["id", "h", "s", "at"])
-
-    def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = [run_hashes(hashes(t), half) for t in texts_of(batch.column("text"))]
-        at = [chosen(x, among) for x in s]
-        return rows_of(batch, [x[y] for x, y in zip(s, at, strict=True)], at)
-
-    def around(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = [run_hashes(hashes(t), min_words) for t in texts_of(batch.column("text"))]
-        at = []
-        for x, held in zip(s, batch.column("held").to_pylist(), strict=True):
-            near = np.unique(np.array(held, np.int64)[:, None] - np.arange(among))
-            at.append(near[(near >= 0) & (near < len(x))])
-        return rows_of(batch, [x[y] for x, y in zip(s, at, strict=True)], at)
-
-    def islands(batch: pa.RecordBatch) -> pa.RecordBatch:
-        take, begin, size = [], [], []
-        for r, ats in enumerate(batch.column("ats").to_pylist()):
-            ats = np.unique(np.array(ats, np.int64))
-            for part in np.split(ats, np.flatnonzero(np.diff(ats) > 1) + 1):
-                take.append(r)
-                begin.append(int(part[0]))
-                size.append(int(part[-1] - part[0]) + min_words)
-        pick = pa.array(take, pa.int64())
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in ("id", "h", "first_id", "first_h", "shift")), pa.array(begin, pa.int32()), pa.array(size, pa.int32())], ["id", "h", "first_id", "first_h", "shift", "begin", "words"])
-
-    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = []
-        for text, wanted in zip(texts_of(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-            raw = text.encode()
-            words = [m.span() for m in WORD.finditer(raw)]
-            found = []
-            for x in wanted:
-                a, b = words[x["begin"]][0], words[x["begin"] + x["words"] - 1][1]
-                start, number = len(raw[:a].decode()), raw.count(b"\n", 0, a)
-                found.append({**x, "number": number, "start": start, "end": start + len(raw[a:b].decode()), "alone": b"\n" not in raw[a:b]})
-            spans.append(found)
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("words", pa.int32()), ("number", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("alone", pa.bool_())])))], ["id", "h", "spans"])
-
-    def with_text(df: DataFrame) -> DataFrame:
-        texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
-        return df.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).drop("__id", "__h")
-
-    spark = source.sparkSession
-    schema = f"id {kind}, h long, s long, at int"
-    held = cut(repeated(map_batches(source, anchors, schema)).groupBy("id", "h").agg(F.collect_set("at").alias("held")))
-    release(spark)
-    same = repeated(map_batches(with_text(held), around, schema)).select("id", "h", "at", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), (F.col("first.at") - F.col("at")).alias("shift"))
-    same = same.groupBy("id", "h", "first_id", "first_h", "shift").agg(F.collect_set("at").alias("ats"))
-    runs = cut(map_batches(same, islands, f"id {kind}, h long, first_id {kind}, first_h long, shift int, begin int, words int"))
-    release(spark)
-    both = runs.select("id", "h", "begin", "words").unionByName(runs.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"), (F.col("begin") + F.col("shift")).alias("begin"), "words"))
-    wanted = both.groupBy("id", "h").agg(F.collect_set(F.struct("begin", "words")).alias("wanted"))
-    spans = map_batches(with_text(wanted), placed, f"id {kind}, h long, spans array<struct<begin:int,words:int,number:int,start:int,end:int,alone:boolean>>")
-    spans = cut(spans.select("id", "h", F.explode("spans").alias("x")).select("id", "h", "x.*").dropDuplicates(["id", "h", "begin", "words"]))
-    release(spark)
-    theirs = spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("begin").alias("__begin"), F.col("words").alias("__words"), F.col("number").alias("first_number"), F.col("alone").alias("__alone"))
-    there = F.col("first_id").eqNullSafe(F.col("__id")) & (F.col("first_h") == F.col("__h")) & (F.col("begin") + F.col("shift") == F.col("__begin")) & (F.col("words") == F.col("__words"))
-    own = spans.withColumnsRenamed({"id": "o_id", "h": "o_h", "begin": "o_begin", "words": "o_words"})
-    here = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("h") == F.col("o_h")) & (F.col("begin") == F.col("o_begin")) & (F.col("words") == F.col("o_words"))
-    out = runs.join(own, here).join(theirs, there)
-    itself = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("shift") == 0)
-    return cut(out.select("id", "h", "number", "start", "end", "words", "first_id", "first_h", "first_number", itself.alias("itself"), (F.col("alone") & F.col("__alone")).alias("alone")))
+def reach(text: str, places: list[dict]) -> list[dict]:
+    """For runs from the anchor at p to the one at q: hashes of the words before (nearest first) and behind, and
+    starts, ends and lines of those words and of the run's own ends, as far as AMONG words."""
+    raw = text.encode()
+    w = word_hashes(raw.lower().split())
+    spans = np.array([m.span() for m in WORD.finditer(raw)], np.int64).reshape(-1, 2)
+    b = np.frombuffer(raw, np.uint8)
+    chars, line = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)]), np.concatenate([[0], np.cumsum(b == 10)])
+    start, end, line = chars[spans[:, 0]], chars[spans[:, 1]], line[spans[:, 0]]
+    out = []
+    for x in places:
+        p, q = x["p"], x["q"] + ANCHOR
+        lead, trail = slice(max(0, p - AMONG), p + 1), slice(q - 1, q + AMONG)
+        pack = lambda v: v.astype(np.int32).tobytes()
+        out.append({**x, "before": w[max(0, p - AMONG) : p][::-1].tobytes(), "behind": w[q : q + AMONG].tobytes(), "start": pack(start[lead][::-1]), "first": pack(line[lead][::-1]), "end": pack(end[trail]), "last": pack(line[trail])})
+    return out
+
+
+def agreeing(a: bytes, b: bytes) -> int:
+    """How many of the first numbers are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:n] != y[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int, keep: Tables) -> DataFrame:
+    """(id, h, number, start, end, words, first_id, first_h, first_number, itself, alone): each maximal run of
+    min_run words or more, over any lines, that stands word for word at its first place, or stands there itself
+    and elsewhere too. alone: the run and its first place each lie within one line. anchors: id, h, s, u, at, next."""
+    at = F.struct("id", "h", "at", "u")
+    firsts = anchors.groupBy("s").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = anchors.join(firsts, "s").where("not (id <=> first.id and h = first.h and at = first.at)")
+    met = met.select("id", "h", "at", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), (F.col("first.at") - F.col("at")).alias("shift"), F.when(F.col("u") == F.col("first.u"), F.col("next")).alias("goes_on"))
+    own = Window.partitionBy("id", "h", "first_id", "first_h", "shift").orderBy("at")  # anchors of one document
+    chain = met.withColumn("begins", F.coalesce(F.lag("goes_on").over(own) != F.col("at"), F.lit(True)).cast("int")).withColumn("run", F.sum("begins").over(own))
+    key = ["id", "h", "first_id", "first_h", "shift"]
+    runs = keep(chain.groupBy(*key, "run").agg(F.min("at").alias("p"), F.max("at").alias("q")).drop("run"))
+    theirs = runs.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"), (F.col("p") + F.col("shift")).alias("p"), (F.col("q") + F.col("shift")).alias("q"))
+    wanted = runs.select("id", "h", "p", "q").unionByName(theirs).groupBy("id", "h").agg(F.collect_set(F.struct("p", "q")).alias("places"))
+    fields = [("p", "int"), ("q", "int"), *((n, "binary") for n in ("before", "behind", "start", "first", "end", "last"))]
+    reached = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.binary()) for n, t in fields]))
+
+    def reaching(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [reach(t, x) for t, x in zip(texts_of(batch.column("text")), batch.column("places").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(out, reached)], ["id", "h", "reached"])
+
+    texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
+    here = wanted.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).dropDuplicates(["id", "h"])
+    ends = map_batches(here.select("id", "h", "text", "places"), reaching, f"id {kind}, h long, reached array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>")
+    ends = keep(ends.select("id", "h", F.explode("reached").alias("x")).select("id", "h", "x.p", "x.q", F.struct("x.before", "x.behind", "x.start", "x.first", "x.end", "x.last").alias("x")))
+    a, b = ends.toDF("a_id", "a_h", "a_p", "a_q", "a"), ends.toDF("b_id", "b_h", "b_p", "b_q", "b")
+    pairs = runs.join(a, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")) & (F.col("p") == F.col("a_p")) & (F.col("q") == F.col("a_q")))
+    pairs = pairs.join(b, F.col("first_id").eqNullSafe(F.col("b_id")) & (F.col("first_h") == F.col("b_h")) & (F.col("p") + F.col("shift") == F.col("b_p")) & (F.col("q") + F.col("shift") == F.col("b_q")))
+
+    def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, columns = [], [[] for _ in range(10)]
+        for r, (p, q, x, y) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            before, behind = agreeing(x["before"], y["before"]), agreeing(x["behind"], y["behind"])
+            words = q + ANCHOR + behind - p + before
+            if words >= min_run:
+                rows.append(r)
+                value = lambda z, n, k: int(np.frombuffer(z[n], np.int32)[k])
+                for c, v in zip(columns, [p - before, words, *(value(z, n, k) for z in (x, y) for n, k in (("start", before), ("end", behind), ("first", before), ("last", behind)))], strict=True):
+                    c.append(v)
+        take = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in key), *(pa.array(c, pa.int32()) for c in columns)], [*key, *placed])
+
+    placed = ["begin", "words", "start", "end", "line", "last_line", "first_start", "first_end", "first_line", "first_last_line"]
+    schema = f"id {kind}, h long, first_id {kind}, first_h long, shift int, " + ", ".join(f"{c} int" for c in placed)
+    long_ = keep(map_batches(pairs.select(*key, "p", "q", "a", "b"), extended, schema))
+
+    def merged(rows: DataFrame, of: list[str], line: list[Column]) -> DataFrame:
+        """Of runs of one kind in a document that overlap, one."""
+        order = Window.partitionBy(*of).orderBy("start", F.col("end").desc())
+        past = order.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("opens", F.coalesce(F.col("start") > F.max("end").over(past), F.lit(True)).cast("int")).withColumn("span", F.sum("opens").over(order))
+        far = F.struct("begin_end", "end", "last_line", "first_last_line")
+        rows = rows.withColumn("begin_end", F.col("begin") + F.col("words"))
+        rows = rows.groupBy(*of, "span").agg(F.min(F.struct("begin", "start", "line", "first_line")).alias("x"), F.max(far).alias("y"))
+        return rows.select(*line, F.col("x.line").alias("number"), "x.start", "y.end", (F.col("y.begin_end") - F.col("x.begin")).alias("words"), F.col("x.first_line").alias("first_number"), ((F.col("x.line") == F.col("y.last_line")) & (F.col("x.first_line") == F.col("y.first_last_line"))).alias("alone"))
+
+    copies = merged(long_, key, [F.col(c) for c in key[:4]]).withColumn("itself", F.lit(False))
+    heads = long_.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"), (F.col("begin") + F.col("shift")).alias("begin"), "words", F.col("first_start").alias("start"), F.col("first_end").alias("end"), F.col("first_line").alias("line"), F.col("first_last_line").alias("last_line"), "first_line", "first_last_line").distinct()
+    heads = merged(heads, ["id", "h"], [F.col("id"), F.col("h"), F.col("id").alias("first_id"), F.col("h").alias("first_h")]).withColumn("itself", F.lit(True))
+    return keep(copies.unionByName(heads))
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
-    columns = ["id", "component", "total", "n_shingles", "signature"]
+    columns = ["component", "c", "total", "n_shingles", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,47 +222,52 @@ def with_sets(rows: DataFrame) -> DataFrame:
             sets = [shingles(t[a:b].encode(), 5).tobytes() for t, a, b in zip(texts, batch.column("start").to_pylist(), batch.column("end").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "shingles"])
 
-    return rows.select(*columns, "text", "start", "end").mapInArrow(run, "id binary, component binary, total long, n_shingles long, signature binary, shingles binary")
+    return rows.select(*columns, "text", "start", "end").mapInArrow(run, "component long, c long, total long, n_shingles long, signature binary, shingles binary")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, kept) of each paragraph, or part
-    of one, that stands elsewhere too; start and end count characters of the text."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    found = cut(sketched(source, kind, min_words).dropDuplicates(["id", "h", "number"]))
-    place = F.struct("id", "h", "number", "start", "end")
-    classes = cut(found.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+def clustered(source: DataFrame, found: DataFrame, percent: int, keep: Tables) -> DataFrame:
+    """(id, h, number, start, end, n_words, first_id, first_h, first_number) of paragraphs that have a copy or a
+    near copy. found: a row for each paragraph of each different row."""
+    classes = found.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "h", "number", "start", "end")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = keep(classes.withColumnRenamed("c", "set_hash").withColumn("c", F.monotonically_increasing_id()))  # of the stored table, so that it stays
     posts = classes.select("c", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(bands, 4 * i + 1, 4))")).alias("k", "v")).select("c", F.xxhash64("k", "v").alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
     members = classes.select("c", "n_shingles", "signature")
-    lists = cut(posts.join(shared, "key").join(members, "c").withColumnRenamed("c", "id"))
-    edges = in_blocks(lists, ["key"], "id", "total").groupBy("key", "__pair").applyInArrow(candidates(percent / 100, MATCHES), "a binary, b binary")
-    families = cut(components(cut(edges)))
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
-    family = families.join(sizes, "component").join(classes.select(F.col("c").alias("id"), "n_shingles", "signature", "at.start", "at.end", F.col("at.id").alias("doc"), F.col("at.h").alias("doc_h")), "id")
-    unique = source.dropDuplicates(["id", "h"]).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
-    texts = family.join(unique, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("doc_h") == F.col("__h")))
-    full = cut(with_sets(texts))
-    release(docs.sparkSession)
-    linked = in_blocks(full, ["component"], "id", "total").groupBy("component", "__pair").applyInArrow(links(percent, MATCHES), "a binary, b binary")
-    clusters = components(cut(linked)).toDF("c", "cluster")
-    whole = classes.select("c", "copies").join(clusters, "c", "left").where("copies > 1 or cluster is not null").select("c", F.coalesce("cluster", "c").alias("cluster"))
-    rows = cut(found.select("id", "h", "number", "start", "end", "words", "c").join(whole, "c"))
+    joined = families(posts.join(shared, "key").join(members, "c"), percent / 100, MATCHES, keep)
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
+    family = joined.withColumnRenamed("id", "c").join(sizes, "component").join(classes.select("c", "n_shingles", "signature", "at.start", "at.end", F.col("at.id").alias("doc"), F.col("at.h").alias("doc_h")), "c")
+    texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
+    texts = family.join(texts, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("doc_h") == F.col("__h"))).dropDuplicates(["c"])
+    clusters = keep(confirmed(keep(with_sets(texts)), percent, MATCHES, keep)).toDF("c", "cluster")
+    whole = classes.select("set_hash", "c", "copies").join(clusters, "c", "left").where("copies > 1 or cluster is not null").select(F.col("set_hash").alias("c"), F.coalesce("cluster", "c").alias("cluster"))
+    rows = keep(found.select("id", "h", "number", "start", "end", "words", "c").join(whole, "c"))
     firsts = rows.groupBy("cluster").agg(F.min(F.struct("id", "h", "number")).alias("first"))
-    entire = cut(rows.join(firsts, "cluster").select("id", "h", "number", "start", "end", F.col("words").cast("long").alias("n_words"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.number").alias("first_number")))
-    release(docs.sparkSession)
-    entire = entire.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("number") == F.col("first_number")))
-
-    runs = repeated_runs(source, kind, min_words)
-    lines = entire.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"), F.col("number").alias("l_number"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    within = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")) & (F.col("number") == F.col("l_number")) & (F.col("start") >= F.col("l_start")) & (F.col("end") <= F.col("l_end"))
-    runs = runs.join(lines, within, "left_anti")
-    # where the first place is within a paragraph that has a cluster, that one's
-    heads = entire.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), F.col("number").alias("e_number"), F.col("first_id").alias("e_first_id"), F.col("first_h").alias("e_first_h"), F.col("first_number").alias("e_first_number"))
-    headed = F.col("first_id").eqNullSafe(F.col("e_id")) & (F.col("first_h") == F.col("e_h")) & (F.col("first_number") == F.col("e_number")) & F.col("alone")
-    runs = runs.join(heads, headed, "left")
-    pick = lambda new, old: F.when(F.col("e_h").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
-    runs = runs.select("id", "number", "start", "end", F.col("words").cast("long").alias("n_words"), pick("e_first_id", "first_id"), pick("e_first_number", "first_number"), F.col("itself").alias("kept"))
-    out = entire.select(*runs.columns).unionByName(runs)
-    return out.select(F.col("id").alias(id_col), F.col("number").alias("paragraph"), "start", "end", "n_words", F.col("first_id").alias("cluster_doc"), F.col("first_number").alias("cluster_paragraph"), "kept")
+    return keep(rows.join(firsts, "cluster").select("id", "h", "number", "start", "end", F.col("words").cast("long").alias("n_words"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.number").alias("first_number")))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, min_run: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, kept) of each paragraph, or passage
+    over lines or within them, that stands elsewhere too; start and end count characters of the text.
+    min_words: of a paragraph. min_run: of a passage, at least ANCHOR + AMONG - 1."""
+    if min_run < ANCHOR + AMONG - 1:
+        raise ValueError(f"passages of fewer than {ANCHOR + AMONG - 1} words aren't all found")
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    with Tables(docs.sparkSession) as lasting:
+        every = lasting(read(source, kind, min_words).dropDuplicates(["id", "h"]))
+        with Tables(docs.sparkSession) as keep:
+            entire = lasting(clustered(source, every.select("id", "h", F.explode("paragraphs").alias("x")).select("id", "h", "x.*"), percent, keep))
+        entire = entire.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("number") == F.col("first_number")))
+        with Tables(docs.sparkSession) as keep:
+            runs = lasting(repeated_runs(source, every.select("id", "h", F.explode("anchors").alias("x")).select("id", "h", "x.*"), kind, min_run, keep))
+        lines = entire.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"), F.col("number").alias("l_number"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+        within = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")) & (F.col("number") == F.col("l_number")) & (F.col("start") >= F.col("l_start")) & (F.col("end") <= F.col("l_end"))
+        runs = runs.join(lines, within, "left_anti")
+        # where the first place is within a paragraph that has a cluster, that one's
+        heads = entire.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), F.col("number").alias("e_number"), F.col("first_id").alias("e_first_id"), F.col("first_h").alias("e_first_h"), F.col("first_number").alias("e_first_number"))
+        headed = F.col("first_id").eqNullSafe(F.col("e_id")) & (F.col("first_h") == F.col("e_h")) & (F.col("first_number") == F.col("e_number")) & F.col("alone")
+        runs = runs.join(heads, headed, "left")
+        pick = lambda new, old: F.when(F.col("e_h").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
+        runs = runs.select("id", "number", "start", "end", F.col("words").cast("long").alias("n_words"), pick("e_first_id", "first_id"), pick("e_first_number", "first_number"), F.col("itself").alias("kept"))
+        out = entire.select(*runs.columns).unionByName(runs)
+        return cut(out.select(F.col("id").alias(id_col), F.col("number").alias("paragraph"), "start", "end", "n_words", F.col("first_id").alias("cluster_doc"), F.col("first_number").alias("cluster_paragraph"), "kept"))

@@ -184,7 +184,7 @@ def test_passages_over_lines_of_short_sentences(spark):
 def test_unlike_passages_do_not_chain(spark):
     """Only what repeats is reported, each run alone; unlike texts with common lines are no cluster."""
     rng = random.Random(9)
-    a, b, one = prose(rng, 30), prose(rng, 30), prose(rng, 8) + "."
+    a, b, one = prose(rng, 55), prose(rng, 60), prose(rng, 8) + "."
     own = [prose(rng, 40) for _ in range(6)]
     docs = [f"{own[0]} {one} {a} {own[1]}", f"{own[2]} {a} {own[3]} {b} {one}", f"{own[4]} {one} {b} {own[5]}"]
     got = sorted(paragraphs.repeated_passages(table(spark, enumerate(docs))).collect(), key=lambda r: (r.doc_id, r.start))

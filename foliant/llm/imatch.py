@@ -16,6 +16,7 @@ id, ties and repeated rows keep their own rows. Texts are used whole. Other colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLOTS = 4096
-#: Shares of the lexicon that the randomised subsets hold: one in 1, 2, 4, ... of the terms.
-RATES = (1, 2, 2, *(4,) * 3, *(8,) * 4, *(16,) * 6, *(32,) * 8, *(64,) * 8, *(128,) * 8)
+#: Randomised subsets of the lexicon: {one in this many of its terms: so many subsets}.
+RATES = {1: 1, 2: 2, 4: 3, 8: 4, 16: 6, 32: 8, 64: 8, 128: 8}
 
 
 def terms(text: Column) -> Column:
@@ -40,12 +41,6 @@ def band_terms(docs: DataFrame, text_col: str = "text", least_share: float = 0.0
     return counts.join(F.broadcast(total), (F.col("n") >= F.greatest(F.lit(2.0), F.col("docs") * least_share)) & (F.col("n") <= F.greatest(F.lit(3.0), F.col("docs") * most_share)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = 0.002, most_share: float = 0.2, max_terms: int = 2048) -> DataFrame:
-    """One row: lexicon, the sorted hashes of at most max_terms terms of the band; a sample to look at."""
-    kept = band_terms(docs, text_col, least_share, most_share).orderBy(F.xxhash64("term", F.lit(17)), "term").limit(max_terms)
-    return kept.agg(F.array_sort(F.collect_list("term")).alias("lexicon"))
-
-
 def slot(term: Column) -> Column:
     return F.pmod(term, F.lit(SLOTS)).cast("int")
 
@@ -58,16 +53,22 @@ def slots(docs: DataFrame, text_col: str = "text", **band: float) -> DataFrame:
     return dense.agg(F.array_sort(F.collect_list(F.struct("slot", "held"))).alias("x")).select(F.col("x.held").alias("lexicon"))
 
 
-def in_subset(k: int, rate: int) -> Callable[[Column], Column]:
-    return lambda t: F.pmod(F.xxhash64(t, F.lit(k)), F.lit(rate)) == 0
+def dealt(rate: int, test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A test of the subset to which a term is dealt."""
+    return lambda t: test(F.pmod(F.xxhash64(t, F.lit(rate)), F.lit(rate)))
 
 
 def hashes(own: Column, everything: Column) -> Column:
-    """A hash, or null, for each subset of the lexicon; own: the text's lexicon terms, sorted."""
+    """A hash, or null, for each subset of the lexicon; own: the text's lexicon terms, sorted.
+
+    The subsets of one rate are disjoint: a hash of the term deals it to one of `rate` subsets, of which the
+    first ones count. So terms that are in none of a rate's subsets are passed over once for all of them."""
     parts = []
-    for k, rate in enumerate(RATES):
-        held = own if rate == 1 else F.filter(own, in_subset(k, rate))
-        parts.append(F.when(F.size(held) > 0, F.xxhash64(held, F.lit(k))))
+    for rate, count in RATES.items():
+        some = own if count >= rate else F.filter(own, dealt(rate, lambda d: d < count))  # noqa: B023
+        for k in range(count):
+            held = some if rate == 1 else F.filter(some, dealt(rate, lambda d: d == k))  # noqa: B023
+            parts.append(F.when(F.size(held) > 0, F.xxhash64(held, F.lit(len(parts)))))
     return F.when(F.size(own) > 0, F.array(*parts)).otherwise(F.array(F.xxhash64(F.array_sort(everything), F.lit(-1))))
 
 
@@ -96,40 +97,59 @@ def with_hashes(df: DataFrame, texts: dict[str, str], words: DataFrame) -> DataF
     return df.withColumns({name: hashes(F.col(f"__in_{name}"), F.col(f"__all_{name}")) for name in texts})
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, per_bucket: int = 256, most_buckets: int = 1024) -> DataFrame:
-    """(__id, __text, __next): each text with that of the next document in descending id, after the last the first.
-
-    Documents are dealt to buckets of neighbouring ids by a bounded number of approximate quantiles, so
-    that no window holds all of them; each bucket also gets the first document of the bucket below it.
-    Rows of one id follow each other by their text; null ids come last."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    n = rows.count()
-    buckets = max(1, min(most_buckets, n // per_bucket))
-    bounds = rows.agg(F.percentile_approx("__id", [k / buckets for k in range(1, buckets)] if buckets > 1 else [0.5], 10000).alias("q")).head()["q"] or []
-    cuts = sorted(set(bounds[: buckets - 1])) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("__id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("__bucket", F.when(F.col("__id").isNull(), -1).otherwise(bucket).cast("int"))
-    first = F.struct(F.coalesce(F.col("__id").cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("i"), F.coalesce("__text", F.lit("")).alias("t"))
-    heads = rows.groupBy("__bucket").agg(F.max(first).alias("head"))
-    there = sorted((r["__bucket"] for r in heads.select("__bucket").collect()), reverse=True)  # at most most_buckets + 1 numbers
-    if not there:
-        return rows.select("__id", "__text", F.col("__text").alias("__next"))
-    above = {b: there[i - 1] for i, b in enumerate(there)}  # the bucket that ends where this one begins
-    target = F.create_map(*[F.lit(x) for pair in above.items() for x in pair])[F.col("__bucket")]
-    ghosts = heads.select(F.lit(None).cast(docs.schema[id_col].dataType).alias("__id"), F.col("head.t").alias("__text"), target.alias("__bucket"), F.lit(True).alias("__ghost"))
+FAN = 32
+
+
+def place_among(bounds: list, x: Column) -> Column:
+    """How many of the ascending bounds are at most x, found in steps of one in FAN."""
+    levels = [bounds]
+    while len(levels[0]) > FAN:
+        levels.insert(0, levels[0][FAN - 1 :: FAN])
+    at = F.lit(0)
+    for level in levels:
+        part = F.slice(F.array(*[F.lit(b) for b in level]), at * FAN + 1, F.lit(FAN)) if len(levels) > 1 else F.array(*[F.lit(b) for b in level])
+        at = at * FAN + F.size(F.filter(part, lambda b: b <= x))
+    return at
+
+
+def with_next(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """rows, which have __id and __text, with __next_<column> for each column: that of the next document in
+    descending id, after the last that of the first.
+
+    Documents are dealt to buckets of neighbouring ids by approximate quantiles, half the root of their number
+    of buckets, so that neither a bucket nor the list of bounds grows as fast as the rows; each bucket also
+    gets the first document of the bucket below it. Rows of one id follow each other by their text. Null ids
+    come last, dealt by their texts. ids: the column __id alone, of which quantiles are taken."""
+    buckets = max(1, math.isqrt(ids.count()) // 2)
+    shares = [k / buckets for k in range(1, buckets)]
+    bounds = sorted(set(ids.agg(F.percentile_approx("__id", shares, max(10000, 4 * buckets)).alias("q")).head()["q"] or [])) if shares else []
+    none = F.col("__id").isNull()
+    bucket = F.when(none, -1 - F.pmod(F.xxhash64("__text"), F.lit(buckets))).otherwise(place_among(bounds, F.col("__id")) if bounds else F.lit(0)).cast("long")
+    rows = rows.withColumn("__bucket", bucket)
+    first = F.struct(F.coalesce(F.col("__id").cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("i"), F.coalesce("__text", F.lit("")).alias("t"), *[F.col(c).alias(f"h_{c}") for c in columns])
+    order = F.struct(F.coalesce(F.col("__id").cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")), F.coalesce("__text", F.lit("")))
+    heads = rows.groupBy("__bucket").agg(F.max_by(first, order).alias("head"))
+    # a row for each bucket: the head of the one below goes to the end of the one above, that of the first to the last
+    down = Window.orderBy(F.col("__bucket").desc())
+    above = heads.withColumn("__to", F.coalesce(F.lag("__bucket").over(down), F.min("__bucket").over(Window.partitionBy())))
+    kept = {f.name: f.dataType for f in rows.schema}
+    values = {"__text": F.col("head.t"), "__bucket": F.col("__to"), **{c: F.col(f"head.h_{c}") for c in columns}}
+    ghosts = above.select(*[values.get(c, F.lit(None).cast(t)).alias(c) for c, t in kept.items()], F.lit(True).alias("__ghost"))
     everything = rows.withColumn("__ghost", F.lit(False)).unionByName(ghosts)
-    order = Window.partitionBy("__bucket").orderBy(F.col("__ghost"), F.col("__id").desc_nulls_last(), F.col("__text").desc_nulls_last())
-    return everything.withColumn("__next", F.lead("__text").over(order)).where("not __ghost").select("__id", "__text", "__next")
+    following = Window.partitionBy("__bucket").orderBy(F.col("__ghost"), F.col("__id").desc_nulls_last(), F.col("__text").desc_nulls_last())
+    return everything.withColumns({f"__next_{c}": F.lead(c).over(following) for c in ("__text", *columns)}).where("not __ghost").drop("__ghost", "__bucket")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **band: float) -> DataFrame:
     """Fingerprints of each text, of the text with its last half replaced by the start of the next
-    document's, and their likeness to each other and to the next document's."""
-    rows = with_next(docs, id_col, text_col)
-    rows = rows.withColumns({"__text": F.coalesce("__text", F.lit("")), "__next": F.coalesce("__next", F.lit(""))})
+    document's, and their likeness to each other and to the next document's. Ids are numbers."""
+    words = slots(docs, text_col, **band)
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text"))
+    rows = with_next(with_hashes(rows, {"__own": "__text"}, words).select("__id", "__text", "__own"), rows.select("__id"), "__own")
     n = F.length("__text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("__text"), F.lit(1), n - half), F.substring(F.col("__next"), F.lit(1), half))
+    edited = F.concat(F.substring(F.col("__text"), F.lit(1), n - half), F.substring(F.col("__next___text"), F.lit(1), half))
     rows = rows.withColumns({"n_chars": n.cast("long"), "__edited": edited})
-    done = with_hashes(rows, {"own": "__text", "edited": "__edited", "next": "__next"}, slots(docs, text_col, **band))
-    return done.select(F.col("__id").alias(id_col), "n_chars", F.sha2(F.encode("__edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    done = with_hashes(rows, {"__changed": "__edited"}, words)
+    own, changed, following = F.col("__own"), F.col("__changed"), F.col("__next___own")
+    return done.select(F.col("__id").alias(id_col), "n_chars", F.sha2(F.encode("__edited", "UTF-8"), 256).alias("edited_sha256"), as_text(own).alias("fingerprint"), as_text(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))

@@ -8,6 +8,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from foliant.llm import bpe, html_text, imatch, licenses, minhash, packing, paragraphs, suffixes, toxicity, vectors
 from foliant.llm._shared import components
 
@@ -199,14 +201,50 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_lexicon_is_bounded_and_native(spark, rows):
-    df = table(spark, rows)
-    assert imatch.lexicon(df, max_terms=5).head().lexicon is not None
-    assert len(imatch.lexicon(df, max_terms=5).head().lexicon) <= 5
-    plan = imatch.edited_likeness(df)._jdf.queryExecution().executedPlan().toString()
+def test_imatch_is_native(spark, rows):
+    plan = imatch.edited_likeness(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_imatch_equals_brute_force(spark):
+    """Fingerprints are equal where the sorted lexicon terms of every subset are; likeness is their share."""
+    rng = random.Random(12)
+    docs = [(k, prose(rng, rng.randint(0, 60))) for k in range(120)] + [(None, prose(rng, 20)), (None, "")]
+    df = table(spark, docs)
+    got = imatch.edited_likeness(df, least_share=0.01, most_share=0.4).collect()
+    known = {r.term for r in imatch.band_terms(df, least_share=0.01, most_share=0.4).collect()}
+    texts = {t for _, t in docs}
+    term = {w: h for w, h in ((r.w, r.h) for r in spark.createDataFrame([(w,) for t in texts for w in t.split()], "w string").selectExpr("w", "xxhash64(w) as h").collect())}
+    dealt = {(r.h, rate): r[f"d{rate}"] for r in spark.createDataFrame([(h,) for h in term.values()], "h long").select("h", *[F.pmod(F.xxhash64("h", F.lit(rate)), F.lit(rate)).alias(f"d{rate}") for rate in imatch.RATES]).collect() for rate in imatch.RATES}
+
+    def subsets(text):
+        own = sorted({term[w] for w in text.split()} & known)
+        if not own:
+            return [frozenset(term[w] for w in text.split())]
+        return [frozenset(h for h in own if rate == 1 or dealt[h, rate] == k) for rate, n in imatch.RATES.items() for k in range(n)]
+
+    def likeness(a, b):
+        told = [(x, y) for x, y in zip(a, b, strict=True) if x or y or len(a) == 1] if len(a) == len(b) else []
+        return sum(x == y for x, y in told) / len(told) if told else 0.0
+
+    order = sorted([d for d in docs if d[0] is not None], reverse=True)
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    for (i, t), (_, following) in zip(order[:-1], order[1:], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        words = edited.split()
+        for r in spark.createDataFrame([(w,) for w in words if w not in term], "w string").selectExpr("w", "xxhash64(w) as h").collect() if any(w not in term for w in words) else []:
+            term[r.w] = r.h
+            for rate in imatch.RATES:
+                dealt[r.h, rate] = None  # of no band
+        assert abs(by_id[i].near_next - likeness(subsets(t), subsets(following))) < 1e-12
+        assert abs(by_id[i].near_edited - likeness(subsets(t), subsets(edited))) < 1e-12
+    prints = {}
+    for i, t in docs:
+        if i is not None:
+            assert prints.setdefault(by_id[i].fingerprint, subsets(t)) == subsets(t)
+
+
 def test_every_term_of_the_band_counts(spark):
     """3,800 terms lie in the band; short texts keep theirs."""
     large = " ".join(f"w{k}" for k in range(3000))

@@ -4,9 +4,9 @@ Documents are tokenised once; only (id, piece, start, length, checksum) goes on.
 partitions, each packed by best-fit decreasing. Dual feasible functions give a lower bound of each
 partition's number of sequences. Where the packing meets its bound it is final but for the emptiest
 sequence, in which rounding loses up to one sequence a partition; where it doesn't, its sequences
-are opened: all of them in the first three rounds, in which partitions at most double, later those with
-room. Opened pieces are exchanged, that is dealt anew to fewer partitions and packed again,
-until they fit in one partition that meets its bound or rounds no longer help.
+are opened: all of them in the first three rounds, later those with room. Opened pieces are exchanged, that
+is dealt anew to fewer and larger partitions and packed again, until each partition meets its bound, one has
+taken all that is left, or a round at the largest size certifies nothing more.
 
 Nulls: a null text counts as empty and still has its end token. A null id is kept as it is. Repeated
 rows are packed like any others. Any length of text; documents longer than a sequence are cut.
@@ -19,7 +19,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,10 @@ from foliant.llm._shared import cut, hold, map_batches, pieces_for, texts_of
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-į]*")
 
 
+MOST_WORDS = 500_000  # remembered
+PORTION = 1 << 18  # characters of texts whose words are looked up together
+
+
 class PackedTokenizer:
     """Whole texts to packed ids. The tokenizer works on words that its own pattern splits off, so
     words can be remembered; texts with other than plain characters go through it whole."""
@@ -48,20 +52,37 @@ class PackedTokenizer:
         kinds = {k: "".join(re.escape(chr(i)) for i in range(0x130) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
         self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\s{kinds['L']}{kinds['N']}]+").findall
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not PLAIN.fullmatch(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        words = self.find(text.lower())
-        new = list(set(words).difference(self.words))
+    def learn(self, words: list[str]) -> None:
+        """Words that the pattern splits off are encoded in one text, as each would be alone."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cuts = (4 * np.searchsorted(word, np.arange(len(part) + 1))).tolist()
+            if len(word) and word[-1] == len(part) - 1:
+                self.words.update(zip(part, (ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            else:  # a word came apart
+                for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.words[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. Words new to several texts are
+        encoded together."""
+        split = [self.find(t.lower()) if PLAIN.fullmatch(t) else None for t in texts]
+        new = set().union(*filter(None, split)).difference(self.words)
         if new:
-            if len(self.words) >= 300_000:
+            if len(self.words) + len(new) > MOST_WORDS:
                 self.words.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.words[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-        return b"".join(map(self.words.__getitem__, words))
+                new = set().union(*filter(None, split))
+            self.learn(list(new))
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append(b"".join(map(self.words.__getitem__, words)))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -69,6 +90,18 @@ def packed_tokenizer(path: str) -> PackedTokenizer:
     return PackedTokenizer(path)
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and its end id, cut where longer than capacity."""
     end = struct.pack("<I", end_id)
@@ -77,8 +110,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         hold("packing", packed_tokenizer.cache_clear)
         t = packed_tokenizer(tokenizer)
         row, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(texts_of(batch.column(1))):
-            ids = t.packed(text) + end
+        for i, ids in enumerate(ids for part in portions(texts_of(batch.column(1))) for ids in t.packed(part)):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 row.append(i)
@@ -137,8 +170,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(rooms, np.int64)
 
 
-def dealt(items: DataFrame, keys: list[str], salt: int, parts: int) -> DataFrame:
-    return items.withColumn("__part", F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(salt)), F.lit(parts)))
+ROW = "__packed_row"
+
+
+def dealt(items: DataFrame, salt: int, parts: int) -> DataFrame:
+    return items.withColumn("__part", F.pmod(F.xxhash64(ROW, F.lit(salt)), F.lit(parts)))
 
 
 def packer(names: list[str], length_col: str, capacity: int, salt: int, last: bool) -> Callable[[pa.Table], pa.Table]:
@@ -160,27 +196,29 @@ def packer(names: list[str], length_col: str, capacity: int, salt: int, last: bo
     return one
 
 
-def pack(items: DataFrame, capacity: int, keys: list[str], length_col: str = "length", per_partition: int = 8000, rounds: int = 8) -> DataFrame:
-    """items with sequence_id and offset. keys: columns that, with the length, tell items apart (ties
-    and repeated rows are harmless: equal rows are packed one by one)."""
+def pack(items: DataFrame, capacity: int, length_col: str = "length", per_partition: int = 8000, widest: int = 64000) -> DataFrame:
+    """items with sequence_id and offset. Rows are dealt by a number of their own, so that equal rows and null
+    ids spread; partitions grow up to `widest` items. Rounds end when nothing is left open, when one partition
+    has taken all that is, or when a round at the widest settles nothing more."""
     schema = items.schema
-    names = schema.names
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", sequence_id long, offset long, settled boolean"
-    rest, done = cut(items), []
-    n = rest.count()
-    parts = pieces_for(n, per_partition)
-    for r in range(rounds):
-        last = parts == 1 or r == rounds - 1
-
-        packed = cut(dealt(rest, keys, r, parts).groupBy("__part").applyInArrow(packer(names, length_col, capacity, r, last), out))
-        done.append(packed.where("settled").drop("settled"))
+    names = [*schema.names, ROW]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", {ROW} long, sequence_id long, offset long, settled boolean"
+    rest, done = cut(items.withColumn(ROW, F.monotonically_increasing_id())), []  # of the stored rows, so that it stays
+    left = rest.count()
+    parts, stuck, r = pieces_for(left, per_partition), False, 0
+    while True:
+        last = parts == 1 or stuck or r == 100
+        packed = cut(dealt(rest, r, parts).groupBy("__part").applyInArrow(packer(names, length_col, capacity, r, last), out))
+        done.append(packed.where("settled").drop("settled", ROW))
         if last:
             break
-        rest = packed.where("not settled").select(*names)
+        rest, before = packed.where("not settled").select(*names), left
         left = rest.count()
         if not left:
             break
-        parts = min(pieces_for(left, per_partition), max(1, parts // 2))
+        stuck = left == before and parts <= pieces_for(left, widest)
+        parts = max(pieces_for(left, widest), min(pieces_for(left, per_partition), parts // 2))
+        r += 1
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
@@ -189,4 +227,4 @@ def pack(items: DataFrame, capacity: int, keys: list[str], length_col: str = "le
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document."""
-    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), capacity, [id_col, "piece"])
+    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), capacity)

@@ -135,7 +135,7 @@ def test_vectors_equal_brute_force(spark):
 def test_packing_is_whole_and_certified(spark):
     rng = random.Random(6)
     items = spark.createDataFrame([(i, rng.randint(1, 100)) for i in range(3000)], "id long, length long")
-    out = packing.pack(items, 100, ["id"], per_partition=400).collect()
+    out = packing.pack(items, 100, per_partition=400).collect()
     assert sorted(r.id for r in out) == list(range(3000))
     used = {}
     for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import minhash, packing, suffixes, toxicity
-from foliant.llm._shared import table
+from foliant.llm._shared import Tables, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Every stage's documents are stored before the next reads them; packing stores
+    its own pieces first, so its result needs those tables no more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    with Tables(spark) as keep:
+        for _, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,6 +27,7 @@ import numpy as np
 
 BATCH = 1 << 13
 LOG = np.maximum(np.frexp(np.arange(BATCH + 1))[1].astype(np.int64) - 1, 0)
+ZERO, PLACES = np.zeros(1, np.int64), np.arange(BATCH, dtype=np.int64)
 POWER = 1 << np.arange(BATCH.bit_length(), dtype=np.int64)
 
 
@@ -131,39 +132,39 @@ class Least:
     def __init__(self, symbols: int, most: int):
         self.most, self.batch = most, 0
         self.table = np.zeros((BATCH.bit_length(), BATCH), np.uint16)
+        self.flat, self.suffix = self.table.reshape(-1), np.zeros(BATCH + 1, np.uint16)
         self.last = np.full(symbols, -1, np.int64)  # the last batch from which the symbol got a tuple
         self.since = np.zeros(symbols, np.uint16)  # the least after that tuple within that batch
         self.fell = np.full(most + 1, -1, np.int64)  # the last batch whose least was at most this
 
-    def between(self, d: np.ndarray, symbol: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For tuples induced from places `at` of the batch d, grouped by symbol, groups from `starts` on: the
-        common prefix with the tuple before them under their symbol."""
-        n = len(d)
-        self.table[0, :n] = d
+    def between(self, d: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For tuples induced from places `at` of the batch d, in groups [starts, ends) of the symbols c: the
+        common prefix with the tuple before them under their symbol. Ends the batch."""
+        n, table = len(d), self.table
+        table[0, :n] = d
         for k in range(1, int(LOG[n]) + 1):
             w = 1 << (k - 1)
-            np.minimum(self.table[k - 1, : n - 2 * w + 1], self.table[k - 1, w : n - w + 1], out=self.table[k, : n - 2 * w + 1])
+            np.minimum(table[k - 1, : n - 2 * w + 1], table[k - 1, w : n - w + 1], out=table[k, : n - 2 * w + 1])
         out = np.empty(len(at), np.uint16)
-        low, high = at[:-1] + 1, at[1:]
-        level = LOG.take(high - low + 1, mode="clip")  # places of another symbol may come before, and get no use of it
-        flat, row = self.table.reshape(-1), level * BATCH
-        np.minimum(flat.take(row + low, mode="clip"), flat.take(row + high - POWER.take(level) + 1, mode="clip"), out=out[1:])
+        low, high = at[:-1], at[1:]
+        level = LOG.take(high - low, mode="clip")  # places of another symbol may come before, and get no use of it
+        row = level * BATCH + 1
+        np.minimum(self.flat.take(row + low, mode="clip"), self.flat.take(row + high - POWER.take(level), mode="clip"), out=out[1:])
         np.minimum(out, self.most - 1, out=out)
         out += 1
-        prefix = np.minimum.accumulate(d)
-        c, p = symbol[starts], at[starts]
+        self.suffix[:n] = np.minimum.accumulate(d[::-1])[::-1]
+        self.suffix[n] = self.most
         seen = self.last[c]
-        over = np.searchsorted(self.fell, seen + 1)  # the least of the batches after the last; most + 1 if there is none
-        first = np.minimum(np.minimum(prefix[p], self.since[c]), np.minimum(over, self.most))
-        out[starts] = np.where(seen < 0, 0, np.minimum(first, self.most - 1) + 1)
-        suffix = np.append(np.minimum.accumulate(d[::-1])[::-1], np.uint16(self.most))
-        ends = np.append(starts[1:], len(at)) - 1
-        self.since[c] = suffix[at[ends] + 1]
+        over = self.fell.searchsorted(seen + 1)  # the least of the batches after the last; most + 1 if there is none
+        first = np.minimum(np.minimum(np.minimum.accumulate(d)[at[starts]], self.since[c]), np.minimum(over, self.most - 1)) + 1
+        out[starts] = np.where(seen < 0, 0, np.minimum(first, self.most))
+        self.since[c] = self.suffix[at[ends - 1] + 1]
         self.last[c] = self.batch
+        self.end(int(self.suffix[0]))
         return out
 
-    def end(self, d: np.ndarray) -> None:
-        self.fell[int(d.min()) :] = self.batch
+    def end(self, least: int) -> None:
+        self.fell[least:] = self.batch
         self.batch += 1
 
 
@@ -202,40 +203,50 @@ def sweep(code: np.ndarray, scratch: Scratch, slots: int, free: np.ndarray, plac
     while queue.advance():
         lo, hi = np.searchsorted(slot_of, (queue.from_, queue.to))
         queue._place(slot_of[lo:hi], position_of[lo:hi], common_of[lo:hi] if most else 0)
-        at, n, size = 0, queue.to - queue.from_, 1024
+        at, n, size, from_ = 0, queue.to - queue.from_, 1024, queue.from_
+        position, shared = queue.position, queue.common
         while at < n:
-            p = queue.position[at : at + size]
+            p = position[at : at + size]
             open_ = p < 0
             k = int(open_.argmax())
             if open_[k]:
                 p = p[:k]
-            if not len(p):
+            k = len(p)
+            if not k:
                 raise RuntimeError("nothing induces the suffix that is due")
-            size = min(BATCH, 2 * size if len(p) == size else max(256, 2 * len(p)))
+            size = min(BATCH, 2 * size if k == size else max(256, 2 * k))
             if most:
-                lo, hi = np.searchsorted(seams, (queue.from_ + at, queue.from_ + at + len(p)))
+                lo, hi = seams.searchsorted((from_ + at, from_ + at + k))
                 if hi > lo:
-                    own = seams[lo:hi] - queue.from_
-                    left = np.where(own > 0, queue.position[own - 1], before)
-                    queue.common[own] = np.minimum(run_lengths(code, left, most), run_lengths(code, queue.position[own], most))
-            prior = code[p - 1]
-            go = np.flatnonzero((prior & 1 == small) & (p > 0))
-            d = queue.common[at : at + len(p)]
-            if len(go):
-                symbol = prior[go] >> 1
-                order = np.argsort(last - symbol if small else symbol, kind="stable")  # slots are given in ascending order
-                symbol, go = symbol[order], go[order]
-                new = np.ones(len(go), bool)
-                new[1:] = symbol[1:] != symbol[:-1]
-                starts = np.flatnonzero(new)
-                counts = np.diff(np.append(starts, len(go)))
-                slot = np.repeat(free[symbol[starts]] - starts, counts) + np.arange(len(go))
-                free[symbol[starts]] += counts
-                common = least.between(d, symbol, starts, go) if most else np.zeros(len(go), np.uint16)
-                queue.put(slot, p[go] - 1, common)
-            if most:
-                least.end(d)
-            at += len(p)
+                    own = seams[lo:hi] - from_
+                    left = np.where(own > 0, position[own - 1], before)
+                    shared[own] = np.minimum(run_lengths(code, left, most), run_lengths(code, position[own], most))
+            d = shared[at : at + k]
+            at += k
+            prior = code[p - 1]  # before the first place stands one that is never induced
+            go = (prior & 1 == small).nonzero()[0]
+            if not len(go):
+                if most:
+                    least.end(int(d.min()))
+                continue
+            symbol = prior[go] >> 1
+            order = (last - symbol if small else symbol).argsort(kind="stable")  # slots are given in ascending order
+            symbol, go = symbol[order], go[order]
+            ends = (symbol[1:] != symbol[:-1]).nonzero()[0] + 1
+            starts, ends = np.concatenate([ZERO, ends]), np.concatenate([ends, [len(go)]])
+            c = symbol[starts]
+            f = free[c]
+            free[c] = f + ends - starts
+            slot = np.repeat(f - starts, ends - starts) + PLACES[: len(go)]
+            common = least.between(d, c, starts, ends, go) if most else None
+            if slot[-1] < queue.to:
+                if from_:
+                    slot -= from_
+                position[slot] = p[go] - 1
+                if most:
+                    shared[slot] = common
+            else:
+                queue.put(slot, p[go] - 1, common if most else np.zeros(len(go), np.uint16))
         before = int(queue.position[-1])
         yield queue.position, queue.common
 
@@ -248,7 +259,7 @@ def starts_of(*counts: np.ndarray) -> np.ndarray:
 def induce(code: np.ndarray, buckets: Buckets, leftmost: np.ndarray, common: np.ndarray | None, scratch: Scratch, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes, the greatest first, each with what it has in common with the one before, from the
     leftmost S suffixes in order with their common prefixes."""
-    n, symbols = len(code), len(buckets.large)
+    n = len(code) - 1
     # the first sweep takes L and leftmost S suffixes in ascending order
     free = starts_of(buckets.large, buckets.leftmost)
     own = free + buckets.large
@@ -258,7 +269,7 @@ def induce(code: np.ndarray, buckets: Buckets, leftmost: np.ndarray, common: np.
     total = int(buckets.large.sum())
     large, shared = scratch.array(total, places(n)), scratch.array(total + 1, np.uint16)
     at = 0
-    for position, d in sweep(code, scratch, total + len(leftmost), free, (slot, leftmost, common), 0, seams, most):
+    for position, d in sweep(code[:n], scratch, total + len(leftmost), free, (slot, leftmost, common), 0, seams, most):
         keep = np.flatnonzero(code[position] & 1 == 0)
         large[at : at + len(keep)], shared[at : at + len(keep)] = position[keep], d[keep]
         at += len(keep)
@@ -277,9 +288,9 @@ def induce(code: np.ndarray, buckets: Buckets, leftmost: np.ndarray, common: np.
 
 
 def typed(t: np.ndarray, symbols: int, scratch: Scratch) -> np.ndarray:
-    """symbol * 2 + 1 for S, symbol * 2 for L suffixes."""
+    """symbol * 2 + 1 for S, symbol * 2 for L suffixes; and one 0 more."""
     n = len(t)
-    code = scratch.array(n, np.uint16 if symbols < 1 << 15 else np.int32 if symbols < 1 << 30 else np.int64)
+    code = scratch.array(n + 1, np.uint16 if symbols < 1 << 15 else np.int32 if symbols < 1 << 30 else np.int64)
     after, small = -1, True  # of the suffix behind the part
     for part in reversed(list(scratch.parts(n))):
         x = t[part].astype(np.int64)

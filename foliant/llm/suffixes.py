@@ -342,7 +342,7 @@ def fields(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     return dict(zip([f.name for f in row.type], row.flatten(), strict=True))
 
 
-def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, room: int = 1 << 22) -> DataFrame:
+def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20, room: int = 1 << 22) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = located(docs.select(id_col, text_col), length, id_col, text_col, shard_bytes, room)
@@ -366,7 +366,7 @@ def dedup_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
     return map_batches(rows, kernel, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup_texts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, room: int = 1 << 22) -> DataFrame:
+def dedup_texts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20, room: int = 1 << 22) -> DataFrame:
     """docs with the repeated bytes of their texts removed; code points of which a part would be left go whole."""
     rows = located(docs, length, id_col, text_col, shard_bytes, room)
     names = docs.columns

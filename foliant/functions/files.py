@@ -126,13 +126,20 @@ def events(data: bytes, inline_max: int = 256 << 10, resolve_length: bool = Fals
             if length is None:
                 break
             begin = start.end()
-            if begin + length > n:
-                if length > inline_max and whole:
-                    yield Event("error", number, generation, text="file ends inside a stream", at=begin)
-                break
-            m = _END.match(data, begin + length)
+            m = _END.match(data, begin + length) if begin + length <= n else None
+            if not m and (whole or begin + length <= n) and length <= inline_max:
+                # the length is wrong: the payload goes as far as endstream, but for a line end before it
+                found = data.find(b"endstream", begin)
+                if found >= 0 and (m := _END.match(data, found)):
+                    length = found - begin
+                    line = re.compile(rb"\r?\n").search(data, max(begin, found - 2), found)
+                    if line and line.end() == found:
+                        length = line.start() - begin
             if not m:
-                if whole and n - begin - length >= 16:
+                if begin + length > n:
+                    if length > inline_max and whole:
+                        yield Event("error", number, generation, text="file ends inside a stream", at=begin)
+                elif whole and n - begin - length >= 16:
                     yield Event("error", number, generation, text="endstream missing", at=begin + length)
                 break
             yield Event("stream", number, generation, value, data[begin : begin + length], at=at)

@@ -1,96 +1,100 @@
-"""Structural validation and comparison of files, as joins and a recursion over their objects."""
+"""Structural validation and comparison of files: each file is one task's data, so nothing is shuffled where
+files are given; decoded objects are gathered by file once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.decode import name_at, prim, ref_number, references
+from foliant.functions import files, structure
+from foliant.functions.objects import from_json
+from foliant.operators.decode import per_file, rows_batch
 
+FAULTS = "file_id {k}, kind string, owner long, target long"
+TREE = "file_id {k}, node long, parent long, level int, kind string"
+CHANGES = "file_id {k}, kind string, obj_num long, detail string"
 
-def by_number(decoded: DataFrame) -> DataFrame:
-    """The last object of each number."""
-    last = F.max_by(F.struct("kind", "prim_json"), "seq")
-    return decoded.groupBy("file_id", "obj_num").agg(last.alias("o")).select("file_id", "obj_num", (F.col("o.kind") == "content").alias("has_stream"), "o.prim_json")
 
+def validate_files(df: DataFrame, single_references: bool = False, **options) -> DataFrame:
+    """(file_id, kind, owner, target): every fault of every file; a valid file has no row."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        d = files.decode(content, **options)
+        return structure.faults(d.objects, len(d.xrefs), d.root, single_references)
+
+    return per_file(df, kernel, FAULTS)
+
+
+def page_tree_files(df: DataFrame, depth: int = 16, **options) -> DataFrame:
+    """(file_id, node, parent, level, kind) of the nodes of each file's page tree."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        d = files.decode(content, **options)
+        return list(structure.page_tree(structure.by_number(d.objects), d.root, depth))
+
+    return per_file(df, kernel, TREE)
+
+
+def compare_files(old: DataFrame, new: DataFrame, **options) -> DataFrame:
+    """(file_id, kind, obj_num, detail): Assembly and Validation faults of the versions under one file_id,
+    ObjectMissing, ObjectAdded and DeletedStream. A version that isn't there is a file without objects."""
+    pairs = old.select("file_id", F.col("content").alias("before")).join(new.select("file_id", F.col("content").alias("after")), "file_id", "full_outer")
+    kind = pairs.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                made = structure.compared(files.decode(a or b"", **options), files.decode(b or b"", **options))
+                at += [i] * len(made)
+                rows += made
+            yield rows_batch(batch.column(0), at, rows, CHANGES)
 
-def _error(df: DataFrame, kind: str, owner: str | None, target: str | None) -> DataFrame:
-    return df.select("file_id", F.lit(kind).alias("kind"), (F.col(owner) if owner else F.lit(None)).cast("long").alias("owner"), (F.col(target) if target else F.lit(None)).cast("long").alias("target"))
-
-
-def content_errors(decoded: DataFrame, single_references: bool = False) -> DataFrame:
-    """References under Contents to objects that are missing or have no stream. References to an array of
-    references are followed until no array is left; one that is met again on its own path is ContentTooDeep."""
-    objects = by_number(decoded)
-    refs = references("Contents")
-    if single_references:
-        one = ref_number(prim("Contents"))
-        refs = F.when(one.isNotNull(), F.array(one)).otherwise(refs)
-    rows = objects.select("file_id", F.col("obj_num").alias("owner"), F.explode(refs).alias("target"))
-    inner = F.filter(F.transform(F.from_json("prim_json", "array<string>"), ref_number), lambda x: x.isNotNull())
-    is_list = F.col("prim_json").startswith('["@') & ~F.col("has_stream")
-    targets = objects.select("file_id", F.col("obj_num").alias("target"), "has_stream", F.coalesce(is_list, F.lit(False)).alias("is_list"), F.when(is_list, inner).alias("inner"))
-    joined = rows.join(targets, ["file_id", "target"], "left")
-    joined.where("is_list").select("file_id", "owner", "target", "inner").createOrReplaceTempView("__foliant_lists_met")
-    targets.createOrReplaceTempView("__foliant_targets")
-    nested = decoded.sparkSession.sql("""
-        WITH RECURSIVE nested(file_id, owner, target, has_stream, is_list, is_cycle, path, inner) MAX RECURSION LEVEL 1000000 AS (
-          SELECT file_id, owner, target, false, true, false, array(target), inner FROM __foliant_lists_met
-          UNION ALL
-          SELECT k.file_id, k.owner, k.next, t.has_stream, coalesce(t.is_list, false), array_contains(k.path, k.next), concat(k.path, array(k.next)), t.inner
-          FROM (SELECT file_id, owner, path, explode(inner) AS next FROM nested WHERE is_list AND NOT is_cycle) k
-          LEFT JOIN __foliant_targets t ON k.file_id = t.file_id AND k.next = t.target
-        )
-        SELECT file_id, owner, target, has_stream, is_list, is_cycle FROM nested LIMIT ALL""")
-    reached = joined.where("not coalesce(is_list, false)").select("file_id", "owner", "target", "has_stream", F.lit(False).alias("is_cycle")).unionByName(nested.where("not is_list or is_cycle").select("file_id", "owner", "target", "has_stream", "is_cycle"))
-    kind = F.when(F.col("is_cycle"), "ContentTooDeep").when(F.col("has_stream").isNull(), "ContentMissing").when(~F.col("has_stream"), "ContentStreamMissing")
-    return reached.select("file_id", kind.alias("kind"), F.col("owner").cast("long").alias("owner"), F.col("target").cast("long").alias("target")).where("kind is not null")
+    return pairs.mapInArrow(run, CHANGES.format(k=kind))
+
+
+def gathered(decoded: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row for each row of meta, with the file's decoded objects in order."""
+    objects = decoded.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "obj_num", "gen", "prim_json", "raw_stream"))).alias("parts"))
+    return meta.select("file_id", "objects", "xrefs", "root_num", "trailer_json").join(objects, "file_id", "left")
+
+
+def objects_of(parts: list[dict] | None) -> list[tuple]:
+    return [(p["obj_num"], p["gen"], from_json(p["prim_json"]), p["raw_stream"]) for p in parts or ()]
+
+
+def _of_gathered(decoded: DataFrame, meta: DataFrame, kernel: Callable[[list[tuple], dict], list[tuple]], schema: str) -> DataFrame:
+    kind = meta.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, row in enumerate(batch.drop_columns(["file_id"]).to_pylist()):
+                made = kernel(objects_of(row["parts"]), row)
+                at += [i] * len(made)
+                rows += made
+            yield rows_batch(batch.column("file_id"), at, rows, schema)
+
+    return gathered(decoded, meta).mapInArrow(run, schema.format(k=kind))
 
 
 def page_tree(decoded: DataFrame, meta: DataFrame, depth: int = 16) -> DataFrame:
-    """(file_id, node, parent, level, kind) of all nodes reached from the root's Pages; kind: pages, page,
-    invalid, missing, or cycle for a node that is its own ancestor or deeper than `depth`."""
-    objects = by_number(decoded).select("file_id", F.col("obj_num").alias("node"), name_at("Type").alias("type"), references("Kids").alias("kids"), prim("Pages").alias("pages"), "has_stream")
-    catalogs = meta.where("root_num is not null").select("file_id", F.col("root_num").alias("node")).join(objects, ["file_id", "node"])
-    front = catalogs.select("file_id", ref_number(F.col("pages")).alias("node")).where("node is not null").select("file_id", "node", F.lit(None).cast("long").alias("parent"), F.array("node").alias("path"))
-    spark = decoded.sparkSession
-    objects.createOrReplaceTempView("__foliant_objects")
-    front.createOrReplaceTempView("__foliant_front")
-    return spark.sql(f"""
-        WITH RECURSIVE tree(file_id, node, parent, level, kind, path, kids) AS (
-          SELECT f.file_id, f.node, f.parent, 0, CASE WHEN o.node IS NULL THEN 'missing' WHEN o.type = 'Pages' THEN 'pages' WHEN o.type = 'Page' THEN 'page' ELSE 'invalid' END, f.path, o.kids
-          FROM __foliant_front f LEFT JOIN __foliant_objects o ON f.file_id = o.file_id AND f.node = o.node
-          UNION ALL
-          SELECT k.file_id, k.kid, k.node, k.level + 1,
-                 CASE WHEN array_contains(k.path, k.kid) OR k.level >= {depth} THEN 'cycle' WHEN o.node IS NULL THEN 'missing' WHEN o.type = 'Pages' THEN 'pages' WHEN o.type = 'Page' THEN 'page' ELSE 'invalid' END,
-                 concat(k.path, array(k.kid)), o.kids
-          FROM (SELECT file_id, node, level, path, explode(kids) AS kid FROM tree WHERE kind = 'pages') k
-          LEFT JOIN __foliant_objects o ON k.file_id = o.file_id AND k.kid = o.node
-        )
-        SELECT file_id, node, parent, level, kind FROM tree""")
+    """page_tree_files of objects decoded before."""
+    return _of_gathered(decoded, meta, lambda objects, m: list(structure.page_tree(structure.by_number(objects), m["root_num"], depth)), TREE)
 
 
 def validate_df(decoded: DataFrame, meta: DataFrame, single_references: bool = False) -> DataFrame:
-    """(file_id, kind, owner, target): every fault of every file; a valid file has no row."""
-    objects = by_number(decoded)
-    no_objects = _error(meta.where("objects = 0"), "NoObjs", None, None)
-    no_xrefs = _error(meta.where("objects > 0 and xrefs = 0"), "NoXrefs", None, None)
-    no_root = _error(meta.where("xrefs > 0 and root_num is null"), "NoRoot", None, None)
-    roots = meta.where("root_num is not null").select("file_id", F.col("root_num").alias("obj_num")).join(objects, ["file_id", "obj_num"], "left")
-    no_catalog = _error(roots.where("prim_json is null"), "NoCatalog", None, "obj_num")
-    pages = roots.where("prim_json is not null").select("file_id", ref_number(prim("Pages")).alias("obj_num"))
-    no_pages = _error(pages.where("obj_num is null"), "NoPagesInCatalog", None, None)
-    tops = pages.where("obj_num is not null").join(objects, ["file_id", "obj_num"], "left")
-    no_top = _error(tops.where("prim_json is null"), "NoPageRoot", None, "obj_num")
-    only_page = _error(tops.where(name_at("Type") == "Page"), "NoPages", None, "obj_num")
-    tree = page_tree(decoded, meta)
-    lost = _error(tree.where("kind = 'missing' and level > 0"), "PageMissing", "parent", "node")
-    wrong = _error(tree.where("kind = 'invalid'"), "InvalidPageTreeObject", "parent", "node")
-    cycles = _error(tree.where("kind = 'cycle'"), "PageTreeCycle", "parent", "node")
-    out = content_errors(decoded, single_references)
-    for more in (no_objects, no_xrefs, no_root, no_catalog, no_pages, no_top, only_page, lost, wrong, cycles):
-        out = out.unionByName(more)
-    return out
+    """validate_files of objects decoded before; meta as it was read from the files."""
+    return _of_gathered(decoded, meta, lambda objects, m: structure.faults(objects, m["xrefs"], m["root_num"], single_references), FAULTS)
+
+
+def by_number(decoded: DataFrame) -> DataFrame:
+    """The last object of each number."""
+    last = F.max_by(F.struct("kind", "prim_json"), "seq")
+    return decoded.groupBy("file_id", "obj_num").agg(last.alias("o")).select("file_id", "obj_num", (F.col("o.kind") == "content").alias("has_stream"), "o.prim_json")
 
 
 def compare_df(old: DataFrame, new: DataFrame, on: str = "file_id") -> DataFrame:

@@ -5,6 +5,7 @@ is shuffled before a join or an aggregation needs it; payloads are inflated only
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions import contents, files, filters
-from foliant.functions.objects import Malformed, from_json, nodes, number_of, to_json
+from foliant.functions import contents, files, filters, structure
+from foliant.functions.objects import Malformed, from_json, number_of, to_json
 from foliant.functions.objects import get as value_at
 
 EVENTS = "file_id {k}, seq int, kind string, obj_num long, gen int, prim_json string, payload binary, at long, detail string"
@@ -22,11 +23,19 @@ META = "file_id {k}, version string, trailer_json string, size long, root_num lo
 XREFS = "file_id {k}, xref_no int, table_no int, entry_no int, obj_num long, kind string, offset_raw string, generation_raw string, offset long, in_use boolean, container long, idx int"
 
 
-def per_file(df: DataFrame, kernel: Callable[[bytes], list[tuple]], schema: str, pushed: Column | None = None) -> DataFrame:
+ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
+
+
+def rows_batch(ids: pa.Array, at: list[int], rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows after the ids they belong to. schema: of ids and rows, with plain types."""
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, ARROW[t]) for c, t in zip(columns, types[1:], strict=True))], list(names))
+
+
+def per_file(df: DataFrame, kernel: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
     """Rows that a kernel makes of each file's bytes, with its file_id before them. Null content gives none."""
     kind = df.schema["file_id"].dataType.simpleString()
-    names = [c.split()[0] for c in schema.format(k=kind).split(", ")]
-    types = [pa.int64() if t == "long" else pa.int32() if t == "int" else pa.bool_() if t == "boolean" else pa.binary() if t == "binary" else pa.float64() if t == "double" else pa.string() for t in (c.split()[1] for c in schema.format(k=kind).split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,16 +50,32 @@ def per_file(df: DataFrame, kernel: Callable[[bytes], list[tuple]], schema: str,
                 rows += made
                 size += len(content)
                 if size > 32 << 20:  # large files leave in small batches
-                    yield _batch(ids, at, rows, names, types)
+                    yield rows_batch(ids, at, rows, schema)
                     at, rows, size = [], [], 0
-            yield _batch(ids, at, rows, names, types)
+            yield rows_batch(ids, at, rows, schema)
 
     return df.select("file_id", "content").mapInArrow(run, schema.format(k=kind))
 
 
-def _batch(ids: pa.Array, at: list[int], rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names)
+def per_file_struct(df: DataFrame, kernel: Callable[[object], dict], schema: str) -> DataFrame:
+    """One row with nested columns that a kernel makes of each file. Null content gives none."""
+    kind = T.StructType([T.StructField("file_id", df.schema["file_id"].dataType), *T.StructType.fromDDL(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(kind)
+        for batch in batches:
+            ids, content = batch.column(0), batch.column(1).to_pylist()
+            at, rows = [], []
+            for i, c in enumerate(content):
+                if c is not None:
+                    at.append(i)
+                    rows.append(kernel(c))
+            columns = [pa.array([r[f.name] for r in rows], f.type) for f in list(target)[1:]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *columns], target.names)
+
+    return df.select("file_id", "content").mapInArrow(run, kind)
 
 
 def events_df(df: DataFrame, inline_max_bytes: int = 256 << 10, resolve_indirect_length: bool = False) -> DataFrame:
@@ -104,6 +129,125 @@ def xref_entries_df(df: DataFrame, **options) -> DataFrame:
     return per_file(df, kernel, XREFS)
 
 
+OPENED = "version string, trailer_json string, size long, root_num long, objects long, unparsed_bytes long, error string, length long, sha256 string, pages array<struct<page_obj:long,seq:int,text:string>>, xrefs array<struct<obj_num:long,kind:string,offset:long,in_use:boolean,container:long>>"
+
+
+def opened_df(df: DataFrame, texts: bool = True, **options) -> DataFrame:
+    """One row a file, read once: trailer and counts, length and digest, the text of each page, and the
+    cross-reference entries."""
+
+    def kernel(content: bytes) -> dict:
+        d = files.decode(content, **options)
+        pages = [{"page_obj": n, "seq": k, "text": t} for n, k, t in structure.page_texts(d.objects)] if texts else []
+        entries = [{"obj_num": first + k, "kind": "compressed" if o is None else "regular", "offset": int(o) if o and o.isdigit() else None, "in_use": used, "container": c} for tables, _, _ in d.xrefs for first, es in tables for k, (o, _, used, c, _) in enumerate(es)]
+        return {"version": d.version, "trailer_json": None if d.trailer is None else to_json(d.trailer), "size": d.size, "root_num": d.root, "objects": len(d.objects), "unparsed_bytes": d.unparsed, "error": d.error, "length": len(content), "sha256": hashlib.sha256(content).hexdigest(), "pages": pages, "xrefs": entries}
+
+    return per_file_struct(df, kernel, OPENED)
+
+
+def page_text_files(df: DataFrame, **options) -> DataFrame:
+    """page_text_df from the files themselves: a page's contents are read where the file is."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        return structure.page_texts(files.decode(content, **options).objects)
+
+    return per_file(df, kernel, "file_id {k}, page_obj long, seq int, text string")
+
+
+def decoded_with_digest(df: DataFrame, **options) -> DataFrame:
+    """decoded_df with the length and digest of the whole file on each object, from one reading."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        d, length, digest = files.decode(content, **options), len(content), hashlib.sha256(content).hexdigest()
+        return [(i, "data" if p is None else "content", n, g, to_json(v), p, length, digest) for i, (n, g, v, p) in enumerate(d.objects)]
+
+    return per_file(df, kernel, DECODED + ", length long, sha256 string")
+
+
+def top_level_df(df: DataFrame, resolve_indirect_length: bool = False) -> DataFrame:
+    """decoded_df of the top level alone, repeated objects included and object streams left packed."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        found = [e for e in files.events(content, resolve_length=resolve_indirect_length) if e.kind in ("object", "stream")]
+        return [(i, "data" if e.kind == "object" else "content", e.number, e.generation, to_json(e.value), e.payload) for i, e in enumerate(found)]
+
+    return per_file(df, kernel, DECODED)
+
+
+# ---- looking objects up --------------------------------------------------------------------------
+
+
+def _payload(value: tuple, raw: bytes | None) -> bytes | None:
+    try:
+        return None if raw is None else filters.decoded(value, raw)
+    except Malformed:
+        return None
+
+
+def object_numbers(df: DataFrame, numbers: list[int], raw: bool = False, **options) -> DataFrame:
+    """(file_id, obj_num, gen, prim_json, payload) of the objects of these numbers, in order; payloads decoded,
+    or with raw as they stand in top-level objects."""
+    wanted = set(numbers)
+
+    def kernel(content: bytes) -> list[tuple]:
+        if raw:
+            return [(e.number, e.generation, to_json(e.value), e.payload) for e in files.without_repeats(files.events(content)) if e.kind in ("object", "stream") and e.number in wanted]
+        return [(n, g, to_json(v), _payload(v, p)) for n, g, v, p in files.decode(content, **options).objects if n in wanted]
+
+    return per_file(df, kernel, "file_id {k}, obj_num long, gen int, prim_json string, payload binary")
+
+
+def stream_texts(df: DataFrame, numbers: list[int], **options) -> DataFrame:
+    """(file_id, obj_num, text): decoded payloads of these objects as UTF-8; null where they aren't."""
+    rows = object_numbers(df, numbers, **options).where("payload is not null")
+    return rows.select("file_id", "obj_num", F.when(F.is_valid_utf8(F.col("payload").cast("string")), F.col("payload").cast("string")).alias("text"))
+
+
+def page_number(df: DataFrame, page: int, **options) -> DataFrame:
+    """(file_id, obj_num) of the page at this place, from 0, of the first Pages node with kids; files without it
+    have no row."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        kids = structure.pages_of(structure.by_number(files.decode(content, **options).objects))
+        return [(kids[page],)] if 0 <= page < len(kids) else []
+
+    return per_file(df, kernel, "file_id {k}, obj_num long")
+
+
+def page_object(df: DataFrame, page: int, **options) -> DataFrame:
+    """(file_id, obj_num, prim_json) of that page."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        objects = structure.by_number(files.decode(content, **options).objects)
+        kids = structure.pages_of(objects)
+        return [(kids[page], to_json(objects[kids[page]][0]))] if 0 <= page < len(kids) and kids[page] in objects else []
+
+    return per_file(df, kernel, "file_id {k}, obj_num long, prim_json string")
+
+
+def streams_of_page(df: DataFrame, page: int, **options) -> DataFrame:
+    """(file_id, place, obj_num, text) of the contents that page lists, decoded, as UTF-8."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        objects = structure.by_number(files.decode(content, **options).objects)
+        kids = structure.pages_of(objects)
+        if not 0 <= page < len(kids) or kids[page] not in objects:
+            return []
+        out = []
+        for k, n in enumerate(structure.references(value_at(objects[kids[page]][0], "Contents"))):
+            data = _payload(*objects[n]) if n in objects else None
+            if data is not None:
+                out.append((k, n, data.decode("utf-8", "replace")))
+        return out
+
+    return per_file(df, kernel, "file_id {k}, place int, obj_num long, text string")
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """(file_id, n): how many rows each file gave, what a sink that counts would return."""
+    return df.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def digests_df(df: DataFrame) -> DataFrame:
     return df.select("file_id", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
 
@@ -155,14 +299,6 @@ def elements_df(decoded: DataFrame) -> DataFrame:
     )
 
 
-NODES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("node", "parent", "place") else T.StringType()) for n in ("node", "parent", "key", "place", "kind", "text", "action", "parent_key", "parent_action")]))
-
-
-@F.udf(NODES, useArrow=True)
-def nodes_of(prim_json: str | None) -> list[tuple]:
-    return nodes(from_json(prim_json)) if prim_json else []
-
-
 def uncompressed(decoded: DataFrame, column: str = "payload") -> DataFrame:
     """decoded with each content's decoded payload, or null where its filters fail."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decoded.schema) + f", `{column}` binary"
@@ -221,7 +357,8 @@ def image_files(decoded: DataFrame) -> DataFrame:
     """(file_id, obj_num, extension, bytes) of the images that can be saved as they are."""
     rows = elements_df(decoded).where("kind = 'content_image'").select("file_id", "seq", "image_codec").join(decoded, ["file_id", "seq"])
 
-    @F.udf(T.BinaryType(), useArrow=True)
+    kind = decoded.schema["file_id"].dataType.simpleString()
+
     def saved(header: str, raw: bytes, extension: str) -> bytes:
         v = from_json(header)
         if extension == "jpg":
@@ -229,4 +366,9 @@ def image_files(decoded: DataFrame) -> DataFrame:
         group = number_of(value_at(filters.parameters(v, 0), "K")) if filters.parameters(v, 0) else 0
         return files.tiff_header(number_of(value_at(v, "Width")) or 0, number_of(value_at(v, "Height")) or 0, len(raw), 4 if (group or 0) < 0 else 3) + raw
 
-    return rows.select("file_id", "obj_num", F.col("image_codec").alias("extension"), saved("prim_json", "raw_stream", "image_codec").alias("bytes"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [saved(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("prim_json", "raw_stream", "image_codec")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("obj_num"), batch.column("image_codec"), pa.array(out, pa.binary())], ["file_id", "obj_num", "extension", "bytes"])
+
+    return rows.select("file_id", "obj_num", "image_codec", "prim_json", "raw_stream").mapInArrow(run, f"file_id {kind}, obj_num long, extension string, bytes binary")

@@ -1,7 +1,8 @@
-"""Compliance policies: facts of each file, rules, and how rules combine, as queries over value nodes.
+"""Compliance policies: facts of each file, rules, and how rules combine.
 
-A policy is a small tree of rules that compiles to one DataFrame of violations; a file that breaks
-nothing has no row. Files without objects or cross-references pass, as nothing can be said of them."""
+The facts of a file are one row, made from its bytes in one pass. A policy compiles to one column over that
+row, the list of its violations; no rule reads the files again or joins anything. A file that breaks nothing
+has no row. Files without objects or cross-references pass, as nothing can be said of them."""
 
 from __future__ import annotations
 
@@ -11,96 +12,84 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.checks import by_number
-from foliant.operators.decode import nodes_of
+from foliant.functions import files, structure
+from foliant.functions.objects import from_json
+from foliant.functions.structure import DANGEROUS
+from foliant.operators.checks import gathered, objects_of
+from foliant.operators.decode import per_file_struct
 
-#: Actions that are dangerous by default.
-DANGEROUS = ("Launch", "SubmitForm", "ImportData", "RichMedia", "GoToE", "GoToR")
-VIOLATION = ["file_id", "rule", "kind", "obj_num", "detail"]
+VIOLATION = ["rule", "kind", "obj_num", "detail"]
+LIST = "array<struct<rule:string,kind:string,obj_num:long,detail:string>>"
+FACTS = (
+    "assembled boolean, fonts array<string>, dangerous_actions array<string>, object_count long, has_javascript boolean, has_embedded_file boolean, has_file_attachment boolean, has_external_uri boolean, has_encrypt boolean, "
+    "actions array<struct<obj_num:long,under:string,s:string,has_s:boolean,has_js:boolean,uri:string>>, named_scripts array<long>, embedded array<long>, attachments array<long>, font_uses array<struct<obj_num:long,font:string>>, descendants array<long>"
+)
 
 
-def node_rows(decoded: DataFrame, meta: DataFrame) -> DataFrame:
-    """Value nodes of the last object of each number, and of the trailer as object 0."""
-    objects = by_number(decoded).select("file_id", "obj_num", "prim_json")
-    trailers = meta.where("trailer_json is not null").select("file_id", F.lit(0).cast("long").alias("obj_num"), F.col("trailer_json").alias("prim_json"))
-    return objects.unionByName(trailers).select("file_id", "obj_num", F.inline(nodes_of("prim_json")))
+def _facts(objects: list[tuple], xrefs: int, trailer: object) -> dict:
+    return {"assembled": bool(objects) and xrefs > 0, **structure.facts(structure.by_number(objects), trailer)}
 
 
-def facts_df(nodes: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row a file: fonts, what actions it has, and what it holds."""
-    s = (F.col("key") == "S") & (F.col("kind") == "name") & F.col("parent_action").isNotNull()
-    named = lambda key, text: (F.col("key") == key) & (F.col("text") == text)
-    js = (F.col("key") == "JS") | (s & (F.col("text") == "JavaScript")) | ((F.col("key") == "JavaScript") & (F.col("parent_key") == "Names"))
-    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
-    found = nodes.groupBy("file_id").agg(
-        F.sort_array(F.collect_set(F.when((F.col("key") == "BaseFont") & (F.col("kind") == "name"), F.col("text")))).alias("fonts"),
-        any_of(js).alias("has_javascript"),
-        F.sort_array(F.collect_set(F.when(s & F.col("text").isin(*DANGEROUS), F.col("text")))).alias("dangerous_actions"),
-        any_of(named("Type", "EmbeddedFile")).alias("has_embedded_file"),
-        any_of(named("Subtype", "FileAttachment")).alias("has_file_attachment"),
-        any_of(s & (F.col("text") == "URI")).alias("has_external_uri"),
-        any_of((F.col("obj_num") == 0) & (F.col("parent") == 0) & (F.col("key") == "Encrypt")).alias("has_encrypt"),
-        F.countDistinct(F.when(F.col("obj_num") > 0, F.col("obj_num"))).alias("object_count"),
-    )
-    return found.join(meta.where("objects > 0 and xrefs > 0").select("file_id"), "file_id", "left_semi")
+def facts_files(df: DataFrame, **options) -> DataFrame:
+    """One row a file: fonts, what actions it has, what it holds, and what rules look at."""
 
+    def kernel(content: bytes) -> dict:
+        d = files.decode(content, **options)
+        return _facts(d.objects, len(d.xrefs), d.trailer)
 
-@dataclass
-class Context:
-    nodes: DataFrame
-    facts: DataFrame
+    return per_file_struct(df, kernel, FACTS)
+
+
+def facts_df(decoded: DataFrame, meta: DataFrame) -> DataFrame:
+    """facts_files of objects decoded before."""
+
+    def kernel(row: dict) -> dict:
+        return _facts(objects_of(row["parts"]), row["xrefs"], from_json(row["trailer_json"]) if row["trailer_json"] else None)
+
+    return per_file_struct(gathered(decoded, meta).select("file_id", F.struct("parts", "xrefs", "trailer_json").alias("content")), kernel, FACTS)
 
 
 @dataclass(frozen=True)
 class Policy:
-    """run: the violations under a context. & demands both, | either one."""
+    """violations: a column over a row of facts. & demands both, | either one."""
 
-    run: Callable[[Context], DataFrame]
+    violations: Callable[[], Column]
 
     def __and__(self, other: Policy) -> Policy:
-        return Policy(lambda c: self.run(c).unionByName(other.run(c)))
+        return Policy(lambda: F.concat(self.violations(), other.violations()))
 
     def __or__(self, other: Policy) -> Policy:
-        def either(c: Context) -> DataFrame:
-            a, b = self.run(c), other.run(c)
-            return a.join(b.select("file_id").distinct(), "file_id", "left_semi").unionByName(b.join(a.select("file_id").distinct(), "file_id", "left_semi"))
+        def either() -> Column:
+            a, b = self.violations(), other.violations()
+            return F.when((F.size(a) > 0) & (F.size(b) > 0), F.concat(a, b)).otherwise(F.array().cast(LIST))
 
         return Policy(either)
 
 
-def _rule(name: str, kind: str, found: Callable[[Context], DataFrame]) -> Policy:
-    """found gives file_id, obj_num and detail."""
-
-    def run(c: Context) -> DataFrame:
-        rows = found(c).select("file_id", F.lit(name).alias("rule"), F.lit(kind).alias("kind"), "obj_num", F.col("detail").cast("string").alias("detail"))
-        return rows.join(c.facts.select("file_id"), "file_id", "left_semi").select(*VIOLATION)
+def _violation(rule: str, kind: str, obj_num: Column | None = None, detail: Column | None = None) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), (F.lit(None) if obj_num is None else obj_num).cast("long").alias("obj_num"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
-    return Policy(run)
 
+def _each(rule: str, kind: str, of: Column, where: Callable[[Column], Column] | None = None, detail: Callable[[Column], Column] | None = None, number: Callable[[Column], Column] = lambda x: x["obj_num"]) -> Column:
+    found = of if where is None else F.filter(of, where)
+    return F.transform(found, lambda x: _violation(rule, kind, number(x), None if detail is None else detail(x))).cast(LIST)
 
-PASS = Policy(lambda c: c.facts.where("false").select("file_id", F.lit("").alias("rule"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("obj_num"), F.lit("").alias("detail")))
 
-
-def _actions(c: Context) -> DataFrame:
-    """Dictionaries that are actions or hold JavaScript: one row each."""
-    text = lambda key: F.max(F.when(F.col("key") == key, F.col("text")))
-    own = c.nodes.where(F.col("key").isin("S", "JS", "URI") & (F.col("parent") >= 0))
-    return own.groupBy("file_id", "obj_num", "parent", "parent_action").agg(F.max(F.when((F.col("key") == "S") & (F.col("kind") == "name"), F.col("text"))).alias("s"), F.max(F.col("key") == "S").alias("has_s"), F.max(F.col("key") == "JS").alias("has_js"), F.max(F.when((F.col("key") == "URI") & (F.col("kind") == "str"), F.col("text"))).alias("uri"), text("S").alias("any_s"))
+PASS = permissive = Policy(lambda: F.array().cast(LIST))
 
 
 def ban_javascript() -> Policy:
-    def found(c: Context) -> DataFrame:
-        a = _actions(c)
-        acting = a.where("parent_action is not null and (has_js or s = 'JavaScript')").select("file_id", "obj_num", F.col("parent_action").alias("detail"))
-        bare = a.where("parent_action is null and has_js and not has_s").select("file_id", "obj_num", F.lit("JS").alias("detail"))
-        named = c.nodes.where("key = 'JavaScript' and parent_key = 'Names'").select("file_id", "obj_num", F.lit("Names.JavaScript").alias("detail"))
-        return acting.unionByName(bare).unionByName(named)
+    def found() -> Column:
+        acting = _each("banJavaScript", "JavaScript", F.col("actions"), lambda a: a["under"].isNotNull() & (a["has_js"] | F.coalesce(a["s"] == "JavaScript", F.lit(False))), lambda a: a["under"])
+        bare = _each("banJavaScript", "JavaScript", F.col("actions"), lambda a: a["under"].isNull() & a["has_js"] & ~a["has_s"], lambda a: F.lit("JS"))
+        named = _each("banJavaScript", "JavaScript", F.col("named_scripts"), None, lambda n: F.lit("Names.JavaScript"), lambda n: n)
+        return F.concat(acting, bare, named)
 
-    return _rule("banJavaScript", "JavaScript", found)
+    return Policy(found)
 
 
 def ban_actions(*names: str) -> Policy:
-    return _rule("banActions", "DangerousAction", lambda c: _actions(c).where(F.col("parent_action").isNotNull() & F.col("s").isin(*names)).select("file_id", "obj_num", F.col("s").alias("detail")))
+    return Policy(lambda: _each("banActions", "DangerousAction", F.col("actions"), lambda a: a["under"].isNotNull() & a["s"].isin(*names), lambda a: a["s"]))
 
 
 def ban_dangerous_actions() -> Policy:
@@ -108,48 +97,39 @@ def ban_dangerous_actions() -> Policy:
 
 
 def ban_external_uri() -> Policy:
-    uri = F.coalesce(F.decode(F.unhex("uri"), "ISO-8859-1"), F.lit("<non-string>"))
-    return _rule("banExternalUri", "ExternalUri", lambda c: _actions(c).where("parent_action is not null and s = 'URI'").select("file_id", "obj_num", uri.alias("detail")))
-
-
-def _top_level(key: str, text: str) -> Callable[[Context], DataFrame]:
-    return lambda c: c.nodes.where((F.col("obj_num") > 0) & (F.col("parent") == 0) & (F.col("key") == key) & (F.col("kind") == "name") & (F.col("text") == text)).select("file_id", "obj_num", F.lit(None).alias("detail"))
+    return Policy(lambda: _each("banExternalUri", "ExternalUri", F.col("actions"), lambda a: a["under"].isNotNull() & (a["s"] == "URI"), lambda a: F.coalesce(a["uri"], F.lit("<non-string>"))))
 
 
 def ban_embedded_files() -> Policy:
-    return _rule("banEmbeddedFiles", "EmbeddedFile", _top_level("Type", "EmbeddedFile"))
+    return Policy(lambda: _each("banEmbeddedFiles", "EmbeddedFile", F.col("embedded"), number=lambda n: n))
 
 
 def ban_file_attachments() -> Policy:
-    return _rule("banFileAttachments", "FileAttachment", _top_level("Subtype", "FileAttachment"))
+    return Policy(lambda: _each("banFileAttachments", "FileAttachment", F.col("attachments"), number=lambda n: n))
 
 
 def deny_fonts(*names: str) -> Policy:
     """Fonts by name in objects, not in the trailer; once more for fonts that a composite font refers to."""
 
-    def found(c: Context) -> DataFrame:
-        fonts = c.nodes.where((F.col("obj_num") > 0) & (F.col("key") == "BaseFont") & (F.col("kind") == "name") & F.col("text").isin(*names)).select("file_id", "obj_num", F.col("text").alias("detail"))
-        children = c.nodes.where("obj_num > 0 and parent_key = 'DescendantFonts' and kind = 'ref' and key is null").select("file_id", F.split("text", " ")[0].cast("long").alias("obj_num"))
-        return fonts.unionByName(children.join(fonts, ["file_id", "obj_num"]))
+    def found() -> Column:
+        uses = F.filter("font_uses", lambda f: f["font"].isin(*names))
+        again = F.flatten(F.transform("descendants", lambda n: F.filter(uses, lambda f: f["obj_num"] == n)))
+        return _each("denyFonts", "DeniedFont", F.concat(uses, again), None, lambda f: f["font"])
 
-    return _rule("denyFonts", "DeniedFont", found)
+    return Policy(found)
 
 
 def reject(reason: str) -> Policy:
-    return _rule("reject", "Custom", lambda c: c.facts.select("file_id", F.lit(None).cast("long").alias("obj_num"), F.lit(reason).alias("detail")))
+    return Policy(lambda: F.array(_violation("reject", "Custom", None, F.lit(reason))).cast(LIST))
 
 
 def check(name: str, fails: Column) -> Policy:
     """A rule of one's own: files whose facts make `fails` true."""
-    return _rule(name, "Custom", lambda c: c.facts.where(fails).select("file_id", F.lit(None).cast("long").alias("obj_num"), F.lit(name).alias("detail")))
+    return Policy(lambda: F.when(fails, F.array(_violation(name, "Custom", None, F.lit(name)))).otherwise(F.array()).cast(LIST))
 
 
 def if_else(condition: Column, then: Policy, other: Policy = PASS) -> Policy:
-    def run(c: Context) -> DataFrame:
-        yes, no = c.facts.where(condition).select("file_id"), c.facts.where(~condition).select("file_id")
-        return then.run(c).join(yes, "file_id", "left_semi").unionByName(other.run(c).join(no, "file_id", "left_semi"))
-
-    return Policy(run)
+    return Policy(lambda: F.when(condition, then.violations()).otherwise(other.violations()))
 
 
 def when(condition: Column, then: Policy) -> Policy:
@@ -190,10 +170,28 @@ def object_count_at_least(n: int) -> Column:
     return F.col("object_count") >= n
 
 
+def object_count_less_than(n: int) -> Column:
+    return F.col("object_count") < n
+
+
 def strict() -> Policy:
     return ban_javascript() & ban_dangerous_actions()
 
 
+def config(denied_fonts: tuple[str, ...] = (), javascript: bool = True, dangerous_actions: bool = True, embedded_files: bool = False, file_attachments: bool = False, external_uri: bool = False) -> Policy:
+    """A policy from switches: what is true is banned."""
+    chosen = [rule() for on, rule in ((javascript, ban_javascript), (dangerous_actions, ban_dangerous_actions), (embedded_files, ban_embedded_files), (file_attachments, ban_file_attachments), (external_uri, ban_external_uri)) if on]
+    return all_of(*chosen, *([deny_fonts(*denied_fonts)] if denied_fonts else []))
+
+
+def violations_of(facts: DataFrame, policy: Policy) -> DataFrame:
+    """(file_id, rule, kind, obj_num, detail) of each violation."""
+    return facts.where("assembled").select("file_id", F.inline(policy.violations()))
+
+
+def violations_files(df: DataFrame, policy: Policy, **options) -> DataFrame:
+    return violations_of(facts_files(df, **options), policy)
+
+
 def violations_df(decoded: DataFrame, meta: DataFrame, policy: Policy) -> DataFrame:
-    nodes = node_rows(decoded, meta)
-    return policy.run(Context(nodes, facts_df(nodes, meta)))
+    return violations_of(facts_df(decoded, meta), policy)

@@ -14,14 +14,17 @@ from foliant.functions import files, filters
 from foliant.functions.objects import Malformed, from_json, to_json
 
 
-@F.udf(T.BinaryType(), useArrow=True)
-def object_bytes(number: int, generation: int, prim_json: str, payload: bytes | None) -> bytes:
-    return files.object_bytes(number, generation, from_json(prim_json), payload)
-
-
 def encoded_df(parts: DataFrame) -> DataFrame:
     """parts (file_id, seq, obj_num, gen, prim_json, payload) with each object's bytes and its size."""
-    return parts.withColumn("bytes", object_bytes("obj_num", "gen", "prim_json", "payload")).withColumn("size", F.octet_length("bytes").cast("long"))
+    schema = T.StructType([*parts.schema.fields, T.StructField("bytes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("obj_num", "gen", "prim_json", "payload"))
+            out = [files.object_bytes(n, g, from_json(v), p) for n, g, v, p in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
+
+    return parts.mapInArrow(run, schema).withColumn("size", F.octet_length("bytes").cast("long"))
 
 
 def offsets_df(encoded: DataFrame, base: int = len(files.HEADER)) -> DataFrame:

@@ -171,8 +171,8 @@ def byte_scan(spark, d):
 
 @query(f"SELECT doc_id, length({TRIMMED})::BIGINT AS n_chars, sha256({TRIMMED}) AS sha256 FROM documents")
 def pdf_roundtrip_text(spark, d):
-    decoded = decode.decoded_df(made(documents(spark, d), plain_file, "text"))
-    return decode.page_text_df(decoded).select(F.col("file_id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+    rows = made(documents(spark, d), plain_file, "text")
+    return decode.page_text_files(rows).select(F.col("file_id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
 @query("SELECT doc_id, '1.7' AS version, 6::BIGINT AS size, 1::BIGINT AS root_num, 5::BIGINT AS objects, 1 AS xrefs, 0::BIGINT AS unparsed_bytes FROM documents")
@@ -216,12 +216,27 @@ def pdf_repeated_objects(spark, d):
     return decoded.groupBy("file_id", "obj_num").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("file_id", "doc_id")
 
 
+def _lzw(data: bytes) -> bytes:
+    """Codes of nine bits: a clear code before every 200 bytes, each byte by its own code, and the end."""
+    codes = [c for i in range(0, len(data) or 1, 200) for c in (256, *data[i : i + 200])] + [257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    return int(bits.ljust(-len(bits) % 8 + len(bits), "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def _predicted(data: bytes) -> bytes:
+    """PNG rows of one byte: as they are and as the difference to the row above, in turn."""
+    return b"".join(bytes((0, x)) if i % 2 == 0 else bytes((2, (x - data[i - 1]) & 255)) for i, x in enumerate(data))
+
+
 def _filtered(text: str | None, which: int) -> bytes:
     import base64
     import zlib
 
     data = shown(text)
-    kinds = [["FlateDecode"], ["ASCIIHexDecode"], ["ASCII85Decode"], ["RunLengthDecode"], ["ASCII85Decode", "FlateDecode"]][which % 5]
+    kinds = [["FlateDecode"], ["ASCIIHexDecode"], ["ASCII85Decode"], ["RunLengthDecode"], ["ASCII85Decode", "FlateDecode"], ["LZWDecode"], ["FlateDecode"]][which]
+    header = {"Filter": ("array", [objects.name(k) for k in kinds])}
+    if which == 6:
+        data, header["DecodeParms"] = _predicted(data), ("array", [objects.dictionary(Predictor=objects.num(15), Columns=objects.num(1))])
     for k in reversed(kinds):
         if k == "FlateDecode":
             data = zlib.compress(data)
@@ -229,18 +244,20 @@ def _filtered(text: str | None, which: int) -> bytes:
             data = data.hex().encode() + b">"
         elif k == "ASCII85Decode":
             data = base64.a85encode(data) + b"~>"
+        elif k == "LZWDecode":
+            data = _lzw(data)
         else:
             data = b"".join(bytes((len(p) - 1,)) + p for p in (data[i : i + 128] for i in range(0, len(data), 128))) + b"\x80"
     page = files.simple_page(b"")
-    page[3] = (4, 0, ("dict", {"Filter": ("array", [objects.name(k) for k in kinds]), "Length": objects.num(len(data))}), data)
+    page[3] = (4, 0, ("dict", {**header, "Length": objects.num(len(data))}), data)
     return files.build(page, TRAILER)
 
 
 @query(f"SELECT doc_id, sha256({TRIMMED}) AS sha256 FROM documents")
 def pdf_filters(spark, d):
-    """Contents behind each filter alone and chained, by document, come out as the text."""
-    rows = made(documents(spark, d).withColumn("which", F.col("file_id") % 5), _filtered, "text", "which")
-    return decode.page_text_df(decode.decoded_df(rows)).select(F.col("file_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
+    """Contents behind each filter alone, chained, and with a predictor, by document, come out as the text."""
+    rows = made(documents(spark, d).withColumn("which", F.pmod(F.col("file_id"), F.lit(7)).cast("int")), _filtered, "text", "which")
+    return decode.page_text_files(rows).select(F.col("file_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
 
 
 def _packed(text: str | None) -> bytes:
@@ -271,19 +288,78 @@ def _packed(text: str | None) -> bytes:
 
 @query(f"SELECT doc_id, sha256({TRIMMED}) AS sha256, 8::BIGINT AS entries, 4::BIGINT AS compressed, 5::BIGINT AS objects, 1::BIGINT AS root_num FROM documents")
 def pdf_object_streams(spark, d):
-    rows = made(documents(spark, d), _packed, "text")
-    text = decode.page_text_df(decode.decoded_df(rows)).select("file_id", F.sha2("text", 256).alias("sha256"))
-    xrefs = decode.xref_entries_df(rows).groupBy("file_id").agg(F.count(F.lit(1)).alias("entries"), F.sum((F.col("kind") == "compressed").cast("long")).alias("compressed"))
-    meta = decode.meta_df(rows).select("file_id", "objects", "root_num")
-    return text.join(xrefs, "file_id").join(meta, "file_id").withColumnRenamed("file_id", "doc_id")
+    opened = decode.opened_df(made(documents(spark, d), _packed, "text"))
+    compressed = F.size(F.filter("xrefs", lambda x: x["kind"] == "compressed")).cast("long")
+    return opened.select(F.col("file_id").alias("doc_id"), F.sha2(F.col("pages")[0]["text"], 256).alias("sha256"), F.size("xrefs").cast("long").alias("entries"), compressed.alias("compressed"), "objects", "root_num")
+
+
+@query("SELECT doc_id, '1.7' AS version, 5::BIGINT AS objects, true AS whole FROM documents")
+def pdf_decode_digest(spark, d):
+    """Objects with the digest of their file from one reading; the digest is that of the bytes."""
+    rows = made(documents(spark, d), plain_file, "text")
+    decoded = decode.decoded_with_digest(rows).groupBy("file_id").agg(F.count(F.lit(1)).alias("objects"), F.min("sha256").alias("low"), F.max("sha256").alias("high"))
+    own = rows.select("file_id", F.sha2("content", 256).alias("own"), F.decode(F.substring("content", 6, 3), "US-ASCII").alias("version"))
+    return decoded.join(own, "file_id").select(F.col("file_id").alias("doc_id"), "version", "objects", ((F.col("low") == F.col("own")) & (F.col("high") == F.col("own"))).alias("whole"))
+
+
+def _wrong_length(text: str | None, over: bool) -> bytes:
+    import re
+
+    return re.sub(rb"/Length \d+", b"/Length 100000" if over else b"/Length 3", plain_file(text), count=1)
+
+
+@query(f"SELECT doc_id, sha256({TRIMMED}) AS sha256 FROM documents")
+def pdf_broken_length(spark, d):
+    """Contents whose length is too small, or reaches past the file, end at endstream."""
+    rows = made(documents(spark, d).withColumn("over", F.col("file_id") % 2 == 0), _wrong_length, "text", "over")
+    return decode.page_text_files(rows).select(F.col("file_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, n AS obj_num, n = 4 AS has_payload FROM documents, (VALUES (2::BIGINT), (4)) AS k(n)")
+def pdf_object_numbers(spark, d):
+    found = decode.object_numbers(made(documents(spark, d), plain_file, "text"), [2, 4, 77])
+    return found.select(F.col("file_id").alias("doc_id"), "obj_num", F.col("payload").isNotNull().alias("has_payload"))
+
+
+@query("SELECT doc_id, 4::BIGINT AS obj_num, sha256('BT /F1 12 Tf (' || replace(replace(replace(text, '\\', '\\\\'), '(', '\\('), ')', '\\)') || ') Tj ET') AS sha256 FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) = length(text)")
+def pdf_stream_texts(spark, d):
+    """Decoded payloads as text, of texts of ASCII alone."""
+    plain = documents(spark, d).where(F.octet_length("text") == F.length("text"))
+    return decode.stream_texts(made(plain, plain_file, "text"), [4]).select(F.col("file_id").alias("doc_id"), "obj_num", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, 2::BIGINT AS n FROM documents")
+def pdf_top_level(spark, d):
+    """The packed files' own objects: the contents and the object stream, but for the cross-reference stream."""
+    top = decode.top_level_df(made(documents(spark, d), _packed, "text")).where(F.get_json_object("prim_json", "$.Type").isNull() | (F.get_json_object("prim_json", "$.Type") != "/XRef"))
+    return decode.counted(top).select(F.col("file_id").alias("doc_id"), "n")
+
+
+def _operators(lang: str | None, source: str | None) -> bytes:
+    a, b = (objects.write(objects.text((x or "").encode())) for x in (lang, source))
+    return files.build(files.simple_page(b"BT %s Tj %s Tj T* [%s -250 %s] TJ 10 0 Td (x) Tj 0 5 TD (y) ' 1 0 0 1 9 9 Tm (z) Tj 2 3 (w) \" ET" % (a, b, a, b)), TRAILER)
+
+
+@query("SELECT doc_id, lang || ' ' || source || chr(10) || lang || source || ' x' || chr(10) || 'y' || chr(10) || 'z' || chr(10) || 'w' AS text FROM documents")
+def pdf_text_operators(spark, d):
+    rows = made(table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "lang", "source"), _operators, "lang", "source")
+    return decode.page_text_files(rows).select(F.col("file_id").alias("doc_id"), "text")
 
 
 # ---- parts, offsets, conversations ---------------------------------------------------------------
 
 
-@F.udf(T.StructType([T.StructField("prim_json", T.StringType()), T.StructField("payload", T.BinaryType())]), useArrow=True)
-def _content_part(text: str | None) -> tuple[str, bytes]:
-    return objects.to_json(objects.dictionary()), shown(text)
+def _content_parts(rows: DataFrame) -> DataFrame:
+    """rows with the text's page content as a part: prim_json and payload."""
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("prim_json", T.StringType()), T.StructField("payload", T.BinaryType())])
+    header = objects.to_json(objects.dictionary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([header] * batch.num_rows), pa.array([shown(t) for t in batch.column("text").to_pylist()], pa.binary())], [*kept, "prim_json", "payload"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def conversation_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +368,7 @@ def conversation_parts(spark: SparkSession, d: str) -> DataFrame:
     page_num = (F.col("turn") * 2 + 3).cast("long")
     page = F.concat(F.lit('{"Type":"/Page","Parent":"@2 0","MediaBox":["#0","#0","#612","#792"],"Contents":["@'), (page_num + 1).cast("string"), F.lit(' 0"]}'))
     pages = turns.select("file_id", page_num.alias("seq"), page_num.alias("obj_num"), page.alias("prim_json"), F.lit(None).cast("binary").alias("payload"))
-    contents = turns.select("file_id", (page_num + 1).alias("seq"), (page_num + 1).alias("obj_num"), _content_part("text").alias("x")).select("file_id", "seq", "obj_num", "x.prim_json", "x.payload")
+    contents = _content_parts(turns.select("file_id", (page_num + 1).alias("seq"), (page_num + 1).alias("obj_num"), "text"))
     kids = F.transform(F.sort_array(F.collect_list("turn")), lambda t: F.concat(F.lit("@"), (t * 2 + 3).cast("string"), F.lit(" 0")))
     node = turns.groupBy("file_id").agg(F.to_json(F.struct(F.lit("/Pages").alias("Type"), kids.alias("Kids"), F.concat(F.lit("#"), F.count(F.lit(1)).cast("string")).alias("Count"))).alias("prim_json"))
     nodes = node.select("file_id", F.lit(2).cast("long").alias("seq"), F.lit(2).cast("long").alias("obj_num"), "prim_json", F.lit(None).cast("binary").alias("payload"))
@@ -308,7 +384,7 @@ def conversation_files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT conv_id, turn, sha256({TRIMMED}) AS sha256 FROM conversations")
 def pdf_conversation_pages(spark, d):
     """Files put together from rows; each turn's page gives its text."""
-    text = decode.page_text_df(decode.decoded_df(conversation_files(spark, d)))
+    text = decode.page_text_files(conversation_files(spark, d))
     return text.select(F.col("file_id").alias("conv_id"), ((F.col("page_obj") - 3) / 2).cast("long").alias("turn"), F.sha2("text", 256).alias("sha256"))
 
 
@@ -323,11 +399,19 @@ def pdf_written_offsets(spark, d):
 
 @query("SELECT conv_id, level::INT AS level, kind, n::BIGINT AS n FROM (SELECT conv_id, 0 AS level, 'pages' AS kind, 1 AS n FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, 1, 'page', count(*) FROM conversations GROUP BY conv_id)")
 def pdf_page_tree(spark, d):
-    rows = conversation_files(spark, d)
-    tree = checks.page_tree(decode.decoded_df(rows), decode.meta_df(rows))
+    tree = checks.page_tree_files(conversation_files(spark, d))
     return tree.groupBy("file_id", "level", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("file_id").alias("conv_id"), F.col("level").cast("int").alias("level"), "kind", "n")
 
 
+@query(f"SELECT conv_id, 5::BIGINT AS obj_num, sha256('BT /F1 12 Tf (' || replace(replace(replace(text, '\\', '\\\\'), '(', '\\('), ')', '\\)') || ') Tj ET') AS sha256 FROM conversations WHERE turn = 1 AND octet_length(encode(text)) = length(text)")
+def pdf_page_number(spark, d):
+    """The second page of each conversation, and what it shows, where that is ASCII."""
+    rows = conversation_files(spark, d)
+    plain = table(spark, d, "conversations").where((F.col("turn") == 1) & (F.octet_length("text") == F.length("text"))).select(F.col("conv_id").alias("file_id"))
+    shows = decode.streams_of_page(rows, 1).select("file_id", F.sha2("text", 256).alias("sha256"))
+    return decode.page_number(rows, 1).join(shows, "file_id").join(plain, "file_id", "left_semi").select(F.col("file_id").alias("conv_id"), "obj_num", "sha256")
+
+
 def _geography(rows: list[dict]) -> bytes:
     """A page tree of nations over customers' pages for one region."""
     out, kids, n = [], [], 3
@@ -373,7 +457,69 @@ def _faulty(text: str | None, lang: str | None) -> bytes:
 @query("SELECT doc_id, CASE lang WHEN 'de' THEN 'ContentMissing' WHEN 'fr' THEN 'ContentStreamMissing' ELSE 'PageMissing' END AS kind, CASE lang WHEN 'es' THEN 2 ELSE 3 END::BIGINT AS owner, CASE lang WHEN 'de' THEN 99 WHEN 'fr' THEN 5 ELSE 77 END::BIGINT AS target FROM documents WHERE lang IN ('de', 'fr', 'es')")
 def pdf_validate(spark, d):
     rows = made(documents(spark, d, "lang"), _faulty, "text", "lang")
-    return checks.validate_df(decode.decoded_df(rows), decode.meta_df(rows)).withColumnRenamed("file_id", "doc_id")
+    return checks.validate_files(rows).withColumnRenamed("file_id", "doc_id")
+
+
+#: What is wrong with the file of each document, by the remainder of its id: (kind, owner, target).
+FAULTS = [None, ("NoObjs", None, None), ("NoXrefs", None, None), ("BrokenStream", 6, None), ("NoRoot", None, None), ("NoCatalog", None, 9), ("NoPagesInCatalog", None, None), ("NoPageRoot", None, 50), ("NoPages", None, 3), ("PageMissing", 2, 77), ("InvalidPageTreeObject", 2, 5), ("PageTreeCycle", 2, 2), ("ContentMissing", 3, 99), ("ContentStreamMissing", 3, 5), ("ContentTooDeep", 3, 6)]
+
+
+def _spoiled(text: str | None, which: int) -> bytes:
+    page, trailer = files.simple_page(shown(text)), TRAILER
+    change = lambda k, **items: page.__setitem__(k, (page[k][0], 0, objects.updated(page[k][2], **items), None))
+    kind = FAULTS[which] and FAULTS[which][0]
+    if kind == "NoObjs":
+        return files.HEADER
+    if kind == "NoXrefs":
+        return files.HEADER + b"".join(files.object_bytes(*o) for o in page)
+    if kind == "BrokenStream":
+        page.append((6, 0, objects.dictionary(Filter=objects.name("FlateDecode")), b"not deflated"))
+    elif kind in ("NoRoot", "NoCatalog"):
+        trailer = objects.dictionary() if kind == "NoRoot" else objects.dictionary(Root=objects.ref(9))
+    elif kind == "NoPagesInCatalog":
+        change(0, Pages=objects.num(1))
+    elif kind in ("NoPageRoot", "NoPages"):
+        change(0, Pages=objects.ref(50 if kind == "NoPageRoot" else 3))
+    elif kind in ("PageMissing", "InvalidPageTreeObject", "PageTreeCycle"):
+        change(1, Kids=objects.array(objects.ref(3), objects.ref({"PageMissing": 77, "InvalidPageTreeObject": 5}.get(kind, 2))))
+    elif kind in ("ContentMissing", "ContentStreamMissing"):
+        change(2, Contents=objects.array(objects.ref(4), objects.ref(99 if kind == "ContentMissing" else 5)))
+    elif kind == "ContentTooDeep":
+        change(2, Contents=objects.array(objects.ref(6)))
+        page.append((6, 0, objects.array(objects.ref(4), objects.ref(6)), None))
+    return files.build(page, trailer)
+
+
+_FAULT_ROWS = ", ".join(f"({k}, '{f[0]}', {'NULL' if f[1] is None else f[1]}::BIGINT, {'NULL' if f[2] is None else f[2]}::BIGINT)" for k, f in enumerate(FAULTS) if f)
+
+
+@query(f"SELECT doc_id, kind, owner, target FROM documents JOIN (VALUES {_FAULT_ROWS}) AS f(k, kind, owner, target) ON doc_id % {len(FAULTS)} = k")
+def pdf_validate_kinds(spark, d):
+    """Every kind of fault, each in its own files."""
+    rows = made(documents(spark, d).withColumn("which", F.pmod(F.col("file_id"), F.lit(len(FAULTS))).cast("int")), _spoiled, "text", "which")
+    return checks.validate_files(rows).withColumnRenamed("file_id", "doc_id")
+
+
+def _changed(text: str | None, which: int) -> bytes:
+    page = files.simple_page(shown(text))
+    if which == 1:
+        page = page[:4]
+    elif which == 2:
+        page.append((6, 0, objects.dictionary(Added=("bool", True)), None))
+    elif which == 3:
+        page[3] = (4, 0, objects.dictionary(), None)
+    elif which == 4:
+        return files.HEADER
+    elif which == 5:
+        page[1] = (2, 0, objects.updated(page[1][2], Kids=objects.array(objects.ref(3), objects.ref(77))), None)
+    return files.build(page, TRAILER)
+
+
+@query("SELECT doc_id, kind, obj_num, detail FROM documents JOIN (VALUES (1, 'ObjectMissing', 5::BIGINT, NULL), (2, 'ObjectAdded', 6, NULL), (3, 'DeletedStream', 4, NULL), (3, 'Validation', 3, 'ContentStreamMissing'), (4, 'Assembly', NULL, 'NoObjs'), (5, 'Validation', 2, 'PageMissing')) AS f(k, kind, obj_num, detail) ON doc_id % 6 = k")
+def pdf_compare_kinds(spark, d):
+    """Every kind of difference, each in its own files."""
+    docs = documents(spark, d).withColumn("which", F.pmod(F.col("file_id"), F.lit(6)).cast("int"))
+    return checks.compare_files(made(docs, plain_file, "text"), made(docs, _changed, "text", "which")).withColumnRenamed("file_id", "doc_id")
 
 
 def _version_two(text: str | None, lang: str | None) -> bytes:
@@ -402,39 +548,45 @@ def _risky(text: str | None, lang: str | None, source: str | None) -> bytes:
     return files.build(files.simple_page(shown(text), catalog={"OpenAction": action} if action else None, font=source or "none"), TRAILER)
 
 
-def risky(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = made(documents(spark, d, "lang", "source"), _risky, "text", "lang", "source")
-    return decode.decoded_df(rows), decode.meta_df(rows)
+def risky(spark: SparkSession, d: str) -> DataFrame:
+    return made(documents(spark, d, "lang", "source"), _risky, "text", "lang", "source")
 
 
 @query("SELECT doc_id, CASE lang WHEN 'de' THEN 'JavaScript' ELSE 'DangerousAction' END AS kind, 1::BIGINT AS obj_num, CASE lang WHEN 'de' THEN 'OpenAction' ELSE 'Launch' END AS detail FROM documents WHERE lang IN ('de', 'fr')")
 def pdf_policy_strict(spark, d):
-    return policy.violations_df(*risky(spark, d), policy.strict()).select(F.col("file_id").alias("doc_id"), "kind", "obj_num", "detail")
+    return policy.violations_files(risky(spark, d), policy.strict()).select(F.col("file_id").alias("doc_id"), "kind", "obj_num", "detail")
 
 
 @query("SELECT doc_id, kind FROM (SELECT doc_id, unnest(['JavaScript', 'DeniedFont']) AS kind FROM documents WHERE lang = 'de' AND source = 'src0')")
 def pdf_policy_any(spark, d):
-    return policy.violations_df(*risky(spark, d), policy.ban_javascript() | policy.deny_fonts("src0")).select(F.col("file_id").alias("doc_id"), "kind")
+    return policy.violations_files(risky(spark, d), policy.ban_javascript() | policy.deny_fonts("src0")).select(F.col("file_id").alias("doc_id"), "kind")
 
 
 @query("SELECT doc_id, 5::BIGINT AS obj_num, source AS detail FROM documents WHERE source IN ('src1', 'src2')")
 def pdf_deny_fonts(spark, d):
-    return policy.violations_df(*risky(spark, d), policy.deny_fonts("src1", "src2")).select(F.col("file_id").alias("doc_id"), "obj_num", "detail")
+    return policy.violations_files(risky(spark, d), policy.deny_fonts("src1", "src2")).select(F.col("file_id").alias("doc_id"), "obj_num", "detail")
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'es' THEN 'ExternalUri' ELSE 'JavaScript' END AS kind, CASE WHEN lang = 'es' THEN 'http://example.com/' ELSE 'OpenAction' END AS detail FROM documents WHERE lang = 'es' OR (lang = 'de' AND source <> 'src3')")
 def pdf_policy_when(spark, d):
     rule = policy.ban_external_uri() & policy.unless(policy.uses_font("src3"), policy.ban_javascript())
-    return policy.violations_df(*risky(spark, d), rule).select(F.col("file_id").alias("doc_id"), "kind", "detail")
+    return policy.violations_files(risky(spark, d), rule).select(F.col("file_id").alias("doc_id"), "kind", "detail")
 
 
 @query("SELECT doc_id, source AS fonts, lang = 'de' AS has_javascript, CASE WHEN lang = 'fr' THEN 'Launch' ELSE '' END AS dangerous_actions, lang = 'es' AS has_external_uri, false AS has_embedded_file, false AS has_encrypt, 5::BIGINT AS object_count FROM documents")
 def pdf_facts(spark, d):
-    decoded, meta = risky(spark, d)
-    facts = policy.facts_df(policy.node_rows(decoded, meta), meta)
+    facts = policy.facts_files(risky(spark, d)).where("assembled")
     return facts.select(F.col("file_id").alias("doc_id"), F.array_join("fonts", ",").alias("fonts"), "has_javascript", F.array_join("dangerous_actions", ",").alias("dangerous_actions"), "has_external_uri", "has_embedded_file", "has_encrypt", "object_count")
 
 
+@query("SELECT doc_id, kind, detail FROM (SELECT doc_id, 'DangerousAction' AS kind, 'Launch' AS detail FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 'ExternalUri', 'http://example.com/' FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id, 'DeniedFont', source FROM documents WHERE source = 'src1')")
+def pdf_policy_config(spark, d):
+    """Switches, from decoded objects."""
+    rows = risky(spark, d)
+    rule = policy.config(("src1",), javascript=False, external_uri=True) & policy.when(policy.object_count_less_than(5), policy.reject("small"))
+    return policy.violations_df(decode.decoded_df(rows), decode.meta_df(rows), rule).select(F.col("file_id").alias("doc_id"), "kind", "detail")
+
+
 def _attached(html: str | None) -> bytes:
     data = (html or "").encode("utf-8")
     header, raw = filters.deflated(objects.dictionary(Type=objects.name("EmbeddedFile")), data)
@@ -462,7 +614,7 @@ def pdf_rewrite(spark, d):
     """Contents inflated, put into capitals (of ASCII), deflated, and the files rebuilt and read again."""
     rows = made(documents(spark, d), plain_file, "text")
     again = write.transform_elements(decode.decoded_df(rows), lambda x: write.map_contents(x, _upper), decode.meta_df(rows))
-    return decode.page_text_df(decode.decoded_df(again)).select(F.col("file_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
+    return decode.page_text_files(again).select(F.col("file_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
 
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS total, sha256(text) AS sha256, true AS within FROM documents")

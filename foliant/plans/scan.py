@@ -1,20 +1,30 @@
 """A scan algebra over ordered streams, compiled to DataFrame operations.
 
-A stream is rows (stream_id, pos, value). A scan compiles to two DataFrames: outputs
-(stream_id, pos, value) and a status for each stream (success, stop or failure, with an error).
-Scans compose with >> and run beside each other with & (pairs of outputs by position, the surplus of
-the longer side dropped) and | (values tagged left or right go to one of two scans). Adjacent maps and
-filters fold into one projection, so that long chains don't grow the plan."""
+A stream is rows (stream_id, pos, value). A scan compiles to outputs (stream_id, pos, value), what is left
+at the end of a stream (the value of a fold, a digest, the last short chunk) and a status for each stream
+(success, stop or failure, with an error). Run, the outputs are followed by what is left.
+
+Scans compose with >> (what the first leaves is fed to the second before that ends), run beside each other
+with & (pairs of outputs by position; the surplus of the longer side and what is left are dropped) and with
+| (values tagged left or right go to one of two scans; the first arm to signal ends both). Adjacent maps fold
+into one projection, so that long chains don't grow the plan. Folds, digests and counts of streams that an
+earlier step has emptied give their first value."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+#: Positions of what is left come behind all others.
+LAST = (1 << 62) + 0
+
 
 def _order() -> WindowSpec:
     return Window.partitionBy("stream_id").orderBy("pos")
@@ -22,13 +32,28 @@ def _order() -> WindowSpec:
 
 @dataclass
 class Result:
+    """outputs: what a run gives. status: one row a stream that came in."""
+
     outputs: DataFrame
     status: DataFrame
 
 
-def _statuses(stream: DataFrame, condition: Column | None = None, name: str = "stop", error: Column | None = None) -> DataFrame:
-    hit = F.lit(False) if condition is None else condition
-    return stream.groupBy("stream_id").agg(F.when(hit, name).otherwise("success").alias("status"), F.when(hit, error if error is not None else F.lit(None)).cast("string").alias("error"))
+@dataclass
+class _Made:
+    """emitted and left: (stream_id, pos, value); left is None if nothing ever is. signals: (stream_id, at, status,
+    error) of streams that signal, None if they never do; at: the position that raised it."""
+
+    emitted: DataFrame
+    left: DataFrame | None = None
+    signals: DataFrame | None = None
+
+    def whole(self) -> DataFrame:
+        return self.emitted if self.left is None else self.emitted.unionByName(self.left)
+
+
+def _unite(frames: list[DataFrame | None]) -> DataFrame | None:
+    there = [f for f in frames if f is not None]
+    return reduce(DataFrame.unionByName, there) if there else None
 
 
 class Scan:
@@ -45,23 +70,67 @@ class Scan:
                 steps.append(step)
         return Scan(steps)
 
+    and_then = __rshift__
+
+    def __lshift__(self, other: Scan) -> Scan:
+        return other >> self
+
+    compose = __lshift__
+
     def __and__(self, other: Scan) -> Scan:
         return Scan([("fanout", self, other)])
 
     def __or__(self, other: Scan) -> Scan:
         return Scan([("choice", self, other)])
 
-    def run(self, stream: DataFrame) -> Result:
-        status = _statuses(stream)
+    def __mul__(self, other: Scan) -> Scan:
+        """Of pairs, the first goes to one scan and the second to the other; their outputs are paired."""
+        return (first_of() >> self) & (second_of() >> other)
+
+    def __add__(self, other: Scan) -> Scan:
+        """Tagged values go to one of two scans; outputs are tagged by the arm they come from. Both arms must give
+        the kinds that to_left and to_right are told."""
+        return (self >> inject_left()) | (other >> inject_right())
+
+    def map(self, f: Callable[[Column], Column]) -> Scan:
+        return self >> map_(f)
+
+    def contramap(self, f: Callable[[Column], Column]) -> Scan:
+        return map_(f) >> self
+
+    def dimap(self, before: Callable[[Column], Column], after: Callable[[Column], Column]) -> Scan:
+        return map_(before) >> self >> map_(after)
+
+    def first(self) -> Scan:
+        """Of pairs, the first through this scan, paired with the seconds by position."""
+        return self * identity()
+
+    def second(self) -> Scan:
+        return identity() * self
+
+    def made(self, stream: DataFrame, ids: DataFrame) -> _Made:
+        made, signals = _Made(stream), []
         for step in self.steps:
-            made = _COMPILE[step[0]](stream, *step[1:])
-            stream = made.outputs
-            worse = made.status.select("stream_id", F.col("status").alias("s"), F.col("error").alias("e"))
-            rank = lambda c: F.when(c == "failure", 2).when(c == "stop", 1).otherwise(0)
-            both = status.join(worse, "stream_id", "left")
-            later = rank(F.col("s")) > rank(F.col("status"))
-            status = both.select("stream_id", F.when(later, F.col("s")).otherwise(F.col("status")).alias("status"), F.when(later, F.col("e")).otherwise(F.col("error")).alias("error"))
-        return Result(stream, status)
+            made = _COMPILE[step[0]](made.whole(), ids, *step[1:])
+            signals.append(made.signals)
+        return replace(made, signals=_unite(signals[::-1]))
+
+    def run(self, stream: DataFrame) -> Result:
+        """The status is the worst that any step signals: failure, stop, or success."""
+        ids = stream.select("stream_id").distinct()
+        made = self.made(stream, ids)
+        return Result(made.whole(), _statuses(ids, made.signals))
+
+
+def _statuses(ids: DataFrame, signals: DataFrame | None) -> DataFrame:
+    if signals is None:
+        return ids.select("stream_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    rank = F.when(F.col("status") == "failure", 2).otherwise(1)
+    worst = signals.groupBy("stream_id").agg(F.max_by(F.struct("status", "error"), F.struct(rank, -F.col("at"))).alias("x"))
+    return ids.join(worst, "stream_id", "left").select("stream_id", F.coalesce("x.status", F.lit("success")).alias("status"), F.col("x.error").alias("error"))
+
+
+# ---- constructors --------------------------------------------------------------------------------
 
 
 def identity() -> Scan:
@@ -72,27 +141,118 @@ def map_(f: Callable[[Column], Column]) -> Scan:
     return Scan([("map", f)])
 
 
+def const(value: Column) -> Scan:
+    """The same value for each that comes."""
+    return map_(lambda _: value)
+
+
+def void() -> Scan:
+    return const(F.lit(None).cast("void"))
+
+
 def filter_(p: Callable[[Column], Column]) -> Scan:
     return Scan([("filter", p)])
 
 
+def lift_opt(f: Callable[[Column], Column]) -> Scan:
+    """f of each value, where it isn't null."""
+    return map_(f) >> filter_(lambda v: v.isNotNull())
+
+
+def lift_chunk(size: int, f: Callable[[Column], Column]) -> Scan:
+    """f of arrays of `size` neighbouring values (the last may be shorter), an array, whose elements go on."""
+    return Scan([("batches", size, f)])
+
+
+def stateful(initial: object, step: Callable[[object, object], tuple[object, list]], finish: Callable[[object], list], kind: str) -> Scan:
+    """A state of one's own: step gives the next state and values for each that comes, finish those at the end.
+    kind: of the values given. Values of one stream come to one task in order, and aren't held there."""
+    return Scan([("stateful", initial, step, finish, kind)])
+
+
+def first_of() -> Scan:
+    return map_(lambda v: v["first"])
+
+
+def second_of() -> Scan:
+    return map_(lambda v: v["second"])
+
+
+def swap() -> Scan:
+    return map_(lambda v: F.struct(v["second"].alias("first"), v["first"].alias("second")))
+
+
+def diag() -> Scan:
+    return map_(lambda v: F.struct(v.alias("first"), v.alias("second")))
+
+
+def keep_first(other: Scan) -> Scan:
+    """Each value as it came, as often as `other` gives one beside it."""
+    return (identity() & other) >> first_of()
+
+
+def keep_second(other: Scan) -> Scan:
+    return (identity() & other) >> second_of()
+
+
+def drain_left() -> Scan:
+    """Of tagged values those on the right."""
+    return filter_(lambda v: v["tag"] == "right") >> map_(lambda v: v["right"])
+
+
+def inject_left(other: str = "void") -> Scan:
+    """Values tagged left; other: the kind of the values on the right."""
+    return map_(lambda v: F.struct(F.lit("left").alias("tag"), v.alias("left"), F.lit(None).cast(other).alias("right")))
+
+
+def inject_right(other: str = "void") -> Scan:
+    return map_(lambda v: F.struct(F.lit("right").alias("tag"), F.lit(None).cast(other).alias("left"), v.alias("right")))
+
+
+def merge() -> Scan:
+    """Tagged values of one kind without their tag."""
+    return map_(lambda v: F.when(v["tag"] == "left", v["left"]).otherwise(v["right"]))
+
+
+def mirror() -> Scan:
+    return map_(lambda v: F.struct(F.when(v["tag"] == "left", "right").otherwise("left").alias("tag"), v["right"].alias("left"), v["left"].alias("right")))
+
+
+def test(p: Callable[[Column], Column]) -> Scan:
+    """Values tagged left if p holds, else right."""
+    return map_(lambda v: F.struct(F.when(p(v), "left").otherwise("right").alias("tag"), F.when(p(v), v).alias("left"), F.when(~F.coalesce(p(v), F.lit(False)), v).alias("right")))
+
+
+def left(scan: Scan, other: str) -> Scan:
+    """Tagged values: those on the left through the scan, the others as they are, all tagged again."""
+    return (scan >> inject_left(other)) | inject_right(other)
+
+
+def right(scan: Scan, other: str) -> Scan:
+    return inject_left(other) | (scan >> inject_right(other))
+
+
 def take(n: int) -> Scan:
     """The first n values, then stop; for n <= 0 none, and stop at the first."""
     return Scan([("take", n)])
 
 
+def head() -> Scan:
+    return take(1)
+
+
 def drop(n: int) -> Scan:
     return Scan([("drop", n)])
 
 
 def fold(zero: Column, step: Callable[[Column, Column], Column]) -> Scan:
-    """One value: the values folded from the left, in order."""
+    """One value, left at the end: the values folded from the left, in order."""
     return Scan([("fold", zero, step)])
 
 
-def total() -> Scan:
+def total(zero: Column | None = None) -> Scan:
     """The sum of the values: a fold that needs no order, and so no list of them."""
-    return Scan([("aggregate", F.sum)])
+    return Scan([("aggregate", F.sum, F.lit(0) if zero is None else zero)])
 
 
 def hash_(algorithm: str) -> Scan:
@@ -112,6 +272,7 @@ def bomb_guard(most: int) -> Scan:
 
 
 def fixed_chunk(size: int) -> Scan:
+    """Chunks of `size` bytes; a shorter one is left at the end."""
     if size <= 0:
         raise ValueError("size must be positive")
     return Scan([("chunk", size)])
@@ -121,98 +282,176 @@ def fast_cdc(least: int, average: int, most: int) -> Scan:
     return Scan([("cdc", least, average, most)])
 
 
+def concat(*streams: DataFrame) -> DataFrame:
+    """Streams one after the other: the positions of each follow those of the one before, by stream_id."""
+    rows = reduce(DataFrame.unionByName, [s.withColumn("__part", F.lit(k)) for k, s in enumerate(streams)])
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("__part", "pos"))
+    return rows.select("stream_id", (number - 1).cast("long").alias("pos"), "value")
+
+
 def digest(column: str | Column, algorithm: str) -> Column:
     a = algorithm.lower().replace("-", "")
     c = F.col(column) if isinstance(column, str) else column
     return F.md5(c) if a == "md5" else F.sha1(c) if a == "sha1" else F.sha2(c, 512) if a == "sha512" else F.sha2(c, 256)
 
 
+# ---- compilation: each step gets the stream and the ids of all streams that came in ---------------
+
+
 def _joined(stream: DataFrame) -> DataFrame:
     """(stream_id, bytes): the values of a stream, which are bytes, one after the other."""
     parts = stream.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("parts"))
-    return parts.select("stream_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["value"])).alias("bytes"))
+    return parts.select("stream_id", F.array_join(F.transform("parts", lambda x: F.hex(x["value"])), "").alias("hex")).select("stream_id", F.unhex("hex").alias("bytes"))
+
+
+def _left(rows: DataFrame, ids: DataFrame, value: str, zero: Column) -> DataFrame:
+    """One value a stream: that of rows, or zero where an earlier step has emptied it."""
+    kind = rows.schema[value].dataType
+    return ids.join(rows.select("stream_id", value, F.lit(True).alias("__met")), "stream_id", "left").select("stream_id", F.lit(LAST).alias("pos"), F.when(F.col("__met"), F.col(value)).otherwise(zero.cast(kind)).alias("value"))
+
+
+def _map(stream: DataFrame, ids: DataFrame, f: Callable[[Column], Column]) -> _Made:
+    return _Made(stream.withColumn("value", f(F.col("value"))))
+
+
+def _filter(stream: DataFrame, ids: DataFrame, p: Callable[[Column], Column]) -> _Made:
+    return _Made(stream.where(p(F.col("value"))))
+
+
+def _batches(stream: DataFrame, ids: DataFrame, size: int, f: Callable[[Column], Column]) -> _Made:
+    rows = stream.withColumn("__batch", F.floor((F.row_number().over(_order()) - 1) / size))
+    parts = rows.groupBy("stream_id", "__batch").agg(F.min("pos").alias("pos"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("value"))
+    out = parts.select("stream_id", "__batch", F.posexplode(f(F.col("value"))).alias("__place", "value"))
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("__batch", "__place"))
+    return _Made(out.select("stream_id", (number - 1).cast("long").alias("pos"), "value"))
+
+
+def _stateful(stream: DataFrame, ids: DataFrame, initial: object, step: Callable, finish: Callable, kind: str) -> _Made:
+    value = T._parse_datatype_string(kind)
+    schema = T.StructType([stream.schema["stream_id"], T.StructField("pos", T.LongType()), T.StructField("value", value)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        ids_, poss, values = [], [], []
+        current: tuple | None = None
+        state: object = None
+        for batch in batches:
+            for i, pos, end, v in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "pos", "__end", "value")), strict=True):
+                if current != (i,):
+                    current, state = (i,), initial
+                if end:
+                    given, at = finish(state), LAST
+                else:
+                    (state, given), at = step(state, v), pos
+                ids_ += [i] * len(given)
+                poss += [at] * len(given)
+                values += given
+            yield pa.RecordBatch.from_arrays([pa.array(ids_, batch.column("stream_id").type), pa.array(poss, pa.int64()), pa.array(values, to_arrow_type(value))], ["stream_id", "pos", "value"])
+            ids_, poss, values = [], [], []
+
+    ends = ids.select("stream_id", F.lit(LAST).alias("pos"), F.lit(None).cast(stream.schema["value"].dataType).alias("value"), F.lit(True).alias("__end"))
+    rows = stream.withColumn("pos", F.col("pos").cast("long")).withColumn("__end", F.lit(False)).unionByName(ends)
+    ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "pos", "__end")
+    return _Made(ordered.select("stream_id", "pos", "__end", "value").mapInArrow(run, schema))
 
 
-def _map(stream: DataFrame, f: Callable[[Column], Column]) -> Result:
-    return Result(stream.withColumn("value", f(F.col("value"))), _statuses(stream))
+def _take(stream: DataFrame, ids: DataFrame, n: int) -> _Made:
+    rows = stream.withColumn("__rn", F.row_number().over(_order()))
+    stops = rows.where(F.col("__rn") == max(n, 1)).select("stream_id", F.col("pos").cast("long").alias("at"), F.lit("stop").alias("status"), F.lit(None).cast("string").alias("error"))
+    return _Made(rows.where(F.col("__rn") <= n).drop("__rn"), signals=stops)
 
 
-def _filter(stream: DataFrame, p: Callable[[Column], Column]) -> Result:
-    return Result(stream.where(p(F.col("value"))), _statuses(stream))
+def _drop(stream: DataFrame, ids: DataFrame, n: int) -> _Made:
+    return _Made(stream.withColumn("__rn", F.row_number().over(_order())).where(F.col("__rn") > n).drop("__rn"))
 
 
-def _take(stream: DataFrame, n: int) -> Result:
-    kept = stream.withColumn("__rn", F.row_number().over(_order())).where(F.col("__rn") <= n).drop("__rn")
-    return Result(kept, _statuses(stream, F.count(F.lit(1)) >= max(n, 1)))
+def _nothing(stream: DataFrame, kind: T.DataType) -> DataFrame:
+    return stream.where("false").select("stream_id", F.col("pos").cast("long").alias("pos"), F.lit(None).cast(kind).alias("value"))
 
 
-def _drop(stream: DataFrame, n: int) -> Result:
-    return Result(stream.withColumn("__rn", F.row_number().over(_order())).where(F.col("__rn") > n).drop("__rn"), _statuses(stream))
+def _only(rows: DataFrame) -> _Made:
+    return _Made(_nothing(rows, rows.schema["value"].dataType), rows)
 
 
-def _fold(stream: DataFrame, zero: Column, step: Callable[[Column, Column], Column]) -> Result:
+def _fold(stream: DataFrame, ids: DataFrame, zero: Column, step: Callable[[Column, Column], Column]) -> _Made:
     parts = stream.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("parts"))
-    return Result(parts.select("stream_id", F.lit(0).cast("long").alias("pos"), F.aggregate("parts", zero, lambda a, x: step(a, x["value"])).alias("value")), _statuses(stream))
+    return _only(_left(parts.select("stream_id", F.aggregate("parts", zero, lambda a, x: step(a, x["value"])).alias("x")), ids, "x", zero))
 
 
-def _aggregate(stream: DataFrame, f: Callable[[str], Column]) -> Result:
-    return Result(stream.groupBy("stream_id").agg(F.lit(0).cast("long").alias("pos"), f("value").alias("value")), _statuses(stream))
+def _aggregate(stream: DataFrame, ids: DataFrame, f: Callable[[str], Column], zero: Column) -> _Made:
+    return _only(_left(stream.groupBy("stream_id").agg(f("value").alias("x")), ids, "x", zero))
 
 
-def _hash(stream: DataFrame, algorithm: str) -> Result:
-    return Result(_joined(stream).select("stream_id", F.lit(0).cast("long").alias("pos"), digest("bytes", algorithm).alias("value")), _statuses(stream))
+def _hash(stream: DataFrame, ids: DataFrame, algorithm: str) -> _Made:
+    return _only(_left(_joined(stream).select("stream_id", digest("bytes", algorithm).alias("x")), ids, "x", digest(F.lit(b""), algorithm)))
 
 
-def _count(stream: DataFrame) -> Result:
-    n = F.sum(F.octet_length("value"))
-    return Result(stream.groupBy("stream_id").agg(F.lit(0).cast("long").alias("pos"), F.unhex(F.lpad(F.hex(n), 16, "0")).alias("value")), _statuses(stream))
+def _count(stream: DataFrame, ids: DataFrame) -> _Made:
+    n = F.unhex(F.lpad(F.hex(F.sum(F.octet_length("value"))), 16, "0"))
+    return _only(_left(stream.groupBy("stream_id").agg(n.alias("x")), ids, "x", F.lit(bytes(8))))
 
 
-def _bomb(stream: DataFrame, most: int) -> Result:
+def _bomb(stream: DataFrame, ids: DataFrame, most: int) -> _Made:
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
     rows = stream.withColumn("__before", F.coalesce(F.sum(F.octet_length("value")).over(before), F.lit(0)))
     room = F.lit(most) - F.col("__before")
     kept = rows.where(room > 0).withColumn("value", F.substring(F.col("value"), F.lit(1), room.cast("int"))).drop("__before")
-    over = F.sum(F.octet_length("value")) > most
-    return Result(kept, _statuses(stream, over, "failure", F.concat(F.lit("BombError("), F.lit(most + 1), F.lit(","), F.lit(most), F.lit(")"))))
+    over = rows.where((room >= 0) & (F.octet_length("value") > room))
+    failed = over.select("stream_id", F.col("pos").cast("long").alias("at"), F.lit("failure").alias("status"), F.lit(f"BombError({most + 1},{most})").alias("error"))
+    return _Made(kept, signals=failed)
 
 
-def _chunk(stream: DataFrame, size: int) -> Result:
+def _chunk(stream: DataFrame, ids: DataFrame, size: int) -> _Made:
     whole = _joined(stream).where(F.octet_length("bytes") > 0)
     starts = F.sequence(F.lit(0), F.octet_length("bytes") - 1, F.lit(size))
     rows = whole.select("stream_id", F.posexplode(F.transform(starts, lambda o: F.substring(F.col("bytes"), o + 1, F.lit(size)))).alias("pos", "value"))
-    return Result(rows.select("stream_id", F.col("pos").cast("long"), "value"), _statuses(stream))
+    rows = rows.select("stream_id", F.col("pos").cast("long").alias("pos"), "value")
+    return _Made(rows.where(F.octet_length("value") == size), rows.where(F.octet_length("value") < size))
 
 
-def _cdc(stream: DataFrame, least: int, average: int, most: int) -> Result:
+def _cdc(stream: DataFrame, ids: DataFrame, least: int, average: int, most: int) -> _Made:
     from foliant.operators.chunking import chunks_df
 
     rows = chunks_df(_joined(stream).select(F.col("stream_id").alias("file_id"), F.col("bytes").alias("content")), least, average, most, with_bytes=True)
-    return Result(rows.select(F.col("file_id").alias("stream_id"), F.col("chunk_no").cast("long").alias("pos"), F.col("bytes").alias("value")), _statuses(stream))
+    return _Made(rows.select(F.col("file_id").alias("stream_id"), F.col("chunk_no").cast("long").alias("pos"), F.col("bytes").alias("value")))
 
 
-def _fanout(stream: DataFrame, left: Scan, right: Scan) -> Result:
-    a, b = left.run(stream), right.run(stream)
-    number = lambda r, name: r.outputs.select("stream_id", F.row_number().over(_order()).alias("__rn"), F.col("value").alias(name))
+def _fanout(stream: DataFrame, ids: DataFrame, one: Scan, other: Scan) -> _Made:
+    a, b = one.made(stream, ids), other.made(stream, ids)
+    number = lambda m, name: m.emitted.select("stream_id", F.row_number().over(_order()).alias("__rn"), F.col("value").alias(name))
     pairs = number(a, "first").join(number(b, "second"), ["stream_id", "__rn"])
     out = pairs.select("stream_id", (F.col("__rn") - 1).cast("long").alias("pos"), F.struct("first", "second").alias("value"))
-    return Result(out, _worst(a.status, b.status))
+    return _Made(out, signals=_unite([a.signals, b.signals]))
 
 
-def _choice(stream: DataFrame, left: Scan, right: Scan) -> Result:
-    a = left.run(stream.where("value.tag = 'left'").withColumn("value", F.col("value.left")))
-    b = right.run(stream.where("value.tag = 'right'").withColumn("value", F.col("value.right")))
-    return Result(a.outputs.unionByName(b.outputs), _worst(a.status, b.status))
+def _choice(stream: DataFrame, ids: DataFrame, one: Scan, other: Scan) -> _Made:
+    """An arm's signal ends both: what comes behind its position is read by neither. Positions of arms are those
+    of the stream as long as no step in them numbers anew."""
 
+    def arms(rows: DataFrame) -> tuple[_Made, _Made]:
+        return tuple(s.made(rows.where(F.col("value")["tag"] == tag).withColumn("value", F.col("value")[tag]), ids) for s, tag in ((one, "left"), (other, "right")))
 
-def _worst(a: DataFrame, b: DataFrame) -> DataFrame:
-    rank = F.when(F.col("status") == "failure", 2).when(F.col("status") == "stop", 1).otherwise(0)
-    return a.unionByName(b).groupBy("stream_id").agg(F.max_by("status", rank).alias("status"), F.max_by("error", rank).alias("error"))
+    a, b = arms(stream)
+    signals = _unite([a.signals, b.signals])
+    if signals is not None:
+        ends = signals.groupBy("stream_id").agg(F.min("at").alias("__at"))
+        a, b = arms(stream.join(ends, "stream_id", "left").where(F.col("__at").isNull() | (F.col("pos") <= F.col("__at"))).drop("__at"))
+        first = signals.join(ends, "stream_id").where("at = __at").drop("__at")
+        signals = first
+    return _Made(a.emitted.unionByName(b.emitted), _unite([a.left, b.left]), signals)
 
 
-_COMPILE = {"map": _map, "filter": _filter, "take": _take, "drop": _drop, "fold": _fold, "aggregate": _aggregate, "hash": _hash, "count": _count, "bomb": _bomb, "chunk": _chunk, "cdc": _cdc, "fanout": _fanout, "choice": _choice}
+_COMPILE = {"map": _map, "filter": _filter, "batches": _batches, "stateful": _stateful, "take": _take, "drop": _drop, "fold": _fold, "aggregate": _aggregate, "hash": _hash, "count": _count, "bomb": _bomb, "chunk": _chunk, "cdc": _cdc, "fanout": _fanout, "choice": _choice}
 
 
-def flow(stream: DataFrame, **named: Column) -> DataFrame:
-    """Several results over one pass: a row for each stream with an aggregate under each name."""
-    return stream.groupBy("stream_id").agg(*[c.alias(k) for k, c in named.items()])
+def flow(stream: DataFrame, **named: Column | Scan) -> DataFrame:
+    """Several results over one stream: a row for each stream_id with an aggregate, or what a scan leaves at its
+    end, under each name."""
+    out = stream.groupBy("stream_id").agg(*[c.alias(k) for k, c in named.items() if not isinstance(c, Scan)] or [F.lit(1).alias("__one")])
+    ids = stream.select("stream_id").distinct()
+    for name, scan in named.items():
+        if isinstance(scan, Scan):
+            made = scan.made(stream, ids)
+            out = out.join((made.emitted if made.left is None else made.left).select("stream_id", F.col("value").alias(name)), "stream_id", "left")
+    return out.drop("__one").select("stream_id", *named)

@@ -115,7 +115,7 @@ def scan_drop(spark, d):
     return scan.drop(1).run(stream).outputs.select(F.col("stream_id").alias("conv_id"), F.col("pos").alias("turn"), F.col("value").alias("n"))
 
 
-@query("SELECT user_id, sum(event_id * 10 + 1)::BIGINT AS total FROM events WHERE (event_id * 10 + 1) % 3 = 0 GROUP BY user_id")
+@query("SELECT user_id, sum(CASE WHEN (event_id * 10 + 1) % 3 = 0 THEN event_id * 10 + 1 ELSE 0 END)::BIGINT AS total FROM events GROUP BY user_id")
 def scan_map_filter_total(spark, d):
     stream = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("value"))
     plan = scan.map_(lambda v: v * 10) >> scan.map_(lambda v: v + 1) >> scan.filter_(lambda v: v % 3 == 0) >> scan.total()
@@ -151,6 +151,97 @@ def scan_flow(spark, d):
     return scan.flow(stream, n=F.count(F.lit(1)), first_id=F.min("event_id"), last_id=F.max("event_id"), users=F.countDistinct("user_id")).withColumnRenamed("stream_id", "event_type")
 
 
+def user_events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("value"))
+
+
+def document_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.lit(0).cast("long").alias("pos"), F.encode("text", "UTF-8").alias("value"))
+
+
+@query("SELECT user_id, 7 + sum(CASE WHEN event_id < 200 THEN event_id ELSE 0 END)::BIGINT AS folded FROM events GROUP BY user_id")
+def scan_empty_fold(spark, d):
+    """A fold after a filter that empties most streams: those give the first value."""
+    plan = scan.filter_(lambda v: v < 200) >> scan.fold(F.lit(7).cast("long"), lambda a, x: a + x)
+    return plan.run(user_events(spark, d)).outputs.select(F.col("stream_id").alias("user_id"), F.col("value").alias("folded"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN octet_length(encode(text)) > 300 THEN 'failure' ELSE 'success' END AS status FROM documents WHERE octet_length(encode(text)) <= 300 UNION ALL SELECT doc_id, sha256(decode(encode(text)[1:300])), 'failure' FROM documents WHERE octet_length(encode(text)) > 300 AND octet_length(encode(text)) = length(text)")
+def scan_hash(spark, d):
+    """The digest of a prefix that a guard lets through is left though the guard fails."""
+    stream = document_bytes(spark, d).where((F.octet_length("value") <= 300) | (F.octet_length("value") == F.length(F.decode("value", "UTF-8"))))
+    r = (scan.bomb_guard(300) >> scan.hash_("SHA-256")).run(stream)
+    return r.outputs.join(r.status, "stream_id").select(F.col("stream_id").alias("doc_id"), F.col("value").alias("sha256"), "status")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, true AS bounded FROM documents WHERE length(text) > 0")
+def scan_cdc(spark, d):
+    """Content-defined chunks of a stream that comes in parts of 512 bytes."""
+    out = (scan.fixed_chunk(512) >> scan.fast_cdc(64, 256, 1024)).run(document_bytes(spark, d)).outputs
+    return out.groupBy("stream_id").agg(F.sum(F.octet_length("value")).alias("n_bytes"), (F.max(F.octet_length("value")) <= 1024).alias("bounded")).withColumnRenamed("stream_id", "doc_id")
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS pos, event_id + 1 AS first, event_id * 2 AS second FROM events")
+def scan_pairs(spark, d):
+    """Arrow products: pairs of each value with itself, one side through each scan, turned round and back."""
+    plan = scan.diag() >> (scan.map_(lambda v: v * 2) * scan.map_(lambda v: v + 1)) >> scan.swap()
+    return plan.run(user_events(spark, d)).outputs.select(F.col("stream_id").alias("user_id"), "pos", "value.first", "value.second")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 100 ELSE -event_id END::BIGINT AS routed FROM events")
+def scan_routes(spark, d):
+    """Values tagged by a test, each arm through its own scan, tagged again, mirrored and merged."""
+    arms = (scan.map_(lambda v: v * 100) >> scan.inject_left("bigint")) | (scan.map_(lambda v: -v) >> scan.inject_right("bigint"))
+    plan = scan.test(lambda v: v % 3 == 0) >> arms >> scan.mirror() >> scan.merge()
+    return plan.run(user_events(spark, d)).outputs.select(F.col("pos").alias("event_id"), F.col("value").alias("routed"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, event_id % 2 AS odd, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS rn FROM events), stops AS (SELECT user_id, event_id AS last FROM e WHERE odd = 0 AND rn = 2) SELECT e.user_id, e.event_id AS value, CASE WHEN last IS NULL THEN 'success' ELSE 'stop' END AS status FROM e LEFT JOIN stops USING (user_id) WHERE last IS NULL OR e.event_id <= last")
+def scan_signals(spark, d):
+    """The arm of even values stops at its second one; the other arm reads no further."""
+    plan = scan.test(lambda v: v % 2 == 0) >> (scan.take(2) | scan.identity())
+    r = plan.run(user_events(spark, d))
+    return r.outputs.join(r.status, "stream_id").select(F.col("stream_id").alias("user_id"), "value", "status")
+
+
+@query("SELECT user_id, event_id, (event_id // 4)::BIGINT AS value FROM events WHERE event_id % 4 = 0")
+def scan_lift_opt(spark, d):
+    out = scan.lift_opt(lambda v: F.when(v % 4 == 0, F.floor(v / 4))).run(user_events(spark, d)).outputs
+    return out.select(F.col("stream_id").alias("user_id"), F.col("pos").alias("event_id"), "value")
+
+
+@query("SELECT user_id, b::BIGINT AS pos, sum(event_id)::BIGINT AS value FROM (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS b FROM events) GROUP BY user_id, b")
+def scan_lift_chunk(spark, d):
+    """Sums of four neighbours each."""
+    out = scan.lift_chunk(4, lambda a: F.array(F.aggregate(a, F.lit(0).cast("long"), lambda x, v: x + v))).run(user_events(spark, d)).outputs
+    return out.select(F.col("stream_id").alias("user_id"), "pos", "value")
+
+
+@query("SELECT user_id, event_id, v FROM (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM events) WHERE v IS NOT NULL UNION ALL SELECT user_id, -1, count(*) FROM events GROUP BY user_id")
+def scan_stateful(spark, d):
+    """A state of one's own: differences to the value before, and how many values came at the end."""
+
+    def step(state, v):
+        before, n = state
+        return (v, n + 1), [] if before is None else [v - before]
+
+    plan = scan.stateful((None, 0), step, lambda state: [state[1]], "bigint")
+    out = plan.run(user_events(spark, d)).outputs
+    return out.select(F.col("stream_id").alias("user_id"), F.when(F.col("pos") == scan.LAST, -1).otherwise(F.col("pos")).cast("long").alias("event_id"), F.col("value").alias("v"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n, sum(CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END)::BIGINT AS even FROM events GROUP BY user_id")
+def scan_named(spark, d):
+    """An aggregate and a scan under their names."""
+    return scan.flow(user_events(spark, d), n=F.count(F.lit(1)), even=scan.filter_(lambda v: v % 2 == 0) >> scan.total()).withColumnRenamed("stream_id", "user_id")
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY part, event_id) - 1)::BIGINT AS pos, event_id AS value FROM (SELECT user_id, event_id, 1 AS part FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, 2 FROM events WHERE event_id % 2 = 1)")
+def scan_concat(spark, d):
+    rows = user_events(spark, d)
+    return scan.concat(rows.where("value % 2 = 0"), rows.where("value % 2 = 1")).withColumnRenamed("stream_id", "user_id")
+
+
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
 def byte_scan(spark, d):
     """((b + 1) ^ 0x55) - 1 of every byte, mapped back again: what comes back is counted where it is the byte."""

@@ -126,29 +126,44 @@ def chosen(h: np.ndarray, among: int) -> np.ndarray:
 
 
 def reach(text: str, places: list[dict]) -> list[dict]:
-    """For runs from the anchor at p to the one at q: hashes of the words before (nearest first) and behind, and
-    starts, ends and lines of those words and of the run's own ends, as far as AMONG words."""
+    """For runs from the anchor at p to the one at q: the text of the AMONG words before and behind, and the
+    characters and lines between which they stand."""
     raw = text.encode()
-    w = word_hashes(raw.lower().split())
     spans = np.array([m.span() for m in WORD.finditer(raw)], np.int64).reshape(-1, 2)
     b = np.frombuffer(raw, np.uint8)
     chars, line = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)]), np.concatenate([[0], np.cumsum(b == 10)])
-    start, end, line = chars[spans[:, 0]], chars[spans[:, 1]], line[spans[:, 0]]
     out = []
     for x in places:
-        p, q = x["p"], x["q"] + ANCHOR
-        lead, trail = slice(max(0, p - AMONG), p + 1), slice(q - 1, q + AMONG)
-        pack = lambda v: v.astype(np.int32).tobytes()
-        out.append({**x, "before": w[max(0, p - AMONG) : p][::-1].tobytes(), "behind": w[q : q + AMONG].tobytes(), "start": pack(start[lead][::-1]), "first": pack(line[lead][::-1]), "end": pack(end[trail]), "last": pack(line[trail])})
+        p, q = x["p"], x["q"] + ANCHOR - 1
+        start, end = int(spans[p, 0]), int(spans[q, 1])
+        before, behind = int(spans[max(0, p - AMONG), 0]), int(spans[min(len(spans) - 1, q + AMONG), 1])
+        out.append({**x, "before": raw[before:start], "behind": raw[end:behind], "start": int(chars[start]), "line": int(line[start]), "end": int(chars[end]), "last_line": int(line[spans[q, 0]])})
     return out
 
 
-def agreeing(a: bytes, b: bytes) -> int:
-    """How many of the first numbers are equal."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    n = min(len(x), len(y))
-    unlike = np.flatnonzero(x[:n] != y[:n])
-    return int(unlike[0]) if len(unlike) else n
+def agreeing(a: list[bytes], b: list[bytes]) -> int:
+    """How many of the first words are equal."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def stretched(x: dict, before: int, behind: int) -> tuple[int, int, int, int]:
+    """(start, end, first line, last line) of a run with so many words more at its ends."""
+    lead, trail = x["before"], x["behind"]
+    if before:
+        lead = lead[[m.start() for m in WORD.finditer(lead)][-before] :]
+    if behind:
+        last = list(WORD.finditer(trail))[behind - 1]
+        line, trail = x["last_line"] + trail.count(b"\n", 0, last.start()), trail[: last.end()]
+    else:
+        line, trail = x["last_line"], b""
+    if not before:
+        lead = b""
+    return x["start"] - len(lead.decode()), x["end"] + len(trail.decode()), x["line"] - lead.count(b"\n"), line
 
 
 def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int, keep: Tables) -> DataFrame:
@@ -165,7 +180,7 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
     runs = keep(chain.groupBy(*key, "run").agg(F.min("at").alias("p"), F.max("at").alias("q")).drop("run"))
     theirs = runs.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"), (F.col("p") + F.col("shift")).alias("p"), (F.col("q") + F.col("shift")).alias("q"))
     wanted = runs.select("id", "h", "p", "q").unionByName(theirs).groupBy("id", "h").agg(F.collect_set(F.struct("p", "q")).alias("places"))
-    fields = [("p", "int"), ("q", "int"), *((n, "binary") for n in ("before", "behind", "start", "first", "end", "last"))]
+    fields = [("p", "int"), ("q", "int"), ("before", "binary"), ("behind", "binary"), *((n, "int") for n in ("start", "line", "end", "last_line"))]
     reached = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.binary()) for n, t in fields]))
 
     def reaching(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,7 +190,7 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
     texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
     here = wanted.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).dropDuplicates(["id", "h"])
     ends = map_batches(here.select("id", "h", "text", "places"), reaching, f"id {kind}, h long, reached array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>")
-    ends = keep(ends.select("id", "h", F.explode("reached").alias("x")).select("id", "h", "x.p", "x.q", F.struct("x.before", "x.behind", "x.start", "x.first", "x.end", "x.last").alias("x")))
+    ends = keep(ends.select("id", "h", F.explode("reached").alias("x")).select("id", "h", "x.p", "x.q", F.struct("x.before", "x.behind", "x.start", "x.line", "x.end", "x.last_line").alias("x")))
     a, b = ends.toDF("a_id", "a_h", "a_p", "a_q", "a"), ends.toDF("b_id", "b_h", "b_p", "b_q", "b")
     pairs = runs.join(a, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")) & (F.col("p") == F.col("a_p")) & (F.col("q") == F.col("a_q")))
     pairs = pairs.join(b, F.col("first_id").eqNullSafe(F.col("b_id")) & (F.col("first_h") == F.col("b_h")) & (F.col("p") + F.col("shift") == F.col("b_p")) & (F.col("q") + F.col("shift") == F.col("b_q")))
@@ -183,12 +198,12 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, columns = [], [[] for _ in range(10)]
         for r, (p, q, x, y) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-            before, behind = agreeing(x["before"], y["before"]), agreeing(x["behind"], y["behind"])
+            before = agreeing(x["before"].lower().split()[::-1], y["before"].lower().split()[::-1])
+            behind = agreeing(x["behind"].lower().split(), y["behind"].lower().split())
             words = q + ANCHOR + behind - p + before
             if words >= min_run:
                 rows.append(r)
-                value = lambda z, n, k: int(np.frombuffer(z[n], np.int32)[k])
-                for c, v in zip(columns, [p - before, words, *(value(z, n, k) for z in (x, y) for n, k in (("start", before), ("end", behind), ("first", before), ("last", behind)))], strict=True):
+                for c, v in zip(columns, [p - before, words, *stretched(x, before, behind), *stretched(y, before, behind)], strict=True):
                     c.append(v)
         take = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in key), *(pa.array(c, pa.int32()) for c in columns)], [*key, *placed])

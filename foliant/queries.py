@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions import files, filters, objects
+from foliant.functions import decoders, files, filters, objects
+from foliant.operators import binary as binary_ops
 from foliant.operators import checks, chunking, decode, policy, write
 from foliant.plans import scan
 from foliant.sources import binary
@@ -242,19 +243,63 @@ def scan_concat(spark, d):
     return scan.concat(rows.where("value % 2 = 0"), rows.where("value % 2 = 1")).withColumnRenamed("stream_id", "user_id")
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, coalesce(list_sum(list_transform(range(0, 128), lambda i: (length(text) - length(replace(text, chr(i::INT), ''))) * (xor(i + 1, 85) * 3 - 1))), 0)::BIGINT AS total FROM documents WHERE octet_length(encode(text)) = length(text) AND length(text) < 2000")
 def byte_scan(spark, d):
-    """((b + 1) ^ 0x55) - 1 of every byte, mapped back again: what comes back is counted where it is the byte."""
-
-    def kernel(content: bytes) -> list[tuple]:
-        import numpy as np
+    """Three steps on every byte, and the sum of what they give, for texts of ASCII under 2,000 characters, which
+    SQL can count by character."""
+    rows = documents(spark, d).where((F.octet_length("text") == F.length("text")) & (F.length("text") < 2000)).select("file_id", F.encode("text", "UTF-8").alias("content"))
+    plan = binary_ops.ByteScan().map(lambda b: (b + 1) ^ 85) >> binary_ops.ByteScan().map(lambda x: x * 3).map(lambda x: x - 1)
+    return plan.sums(rows).select(F.col("file_id").alias("doc_id"), F.col("n").alias("n_bytes"), "total")
 
-        x = np.frombuffer(content, np.uint8).astype(np.int32)
-        y = ((x + 1) ^ 0x55) - 1
-        return [(int((((y + 1) ^ 0x55) - 1 == x).sum()),)]
 
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+def byte_count(spark, d):
     rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
-    return decode.per_file(rows, kernel, "file_id {k}, n_bytes long").withColumnRenamed("file_id", "doc_id")
+    return binary_ops.ByteScan().sums(rows).select(F.col("file_id").alias("doc_id"), F.col("n").alias("n_bytes"))
+
+
+# ---- binary decoders -----------------------------------------------------------------------------
+
+
+def line_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """A row of bytes for each order: its number (32 bits), how many lines, and for each line its part (32 bits) and
+    a byte for its number; then one byte more."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    number = lambda c, width: F.lpad(F.hex(c), 2 * width, "0")
+    body = F.array_join(F.transform("lines", lambda x: F.concat(number(x["l_partkey"], 4), number(x["l_linenumber"].cast("long"), 1))), "")
+    return lines.select(F.col("l_orderkey").alias("file_id"), F.unhex(F.concat(number(F.col("l_orderkey"), 4), number(F.size("lines").cast("long"), 1), body, F.lit("FF"))).alias("content"))
+
+
+@query("SELECT l_orderkey, l_linenumber::INT AS l_linenumber, l_partkey FROM lineitem")
+def binary_records(spark, d):
+    """A head that says how many records follow, and the records."""
+    record = decoders.together(decoders.uint(32), decoders.uint(8))
+    plan = decoders.once(decoders.together(decoders.uint(32), decoders.uint(8))).flat_map(lambda head: decoders.isolate(head[1] * 40, decoders.many(record)))
+    out = binary_ops.decoded_values(line_bytes(spark, d), plan.map(lambda r: {"part": r[0], "line": r[1]}), "struct<part:long,line:int>")
+    return out.select(F.col("file_id").alias("l_orderkey"), F.col("value.line").alias("l_linenumber"), F.col("value.part").alias("l_partkey"))
+
+
+@query("SELECT l_orderkey, (count(*) + 1)::BIGINT AS n, 8::BIGINT AS bits_left, CAST(NULL AS VARCHAR) AS error, '24 bits more are needed' AS waits FROM lineitem GROUP BY l_orderkey")
+def binary_waits(spark, d):
+    """The head and the records read to the end: the byte that is left makes no record."""
+    pair = decoders.together(decoders.uint(32), decoders.uint(8))
+    return binary_ops.decoded_status(line_bytes(spark, d), decoders.many(pair)).withColumnRenamed("file_id", "l_orderkey")
+
+
+@query("SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey < 16777216 GROUP BY l_orderkey")
+def binary_try_many(spark, d):
+    """Records as long as their part is small; the bytes before them are passed over."""
+    record = decoders.together(decoders.uint(32).where(lambda x: x < 1 << 24), decoders.uint(8))
+    plan = decoders.ignore(40) + decoders.try_many(record)
+    return binary_ops.decoded_status(line_bytes(spark, d), plan).where("n > 0").select(F.col("file_id").alias("l_orderkey"), "n")
+
+
+@query("SELECT event_id, 2 AS values, (event_id // 4294967296)::BIGINT AS high, (event_id % 4294967296)::BIGINT AS low FROM events")
+def binary_fixed(spark, d):
+    """Numbers of 32 bits, many at once."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("file_id"), F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("content"))
+    out = binary_ops.decoded_values(rows, decoders.many(decoders.uint(32)), "bigint")
+    return out.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("values"), F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("high"), F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("low")).withColumnRenamed("file_id", "event_id")
 
 
 # ---- reading what was written --------------------------------------------------------------------

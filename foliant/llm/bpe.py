@@ -13,6 +13,7 @@ be of any length. Columns other than the id and the text are not read."""
 from __future__ import annotations
 
 import base64
+import contextlib
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -235,14 +236,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    gc.freeze()
-    gc.disable()  # the transducer's many small objects hold no cycles; scanning them again and again is most of the cost
     return Codec(read_ranks(path), pattern)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: the transducer's many small objects hold none, and scanning them again and
+    again would be most of the cost. Other kernels of the worker are not concerned."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text. vocabulary: path of a rank file on every executor."""
 
+    @uncollected()
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.encode(t) for t in texts_of(batch.column(1))], pa.list_(pa.int32()))], [id_col, "ids"])
@@ -254,6 +267,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", portion: int = 4096) -> DataFrame:
     """(id, text): ids decoded in portions through the UTF-8 automaton. A null list counts as empty."""
 
+    @uncollected()
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary, pattern)
         texts = ["".join(c.decode_stream(ids[i : i + portion] for i in range(0, len(ids), portion))) for ids in (x or [] for x in batch.column(1).to_pylist())]
@@ -266,6 +280,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
 def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", portion: int = 65536) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, decoded_chars): each text encoded, its ids decoded in portions."""
 
+    @uncollected()
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary, pattern)
         counts, ids_sha, text_sha, chars = [], [], [], []

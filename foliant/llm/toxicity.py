@@ -17,6 +17,7 @@ Texts may be of any length. With no labelled row of one kind all scores are 0.""
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +122,9 @@ def marginals(score: np.ndarray, first: np.ndarray, arc: tuple[float, ...]) -> t
     return p, pairs, m
 
 
+BESIDE = 30  # tokens
+
+
 def fit_field(docs: list[list[str]], tags: list[np.ndarray], rounds: int = 30, rate: float = 0.25, decay: float = 1e-4) -> Model:
     """Gradient ascent with per-weight step sizes on the mean conditional log likelihood of the tags."""
     kinds: dict[str, int] = {}
@@ -150,6 +155,9 @@ def fit_field(docs: list[list[str]], tags: list[np.ndarray], rounds: int = 30, r
     inner = ~start
     gold = np.zeros(4)
     np.add.at(gold, (2 * truth[:-1] + truth[1:]).astype(int)[inner[1:]], 1)
+    # words that stand beside few tokens say nothing of those
+    common = np.bincount(pair_feature, np.bincount(token, minlength=len(kinds))[pair_kind], len(names))
+    told = np.array([np.ones(len(names), bool), common >= BESIDE, common >= BESIDE])
     weight = np.where(truth > 0, max(1.0, min(20.0, (n - truth.sum()) / max(truth.sum(), 1) / 10)), 1.0)  # toxic tokens are few
     for _ in range(rounds):
         by_kind = [np.bincount(pair_kind, w[k][pair_feature], len(kinds)) for k in range(3)]
@@ -159,6 +167,7 @@ def fit_field(docs: list[list[str]], tags: list[np.ndarray], rounds: int = 30, r
         r = (truth - p) * weight
         for k, (shifted, at) in enumerate(((r, token), (r[1:] * inner[1:], token[:-1]), (r[:-1] * ~stop[:-1], token[1:]))):
             g = np.bincount(pair_feature, np.bincount(at, shifted, len(kinds))[pair_kind], len(names)) - decay * n * w[k] / max(len(names), 1)
+            g *= told[k]
             seen[k] += g * g
             w[k] += rate * g / np.sqrt(seen[k])
         g = gold - pairs.sum(axis=0).reshape(4)
@@ -281,9 +290,9 @@ def fit(texts: list[str], toxic: list[bool], field_rows: int = 300) -> Model:
     """A model from whole texts and their labels. field_rows: of either kind, documents whose tokens train the field."""
     if not any(toxic) or all(toxic):
         return Model(bias=(-30.0, 0.0, 0.0))
-    marked = seeds(texts, toxic)
-    docs, tags, left = [], [], {True: field_rows, False: field_rows}
-    for text, bad in zip(texts, toxic, strict=True):
+    marked, groups = seeds(texts, toxic), copies(texts)
+    docs, tags, texts_at, left = [], [], [], {True: field_rows, False: field_rows}
+    for at, (text, bad) in enumerate(zip(texts, toxic, strict=True)):
         if left[bad] > 0:
             words = WORD.findall(text)
             tag = np.array([bad and not marked.isdisjoint(marks(w)) for w in words], dtype=bool)
@@ -292,9 +301,18 @@ def fit(texts: list[str], toxic: list[bool], field_rows: int = 300) -> Model:
             left[bad] -= 1
             docs.append(words)
             tags.append(tag)
+            texts_at.append(at)
     model = fit_field(docs, tags)
-    scorer = Scorer(model)
-    x = np.concatenate([evidence(*scorer.tokens(texts[i : i + 200])) for i in range(0, len(texts), 200)])
+    # how sure a document's marginals make one is learnt from documents the field hasn't seen: half of the copies'
+    # groups at a time
+    x = np.zeros((len(texts), 2))
+    fold = np.array([random.Random(g).random() < 0.5 for g in groups])
+    for k in (False, True):
+        own = [i for i in range(len(docs)) if fold[texts_at[i]] != k]
+        part = fit_field([docs[i] for i in own], [tags[i] for i in own]) if any(tags[i].any() for i in own) else model
+        scorer, rest = Scorer(part), np.flatnonzero(fold == k)
+        for i in range(0, len(rest), 200):
+            x[rest[i : i + 200]] = evidence(*scorer.tokens([texts[j] for j in rest[i : i + 200]]))
     y = np.array(toxic, float)
     a = np.concatenate([np.ones((len(x), 1)), x], axis=1)
     b = np.zeros(3)
@@ -308,7 +326,9 @@ def fit(texts: list[str], toxic: list[bool], field_rows: int = 300) -> Model:
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column, rows_toxic: int = 1000, rows_clean: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from a bounded sample: at most rows_toxic and rows_clean labelled documents for which
-    usable holds, chosen by a hash of their id. Only those texts come to the driver."""
+    usable holds, chosen by a hash of their id. Only those texts come to the driver; of several rows under one id
+    the least text counts. Without labels of both kinds nothing can be
+    learnt, and every score is near 0."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull())
     known = known.withColumnRenamed("__id", id_col).where(usable).groupBy(F.col(id_col).alias("__id")).agg(F.max("__y").alias("__y"))
     order = [F.xxhash64("__id"), F.col("__id")]
@@ -317,8 +337,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column, rows_toxic: int =
         return fit([], [])
     spark = docs.sparkSession
     few = spark.createDataFrame([(r["__id"], bool(r["__y"] > 0)) for r in chosen], f"__id {docs.schema[id_col].dataType.simpleString()}, __bad boolean")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(few), "__id").collect()
-    rows.sort(key=lambda r: (hash(r["__id"]), r["__text"] or ""))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(few), "__id")
+    rows = texts.groupBy("__id").agg(F.first("__bad").alias("__bad"), F.min("__text").alias("__text")).collect()  # at most rows_toxic + rows_clean
+    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["__id"]).encode()), r["__text"] or ""))
     return fit([r["__text"] or "" for r in rows], [r["__bad"] for r in rows])
 
 

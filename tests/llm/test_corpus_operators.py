@@ -278,3 +278,69 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = corpus_pipeline.one_of_near_copies(spark, docs, "")
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (None, c), (4, "")])
+
+
+def test_toxicity_without_labels_of_both_kinds(spark, rows):
+    df = table(spark, rows)
+    for labels in ([], [(0, 0), (1, 0), (3, None), (None, 1)], [(0, 1), (1, 1)]):
+        model = toxicity.fit_on(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+        got = toxicity.score(df, model).collect()
+        assert len(got) == len(rows) and all(0 <= r.score < 0.1 for r in got)
+
+
+def test_toxicity_learns_from_one_fold_and_finds_the_other(spark):
+    """Documents with a word of a made-up vocabulary are toxic; held-out ones are found, clean ones left alone."""
+    rng = random.Random(14)
+    bad = ["vrakzu", "vrakzen", "vrakzo"]
+    docs = []
+    for k in range(240):
+        words = prose(rng, 60).split()
+        if k % 4 == 0:
+            words[rng.randrange(60)] = rng.choice(bad)
+        docs.append((k, " ".join(words)))
+    df, labels = table(spark, docs), spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit_on(df, labels, F.col("doc_id") % 3 != 1)
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.score(df, model).collect()}
+    held = [k for k, _ in docs if k % 3 == 1]
+    assert sum(got[k] for k in held if k % 4 == 0) >= 0.9 * sum(k % 4 == 0 for k in held)
+    assert not any(got[k] for k in held if k % 4)
+    kept = {r.doc_id for r in toxicity.filtered(df, model).collect()}
+    assert kept == {k for k in got if not got[k]}
+
+
+def families_of(spark, docs, **options):
+    got = {r.doc_id: r.component_id for r in minhash.near_copies(table(spark, docs), size=4, **options).collect()}
+    return got
+
+
+def test_near_copies_of_very_large_families(spark):
+    """1,200 texts, each edited on its own from one original of no special id, so that hardly two edits are alike
+    enough to be linked themselves, form one component through it; another family and single texts stay apart."""
+    rng = random.Random(15)
+    base, other = prose(rng, 120).split(), prose(rng, 120).split()
+    edits = []
+    for i in range(1200):
+        w = list(base)
+        for k in (rng.randrange(60), 60 + rng.randrange(60)):
+            w[k] = f"own{i}x{k}"
+        edits.append(" ".join(w))
+    docs = [(i + 1, t) for i, t in enumerate(edits)] + [(7000, " ".join(base))] + [(8000 + i, " ".join([*other[:50], f"o{i}", *other[51:]])) for i in range(40)] + [(9000 + i, prose(rng, 50)) for i in range(20)]
+    got = families_of(spark, docs)
+    assert {got[i] for i in range(1, 1201)} | {got[7000]} == {1}
+    assert {got[8000 + i] for i in range(40)} == {8000}
+    assert all(got[9000 + i] == 9000 + i for i in range(20))
+
+
+def test_removal_from_very_many_equal_rows(spark):
+    """3,000 equal rows, and 300 texts around one common passage, in shards larger than the memory of a sort."""
+    rng = random.Random(16)
+    same, common = prose(rng, 40), prose(rng, 45)
+    texts = [f"{prose(rng, 12)} {common} {prose(rng, 12)}" for _ in range(300)]
+    every = Counter(t[s : s + 200] for t in texts for s in range(len(t) - 199))
+    docs = [(1, same)] * 3000 + [(10 + k, t) for k, t in enumerate(texts)]
+    got = suffixes.dedup_digests(table(spark, docs), shard_bytes=20_000, room=10_000).collect()
+    assert sum(r.doc_id == 1 and r.n_removed == len(same) for r in got) == 3000
+    by = {r.doc_id: (r.n_removed, r.n_spans) for r in got}
+    for k, t in enumerate(texts):
+        hit = [s for s in range(len(t) - 199) if every[t[s : s + 200]] > 1]
+        assert by[10 + k] == (hit[-1] + 200 - hit[0], 1)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm._shared import components, cut, map_batches, pieces_for
 
+BLOCK, SLICE = 512, 2048  # vectors of a ball, and vectors that ask, in one task
 SLACK = 1e-9  # for rounding, in cosines and angles
 
 
@@ -67,7 +68,8 @@ def keyed(df: DataFrame, seeds: list[int], columns: list[str], schema: str) -> D
 
 
 def in_order(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key")
+    name = "id" if "id" in df.columns else "leader"  # equal keys are split
+    return df.repartitionByRange(parts, "pass", "key", name).sortWithinPartitions("pass", "key", name)
 
 
 def led(df: DataFrame, kind: str, near: float, window: int) -> DataFrame:
@@ -245,19 +247,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, passes: int = 16, wind
         moved = members.join(over, "leader", "left")
         members = cut(map_batches(moved.select("id", "leader", "leader_vector", "vector", "weight", "new", "new_vector"), lambda batch: reassigned(batch, half), "id long, leader long, leader_vector binary, vector binary, weight long"))
 
-    balls = cut(map_batches(members, angles, "leader long, angle double, weight long, least long, leader_vector binary").groupBy("leader").agg(F.max("angle").alias("radius"), F.sum("weight").alias("total"), F.first("leader_vector").alias("center")))
+    balls = cut(map_batches(members, angles, "leader long, angle double, weight long, least long, leader_vector binary").groupBy("leader").agg(F.max("angle").alias("radius"), F.sum("weight").alias("total"), F.count(F.lit(1)).alias("size"), F.first("leader_vector").alias("center")))
     posted = keyed(members.select("leader", "vector"), list(range(11, 11 + passes)), ["leader", "vector"], "leader long, vector binary")
     pairs = cut(met(in_order(posted, pieces_for(n * passes, 4 * per_partition)), "long", cosine, window).distinct())
     both = pairs.union(pairs.select("b", "a")).toDF("leader", "other")
     asked = members.select("id", "leader", "vector", "weight").join(both, "leader").join(balls.select(F.col("leader").alias("other"), F.col("center").alias("other_vector"), "radius", "total"), "other")
     settled = cut(map_batches(asked.select("id", "leader", "vector", "other", "weight", "other_vector", "radius"), against_ball(cosine), "id long, leader long, vector binary, other long, weight long, verdict int"))
     whole = settled.where("verdict = 1").join(balls.select(F.col("leader").alias("other"), "total"), "other").select("id", "leader", "other", F.col("total").alias("n"))
-    open_ = settled.where("verdict is null").join(balls.select(F.col("leader").alias("other"), F.ceil(F.col("total") / 512).cast("int").alias("blocks")), "other")
-    asks = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).withColumn("is_ball", F.lit(False))
-    needed = open_.select("other", "blocks").distinct()
-    holds = members.select(F.col("leader").alias("other"), "id", "vector", "weight").join(needed, "other").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("leader", F.col("other")).withColumn("is_ball", F.lit(True))
-    columns = ["id", "leader", "vector", "other", "weight", "block", "is_ball"]
-    exact = asks.select(*columns).unionByName(holds.select(*columns)).groupBy("other", "block").applyInArrow(counted(cosine), "id long, leader long, other long, n long")
+    # the rest is compared in tasks of one block of a ball's different vectors and one slice of those that ask
+    undecided = settled.where("verdict is null")
+    sides = undecided.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")).join(balls.select(F.col("leader").alias("other"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "other")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    asks = undecided.join(sides, "other").withColumn("block", every("blocks")).withColumn("slice", one("slices")).withColumn("is_ball", F.lit(False))
+    held = members.select(F.col("leader").alias("other"), "id", "vector", "weight").join(sides, "other")
+    holds = held.withColumn("block", one("blocks")).withColumn("slice", every("slices")).withColumn("leader", F.col("other")).withColumn("is_ball", F.lit(True))
+    columns = ["id", "leader", "vector", "other", "weight", "block", "slice", "is_ball"]
+    exact = asks.select(*columns).unionByName(holds.select(*columns)).groupBy("other", "block", "slice").applyInArrow(counted(cosine), "id long, leader long, other long, n long")
     found = cut(whole.unionByName(exact))
     linked = components(found.select(F.col("leader").alias("a"), F.col("other").alias("b"))).toDF("leader", "group")
     more = found.groupBy("id").agg(F.sum("n").alias("more"))

@@ -132,6 +132,29 @@ def test_vectors_equal_brute_force(spark):
     assert [got[i] for i in range(len(m))] == [(int(near[i].sum()) - 1, int(component[i])) for i in range(len(m))]
 
 
+def test_vectors_equal_brute_force_in_small_windows(spark, monkeypatch):
+    """1,500 vectors in windows of 12 over several partitions and in small blocks: the passes find every link; dense
+    clouds, whose links the balls don't settle, and copies that weigh more."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "SLICE", 16)
+    rng = np.random.default_rng(17)
+    centers = rng.normal(size=(150, 24))
+    rows = [centers[i % 150] + rng.normal(size=24) * rng.choice([0.02, 0.15, 0.3]) for i in range(1500)] + [centers[0]] * 40
+    m = np.array(rows)
+    df = spark.createDataFrame([(i, [float(x) for x in v], "a", "b") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, leader string, total string")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    component = np.arange(len(m))
+    for _ in range(20):
+        component = np.array([component[n].min() for n in near])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df, window=12, per_partition=300).collect()}
+    links = near.sum(axis=1) - 1
+    found = np.array([got[i][0] for i in range(len(m))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert np.mean([got[i][1] == component[i] for i in range(len(m))]) > 0.98
+    assert vectors.near_vectors(df.where("vec_id < 0")).count() == 0
+
+
 def test_packing_is_whole_and_certified(spark):
     rng = random.Random(6)
     items = spark.createDataFrame([(i, rng.randint(1, 100)) for i in range(3000)], "id long, length long")

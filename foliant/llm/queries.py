@@ -58,4 +58,41 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_imatch_fingerprints, op4_best_fit_packing, op5_paragraph_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_license_scan, op10_suffix_dedup)}
 
+#: Of links (a, b) between ids: every id with all that it reaches, and the smallest of them.
+LINKED = """
+reach AS (SELECT id, id AS other FROM ids UNION SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.a),
+component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_embedding_near_dedup"] = (
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+ids AS (SELECT vec_id AS id FROM v),"""
+    + LINKED
+    + """,
+counts AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT c.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.id = component_id AS kept FROM component c LEFT JOIN counts USING (id)"""
+)
+
+ORACLE["op7_minhash_near_dedup"] = (
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS held FROM w),
+s AS (SELECT doc_id, unnest(held) AS g FROM sets),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM both_have JOIN sets x ON a = x.doc_id JOIN sets y ON b = y.doc_id WHERE 100 * n >= 80 * (len(x.held) + len(y.held) - n)),
+ids AS (SELECT doc_id AS id FROM sets),"""
+    + LINKED
+    + """
+SELECT doc_id, len(held)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN component ON doc_id = id"""
+)
+
+ORACLE["op10_suffix_dedup"] = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, s, md5(b[s:s + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS s FROM d WHERE octet_length(b) >= 200)),
+hit AS (SELECT doc_id, s FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS opens FROM hit),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS z FROM (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
+spans AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS gone FROM runs GROUP BY doc_id),
+kept AS (SELECT d.doc_id, b, gone, a, z, list_transform(range(1, len(a) + 2), lambda k: b[(CASE WHEN k = 1 THEN 1 ELSE z[k - 1] END):(CASE WHEN k > len(a) THEN octet_length(b) ELSE a[k] - 1 END)]) AS parts FROM d LEFT JOIN spans USING (doc_id))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans, sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(parts, lambda x, y: x || y) END) AS kept_sha256 FROM kept"""

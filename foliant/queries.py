@@ -771,6 +771,15 @@ def cdc_store(spark, d):
     return chunking.store_df(chunking.chunks_df(rows, 256, 1024, 4096))
 
 
+@query("SELECT sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) FILTER (WHERE length(text) > 0)::BIGINT AS texts FROM documents")
+def cdc_store_totals(spark, d):
+    """What the different chunks give again: all bytes, and a first chunk of each text."""
+    rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
+    chunks = chunking.chunks_df(rows, 256, 1024, 4096)
+    whole = chunking.store_df(chunks).agg(F.sum(F.col("len") * F.col("copies")).cast("long").alias("bytes"))
+    return whole.crossJoin(chunks.where("chunk_no = 0").agg(F.count(F.lit(1)).alias("texts")))  # one row and one row
+
+
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem")
 def row_codec(spark, d):
     """Rows through the binary row form and back."""

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import files, filters
 from foliant.functions.objects import Malformed, from_json, to_json
+from foliant.operators.decode import decoded_df, per_file
 
 
 def encoded_df(parts: DataFrame) -> DataFrame:
@@ -93,3 +94,43 @@ def map_contents(decoded: DataFrame, change: Callable[[bytes], bytes]) -> DataFr
 def transform_elements(decoded: DataFrame, change: Callable[[DataFrame], DataFrame], meta: DataFrame) -> DataFrame:
     """Files rebuilt from decoded objects that a DataFrame function has changed."""
     return write_df(parts_of(change(decoded)), meta.where("trailer_json is not null").select("file_id", "trailer_json"))
+
+
+def rewrite_files(df: DataFrame, initial: object, collect: Callable[[object, tuple], tuple[list[tuple], object]], update: Callable[[object, tuple], tuple], **options) -> DataFrame:
+    """(file_id, content, error): each file written anew from what `collect` makes of its objects, in order.
+
+    collect takes the state and an object (number, generation, value, payload) and gives the objects that
+    take its place and the next state; update takes the last state and the trailer, and gives the trailer
+    to write. A file without a trailer, or of which no object is left, has an error in place of content."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        d = files.decode(content, **options)
+        state, out = initial, []
+        for o in d.objects:
+            made, state = collect(state, o)
+            out += made
+        if d.trailer is None:
+            return [(None, "no trailer or root")]
+        if not out:
+            return [(None, "no objects to write")]
+        return [(files.build(out, update(state, d.trailer)), None)]
+
+    return per_file(df, kernel, "file_id {k}, content binary, error string")
+
+
+def write_faults(parts: DataFrame, trailers: DataFrame) -> DataFrame:
+    """(file_id, obj_num, error): why write_df doesn't write a file, or what is wrong in it: parts without a
+    trailer, a trailer without parts, payloads that aren't as long as the column length says, if there is one."""
+    own = parts.select("file_id").distinct()
+    fault = lambda df, text: df.select("file_id", F.lit(None).cast("long").alias("obj_num"), F.lit(text).alias("error"))
+    out = fault(own.join(trailers, "file_id", "left_anti"), "no trailer").unionByName(fault(trailers.join(own, "file_id", "left_anti"), "no objects to write"))
+    if "length" in parts.columns:
+        wrong = parts.where(F.octet_length("payload") != F.col("length"))
+        text = F.concat(F.lit("payload of "), F.octet_length("payload"), F.lit(" bytes for a length of "), F.col("length"))
+        out = out.unionByName(wrong.select("file_id", F.col("obj_num").cast("long").alias("obj_num"), text.alias("error")))
+    return out
+
+
+def xref_of_files(df: DataFrame, **options) -> DataFrame:
+    """xref_df of the objects of files as they would be written one after the other."""
+    return xref_df(offsets_df(encoded_df(parts_of(decoded_df(df, **options)))))

@@ -753,6 +753,34 @@ def pdf_rewrite(spark, d):
     return decode.page_text_files(again).select(F.col("file_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
 
 
+def _without_fonts(state: int, o: tuple) -> tuple[list[tuple], int]:
+    """Fonts go; the state counts what is left."""
+    font = objects.name_of(objects.get(o[2], "Type")) == "Font"
+    return ([], state) if font else ([o], state + 1)
+
+
+@query("SELECT doc_id, 4::BIGINT AS objects, '#4' AS kept, CAST(NULL AS VARCHAR) AS error FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, NULL, 'no trailer or root' FROM documents WHERE doc_id % 2 = 1")
+def pdf_rewrite_state(spark, d):
+    """Files rewritten with a state that ends in their trailer; half of them have none to begin with."""
+    rows = made(documents(spark, d).withColumn("which", F.when(F.col("file_id") % 2 == 0, 0).otherwise(2)), _spoiled, "text", "which")
+    again = write.rewrite_files(rows, 0, _without_fonts, lambda n, trailer: objects.updated(trailer, Kept=objects.num(n)))
+    meta = decode.meta_df(again.where("content is not null")).select("file_id", "objects", decode.prim("Kept", "trailer_json").alias("kept"))
+    return again.select("file_id", "error").join(meta, "file_id", "left").select(F.col("file_id").alias("doc_id"), "objects", "kept", "error")
+
+
+@query("SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'no trailer' ELSE 'no objects to write' END AS error FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 < 2")
+def pdf_write_faults(spark, d):
+    parts = conversation_parts(spark, d)
+    trailers = parts.where("file_id % 3 <> 0").select("file_id").distinct().withColumn("trailer_json", F.lit('{"Root":"@1 0"}'))
+    return write.write_faults(parts.where("file_id % 3 <> 1"), trailers).select(F.col("file_id").alias("conv_id"), "error")
+
+
+@query("SELECT doc_id, obj_num, obj_num > 0 AS in_use, CASE obj_num WHEN 0 THEN 65535 ELSE 0 END AS gen FROM documents, generate_series(0, 5) AS g(obj_num)")
+def pdf_xref_table(spark, d):
+    """Cross-reference entries of written objects: one for each number, the first free."""
+    return write.xref_of_files(made(documents(spark, d), plain_file, "text")).select(F.col("file_id").alias("doc_id"), "obj_num", "in_use", "gen")
+
+
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS total, sha256(text) AS sha256, true AS within FROM documents")
 def cdc_chunks(spark, d):
     """Chunks add up to their text and keep their bounds."""

@@ -37,13 +37,13 @@ def cuts(data: bytes, least: int = 4096, average: int = 16384, most: int = 65536
         return []
     bits = average.bit_length() - 1
     strict_bits, loose_bits = bits + 2, max(bits - 2, 0)
-    gear = GEAR[np.frombuffer(data, np.uint8)]
+    kind = np.uint16 if strict_bits <= 16 else np.uint32 if strict_bits <= 32 else np.uint64  # low bits need no more
+    gear = GEAR.astype(kind)[np.frombuffer(data, np.uint8)]
     low = gear.copy()
-    for k in range(1, strict_bits):
-        if k < n:
-            low[k:] += gear[:-k] << np.uint64(k)
-    strict = np.flatnonzero(low & np.uint64((1 << strict_bits) - 1) == 0)
-    loose = np.flatnonzero(low & np.uint64((1 << loose_bits) - 1) == 0)
+    for k in range(1, min(strict_bits, n)):
+        low[k:] += gear[:-k] << kind(k)
+    strict = np.flatnonzero(low & kind((1 << strict_bits) - 1) == 0)
+    loose = np.flatnonzero(low & kind((1 << loose_bits) - 1) == 0)
     out, start = [], 0
     while start < n:
         if n - start <= least:

@@ -786,11 +786,10 @@ def cdc_chunks(spark, d):
     """Chunks add up to their text and keep their bounds."""
     rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
     chunks = chunking.chunks_df(rows, 256, 1024, 4096, with_bytes=True)
-    ends = chunks.groupBy("file_id").agg(F.max("chunk_no").alias("last"))
-    bounded = (F.col("len") <= 4096) & ((F.col("chunk_no") == F.col("last")) | (F.col("len") >= 256))
-    parts = chunks.join(ends, "file_id").groupBy("file_id").agg(F.sum("len").alias("total"), F.sort_array(F.collect_list(F.struct("chunk_no", "bytes"))).alias("parts"), F.min(bounded).alias("within"))
-    whole = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
-    return parts.select(F.col("file_id").alias("doc_id"), "total", F.sha2(whole, 256).alias("sha256"), "within")
+    parts = chunks.groupBy("file_id").agg(F.sum("len").alias("total"), F.sort_array(F.collect_list(F.struct("chunk_no", "len", "bytes"))).alias("parts"))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["bytes"])), ""))
+    within = F.forall("parts", lambda x: (x["len"] <= 4096) & ((x["len"] >= 256) | (x["chunk_no"] == F.size("parts") - 1)))
+    return parts.select(F.col("file_id").alias("doc_id"), "total", F.sha2(whole, 256).alias("sha256"), within.alias("within"))
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 _SKIP = re.compile(rb"(?:[ \n\r\t\f\x00]|%[^\n\r]*)*")
 _WORD = re.compile(rb"[^ \n\r\t\f\x00/<>\[\](){}]+")
@@ -76,6 +77,12 @@ def tokens(data: bytes) -> list[tuple[str, object]]:
     return out
 
 
+def printable(s: str) -> str:
+    """A string for display: runs of line ends as one, other characters without a shape as question marks."""
+    lines = re.split(r"[\r\n]+", s)
+    return "\n".join("".join("?" if unicodedata.category(c)[0] == "C" else c for c in line) for line in lines)
+
+
 def shown(token: tuple[str, object]) -> str:
     return token[1].decode("latin-1") if token[0] in ("string", "hex") else ""
 

@@ -217,15 +217,50 @@ def updated(value: Value, **items: Value) -> Value:
     return ("dict", {**(value[1] if value[0] == "dict" else {}), **items})
 
 
-def merged(a: Value, b: Value) -> Value:
-    """b laid over a: dictionaries key by key, arrays one after the other; other values must be of one kind."""
-    if a[0] == b[0] == "dict":
-        return ("dict", {**a[1], **{k: merged(a[1][k], v) if k in a[1] else v for k, v in b[1].items()}})
-    if a[0] == b[0] == "array":
-        return ("array", a[1] + b[1])
-    if a[0] != b[0]:
-        raise Malformed(f"can't merge {a[0]} and {b[0]}")
-    return b
+def merged(old: Value, new: Value) -> Value:
+    """new laid over old: dictionaries key by key; to an array others are appended, arrays element by element.
+    Anything else that meets under one key can't be merged."""
+    if old[0] == new[0] == "dict":
+        return ("dict", {**old[1], **{k: merged(old[1][k], v) if k in old[1] else v for k, v in new[1].items()}})
+    if old[0] == "array":
+        return ("array", [*old[1], *(new[1] if new[0] == "array" else [new])])
+    raise Malformed(f"can't merge {new[0]} into {old[0]}")
+
+
+def collected_references(value: Value, *path: str) -> list[int] | None:
+    """Numbers of the references in the array under a path; None where there is no array."""
+    held = get(value, *path)
+    return [v[1][0] for v in held[1] if v[0] == "ref"] if held is not None and held[0] == "array" else None
+
+
+def numbers_at(value: Value, *path: str) -> list[float] | None:
+    """The numbers in the array under a path; None where there is no array, or one with other elements."""
+    held = get(value, *path)
+    return [float(v[1]) for v in held[1]] if held is not None and held[0] == "array" and all(v[0] == "num" for v in held[1]) else None
+
+
+def contains_name(value: Value, key: str, wanted: str) -> bool:
+    """Whether a name, or one of an array, under the key is this one."""
+    held = get(value, key)
+    return held is not None and ("name", wanted) in (held[1] if held[0] == "array" else [held])
+
+
+def is_type(value: Value, wanted: str) -> bool:
+    return name_of(get(value, "Type")) == wanted
+
+
+def with_element(value: Value, key: str, element: Value) -> Value:
+    """The dictionary with one more element in the array under the key. A reference there becomes the first
+    element; anything else is replaced."""
+    held = get(value, key)
+    before = held[1] if held is not None and held[0] == "array" else [held] if held is not None and held[0] == "ref" else []
+    return updated(value, **{key: ("array", [*before, element])})
+
+
+def with_entry(value: Value, key: str, inner: str, element: Value) -> Value:
+    """The dictionary with an entry more in the one under the key; anything else there is replaced."""
+    held = get(value, key)
+    return updated(value, **{key: updated(held if held is not None else NULL, **{inner: element})})
 
 
 def nodes(value: Value) -> list[tuple]:

@@ -33,6 +33,23 @@ def test_values_keep_order_and_text():
     with pytest.raises(o.Malformed):
         o.parse(b"<</A")
     assert o.merged(o.array(o.num(1)), o.array(o.num(2))) == o.array(o.num(1), o.num(2))
+    assert o.merged(o.array(o.num(1)), o.num(2)) == o.array(o.num(1), o.num(2))
+    assert o.merged(o.dictionary(A=o.dictionary(B=o.num(1))), o.dictionary(A=o.dictionary(C=o.num(2)))) == o.dictionary(A=o.dictionary(B=o.num(1), C=o.num(2)))
+    for new in (o.num(2), o.dictionary()):
+        with pytest.raises(o.Malformed):
+            o.merged(o.num(1), new)
+
+
+def test_accessors_and_updates():
+    v = o.dictionary(Type=o.name("Page"), Kids=o.array(o.ref(4), o.num(1), o.ref(5)), Box=o.array(o.num(0), o.num("1.5")), One=o.ref(9))
+    assert o.collected_references(v, "Kids") == [4, 5] and o.collected_references(v, "One") is None and o.collected_references(v, "No") is None
+    assert o.numbers_at(v, "Box") == [0.0, 1.5] and o.numbers_at(v, "Kids") is None
+    assert o.is_type(v, "Page") and o.contains_name(v, "Type", "Page") and not o.contains_name(v, "Kids", "Page")
+    assert o.contains_name(o.dictionary(Filter=o.array(o.name("A"), o.name("B"))), "Filter", "B")
+    assert o.get(o.with_element(v, "One", o.ref(1)), "One") == o.array(o.ref(9), o.ref(1))
+    assert o.get(o.with_element(v, "New", o.ref(1)), "New") == o.array(o.ref(1))
+    assert o.get(o.with_entry(o.with_entry(v, "R", "a", o.num(1)), "R", "b", o.num(2)), "R") == o.dictionary(a=o.num(1), b=o.num(2))
+    assert contents.printable("a\r\n\nb\x00 c\t") == "a\nb? c?"
 
 
 @pytest.mark.parametrize("data", [b"", b"a", bytes(range(256)) * 5, b"aaaa" * 300])

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 #: Positions of what is left come behind all others.
-LAST = (1 << 62) + 0
+LAST = 1 << 62
 
 
 def _order() -> WindowSpec:

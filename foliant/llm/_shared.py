@@ -82,6 +82,12 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives memory that is free in this worker back to the machine, on which other workers need it."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 _holder: list = ["", None]
 
 
@@ -92,8 +98,7 @@ def hold(name: str, clear: Callable[[], None]) -> None:
         if _holder[1] is not None:
             _holder[1]()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            trim()
         _holder[:] = [name, clear]
 
 

@@ -263,7 +263,7 @@ def induce(code: np.ndarray, buckets: Buckets, leftmost: np.ndarray, common: np.
     # the first sweep takes L and leftmost S suffixes in ascending order
     free = starts_of(buckets.large, buckets.leftmost)
     own = free + buckets.large
-    slot = scratch.array(len(leftmost), np.int64)
+    slot = scratch.array(len(leftmost), places(n))
     slot[:] = np.repeat(own - starts_of(buckets.leftmost), buckets.leftmost) + np.arange(len(leftmost))
     seams = own[(buckets.large > 0) & (buckets.leftmost > 0)]
     total = int(buckets.large.sum())
@@ -277,7 +277,7 @@ def induce(code: np.ndarray, buckets: Buckets, leftmost: np.ndarray, common: np.
     large_down, small_down = buckets.large[::-1], buckets.small[::-1]
     base = starts_of(large_down, small_down)
     own = base + small_down
-    slot, placed, together = scratch.array(total + 1, np.int64), scratch.array(total + 1, places(n)), scratch.array(total + 1, np.uint16)
+    slot, placed, together = scratch.array(total + 1, places(n)), scratch.array(total + 1, places(n)), scratch.array(total + 1, np.uint16)
     slot[:total] = np.repeat(own - starts_of(large_down), large_down) + np.arange(total)
     for part in scratch.parts(total):
         placed[part] = large[total - part.stop : total - part.start][::-1]
@@ -293,11 +293,11 @@ def typed(t: np.ndarray, symbols: int, scratch: Scratch) -> np.ndarray:
     code = scratch.array(n + 1, np.uint16 if symbols < 1 << 15 else np.int32 if symbols < 1 << 30 else np.int64)
     after, small = -1, True  # of the suffix behind the part
     for part in reversed(list(scratch.parts(n))):
-        x = t[part].astype(np.int64)
+        x = t[part].astype(places(symbols))
         step = np.sign(np.append(x[1:], after) - x)
         if part.stop == n:
             step[-1] = 1
-        decided = np.where(step != 0, np.arange(len(x)), len(x))
+        decided = np.where(step != 0, np.arange(len(x), dtype=places(n)), places(n)(len(x)))
         nearest = np.minimum.accumulate(decided[::-1])[::-1]
         s = np.append(step > 0, small)[nearest]
         code[part] = 2 * x + s
@@ -376,7 +376,7 @@ def sorted_suffixes(t: np.ndarray, symbols: int, scratch: Scratch, most: int) ->
         else:
             names = scratch.array(m, places(m))
             names[place] = np.cumsum(fresh) - 1
-            at, rank, known = m, scratch.array(m, np.int64), scratch.array(m, np.int64)
+            at, rank, known = m, scratch.array(m, places(m)), scratch.array(m, places(n))
             for position, d in sorted_suffixes(names, int(fresh.sum()), scratch, most):
                 k = len(position)
                 rank[at - k : at] = position[::-1]

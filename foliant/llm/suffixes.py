@@ -10,7 +10,7 @@ windows, proves them unique. Runs of windows are counted by their content; one r
 and none where a minimizer has one content alone, whose runs are copies of each other. Within a shard,
 windows that hold a gram met nowhere else in it are unique, too, and cut out.
 
-A minimizer whose contents would take half a shard (a common line within different texts) is split: the
+A minimizer whose contents would take an eighth of a shard (a common line within different texts) is split: the
 windows under it are dealt anew by the minimizers of longer grams, again and again, at last by themselves.
 
 Nulls: a null text counts as empty. Rows are told apart by id and text, so null and repeated ids keep
@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import Tables, cut, hold, map_batches, pieces_for, release
-from foliant.llm.induced import Scratch, sorted_suffixes
+from foliant.llm._shared import Tables, cut, hold, map_batches, pieces_for, release, trim
+from foliant.llm.induced import Scratch, places, sorted_suffixes
 from foliant.llm.minhash import bytes_of, mix
 
 GRAM = 32
@@ -184,7 +184,7 @@ def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def in_doubt(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For each place of the joined pieces, whether a window begins there of which all sampled grams occur
     elsewhere in them, too."""
-    place = np.arange(len(data))
+    place = np.arange(len(data), dtype=owner.dtype)
     flags = place + length <= ends[owner]
     if len(data) >= GRAM:
         h = window_hashes(data, GRAM)
@@ -205,15 +205,15 @@ def repeated_windows(pieces: list[bytes], length: int, room: int = 1 << 22) -> l
     tuples held in memory; more go to disk."""
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    first, number = stretches(in_doubt(data, ends, owner, length))
+    kind = places(len(data))
+    ends = np.cumsum(sizes).astype(kind)
+    first, number = stretches(in_doubt(data, ends, np.repeat(np.arange(len(pieces), dtype=kind), sizes), length))
     flags = np.zeros(len(data), bool)
     if len(first):
         # the open stretches, bytes counted from 2, a 1 behind each, and 0 at the end
         widths = number + length
         begin = np.cumsum(widths) - widths
-        source = np.repeat(first - begin, widths) + np.arange(int(widths.sum()))
+        source = np.repeat((first - begin).astype(kind), widths) + np.arange(int(widths.sum()), dtype=kind)
         t = np.append(data[np.minimum(source, len(data) - 1)].astype(np.uint16) + 2, np.uint16(0))
         t[begin + widths - 1] = 1
         hit = np.zeros(len(t), bool)
@@ -224,7 +224,7 @@ def repeated_windows(pieces: list[bytes], length: int, room: int = 1 << 22) -> l
                 hit[position[both]] = True
                 hit[np.where(both > 0, position[both - 1], before[0])] = True
                 before = position[-1:].copy()
-        inside = np.arange(len(source)) - np.repeat(begin, widths) < np.repeat(number, widths)
+        inside = np.arange(len(source), dtype=kind) < np.repeat((begin + number).astype(kind), widths)
         flags[source[hit[:-1] & inside]] = True
     return np.split(flags, ends[:-1])
 
@@ -240,6 +240,7 @@ def shard_sorter(length: int, room: int) -> Callable[[pa.Table], pa.Table]:
                 keep.append(np.full(len(first), i))
                 s.append(start[i] + first)
                 n.append(number)
+        trim()
         take = pa.array(np.concatenate(keep))
         return pa.table([table.column("a").take(take), table.column("b").take(take), pa.array(np.concatenate(s).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32))], ["a", "b", "start", "n"])
 
@@ -293,7 +294,7 @@ def spans(docs: DataFrame, length: int, shard_bytes: int, room: int, keep: Table
         contents = keep(open_.groupBy("m", "c").agg(F.sum("copies").alias("copies"), F.min(F.struct(*span, *content)).alias("x")))
         found.append(open_.join(contents.where("copies > 1").select("m", "c"), ["m", "c"], "left_semi").select(span))
         sizes = contents.groupBy("m").agg(F.sum(F.col("x.n").cast("long") + (length - 1)).alias("bytes"))
-        chosen = contents.join(sizes.where(F.col("bytes") > shard_bytes // 2), "m", "left").withColumn("crowded", F.col("bytes").isNotNull())
+        chosen = contents.join(sizes.where(F.col("bytes") > shard_bytes // 8), "m", "left").withColumn("crowded", F.col("bytes").isNotNull())
         if level:
             pieces = chosen.select("m", "copies", "crowded", "x.a", "x.b", "x.start", "x.content")
         else:

@@ -16,7 +16,7 @@ import base64
 import contextlib
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -252,35 +252,40 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+def map_uncollected(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        with uncollected():
+            return kernel(batch)
+
+    return map_batches(df, run, schema)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text. vocabulary: path of a rank file on every executor."""
 
-    @uncollected()
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.encode(t) for t in texts_of(batch.column(1))], pa.list_(pa.int32()))], [id_col, "ids"])
 
     source = docs.select(id_col, text_col)
-    return map_batches(source, kernel, f"{id_col} {source.schema[0].dataType.simpleString()}, ids array<int>")
+    return map_uncollected(source, kernel, f"{id_col} {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", portion: int = 4096) -> DataFrame:
     """(id, text): ids decoded in portions through the UTF-8 automaton. A null list counts as empty."""
 
-    @uncollected()
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary, pattern)
         texts = ["".join(c.decode_stream(ids[i : i + portion] for i in range(0, len(ids), portion))) for ids in (x or [] for x in batch.column(1).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     source = encoded.select(id_col, ids_col)
-    return map_batches(source, kernel, f"{id_col} {source.schema[0].dataType.simpleString()}, text string")
+    return map_uncollected(source, kernel, f"{id_col} {source.schema[0].dataType.simpleString()}, text string")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", portion: int = 65536) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, decoded_chars): each text encoded, its ids decoded in portions."""
 
-    @uncollected()
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary, pattern)
         counts, ids_sha, text_sha, chars = [], [], [], []
@@ -297,4 +302,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: s
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(chars, pa.int64())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
     source = docs.select(id_col, text_col)
-    return map_batches(source, kernel, f"{id_col} {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+    return map_uncollected(source, kernel, f"{id_col} {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")

@@ -224,6 +224,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_cost_few_jobs_and_give_what_contraction_gives(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 - k, 999 - k) for k in range(90)]
+    df = spark.createDataFrame(edges, "a int, b int").localCheckpoint()
+    spark.sparkContext.setJobGroup("few", "")
+    few = sorted(map(tuple, components(df).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("many", "")
+    assert few == sorted(map(tuple, components(df, few=0).collect())) and few[-1] == (1000, 910)
+    assert 2 * jobs < len(spark.sparkContext.statusTracker().getJobIdsForGroup("many"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_imatch_is_native(spark, rows):
     plan = imatch.edited_likeness(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

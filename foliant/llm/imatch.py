@@ -58,18 +58,17 @@ def dealt(rate: int, test: Callable[[Column], Column]) -> Callable[[Column], Col
     return lambda t: test(F.pmod(F.xxhash64(t, F.lit(rate)), F.lit(rate)))
 
 
-def hashes(own: Column, everything: Column) -> Column:
-    """A hash, or null, for each subset of the lexicon; own: the text's lexicon terms, sorted.
+def subsets(own: Column, some: Callable[[int], Column]) -> Column:
+    """The terms of each subset of the lexicon. own: the text's lexicon terms, sorted; some: of a rate with fewer
+    subsets than it could have, those of them that are in any.
 
     The subsets of one rate are disjoint: a hash of the term deals it to one of `rate` subsets, of which the
     first ones count. So terms that are in none of a rate's subsets are passed over once for all of them."""
     parts = []
     for rate, count in RATES.items():
-        some = own if count >= rate else F.filter(own, dealt(rate, lambda d: d < count))  # noqa: B023
-        for k in range(count):
-            held = some if rate == 1 else F.filter(some, dealt(rate, lambda d: d == k))  # noqa: B023
-            parts.append(F.when(F.size(held) > 0, F.xxhash64(held, F.lit(len(parts)))))
-    return F.when(F.size(own) > 0, F.array(*parts)).otherwise(F.array(F.xxhash64(F.array_sort(everything), F.lit(-1))))
+        held = own if count >= rate else some(rate)
+        parts += [held if rate == 1 else F.filter(held, dealt(rate, lambda d: d == k)) for k in range(count)]  # noqa: B023
+    return F.array(*parts)
 
 
 def as_text(subsets: Column) -> Column:
@@ -90,11 +89,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_hashes(df: DataFrame, texts: dict[str, str], words: DataFrame) -> DataFrame:
-    """df with a column of subset hashes for each text column named in texts."""
-    df = df.join(F.broadcast(words))  # one row of bounded size
+    """df with a column for each text column named in texts: a hash, or null, for each subset of the lexicon.
+
+    Each step is a projection of its own, as Spark computes anew what one expression names twice."""
     df = df.withColumns({f"__all_{name}": terms(F.col(col)) for name, col in texts.items()})
-    df = df.withColumns({f"__in_{name}": F.array_sort(F.filter(f"__all_{name}", lambda t: F.array_contains(F.element_at("lexicon", slot(t) + 1), t))) for name in texts})
-    return df.withColumns({name: hashes(F.col(f"__in_{name}"), F.col(f"__all_{name}")) for name in texts})
+    df = df.join(F.broadcast(words))  # one row of bounded size
+    df = df.withColumns({f"__in_{name}": F.array_sort(F.filter(f"__all_{name}", lambda t: F.array_contains(F.element_at("lexicon", slot(t) + 1), t))) for name in texts}).drop("lexicon")
+    df = df.withColumns({f"__some_{name}_{rate}": F.filter(f"__in_{name}", dealt(rate, lambda d: d < count)) for name in texts for rate, count in RATES.items() if count < rate})  # noqa: B023
+    df = df.withColumns({f"__held_{name}": subsets(F.col(f"__in_{name}"), lambda rate: F.col(f"__some_{name}_{rate}")) for name in texts})  # noqa: B023
+    each = lambda held, k: F.when(F.size(held) > 0, F.xxhash64(held, k))
+    alone = lambda name: F.array(F.xxhash64(F.array_sort(f"__all_{name}"), F.lit(-1)))
+    return df.withColumns({name: F.when(F.size(f"__in_{name}") > 0, F.transform(f"__held_{name}", each)).otherwise(alone(name)) for name in texts})
 
 
 FAN = 32
@@ -112,9 +117,10 @@ def place_among(bounds: list, x: Column) -> Column:
     return at
 
 
-def with_next(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
-    """rows, which have __id and __text, with __next_<column> for each column: that of the next document in
-    descending id, after the last that of the first.
+def with_next(rows: DataFrame, ids: DataFrame, more: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """rows, which have __id and __text, with the columns that `more` adds from the text and with
+    __next_<column> for __text and each of them: that of the next document in descending id, after the last
+    that of the first.
 
     Documents are dealt to buckets of neighbouring ids by approximate quantiles, half the root of their number
     of buckets, so that neither a bucket nor the list of bounds grows as fast as the rows; each bucket also
@@ -126,16 +132,15 @@ def with_next(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
     none = F.col("__id").isNull()
     bucket = F.when(none, -1 - F.pmod(F.xxhash64("__text"), F.lit(buckets))).otherwise(place_among(bounds, F.col("__id")) if bounds else F.lit(0)).cast("long")
     rows = rows.withColumn("__bucket", bucket)
-    first = F.struct(F.coalesce(F.col("__id").cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("i"), F.coalesce("__text", F.lit("")).alias("t"), *[F.col(c).alias(f"h_{c}") for c in columns])
     order = F.struct(F.coalesce(F.col("__id").cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")), F.coalesce("__text", F.lit("")))
-    heads = rows.groupBy("__bucket").agg(F.max_by(first, order).alias("head"))
+    heads = rows.groupBy("__bucket").agg(F.max_by(F.coalesce("__text", F.lit("")), order).alias("head"))
     # a row for each bucket: the head of the one below goes to the end of the one above, that of the first to the last
     down = Window.orderBy(F.col("__bucket").desc())
     above = heads.withColumn("__to", F.coalesce(F.lag("__bucket").over(down), F.min("__bucket").over(Window.partitionBy())))
-    kept = {f.name: f.dataType for f in rows.schema}
-    values = {"__text": F.col("head.t"), "__bucket": F.col("__to"), **{c: F.col(f"head.h_{c}") for c in columns}}
-    ghosts = above.select(*[values.get(c, F.lit(None).cast(t)).alias(c) for c, t in kept.items()], F.lit(True).alias("__ghost"))
+    values = {"__text": F.col("head"), "__bucket": F.col("__to")}
+    ghosts = above.select(*[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema], F.lit(True).alias("__ghost"))
     everything = rows.withColumn("__ghost", F.lit(False)).unionByName(ghosts)
+    everything = more(everything).select(*everything.columns, *columns)
     following = Window.partitionBy("__bucket").orderBy(F.col("__ghost"), F.col("__id").desc_nulls_last(), F.col("__text").desc_nulls_last())
     return everything.withColumns({f"__next_{c}": F.lead(c).over(following) for c in ("__text", *columns)}).where("not __ghost").drop("__ghost", "__bucket")
 
@@ -145,7 +150,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document's, and their likeness to each other and to the next document's. Ids are numbers."""
     words = slots(docs, text_col, **band)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text"))
-    rows = with_next(with_hashes(rows, {"__own": "__text"}, words).select("__id", "__text", "__own"), rows.select("__id"), "__own")
+    rows = with_next(rows, rows.select("__id"), lambda every: with_hashes(every, {"__own": "__text"}, words), "__own")
     n = F.length("__text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("__text"), F.lit(1), n - half), F.substring(F.col("__next___text"), F.lit(1), half))

@@ -242,6 +242,14 @@ def test_imatch_is_native(spark, rows):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_imatch_names_each_subset_once_a_text(spark, rows):
+    """What an expression names twice is computed twice."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    plan = imatch.edited_likeness(table(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 2 * sum(imatch.RATES.values()) < plan.count("filter(") < 3 * sum(imatch.RATES.values())
+
+
 def test_imatch_equals_brute_force(spark):
     """Fingerprints are equal where the sorted lexicon terms of every subset are; likeness is their share."""
     rng = random.Random(12)

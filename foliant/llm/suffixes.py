@@ -152,27 +152,54 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(docs, kernel, RUN)
 
 
+def equal_runs(text: np.ndarray, start: np.ndarray, count: np.ndarray, value: np.ndarray, again: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """(first of each different run of a text, how many are equal to it, again of any of them) and (text, first
+    window, windows) of all that have an equal one in their text, joined where they touch."""
+    order = np.lexsort((start, c, value, text))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (text, value, c)], axis=0)
+    begin = np.flatnonzero(new)
+    copies = np.diff(np.append(begin, len(order)))
+    any_again = np.maximum.reduceat(again[order], begin) if len(begin) else again
+    known = np.sort(order[np.repeat(copies, copies) > 1])  # runs stand by text and start
+    t, s, z = text[known], start[known], start[known] + count[known]
+    opens = np.ones(len(known), bool)
+    opens[1:] = (t[1:] != t[:-1]) | (s[1:] > z[:-1])
+    closes = np.append(opens[1:], np.ones(min(1, len(opens)), bool))
+    return order[begin], copies, any_again, (t[opens], s[opens], z[closes] - s[opens])
+
+
 def runs_within(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     """The runs of each piece (m, copies, a, b, start, content) by the minimizers of longer grams, with their
-    content and the piece's copies. Windows under another minimizer of the piece stay apart."""
+    content and the piece's copies. Windows under another minimizer of the piece stay apart.
+
+    Runs that are equal within a piece are one row, of as many copies; where they stand is known to be repeated
+    and comes in rows of its own, so that a piece of few different windows (a line of one word again and again)
+    has few rows."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = bytes_of(batch.column("content"))
         out: list[tuple[np.ndarray, ...]] = []
-        contents: list[bytes] = []
+        contents: list[bytes | None] = []
         for part in grouped([len(t) for t in texts]):
             own = texts[part]
             text, start, count, value, again = runs_of(own, length, gram)
-            contents += [own[t][s : s + k + length - 1] for t, s, k in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)]
-            out.append((text + part.start, start, count, value, again))
-        text, start, count, value, again = (np.concatenate(x) for x in zip(*out, strict=True))
+            c = np.array([xxhash.xxh3_64_intdigest(own[t][s : s + k + length - 1]) for t, s, k in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)], dtype=np.uint64)
+            first, times, any_again, (at, begin, windows) = equal_runs(text, start, count, value, again, c)
+            contents += [own[t][s : s + k + length - 1] for t, s, k in zip(text[first].tolist(), start[first].tolist(), count[first].tolist(), strict=True)]
+            out.append((text[first] + part.start, start[first], count[first], value[first], any_again, c[first], times, np.zeros(len(first), bool)))
+            contents += [None] * len(at)
+            none = np.zeros(len(at), np.uint64)
+            out.append((at + part.start, begin, windows, none, none.astype(bool), none, none.astype(np.int64), np.ones(len(at), bool)))
+        text, start, count, value, again, c, times, known = (np.concatenate(x) for x in zip(*out, strict=True))
         take = pa.array(text)
         m = mix(batch.column("m").to_numpy().view(np.uint64)[text] * BASES[0] + value)
-        c = np.array([xxhash.xxh3_64_intdigest(x) for x in contents], dtype=np.uint64)
         at = batch.column("start").to_numpy()[text] + start
-        return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), batch.column("a").take(take), batch.column("b").take(take), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), batch.column("copies").take(take), pa.array(contents, pa.binary())], ["m", "c", "a", "b", "start", "n", "again", "copies", "content"])
+        copies = batch.column("copies").to_numpy()[text] * times
+        return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), batch.column("a").take(take), batch.column("b").take(take), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), pa.array(copies), pa.array(contents, pa.binary()), pa.array(known)], ["m", "c", "a", "b", "start", "n", "again", "copies", "content", "known"])
 
-    return map_batches(pieces, kernel, RUN + ", copies long, content binary")
+    return map_batches(pieces, kernel, RUN + ", copies long, content binary, known boolean")
 
 
 def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +312,9 @@ def spans(docs: DataFrame, length: int, shard_bytes: int, room: int, keep: Table
     for level, gram in enumerate(grams(length)):
         content = ["content"] if level else []
         every = keep(source)
+        if level:
+            found.append(every.where("known").select(span))
+            every = every.where("not known").drop("known")
         counts = every.groupBy("m").agg(F.sum("copies").alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("again").alias("again")).where("k > 1 or again")
         counts = counts.select("m", (F.col("c1") == F.col("c2")).alias("alone"), "k")
         hits = keep(every.drop("again").join(counts, "m"))

@@ -114,6 +114,22 @@ def test_suffix_dedup_equals_brute_force(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_windows_that_repeat_within_a_piece_cost_few_rows(spark):
+    pieces = spark.createDataFrame([(1, 1, 7, 8, 100, b"a " * 3000 + b"b" * 50)], "m long, copies long, a long, b long, start int, content binary")
+    got = suffixes.runs_within(pieces, 200, 200).collect()
+    assert len(got) < 100
+    known = [(r.start, r.n) for r in got if r.known]
+    assert known == [(100, 5801)]  # all windows of the line itself, and none of those over its end
+    assert sum(r.copies for r in got if not r.known) == 5851  # one for each window
+    rng = random.Random(5)
+    docs = [prose(rng, 12) + "a " * rng.randint(200, 900) + prose(rng, 12) for _ in range(6)] + ["xyz" * 500, prose(rng, 90)]
+    raw = [d.encode() for d in docs]
+    every = Counter(b[s : s + 200] for b in raw for s in range(len(b) - 199))
+    for r in suffixes.dedup_digests(table(spark, enumerate(docs)), shard_bytes=4000, room=2000).collect():
+        gone = {k for s in range(len(raw[r.doc_id]) - 199) if every[raw[r.doc_id][s : s + 200]] > 1 for k in range(s, s + 200)}
+        assert r.kept_sha256 == hashlib.sha256(bytes(x for k, x in enumerate(raw[r.doc_id]) if k not in gone)).hexdigest()
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))

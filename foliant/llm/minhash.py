@@ -21,6 +21,7 @@ own text. Texts may be of any length; other columns are not read. An empty table
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ PAIRS = 1 << 17  # compared at once
 _rng = np.random.default_rng(20240607)
 A, B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1), _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_words: dict[bytes, int] = {}
+_words: dict[bytes, bytes] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,10 +57,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
             _words.clear()
         for i, h in enumerate(out):
             if h is None:
-                out[i] = h = xxhash.xxh3_64_intdigest(words[i])
+                out[i] = h = xxhash.xxh3_64_intdigest(words[i]).to_bytes(8, sys.byteorder)
                 if len(words[i]) <= 64:
                     _words[words[i]] = h
-    return np.array(out, dtype=np.uint64)
+    return np.frombuffer(b"".join(out), np.uint64)
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -70,12 +71,23 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def shingles_of(w: np.ndarray, size: int) -> np.ndarray:
+    return distinct(shingle_hashes(w, min(size, len(w))))
+
+
+def shingle_hashes(w: np.ndarray, width: int) -> np.ndarray:
     n = len(w)
-    width = min(size, n)
     h = np.full(n - width + 1, np.uint64(width))
     for k in range(width):
         h = mix(h * M[0] + w[k : n - width + 1 + k])
-    return np.unique(h)
+    return h
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique takes longer over short arrays."""
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

@@ -17,7 +17,6 @@ are equal count as one. Texts are read whole. Other columns are not read; an emp
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm._shared import Tables, cut, map_batches, texts_of
-from foliant.llm.minhash import A, B, M, confirmed, families, mix, shingles, shingles_of, word_hashes
+from foliant.llm.minhash import A, B, M, confirmed, distinct, families, mix, shingle_hashes, shingles, shingles_of, word_hashes
 
 BANDS, ROWS = 8, 3
 MATCHES = 11  # of 24; a pair at 0.8 has fewer with a chance of one in 20,000
-WORD = re.compile(rb"\S+")
-
 
 ANCHOR, AMONG = 12, 39  # words of an anchor, and runs among which it is chosen
 PARAGRAPH = pa.struct([("number", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("n_shingles", pa.int64()), ("c", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())])
@@ -70,11 +67,12 @@ def read(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
             lines = text.split("\n")
             words = [x.encode().lower().split() for x in lines]
             w = word_hashes([x for line in words for x in line])
+            runs = shingle_hashes(w, 5) if len(w) >= 5 else w  # of the text; a paragraph's are a part of them
             at = k = n = 0
             for number, (line, own) in enumerate(zip(lines, words, strict=True)):
                 if len(own) >= max(1, min_words):
                     where.append((number, at, at + len(line), len(own)))
-                    sets.append(shingles_of(w[k : k + len(own)], 5))
+                    sets.append(distinct(runs[k : k + len(own) - 4]) if len(own) >= 5 else shingles_of(w[k : k + len(own)], 5))
                     n += 1
                 at += len(line) + 1
                 k += len(own)
@@ -125,20 +123,23 @@ def chosen(h: np.ndarray, among: int) -> np.ndarray:
     return np.unique(np.arange(among - 1, len(h)) - least)
 
 
-def reach(text: str, places: list[dict]) -> list[dict]:
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+
+
+def reach(text: str, p: np.ndarray, q: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For runs from the anchor at p to the one at q: the text of the AMONG words before and behind, and the
-    characters and lines between which they stand."""
+    character and line at which they start and those at which they end."""
     raw = text.encode()
-    spans = np.array([m.span() for m in WORD.finditer(raw)], np.int64).reshape(-1, 2)
     b = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], IS_SPACE[b], [True]]).astype(np.int8)))
+    opens, closes = edges[::2], edges[1::2]
     chars, line = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)]), np.concatenate([[0], np.cumsum(b == 10)])
-    out = []
-    for x in places:
-        p, q = x["p"], x["q"] + ANCHOR - 1
-        start, end = int(spans[p, 0]), int(spans[q, 1])
-        before, behind = int(spans[max(0, p - AMONG), 0]), int(spans[min(len(spans) - 1, q + AMONG), 1])
-        out.append({**x, "before": raw[before:start], "behind": raw[end:behind], "start": int(chars[start]), "line": int(line[start]), "end": int(chars[end]), "last_line": int(line[spans[q, 0]])})
-    return out
+    last = q + ANCHOR - 1
+    start, end = opens[p], closes[last]
+    lead, trail = opens[np.maximum(0, p - AMONG)], closes[np.minimum(len(opens) - 1, last + AMONG)]
+    before = [raw[x:y] for x, y in zip(lead.tolist(), start.tolist(), strict=True)]
+    behind = [raw[x:y] for x, y in zip(end.tolist(), trail.tolist(), strict=True)]
+    return before, behind, chars[start], line[start], chars[end], line[opens[last]]
 
 
 def agreeing(a: list[bytes], b: list[bytes]) -> int:
@@ -151,19 +152,18 @@ def agreeing(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def stretched(x: dict, before: int, behind: int) -> tuple[int, int, int, int]:
-    """(start, end, first line, last line) of a run with so many words more at its ends."""
-    lead, trail = x["before"], x["behind"]
+def stretched(lead: bytes, trail: bytes, start: int, line: int, end: int, last_line: int, before: int, behind: int) -> tuple[int, int, int, int]:
+    """(start, end, first line, last line) of a run with so many words more at its ends; lead, trail: the text
+    before and behind it."""
     if before:
-        lead = lead[[m.start() for m in WORD.finditer(lead)][-before] :]
+        parts = lead.rsplit(None, before)
+        lead = (lead[len(parts[0]) :] if len(parts) > before else lead).lstrip()
+        start, line = start - len(lead.decode()), line - lead.count(b"\n")
     if behind:
-        last = list(WORD.finditer(trail))[behind - 1]
-        line, trail = x["last_line"] + trail.count(b"\n", 0, last.start()), trail[: last.end()]
-    else:
-        line, trail = x["last_line"], b""
-    if not before:
-        lead = b""
-    return x["start"] - len(lead.decode()), x["end"] + len(trail.decode()), x["line"] - lead.count(b"\n"), line
+        parts = trail.split(None, behind)
+        trail = (trail[: len(trail) - len(parts[-1])] if len(parts) > behind else trail).rstrip()
+        end, last_line = end + len(trail.decode()), last_line + trail.count(b"\n")
+    return start, end, line, last_line
 
 
 def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int, keep: Tables) -> DataFrame:
@@ -184,8 +184,17 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
     reached = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.binary()) for n, t in fields]))
 
     def reaching(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [reach(t, x) for t, x in zip(texts_of(batch.column("text")), batch.column("places").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(out, reached)], ["id", "h", "reached"])
+        places = batch.column("places")
+        p, q = (x.to_numpy() for x in places.flatten().flatten())
+        sizes = places.value_lengths().to_pylist()
+        at, out = 0, []
+        for text, n in zip(texts_of(batch.column("text")), sizes, strict=True):
+            out.append(reach(text, p[at : at + n], q[at : at + n]))
+            at += n
+        before, behind = ([x for part in side for x in part] for side in list(zip(*out, strict=True))[:2])
+        numbers = [np.concatenate(x).astype(np.int32) for x in list(zip(*out, strict=True))[2:]]
+        values = [pa.array(p), pa.array(q), pa.array(before, pa.binary()), pa.array(behind, pa.binary()), *map(pa.array, numbers)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(sizes, pa.StructArray.from_arrays(values, fields=list(reached.value_type)))], ["id", "h", "reached"])
 
     texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
     here = wanted.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).dropDuplicates(["id", "h"])
@@ -197,13 +206,14 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
 
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, columns = [], [[] for _ in range(10)]
-        for r, (p, q, x, y) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-            before = agreeing(x["before"].lower().split()[::-1], y["before"].lower().split()[::-1])
-            behind = agreeing(x["behind"].lower().split(), y["behind"].lower().split())
-            words = q + ANCHOR + behind - p + before
+        p, q, *sides = ([x.to_pylist() for x in c] for c in ([batch.column("p")], [batch.column("q")], batch.column("a").flatten(), batch.column("b").flatten()))
+        for r, (first, last, x, y) in enumerate(zip(p[0], q[0], *(zip(*side, strict=True) for side in sides), strict=True)):
+            before = agreeing(x[0].lower().split()[::-1], y[0].lower().split()[::-1])
+            behind = agreeing(x[1].lower().split(), y[1].lower().split())
+            words = last + ANCHOR + behind - first + before
             if words >= min_run:
                 rows.append(r)
-                for c, v in zip(columns, [p - before, words, *stretched(x, before, behind), *stretched(y, before, behind)], strict=True):
+                for c, v in zip(columns, [first - before, words, *stretched(*x, before, behind), *stretched(*y, before, behind)], strict=True):
                     c.append(v)
         take = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in key), *(pa.array(c, pa.int32()) for c in columns)], [*key, *placed])
@@ -233,11 +243,10 @@ def with_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sets = [shingles(t[a:b].encode(), 5).tobytes() for t, a, b in zip(texts, batch.column("start").to_pylist(), batch.column("end").to_pylist(), strict=True)]
+            sets = [shingles(t.encode(), 5).tobytes() for t in texts_of(batch.column("paragraph"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "shingles"])
 
-    return rows.select(*columns, "text", "start", "end").mapInArrow(run, "component long, c long, total long, n_shingles long, signature binary, shingles binary")
+    return rows.select(*columns, "paragraph").mapInArrow(run, "component long, c long, total long, n_shingles long, signature binary, shingles binary")
 
 
 def clustered(source: DataFrame, found: DataFrame, percent: int, keep: Tables) -> DataFrame:
@@ -252,7 +261,9 @@ def clustered(source: DataFrame, found: DataFrame, percent: int, keep: Tables) -
     sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
     family = joined.withColumnRenamed("id", "c").join(sizes, "component").join(classes.select("c", "n_shingles", "signature", "at.start", "at.end", F.col("at.id").alias("doc"), F.col("at.h").alias("doc_h")), "c")
     texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
-    texts = family.join(texts, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("doc_h") == F.col("__h"))).dropDuplicates(["c"])
+    texts = family.join(texts, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("doc_h") == F.col("__h")))
+    # only the paragraph goes on, not its text
+    texts = texts.select("component", "c", "total", "n_shingles", "signature", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("paragraph")).dropDuplicates(["c"])
     clusters = keep(confirmed(keep(with_sets(texts)), percent, MATCHES, keep)).toDF("c", "cluster")
     whole = classes.select("set_hash", "c", "copies").join(clusters, "c", "left").where("copies > 1 or cluster is not null").select(F.col("set_hash").alias("c"), F.coalesce("cluster", "c").alias("cluster"))
     rows = keep(found.select("id", "h", "number", "start", "end", "words", "c").join(whole, "c"))

@@ -232,6 +232,22 @@ def test_unlike_passages_do_not_chain(spark):
     assert [(r.doc_id, docs[r.doc_id][r.start : r.end], r.cluster_doc, r.kept) for r in got] == [(0, a, 0, True), (1, a, 0, False), (1, b, 1, True), (2, b, 1, False)]
 
 
+def test_whole_texts_are_not_carried_to_paragraphs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(paragraphs, "with_sets", lambda rows, f=paragraphs.with_sets: seen.append(rows) or f(rows))
+    line = prose(random.Random(9), 30)
+    docs = [line + "\n" + line.rsplit(" ", 1)[0] + " changed", "é " * 3 + "\n" + line]
+    assert paragraphs.repeated_passages(table(spark, enumerate(docs))).count() == 3
+    assert "paragraph" in seen[0].columns and "text" not in seen[0].columns
+    text = " é  b\tc\n" + " ".join(f"w{k}" for k in range(100)) + "\n\n z \n"
+    words = text.split()
+    before, behind, start, line, end, last = (x[0] for x in paragraphs.reach(text, np.array([5]), np.array([60])))
+    assert before.decode().split() == words[:5] and behind.decode().split() == words[72:][:39]
+    assert text[start:end].split() == words[5:72] and (line, last) == (1, 1)
+    got = paragraphs.stretched(before, behind + text[end + len(behind.decode()) :].encode(), start, line, end, last, 4, 32)
+    assert text[got[0] : got[1]].split() == words[1:] and got[2:] == (0, 3)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     star = [(200, k) for k in range(201, 260)]

@@ -30,14 +30,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keyed = docs.withColumn("__row", own)
     found = minhash.near_copies(keyed.select("__row", "text"), size=5, percent=80, id_col="__row")
     kept = found.where("kept").select("__row").distinct()
-    return one_of_each(keyed.join(kept, "__row", "left_semi"))
-
-
-def one_of_each(keyed: DataFrame) -> DataFrame:
-    """One row of each __row. Only rows that repeat are compared."""
-    often = keyed.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row")
-    once = keyed.join(often, "__row", "left_anti")
-    return once.unionByName(keyed.join(often, "__row", "left_semi").dropDuplicates(["__row"])).drop("__row")
+    # repeated rows go before texts are dealt out by row, and the join finds them dealt so
+    return keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

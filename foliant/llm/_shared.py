@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
+PORTION = 4 << 20  # bytes of texts that a kernel works on at once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -63,6 +65,7 @@ class Tables:
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        shrink(self.spark)
 
 
 def release(spark: SparkSession) -> None:
@@ -72,13 +75,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """df through a kernel that turns one Arrow batch into another."""
+def shrink(spark: SparkSession) -> None:
+    """Has the executors collect their garbage. Their heaps grow to the limit over the steps of an operator and
+    would stay so large beside the Python workers of what comes next; a full collection gives back what is free."""
+    n = spark.sparkContext.defaultParallelism  # a task for each core, so that each executor gets some
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
+def portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about `most` bytes, and 64 rows at least."""
+    rows = max(64, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, most: int = 1 << 62) -> DataFrame:
+    """df through a kernel that turns one Arrow batch, or slices of it of about `most` bytes, into another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := kernel(batch)) is not None:
-                yield out
+            for part in portions(batch, most):
+                if (out := kernel(part)) is not None:
+                    yield out
+        batch = part = out = None
+        trim()
 
     return df.mapInArrow(run, schema)
 

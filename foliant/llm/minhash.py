@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm._shared import Tables, components, cut, hold, map_batches, pieces_for
+from foliant.llm._shared import PORTION, Tables, components, cut, hold, map_batches, pieces_for, portions, trim
 
 COORDINATES, POSTED, LEAST, MATCHES = 64, 24, 10, 36  # a pair with Jaccard 0.8 agrees in 36 of 64 but for one in a million
 BLOCK, WIDE, SETS = 1024, 8192, 512  # members of a block of a list, of one that others are sent to, and of one with full sets
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         hashes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(counts), pa.array(hashes, pa.binary()), pa.array([x.tobytes() for x in least[:, :POSTED]], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "h", "n_shingles", "set_hash", "posted", "signature"])
 
-    return map_batches(docs, kernel, f"id {docs.schema['id'].dataType.simpleString()}, h long, n_shingles long, set_hash binary, posted binary, signature binary")
+    return map_batches(docs, kernel, f"id {docs.schema['id'].dataType.simpleString()}, h long, n_shingles long, set_hash binary, posted binary, signature binary", PORTION)
 
 
 class Parts:
@@ -350,7 +350,10 @@ def with_sets(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text, size).tobytes() for text in bytes_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "shingles"])
+            for part in portions(batch, PORTION):
+                sets = [shingles(text, size).tobytes() for text in bytes_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "shingles"])
+        batch = part = sets = None
+        trim()
 
     return rows.select(*columns, "text").mapInArrow(run, "component long, c long, total long, n_shingles long, signature binary, shingles binary")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import hold, map_batches, texts_of
+from foliant.llm._shared import PORTION, hold, map_batches, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 PLAINER = str.maketrans("013457", "oieast")  # digits that stand for letters
@@ -365,7 +365,7 @@ def filtered(docs: DataFrame, model: Model, below: float = 0.7, text_col: str =
         values = np.concatenate([scorer.documents(texts[i : i + 500])[0] for i in range(0, len(texts), 500)])
         return batch.filter(pa.array(values < below))
 
-    return map_batches(docs, kernel, docs.schema)
+    return map_batches(docs, kernel, docs.schema, PORTION)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans_from: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -356,6 +357,37 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (None, c), (4, "")])
 
 
+def test_pipeline_deals_texts_out_once_a_stage(spark):
+    """Texts go to other tasks once where one row of each group is kept, as dealing them out is what fills executors."""
+    import re
+
+    import corpus_pipeline
+
+    docs = table(spark, [(1, "a b c"), (1, "a b c"), (2, "d")])
+    got = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Scan ExistingRDD\[[^\]]*\btext#", plan)) == 1 and len(re.findall("SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin", plan)) == 1
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, "a b c"), (2, "d")}
+
+
+def test_kernels_get_large_batches_in_portions(spark):
+    from foliant.llm import _shared
+
+    seen = _shared.map_batches(spark.range(0, 1000, 1, 1), lambda b: pa.RecordBatch.from_arrays([b.column("id"), pa.array([b.num_rows] * b.num_rows)], ["id", "n"]), "id long, n long", 2400)
+    rows = seen.collect()
+    assert [r.id for r in rows] == list(range(1000)) and max(r.n for r in rows) == 300
+
+
+def test_executors_collect_after_a_block_of_tables(spark, monkeypatch):
+    from foliant.llm import _shared
+
+    seen = []
+    monkeypatch.setattr(_shared, "shrink", lambda s, f=_shared.shrink: seen.append(f(s)))
+    with _shared.Tables(spark) as keep:
+        assert keep(spark.range(3)).count() == 3 and not seen
+    assert len(seen) == 1
+
+
 def test_toxicity_without_labels_of_both_kinds(spark, rows):
     df = table(spark, rows)
     for labels in ([], [(0, 0), (1, 0), (3, None), (None, 1)], [(0, 1), (1, 1)]):

@@ -70,7 +70,10 @@ class Tables:
 
 def release(spark: SparkSession) -> None:
     """Has the driver collect its garbage, so that shuffle files of steps that were cut off leave the
-    executors' disks now and not whenever its heap happens to fill."""
+    executors' disks now and not whenever its heap happens to fill. The threads that tell Spark's listeners
+    hold the step that ended last, with its shuffles, until the next one ends; so an empty one is run."""
+    spark.sql("SELECT 1").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

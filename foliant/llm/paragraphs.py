@@ -196,9 +196,9 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
         values = [pa.array(p), pa.array(q), pa.array(before, pa.binary()), pa.array(behind, pa.binary()), *map(pa.array, numbers)]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(sizes, pa.StructArray.from_arrays(values, fields=list(reached.value_type)))], ["id", "h", "reached"])
 
-    texts = source.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text")
-    here = wanted.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).dropDuplicates(["id", "h"])
-    ends = map_batches(here.select("id", "h", "text", "places"), reaching, f"id {kind}, h long, reached array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>")
+    row = F.struct("id", "h").alias("row")  # equal with a null id too; joined and told apart by one key, texts are dealt out once
+    here = wanted.select(row, "places").join(source.select(row, "text"), "row").dropDuplicates(["row"])
+    ends = map_batches(here.select("row.id", "row.h", "text", "places"), reaching, f"id {kind}, h long, reached array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>")
     ends = keep(ends.select("id", "h", F.explode("reached").alias("x")).select("id", "h", "x.p", "x.q", F.struct("x.before", "x.behind", "x.start", "x.line", "x.end", "x.last_line").alias("x")))
     a, b = ends.toDF("a_id", "a_h", "a_p", "a_q", "a"), ends.toDF("b_id", "b_h", "b_p", "b_q", "b")
     pairs = runs.join(a, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")) & (F.col("p") == F.col("a_p")) & (F.col("q") == F.col("a_q")))

@@ -1,6 +1,7 @@
 """Corpus operators on Spark: brute force on small tables, and awkward rows."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -223,6 +224,47 @@ def test_passages_over_lines_of_short_sentences(spark):
     assert {(r.cluster_doc, r.cluster_paragraph) for r in got.values()} == {(0, 1)}
 
 
+def test_passages_deal_texts_out_once(spark, monkeypatch):
+    """Where the ends of runs are read, texts go to other tasks once; rows with null ids and repeated rows are read too."""
+    seen = []
+    monkeypatch.setattr(paragraphs, "map_batches", lambda df, *a, f=paragraphs.map_batches: (seen.append(df) if "places" in df.columns else None) or f(df, *a))
+    rng = random.Random(9)
+    passage = prose(rng, 60).replace(" ", "\n")
+    docs = [(1, f"x {passage} y"), (None, f"u {passage} v"), (None, f"u {passage} v"), (2, prose(rng, 60)), (1, f"w {passage}")]
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = paragraphs.repeated_passages(table(spark, docs))
+        assert Counter(r.doc_id for r in got.collect()) == Counter([1, 1, None])
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortAggregate" in (above := plan[: plan.index("SortMergeJoin")]) and "Exchange" not in above
+
+
+def test_shuffles_of_stored_steps_leave_the_disk(spark):
+    import glob
+    import time
+
+    from foliant.llm import _shared
+
+    _shared.release(spark)
+    time.sleep(2)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = manager.localDirsString()
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    with _shared.Tables(spark) as keep:
+        for _ in range(3):
+            before = held()
+            assert keep(spark.range(20_000).repartition(3, "id").distinct()).count() == 20_000
+            for _ in range(20):
+                left = [f for f in held() - before if os.path.getsize(f) > 10_000]
+                if not left:
+                    break
+                time.sleep(0.1)
+            assert not left
+
+
 def test_unlike_passages_do_not_chain(spark):
     """Only what repeats is reported, each run alone; unlike texts with common lines are no cluster."""
     rng = random.Random(9)

@@ -17,7 +17,8 @@ are equal count as one. Texts are read whole. Other columns are not read; an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm._shared import Tables, cut, map_batches, texts_of
-from foliant.llm.minhash import A, B, M, confirmed, distinct, families, mix, shingle_hashes, shingles, shingles_of, word_hashes
+from foliant.llm.minhash import A, B, M, bytes_of, confirmed, families, mix, shingle_hashes
 
 BANDS, ROWS = 8, 3
 MATCHES = 11  # of 24; a pair at 0.8 has fewer with a chance of one in 20,000
@@ -36,6 +37,10 @@ ANCHOR, AMONG = 12, 39  # words of an anchor, and runs among which it is chosen
 PARAGRAPH = pa.struct([("number", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("n_shingles", pa.int64()), ("c", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())])
 FOUND = pa.struct([("s", pa.int64()), ("u", pa.int64()), ("at", pa.int32()), ("next", pa.int32())])
 B64, B64_INVERSE = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+LONG = 64  # bytes of a word that is hashed by itself beyond
+LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+AT_ONCE = 1 << 19  # bytes of texts
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
@@ -44,59 +49,114 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.cumprod(out, out=out)
 
 
-def lists_of(counts: list[int], values: pa.Array) -> pa.Array:
+def lists_of(counts: list[int] | np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def anchors_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, hash of the words from the anchor to the end of the next one, place, the next one's) of each anchor."""
+def split_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which words open and close; words are runs of bytes other than ASCII white space."""
+    b = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], IS_SPACE[b], [True]]).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def hashes_of(raw: bytes, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z as a-z: eight bytes at a time of all words at once, long words each by itself."""
+    raw = raw.lower() + bytes(8)
+    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    size = closes - opens
+    h = size.astype(np.uint64)
+    short = live = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        if not len(live):
+            break
+        h[live] = mix(h[live] * M[0] + (lanes[opens[live] + k] & LANE[np.minimum(size[live] - k, 8)]))
+        live = live[size[live] > k + 8]
+    if len(short) < len(size):
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[opens[i] : closes[i]])
+    return h
+
+
+def anchors_of(w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash of the words from the anchor to the end of the next one, place, the next one's) of each anchor
+    of texts with `counts` words each, and the anchors of each text."""
     h = run_hashes(w, ANCHOR)
-    at = chosen(h, AMONG)
+    of, firsts = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    n = max(0, len(h) - AMONG + 1)
+    at = chosen(h, AMONG, of[:n] == of[len(w) - n :])
     sums = np.zeros(len(w) + 1, np.uint64)
     np.cumsum(mix(w) * powers(len(w), B64), out=sums[1:])
-    following = np.append(at[1:], at[-1:])
-    return h[at], mix((sums[following + ANCHOR] - sums[at]) * powers(len(w), B64_INVERSE)[at]), at, following
+    text = of[at]
+    goes_on = np.append(text[1:] == text[:-1], np.zeros(len(at[:1]), bool))
+    following = np.where(goes_on, np.append(at[1:], at[-1:]), at)
+    return h[at], mix((sums[following + ANCHOR] - sums[at]) * powers(len(w), B64_INVERSE)[at]), at - firsts[text], following - firsts[text], np.bincount(text, minlength=len(counts))
+
+
+def sets_of(w: np.ndarray, k: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many of each) of the sets of five-word shingles of the runs of `size` words from k on, sorted
+    and distinct; of the whole run where it is shorter."""
+    counts = np.maximum(size - 4, 1).astype(np.int64)
+    at = np.cumsum(counts) - counts
+    every = np.zeros(counts.sum(), np.uint64)
+    if len(w) >= 5:
+        runs = shingle_hashes(w, 5)
+        every = runs[np.minimum(np.repeat(k - at, counts) + np.arange(len(every)), len(runs) - 1)]
+    for i in np.flatnonzero(size < 5).tolist():
+        every[at[i]] = shingle_hashes(w[k[i] : k[i] + size[i]], int(size[i]))[0]
+    for x, y in zip(at.tolist(), (at + counts).tolist(), strict=True):
+        every[x:y].sort()
+    new = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    new[at] = True
+    return every[new], np.add.reduceat(new, at, dtype=np.int64) if len(at) else counts
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of a matrix."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
 def read(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
     """(id, h, paragraphs, anchors) of each text."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        where, sets, held, found, anchored = [], [], [], [], []
-        for text in texts_of(batch.column("text")):
-            lines = text.split("\n")
-            words = [x.encode().lower().split() for x in lines]
-            w = word_hashes([x for line in words for x in line])
-            runs = shingle_hashes(w, 5) if len(w) >= 5 else w  # of the text; a paragraph's are a part of them
-            at = k = n = 0
-            for number, (line, own) in enumerate(zip(lines, words, strict=True)):
-                if len(own) >= max(1, min_words):
-                    where.append((number, at, at + len(line), len(own)))
-                    sets.append(distinct(runs[k : k + len(own) - 4]) if len(own) >= 5 else shingles_of(w[k : k + len(own)], 5))
-                    n += 1
-                at += len(line) + 1
-                k += len(own)
-            held.append(n)
-            found.append(anchors_of(w))
-            anchored.append(len(found[-1][0]))
-        n = len(sets)
-        least = np.zeros((n, BANDS * ROWS), np.uint64)
-        counts = np.array([len(s) for s in sets], dtype=np.int64)
+        texts = bytes_of(batch.column("text"))
+        raw = b"\n".join(texts)  # all lines of all texts
+        opens, closes = split_words(raw)
+        w = hashes_of(raw, opens, closes)
+        b = np.frombuffer(raw, np.uint8)
+        breaks, inner = np.flatnonzero(b == 10), np.flatnonzero((b & 0xC0) == 0x80)
+        starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(raw))
+        sizes = np.array([len(t) for t in texts]) + 1
+        begins = np.cumsum(sizes) - sizes
+        first = np.searchsorted(opens, starts)
+        words = np.searchsorted(opens, ends) - first
+        held = np.flatnonzero(words >= max(1, min_words))
+        k, size = first[held], words[held]
+        text = np.searchsorted(begins, starts[held], "right") - 1
+        number = held - np.searchsorted(starts, begins)[text]
+        start, end, zero = (x - np.searchsorted(inner, x) for x in (starts[held], ends[held], begins[text]))
+        n = len(held)
+        every, counts = sets_of(w, k, size)
+        at = np.cumsum(counts) - counts
+        least, digests = np.zeros((n, BANDS * ROWS), np.uint64), []
         if n:
-            every, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(counts)[:-1]])
-            for k in range(BANDS * ROWS):
-                least[:, k] = np.minimum.reduceat((every * A[k] + B[k]) >> np.uint64(32), starts)
+            for c in range(BANDS * ROWS):
+                least[:, c] = np.minimum.reduceat(every * A[c] + B[c], at) >> np.uint64(32)
+            view = memoryview(every).cast("B")
+            digests = [xxhash.xxh3_128_digest(view[8 * x : 8 * y]) for x, y in zip(at.tolist(), (at + counts).tolist(), strict=True)]
         band = np.zeros((n, BANDS), np.uint64)
-        for k in range(ROWS):
-            band = mix(band + least[:, k::ROWS])
+        for c in range(ROWS):
+            band = mix(band + least[:, c::ROWS])
         sketch = (mix(least) & np.uint64(255)).astype(np.uint8)
-        number, start, end, size = (list(x) for x in zip(*where, strict=True)) if where else ([], [], [], [])
-        columns = [pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(size, pa.int32()), pa.array(counts), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([x.tobytes() for x in band.astype(np.uint32)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())]
-        s, u, at, following = (np.concatenate(x) for x in zip(*found, strict=True))
-        anchors = pa.StructArray.from_arrays([pa.array(s.view(np.int64)), pa.array(u.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(following.astype(np.int32))], fields=list(FOUND))
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(held, pa.StructArray.from_arrays(columns, fields=list(PARAGRAPH))), lists_of(anchored, anchors)], ["id", "h", "paragraphs", "anchors"])
+        columns = [*(pa.array(x.astype(np.int32)) for x in (number, start - zero, end - zero, size)), pa.array(counts), pa.array(digests, pa.binary()), binaries(band.astype(np.uint32)), binaries(sketch)]
+        s, u, place, following, anchored = anchors_of(w, np.diff(np.searchsorted(opens, np.append(begins, len(raw)))))
+        anchors = pa.StructArray.from_arrays([pa.array(s.view(np.int64)), pa.array(u.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(following.astype(np.int32))], fields=list(FOUND))
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(np.bincount(text, minlength=len(texts)), pa.StructArray.from_arrays(columns, fields=list(PARAGRAPH))), lists_of(anchored, anchors)], ["id", "h", "paragraphs", "anchors"])
 
-    return map_batches(docs, kernel, f"id {kind}, h long, paragraphs array<struct<number:int,start:int,end:int,words:int,n_shingles:long,c:binary,bands:binary,signature:binary>>, anchors array<struct<s:long,u:long,at:int,next:int>>")
+    return map_batches(docs, kernel, f"id {kind}, h long, paragraphs array<struct<number:int,start:int,end:int,words:int,n_shingles:long,c:binary,bands:binary,signature:binary>>, anchors array<struct<s:long,u:long,at:int,next:int>>", AT_ONCE)
 
 
 def run_hashes(w: np.ndarray, size: int) -> np.ndarray:
@@ -115,55 +175,87 @@ def run_hashes(w: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def chosen(h: np.ndarray, among: int) -> np.ndarray:
-    """Places of the least hash of every `among` neighbours, the last of equal ones."""
+def chosen(h: np.ndarray, among: int, whole: np.ndarray) -> np.ndarray:
+    """Places of the least hash of every `among` neighbours, the last of equal ones. whole: for each place,
+    whether the neighbours from there on are those of one text."""
     if len(h) < among:
         return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(h, among)[:, ::-1].argmin(axis=1)
-    return np.unique(np.arange(among - 1, len(h)) - least)
-
-
-IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+    at, width = np.arange(len(h)), 1
+    while width < among:
+        step = min(width, among - width)
+        a, b = h[:-step], h[step:]
+        at, h, width = np.where(b <= a, at[step:], at[:-step]), np.minimum(a, b), width + step
+    at = at[whole]  # rises from window to window
+    return at[np.append(np.ones(len(at[:1]), bool), at[1:] != at[:-1])]
 
 
-def reach(text: str, p: np.ndarray, q: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def reach(text: str, p: np.ndarray, q: np.ndarray, begins: Sequence[int] | np.ndarray = (0,), of: np.ndarray | int = 0) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For runs from the anchor at p to the one at q: the text of the AMONG words before and behind, and the
-    character and line at which they start and those at which they end."""
+    character and line at which they start and those at which they end. text: one, or several joined by line
+    ends, which begin at the bytes `begins`; of: that of each run, from whose start all places count."""
     raw = text.encode()
     b = np.frombuffer(raw, np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], IS_SPACE[b], [True]]).astype(np.int8)))
-    opens, closes = edges[::2], edges[1::2]
-    chars, line = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)]), np.concatenate([[0], np.cumsum(b == 10)])
-    last = q + ANCHOR - 1
+    opens, closes = split_words(raw)
+    breaks, inner = np.flatnonzero(b == 10), np.flatnonzero((b & 0xC0) == 0x80)
+    first, zero = np.searchsorted(opens, np.append(begins, len(raw))), np.asarray(begins)[of]
+    p, last = first[of] + p, first[of] + q + ANCHOR - 1
     start, end = opens[p], closes[last]
-    lead, trail = opens[np.maximum(0, p - AMONG)], closes[np.minimum(len(opens) - 1, last + AMONG)]
+    lead, trail = opens[np.maximum(first[of], p - AMONG)], closes[np.minimum(first[of + 1] - 1, last + AMONG)]
     before = [raw[x:y] for x, y in zip(lead.tolist(), start.tolist(), strict=True)]
     behind = [raw[x:y] for x, y in zip(end.tolist(), trail.tolist(), strict=True)]
-    return before, behind, chars[start], line[start], chars[end], line[opens[last]]
-
-
-def agreeing(a: list[bytes], b: list[bytes]) -> int:
-    """How many of the first words are equal."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+    chars = lambda x: x - np.searchsorted(inner, x)
+    line = lambda x: np.searchsorted(breaks, x) - np.searchsorted(breaks, zero)
+    return before, behind, chars(start) - chars(zero), line(start), chars(end) - chars(zero), line(opens[last])
+
+
+class Parts(NamedTuple):
+    """Short texts, their words numbered through."""
+
+    begins: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray  # word of each, and one behind the last
+    opens: np.ndarray  # of each word, and one behind the last
+    closes: np.ndarray
+    words: np.ndarray  # hashes
+    breaks: np.ndarray
+    inner: np.ndarray  # bytes of a character but its first
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Parts:
+        raw = b"\n".join(texts)
+        b = np.frombuffer(raw, np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        opens, closes = split_words(raw)
+        first = np.searchsorted(opens, np.append(ends - sizes, len(raw)))
+        return cls(ends - sizes, ends, first, np.append(opens, len(raw)), np.append(closes, len(raw)), hashes_of(raw, opens, closes), np.flatnonzero(b == 10), np.flatnonzero((b & 0xC0) == 0x80))
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and line ends."""
+        inner, breaks = (np.searchsorted(v, y) - np.searchsorted(v, x) for v in (self.inner, self.breaks))
+        return y - x - inner, breaks
+
+
+def agreeing(a: Parts, b: Parts, backwards: bool) -> np.ndarray:
+    """How many of the first words, or of the last, are equal in the texts of a and b at one place."""
+    most = np.minimum(np.diff(a.first), np.diff(b.first))
+    x, y, way = (a.first[1:] - 1, b.first[1:] - 1, -1) if backwards else (a.first[:-1], b.first[:-1], 1)
+    out, live = np.zeros(len(most), np.int64), np.flatnonzero(most > 0)
+    while len(live):
+        n = out[live]
+        live = live[a.words[x[live] + way * n] == b.words[y[live] + way * n]]
+        out[live] += 1
+        live = live[out[live] < most[live]]
+    return out
 
 
-def stretched(lead: bytes, trail: bytes, start: int, line: int, end: int, last_line: int, before: int, behind: int) -> tuple[int, int, int, int]:
+def stretched(lead: bytes | Parts, trail: bytes | Parts, start: np.ndarray, line: np.ndarray, end: np.ndarray, last_line: np.ndarray, before: np.ndarray, behind: np.ndarray, at: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first line, last line) of a run with so many words more at its ends; lead, trail: the text
-    before and behind it."""
-    if before:
-        parts = lead.rsplit(None, before)
-        lead = (lead[len(parts[0]) :] if len(parts) > before else lead).lstrip()
-        start, line = start - len(lead.decode()), line - lead.count(b"\n")
-    if behind:
-        parts = trail.split(None, behind)
-        trail = (trail[: len(trail) - len(parts[-1])] if len(parts) > behind else trail).rstrip()
-        end, last_line = end + len(trail.decode()), last_line + trail.count(b"\n")
-    return start, end, line, last_line
+    before and behind it, or those of many runs, of which the ones `at` are asked for."""
+    lead, trail = (Parts.of([x]) if isinstance(x, bytes) else x for x in (lead, trail))
+    chars, lines = lead.between(np.where(before, lead.opens[lead.first[at + 1] - before], lead.ends[at]), lead.ends[at])
+    more, below = trail.between(trail.begins[at], np.where(behind, trail.closes[trail.first[at] + behind - 1], trail.begins[at]))
+    return start - chars, end + more, line - lines, last_line + below
 
 
 def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int, keep: Tables) -> DataFrame:
@@ -171,7 +263,8 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
     min_run words or more, over any lines, that stands word for word at its first place, or stands there itself
     and elsewhere too. alone: the run and its first place each lie within one line. anchors: id, h, s, u, at, next."""
     at = F.struct("id", "h", "at", "u")
-    firsts = anchors.groupBy("s").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that the join reads both sides from shuffles and an anchor that very many places have can be dealt anew
+    firsts = keep(anchors.groupBy("s").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = anchors.join(firsts, "s").where("not (id <=> first.id and h = first.h and at = first.at)")
     met = met.select("id", "h", "at", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), (F.col("first.at") - F.col("at")).alias("shift"), F.when(F.col("u") == F.col("first.u"), F.col("next")).alias("goes_on"))
     own = Window.partitionBy("id", "h", "first_id", "first_h", "shift").orderBy("at")  # anchors of one document
@@ -184,43 +277,37 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
     reached = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.binary()) for n, t in fields]))
 
     def reaching(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = batch.column("places")
+        places, texts = batch.column("places"), texts_of(batch.column("text"))
         p, q = (x.to_numpy() for x in places.flatten().flatten())
-        sizes = places.value_lengths().to_pylist()
-        at, out = 0, []
-        for text, n in zip(texts_of(batch.column("text")), sizes, strict=True):
-            out.append(reach(text, p[at : at + n], q[at : at + n]))
-            at += n
-        before, behind = ([x for part in side for x in part] for side in list(zip(*out, strict=True))[:2])
-        numbers = [np.concatenate(x).astype(np.int32) for x in list(zip(*out, strict=True))[2:]]
-        values = [pa.array(p), pa.array(q), pa.array(before, pa.binary()), pa.array(behind, pa.binary()), *map(pa.array, numbers)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(sizes, pa.StructArray.from_arrays(values, fields=list(reached.value_type)))], ["id", "h", "reached"])
+        counts, sizes = places.value_lengths().to_numpy(), np.array([len(t.encode()) for t in texts]) + 1
+        before, behind, *numbers = reach("\n".join(texts), p, q, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), counts))
+        values = [pa.array(p), pa.array(q), pa.array(before, pa.binary()), pa.array(behind, pa.binary()), *(pa.array(x.astype(np.int32)) for x in numbers)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), lists_of(counts, pa.StructArray.from_arrays(values, fields=list(reached.value_type)))], ["id", "h", "reached"])
 
     row = F.struct("id", "h").alias("row")  # equal with a null id too; joined and told apart by one key, texts are dealt out once
     here = wanted.select(row, "places").join(source.select(row, "text"), "row").dropDuplicates(["row"])
-    ends = map_batches(here.select("row.id", "row.h", "text", "places"), reaching, f"id {kind}, h long, reached array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>")
+    ends = map_batches(here.select("row.id", "row.h", "text", "places"), reaching, f"id {kind}, h long, reached array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>", AT_ONCE)
     ends = keep(ends.select("id", "h", F.explode("reached").alias("x")).select("id", "h", "x.p", "x.q", F.struct("x.before", "x.behind", "x.start", "x.line", "x.end", "x.last_line").alias("x")))
     a, b = ends.toDF("a_id", "a_h", "a_p", "a_q", "a"), ends.toDF("b_id", "b_h", "b_p", "b_q", "b")
     pairs = runs.join(a, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")) & (F.col("p") == F.col("a_p")) & (F.col("q") == F.col("a_q")))
     pairs = pairs.join(b, F.col("first_id").eqNullSafe(F.col("b_id")) & (F.col("first_h") == F.col("b_h")) & (F.col("p") + F.col("shift") == F.col("b_p")) & (F.col("q") + F.col("shift") == F.col("b_q")))
 
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, columns = [], [[] for _ in range(10)]
-        p, q, *sides = ([x.to_pylist() for x in c] for c in ([batch.column("p")], [batch.column("q")], batch.column("a").flatten(), batch.column("b").flatten()))
-        for r, (first, last, x, y) in enumerate(zip(p[0], q[0], *(zip(*side, strict=True) for side in sides), strict=True)):
-            before = agreeing(x[0].lower().split()[::-1], y[0].lower().split()[::-1])
-            behind = agreeing(x[1].lower().split(), y[1].lower().split())
-            words = last + ANCHOR + behind - first + before
-            if words >= min_run:
-                rows.append(r)
-                for c, v in zip(columns, [first - before, words, *stretched(*x, before, behind), *stretched(*y, before, behind)], strict=True):
-                    c.append(v)
-        take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in key), *(pa.array(c, pa.int32()) for c in columns)], [*key, *placed])
+        p, q = (batch.column(c).to_numpy() for c in ("p", "q"))
+        sides = [batch.column(c).flatten() for c in ("a", "b")]
+        (lead, trail), (first_lead, first_trail) = ([Parts.of(c.to_pylist()) for c in x[:2]] for x in sides)
+        before, behind = agreeing(lead, first_lead, True), agreeing(trail, first_trail, False)
+        words = q + ANCHOR + behind - p + before
+        rows = np.flatnonzero(words >= min_run)
+        p, words, before, behind = (x[rows] for x in (p, words, before, behind))
+        own, theirs = ([c.to_numpy()[rows] for c in x[2:]] for x in sides)
+        columns = [p - before, words, *stretched(lead, trail, *own, before, behind, rows), *stretched(first_lead, first_trail, *theirs, before, behind, rows)]
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in key), *(pa.array(c.astype(np.int32)) for c in columns)], [*key, *placed])
 
     placed = ["begin", "words", "start", "end", "line", "last_line", "first_start", "first_end", "first_line", "first_last_line"]
     schema = f"id {kind}, h long, first_id {kind}, first_h long, shift int, " + ", ".join(f"{c} int" for c in placed)
-    long_ = keep(map_batches(pairs.select(*key, "p", "q", "a", "b"), extended, schema))
+    long_ = keep(map_batches(pairs.select(*key, "p", "q", "a", "b"), extended, schema, AT_ONCE))
 
     def merged(rows: DataFrame, of: list[str], line: list[Column]) -> DataFrame:
         """Of runs of one kind in a document that overlap, one."""
@@ -241,12 +328,14 @@ def repeated_runs(source: DataFrame, anchors: DataFrame, kind: str, min_run: int
 def with_sets(rows: DataFrame) -> DataFrame:
     columns = ["component", "c", "total", "n_shingles", "signature"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.encode(), 5).tobytes() for t in texts_of(batch.column("paragraph"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "shingles"])
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = Parts.of(bytes_of(batch.column("paragraph")))
+        every, counts = sets_of(parts.words, parts.first[:-1], np.diff(parts.first))
+        ends = np.concatenate([[0], np.cumsum(counts)]) * 8
+        sets = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(every)])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), sets], [*columns, "shingles"])
 
-    return rows.select(*columns, "paragraph").mapInArrow(run, "component long, c long, total long, n_shingles long, signature binary, shingles binary")
+    return map_batches(rows.select(*columns, "paragraph"), kernel, "component long, c long, total long, n_shingles long, signature binary, shingles binary", AT_ONCE)
 
 
 def clustered(source: DataFrame, found: DataFrame, percent: int, keep: Tables) -> DataFrame:
@@ -271,6 +360,15 @@ def clustered(source: DataFrame, found: DataFrame, percent: int, keep: Tables) -
     return keep(rows.join(firsts, "cluster").select("id", "h", "number", "start", "end", F.col("words").cast("long").alias("n_words"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.number").alias("first_number")))
 
 
+def once(rows: DataFrame, keep: Tables) -> DataFrame:
+    """One of the rows of each id and h; rows: id, h, row, ... What they hold is dealt out only where some repeat."""
+    again = keep(rows.groupBy("id", "h").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "least"))
+    if again.isEmpty():
+        return rows
+    own = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("row") > F.col("least"))
+    return keep(rows.join(again, own, "left_anti"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, min_run: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, kept) of each paragraph, or passage
     over lines or within them, that stands elsewhere too; start and end count characters of the text.
@@ -280,7 +378,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 25, percent: int = 80, m
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     with Tables(docs.sparkSession) as lasting:
-        every = lasting(read(source, kind, min_words).dropDuplicates(["id", "h"]))
+        every = once(lasting(read(source, kind, min_words).withColumn("row", F.monotonically_increasing_id())), lasting)
         with Tables(docs.sparkSession) as keep:
             entire = lasting(clustered(source, every.select("id", "h", F.explode("paragraphs").alias("x")).select("id", "h", "x.*"), percent, keep))
         entire = entire.withColumn("kept", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("number") == F.col("first_number")))

@@ -291,6 +291,69 @@ def test_whole_texts_are_not_carried_to_paragraphs(spark, monkeypatch):
     assert text[got[0] : got[1]].split() == words[1:] and got[2:] == (0, 3)
 
 
+def test_words_of_many_texts_are_read_at_once(monkeypatch):
+    """A batch is cut into words and hashed in few steps, whatever the number of its texts, and each text is read
+    as it would be alone."""
+    rng = random.Random(11)
+    texts = [None, "", "\n", " a", "b \n\n", "É é " * 40, "Q" * 65 + " " + "q" * 65 + "\n" + "word " * 70, *(prose(rng, rng.randrange(1, 150)).replace(" alpha", "\nalpha") for _ in range(300))]
+    kernels, mixed = [], []
+    monkeypatch.setattr(paragraphs, "map_batches", lambda df, kernel, *a: kernels.append(kernel))
+    paragraphs.read(None, "long", 4)
+    rows = lambda x: pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array([7] * len(x)), pa.array(x, pa.string())], ["id", "h", "text"])
+    alone = [kernels[0](rows([t])).select(["paragraphs", "anchors"]).to_pylist()[0] for t in texts]
+    monkeypatch.setattr(paragraphs, "mix", lambda x, f=paragraphs.mix: mixed.append(len(x)) or f(x))
+    assert kernels[0](rows(texts)).select(["paragraphs", "anchors"]).to_pylist() == alone
+    assert any(x["anchors"] for x in alone) and 0 < len(mixed) < 40
+    raw = " ".join(words := ["a", "A", "ab", "ba", "a\0", "abcdefgh", "abcdefghi", "abcdefgh\0", "ABCDEFGHI", "x" * 64, "x" * 65, "X" * 65, "y" + "x" * 64, "é", "É"]).encode()
+    hashes = paragraphs.hashes_of(raw, *paragraphs.split_words(raw)).tolist()
+    same = [w.encode().lower() for w in words]
+    assert all((x == y) == (a == b) for x, a in zip(hashes, same, strict=True) for y, b in zip(hashes, same, strict=True))
+
+
+def test_ends_of_many_runs_at_once():
+    """Words that agree behind and before runs, and where they end, against one run at a time."""
+    rng = random.Random(12)
+    some = lambda: "".join(rng.choice(["a ", "B", "é ", "\n", " \t", "word ", "x" * 9, "q" * 70 + " "]) for _ in range(rng.randrange(30)))
+    one = [some().strip().encode() for _ in range(300)]
+    two = [rng.choice([x.replace(b" ", b"\n").upper(), x + b"z", b"c " + x, some().strip().encode()]) for x in one]
+    a, b = paragraphs.Parts.of(one), paragraphs.Parts.of(two)
+    for backwards in (False, True):
+        way = slice(None, None, -1 if backwards else 1)
+        want = [len(os.path.commonprefix([x.lower().split()[way], y.lower().split()[way]])) for x, y in zip(one, two, strict=True)]
+        assert paragraphs.agreeing(a, b, backwards).tolist() == want and 0 < sum(want)
+    n = np.array([rng.randrange(len(x.split()) + 1) for x in one])
+    zero, at = np.zeros(len(n), np.int64), np.arange(len(n))
+    start, end, line, last = paragraphs.stretched(a, a, zero, zero, zero, zero, n, n, at)
+    for text, k, *found in zip(one, n.tolist(), *(x.tolist() for x in (start, end, line, last)), strict=True):
+        chars, words = text.decode(), text.split()
+        lead, trail = chars[len(chars) + found[0] :], chars[: found[1]]
+        assert lead.encode().split() == words[len(words) - k :] and lead == lead.lstrip() and found[2] == -lead.count("\n")
+        assert trail.encode().split() == words[:k] and trail == trail.rstrip() and found[3] == trail.count("\n")
+
+
+def test_paragraphs_are_not_dealt_out_to_find_repeated_rows(spark, monkeypatch):
+    """What was read of texts is shuffled only where rows repeat; the table of first places is joined as stored."""
+    seen = []
+    call = paragraphs.Tables.__call__
+    monkeypatch.setattr(paragraphs.Tables, "__call__", lambda self, df: seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or call(self, df))
+    passage = prose(random.Random(13), 60)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = paragraphs.repeated_passages(table(spark, [(1, "a " + passage), (2, passage), (None, "b " + passage)]))
+        assert Counter(r.doc_id for r in got.collect()) == Counter([1, 2, None])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    dealt = [plan for columns, plan in seen if "anchors" in columns]
+    assert dealt and not any("Exchange" in plan for plan in dealt)
+    followed = next(plan for columns, plan in seen if {"p", "q", "shift"} <= set(columns))
+    assert followed.count("Aggregate") <= 2  # that of the runs alone; no aggregate below the join on anchors
+    seen.clear()
+    got = paragraphs.repeated_passages(table(spark, [(1, passage), (1, passage), (None, passage), (None, passage)]))
+    assert Counter(r.doc_id for r in got.collect()) == Counter([1, None])
+    assert sum("anchors" in columns for columns, _ in seen) == 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     star = [(200, k) for k in range(201, 260)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, html_text, imatch, licenses, minhash, packing, paragraphs, suffixes, toxicity, vectors
+from foliant.llm import bpe, html_text, imatch, lexical, licenses, minhash, packing, paragraphs, suffixes, toxicity, vectors
 from foliant.llm._shared import table
 
 
@@ -56,7 +56,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_imatch_fingerprints, op4_best_fit_packing, op5_paragraph_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_license_scan, op10_suffix_dedup)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_imatch_fingerprints, op4_best_fit_packing, op5_paragraph_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_license_scan, op10_suffix_dedup, op12_ranked_search)}
 
 #: Of links (a, b) between ids: every id with all that it reaches, and the smallest of them.
 LINKED = """
@@ -96,3 +100,12 @@ runs AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS z FROM (SELECT doc_id, s, s
 spans AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS gone FROM runs GROUP BY doc_id),
 kept AS (SELECT d.doc_id, b, gone, a, z, list_transform(range(1, len(a) + 2), lambda k: b[(CASE WHEN k = 1 THEN 1 ELSE z[k - 1] END):(CASE WHEN k > len(a) THEN octet_length(b) ELSE a[k] - 1 END)]) AS parts FROM d LEFT JOIN spans USING (doc_id))
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans, sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(parts, lambda x, y: x || y) END) AS kept_sha256 FROM kept"""
+
+ORACLE["op12_ranked_search"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*) AS nn, sum(len(ts))::BIGINT AS ll FROM d WHERE len(ts) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(ts) * nn) // ll AS m FROM d, s WHERE len(ts) > 0),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) GROUP BY doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+scored AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""

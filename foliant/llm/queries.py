@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, html_text, imatch, lexical, licenses, minhash, packing, paragraphs, suffixes, toxicity, vectors
+from foliant.llm import balltree, bpe, html_text, imatch, lexical, licenses, minhash, packing, paragraphs, suffixes, toxicity, vectors
 from foliant.llm._shared import table
 
 
@@ -60,7 +60,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_imatch_fingerprints, op4_best_fit_packing, op5_paragraph_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_license_scan, op10_suffix_dedup, op12_ranked_search)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return balltree.hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), lambda i: i % 100 == 0, label=shifted)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_imatch_fingerprints, op4_best_fit_packing, op5_paragraph_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_license_scan, op10_suffix_dedup, op12_ranked_search, op13_hard_negatives)}
 
 #: Of links (a, b) between ids: every id with all that it reaches, and the smallest of them.
 LINKED = """
@@ -109,3 +114,8 @@ w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS
 q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
 scored AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+ORACLE["op13_hard_negatives"] = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place FROM pairs WHERE same) WHERE place <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (SELECT p.anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS rank FROM positive p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same WHERE 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score) WHERE rank <= 5"""

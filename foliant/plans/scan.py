@@ -12,6 +12,7 @@ earlier step has emptied give their first value."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -20,22 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
+
+from foliant.plans import lanes
 
 #: Positions of what is left come behind all others.
 LAST = 1 << 62
 
 
-def _order() -> WindowSpec:
-    return Window.partitionBy("stream_id").orderBy("pos")
-
-
 @dataclass
 class Result:
-    """outputs: what a run gives. status: one row a stream that came in."""
+    """outputs: what a run gives. status: one row a stream that came in. both: outputs with the status of their
+    stream beside them, (stream_id, pos, value, status, error)."""
 
     outputs: DataFrame
     status: DataFrame
+    both: DataFrame
 
 
 @dataclass
@@ -51,6 +52,30 @@ class _Made:
         return self.emitted if self.left is None else self.emitted.unionByName(self.left)
 
 
+@dataclass
+class _Run:
+    """ids: of all streams that came in. long: streams may be longer than a task."""
+
+    ids: DataFrame
+    long: bool = False
+
+    def before(self, rows: DataFrame, amount: Column) -> tuple[DataFrame, Column]:
+        """rows, and what amount comes to over the earlier rows of the stream."""
+        frame = lanes.Frame(rows, self.long)
+        column = frame.before(amount)
+        return frame.rows, column
+
+
+def _laned(stream: DataFrame, steps: list[tuple], first: int, run: _Run) -> _Made:
+    frame = lanes.Frame(stream, run.long)
+    lane = lanes.through(frame, frame.lane(), steps, first)
+    emitted = frame.rows.where(lane.alive).select("stream_id", "pos", lane.value.alias("value"))
+    if not lane.signals:
+        return _Made(emitted)
+    raised = frame.rows.select("stream_id", lanes.raised(lane).alias("x")).where("x is not null")
+    return _Made(emitted, signals=raised.select("stream_id", "x.at", "x.status", "x.error", (-F.col("x.step")).alias("step")))
+
+
 def _unite(frames: list[DataFrame | None]) -> DataFrame | None:
     there = [f for f in frames if f is not None]
     return reduce(DataFrame.unionByName, there) if there else None
@@ -108,28 +133,61 @@ class Scan:
     def second(self) -> Scan:
         return identity() * self
 
-    def made(self, stream: DataFrame, ids: DataFrame) -> _Made:
-        made, signals = _Made(stream), []
-        for step in self.steps:
-            made = _COMPILE[step[0]](made.whole(), ids, *step[1:])
-            signals.append(made.signals)
-        return replace(made, signals=_unite(signals[::-1]))
-
-    def run(self, stream: DataFrame) -> Result:
-        """The status is the worst that any step signals: failure, stop, or success."""
+    def made(self, stream: DataFrame, run: _Run) -> _Made:
+        made, signals, k = _Made(stream), [], 0
+        while k < len(self.steps):
+            n = next((i for i, step in enumerate(self.steps[k:]) if step[0] not in lanes.STEPS or not lanes.fits([step])), len(self.steps) - k)
+            if n:  # steps that lanes know go together
+                made = _laned(made.whole(), self.steps[k : k + n], k, run)
+                signals.append(made.signals)
+                k += n
+            else:
+                made = _COMPILE[self.steps[k][0]](made.whole(), run, *self.steps[k][1:])
+                signals.append(None if made.signals is None else made.signals.withColumn("step", F.lit(k)))
+                k += 1
+        return replace(made, signals=_unite(signals))
+
+    def run(self, stream: DataFrame, long: bool = False) -> Result:
+        """The status is that of the first signal; of several at one position, the step furthest to the right has
+        raised it. Without a signal it is success. long: streams may be longer than a task; steps that
+        count or cut then go by ranges of positions."""
+        if lanes.fits(self.steps):
+            return _by_lanes(self, stream, long)
         ids = stream.select("stream_id").distinct()
-        made = self.made(stream, ids)
-        return Result(made.whole(), _statuses(ids, made.signals))
+        made = self.made(stream, _Run(ids, long))
+        outputs, status = made.whole(), _statuses(ids, made.signals)
+        return Result(outputs, status, outputs.join(status, "stream_id"))
 
 
 def _statuses(ids: DataFrame, signals: DataFrame | None) -> DataFrame:
     if signals is None:
         return ids.select("stream_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
-    rank = F.when(F.col("status") == "failure", 2).otherwise(1)
-    worst = signals.groupBy("stream_id").agg(F.max_by(F.struct("status", "error"), F.struct(rank, -F.col("at"))).alias("x"))
+    first = F.struct("at", -F.col("step"), F.when(F.col("status") == "failure", 0).otherwise(1))
+    worst = signals.groupBy("stream_id").agg(F.min_by(F.struct("status", "error"), first).alias("x"))
     return ids.join(worst, "stream_id", "left").select("stream_id", F.coalesce("x.status", F.lit("success")).alias("status"), F.col("x.error").alias("error"))
 
 
+def _told(signal: Column) -> tuple[Column, Column]:
+    return F.coalesce(signal["status"], F.lit("success")).alias("status"), signal["error"].alias("error")
+
+
+def _by_lanes(scan: Scan, stream: DataFrame, long: bool) -> Result:
+    frame, ends = lanes.Frame(stream, long), lanes.folds(scan.steps)
+    lane = lanes.through(frame, frame.lane(), scan.steps[:-1] if ends else scan.steps)
+    if ends:
+        left = frame.rows.groupBy("stream_id").agg(lanes.folded(lane, scan.steps[-1]).alias("value"), F.min(lanes.raised(lane)).alias("__signal"))
+        both = left.select("stream_id", F.lit(LAST).alias("pos"), "value", *_told(F.col("__signal")))
+        return Result(both.drop("status", "error"), both.select("stream_id", "status", "error"), both)
+    status = frame.rows.groupBy("stream_id").agg(F.min(lanes.raised(lane)).alias("__signal")).select("stream_id", *_told(F.col("__signal")))
+    outputs = frame.rows.where(lane.alive).select("stream_id", "pos", lane.value.alias("value"))
+    if lane.signals:
+        signal = frame.of_stream(lanes.raised(lane))
+        both = frame.rows.where(lane.alive).select("stream_id", "pos", lane.value.alias("value"), *_told(signal))
+    else:
+        both = outputs.select("*", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    return Result(outputs, status, both)
+
+
 # ---- constructors --------------------------------------------------------------------------------
 
 
@@ -289,8 +347,13 @@ def concat(*streams: DataFrame) -> DataFrame:
     return rows.select("stream_id", (number - 1).cast("long").alias("pos"), "value")
 
 
+def _algorithm(name: str) -> str:
+    a = name.lower().replace("-", "")
+    return a if a in ("md5", "sha1", "sha512") else "sha256"
+
+
 def digest(column: str | Column, algorithm: str) -> Column:
-    a = algorithm.lower().replace("-", "")
+    a = _algorithm(algorithm)
     c = F.col(column) if isinstance(column, str) else column
     return F.md5(c) if a == "md5" else F.sha1(c) if a == "sha1" else F.sha2(c, 512) if a == "sha512" else F.sha2(c, 256)
 
@@ -298,39 +361,27 @@ def digest(column: str | Column, algorithm: str) -> Column:
 # ---- compilation: each step gets the stream and the ids of all streams that came in ---------------
 
 
-def _joined(stream: DataFrame) -> DataFrame:
-    """(stream_id, bytes): the values of a stream, which are bytes, one after the other."""
-    parts = stream.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("parts"))
-    return parts.select("stream_id", F.array_join(F.transform("parts", lambda x: F.hex(x["value"])), "").alias("hex")).select("stream_id", F.unhex("hex").alias("bytes"))
-
-
-def _left(rows: DataFrame, ids: DataFrame, value: str, zero: Column) -> DataFrame:
+def _left(rows: DataFrame, run: _Run, value: str, zero: Column) -> DataFrame:
     """One value a stream: that of rows, or zero where an earlier step has emptied it."""
     kind = rows.schema[value].dataType
-    return ids.join(rows.select("stream_id", value, F.lit(True).alias("__met")), "stream_id", "left").select("stream_id", F.lit(LAST).alias("pos"), F.when(F.col("__met"), F.col(value)).otherwise(zero.cast(kind)).alias("value"))
-
-
-def _map(stream: DataFrame, ids: DataFrame, f: Callable[[Column], Column]) -> _Made:
-    return _Made(stream.withColumn("value", f(F.col("value"))))
+    return run.ids.join(rows.select("stream_id", value, F.lit(True).alias("__met")), "stream_id", "left").select("stream_id", F.lit(LAST).alias("pos"), F.when(F.col("__met"), F.col(value)).otherwise(zero.cast(kind)).alias("value"))
 
 
-def _filter(stream: DataFrame, ids: DataFrame, p: Callable[[Column], Column]) -> _Made:
-    return _Made(stream.where(p(F.col("value"))))
-
-
-def _batches(stream: DataFrame, ids: DataFrame, size: int, f: Callable[[Column], Column]) -> _Made:
-    rows = stream.withColumn("__batch", F.floor((F.row_number().over(_order()) - 1) / size))
+def _batches(stream: DataFrame, run: _Run, size: int, f: Callable[[Column], Column]) -> _Made:
+    rows, number = run.before(stream, F.lit(1))
+    rows = rows.withColumn("__batch", F.floor(number / size))
     parts = rows.groupBy("stream_id", "__batch").agg(F.min("pos").alias("pos"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("value"))
-    out = parts.select("stream_id", "__batch", F.posexplode(f(F.col("value"))).alias("__place", "value"))
-    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("__batch", "__place"))
-    return _Made(out.select("stream_id", (number - 1).cast("long").alias("pos"), "value"))
+    given = parts.select("stream_id", F.col("__batch").alias("pos"), f(F.col("value")).alias("value"))
+    rows, number = run.before(given, F.size("value"))
+    out = rows.select("stream_id", number.alias("__before"), F.posexplode("value").alias("__place", "value"))
+    return _Made(out.select("stream_id", (F.col("__before") + F.col("__place")).alias("pos"), "value"))
 
 
-def _stateful(stream: DataFrame, ids: DataFrame, initial: object, step: Callable, finish: Callable, kind: str) -> _Made:
+def _stateful(stream: DataFrame, run: _Run, initial: object, step: Callable, finish: Callable, kind: str) -> _Made:
     value = T._parse_datatype_string(kind)
     schema = T.StructType([stream.schema["stream_id"], T.StructField("pos", T.LongType()), T.StructField("value", value)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         ids_, poss, values = [], [], []
@@ -350,20 +401,10 @@ def _stateful(stream: DataFrame, ids: DataFrame, initial: object, step: Callable
             yield pa.RecordBatch.from_arrays([pa.array(ids_, batch.column("stream_id").type), pa.array(poss, pa.int64()), pa.array(values, to_arrow_type(value))], ["stream_id", "pos", "value"])
             ids_, poss, values = [], [], []
 
-    ends = ids.select("stream_id", F.lit(LAST).alias("pos"), F.lit(None).cast(stream.schema["value"].dataType).alias("value"), F.lit(True).alias("__end"))
+    ends = run.ids.select("stream_id", F.lit(LAST).alias("pos"), F.lit(None).cast(stream.schema["value"].dataType).alias("value"), F.lit(True).alias("__end"))
     rows = stream.withColumn("pos", F.col("pos").cast("long")).withColumn("__end", F.lit(False)).unionByName(ends)
     ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "pos", "__end")
-    return _Made(ordered.select("stream_id", "pos", "__end", "value").mapInArrow(run, schema))
-
-
-def _take(stream: DataFrame, ids: DataFrame, n: int) -> _Made:
-    rows = stream.withColumn("__rn", F.row_number().over(_order()))
-    stops = rows.where(F.col("__rn") == max(n, 1)).select("stream_id", F.col("pos").cast("long").alias("at"), F.lit("stop").alias("status"), F.lit(None).cast("string").alias("error"))
-    return _Made(rows.where(F.col("__rn") <= n).drop("__rn"), signals=stops)
-
-
-def _drop(stream: DataFrame, ids: DataFrame, n: int) -> _Made:
-    return _Made(stream.withColumn("__rn", F.row_number().over(_order())).where(F.col("__rn") > n).drop("__rn"))
+    return _Made(ordered.select("stream_id", "pos", "__end", "value").mapInArrow(stepped, schema))
 
 
 def _nothing(stream: DataFrame, kind: T.DataType) -> DataFrame:
@@ -374,63 +415,91 @@ def _only(rows: DataFrame) -> _Made:
     return _Made(_nothing(rows, rows.schema["value"].dataType), rows)
 
 
-def _fold(stream: DataFrame, ids: DataFrame, zero: Column, step: Callable[[Column, Column], Column]) -> _Made:
+def _fold(stream: DataFrame, run: _Run, zero: Column, step: Callable[[Column, Column], Column]) -> _Made:
     parts = stream.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("parts"))
-    return _only(_left(parts.select("stream_id", F.aggregate("parts", zero, lambda a, x: step(a, x["value"])).alias("x")), ids, "x", zero))
-
+    return _only(_left(parts.select("stream_id", F.aggregate("parts", zero, lambda a, x: step(a, x["value"])).alias("x")), run, "x", zero))
 
-def _aggregate(stream: DataFrame, ids: DataFrame, f: Callable[[str], Column], zero: Column) -> _Made:
-    return _only(_left(stream.groupBy("stream_id").agg(f("value").alias("x")), ids, "x", zero))
 
+def _aggregate(stream: DataFrame, run: _Run, f: Callable[[str], Column], zero: Column) -> _Made:
+    return _only(_left(stream.groupBy("stream_id").agg(f("value").alias("x")), run, "x", zero))
 
-def _hash(stream: DataFrame, ids: DataFrame, algorithm: str) -> _Made:
-    return _only(_left(_joined(stream).select("stream_id", digest("bytes", algorithm).alias("x")), ids, "x", digest(F.lit(b""), algorithm)))
 
+def _hash(stream: DataFrame, run: _Run, algorithm: str) -> _Made:
+    """The values of a stream go through its digest in order, one by one."""
+    kind = _algorithm(algorithm)
+    schema = T.StructType([stream.schema["stream_id"], T.StructField("x", T.StringType())])
 
-def _count(stream: DataFrame, ids: DataFrame) -> _Made:
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, of = None, None, pa.null()
+        for batch in batches:
+            ids, out = [], []
+            of = batch.column("stream_id").type
+            for i, v in zip(batch.column("stream_id").to_pylist(), batch.column("value"), strict=True):
+                if key != (i,):
+                    if key is not None:
+                        ids.append(key[0])
+                        out.append(state.hexdigest())
+                    key, state = (i,), hashlib.new(kind)
+                if v.is_valid:
+                    state.update(v.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, of), pa.array(out, pa.string())], ["stream_id", "x"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], of), pa.array([state.hexdigest()])], ["stream_id", "x"])
+
+    ordered = stream.select("stream_id", "pos", F.col("value").cast("binary").alias("value")).repartition("stream_id").sortWithinPartitions("stream_id", "pos")
+    return _only(_left(ordered.mapInArrow(digested, schema), run, "x", digest(F.lit(b""), algorithm)))
+
+
+def _count(stream: DataFrame, run: _Run) -> _Made:
     n = F.unhex(F.lpad(F.hex(F.sum(F.octet_length("value"))), 16, "0"))
-    return _only(_left(stream.groupBy("stream_id").agg(n.alias("x")), ids, "x", F.lit(bytes(8))))
+    return _only(_left(stream.groupBy("stream_id").agg(n.alias("x")), run, "x", F.lit(bytes(8))))
 
 
-def _bomb(stream: DataFrame, ids: DataFrame, most: int) -> _Made:
-    before = _order().rowsBetween(Window.unboundedPreceding, -1)
-    rows = stream.withColumn("__before", F.coalesce(F.sum(F.octet_length("value")).over(before), F.lit(0)))
-    room = F.lit(most) - F.col("__before")
-    kept = rows.where(room > 0).withColumn("value", F.substring(F.col("value"), F.lit(1), room.cast("int"))).drop("__before")
-    over = rows.where((room >= 0) & (F.octet_length("value") > room))
-    failed = over.select("stream_id", F.col("pos").cast("long").alias("at"), F.lit("failure").alias("status"), F.lit(f"BombError({most + 1},{most})").alias("error"))
-    return _Made(kept, signals=failed)
+def _chunk(stream: DataFrame, run: _Run, size: int) -> _Made:
+    """Each value is cut where chunks end, and the pieces of a chunk, which are no more than `size` bytes, are joined."""
+    rows, before = run.before(stream, F.octet_length("value"))
+    rows = rows.where(F.octet_length("value") > 0).withColumn("__at", before)
+    end = F.col("__at") + F.octet_length("value")
+    cells = F.sequence(F.floor(F.col("__at") / size), F.floor((end - 1) / size))
+    rows = rows.select("stream_id", "__at", "value", F.explode(cells).alias("pos"))
+    begin = F.greatest(F.col("pos") * size - F.col("__at"), F.lit(0))
+    piece = F.substring(F.col("value"), begin.cast("int") + 1, ((F.col("pos") + 1) * size - F.col("__at") - begin).cast("int"))
+    parts = rows.select("stream_id", "pos", F.struct("__at", piece.alias("piece")).alias("x")).groupBy("stream_id", "pos").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    whole = F.when(F.size("xs") == 1, F.col("xs")[0]["piece"]).otherwise(F.unhex(F.array_join(F.transform("xs", lambda x: F.hex(x["piece"])), "")))
+    chunks = parts.select("stream_id", "pos", whole.alias("value"))
+    return _Made(chunks.where(F.octet_length("value") == size), chunks.where(F.octet_length("value") < size))
 
 
-def _chunk(stream: DataFrame, ids: DataFrame, size: int) -> _Made:
-    whole = _joined(stream).where(F.octet_length("bytes") > 0)
-    starts = F.sequence(F.lit(0), F.octet_length("bytes") - 1, F.lit(size))
-    rows = whole.select("stream_id", F.posexplode(F.transform(starts, lambda o: F.substring(F.col("bytes"), o + 1, F.lit(size)))).alias("pos", "value"))
-    rows = rows.select("stream_id", F.col("pos").cast("long").alias("pos"), "value")
-    return _Made(rows.where(F.octet_length("value") == size), rows.where(F.octet_length("value") < size))
+def _joined(stream: DataFrame) -> DataFrame:
+    """(stream_id, bytes): the values of a stream, which are bytes, one after the other."""
+    parts = stream.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("parts"))
+    return parts.select("stream_id", F.array_join(F.transform("parts", lambda x: F.hex(x["value"])), "").alias("hex")).select("stream_id", F.unhex("hex").alias("bytes"))
 
 
-def _cdc(stream: DataFrame, ids: DataFrame, least: int, average: int, most: int) -> _Made:
+def _cdc(stream: DataFrame, run: _Run, least: int, average: int, most: int) -> _Made:
     from foliant.operators.chunking import chunks_df
 
     rows = chunks_df(_joined(stream).select(F.col("stream_id").alias("file_id"), F.col("bytes").alias("content")), least, average, most, with_bytes=True)
     return _Made(rows.select(F.col("file_id").alias("stream_id"), F.col("chunk_no").cast("long").alias("pos"), F.col("bytes").alias("value")))
 
 
-def _fanout(stream: DataFrame, ids: DataFrame, one: Scan, other: Scan) -> _Made:
-    a, b = one.made(stream, ids), other.made(stream, ids)
-    number = lambda m, name: m.emitted.select("stream_id", F.row_number().over(_order()).alias("__rn"), F.col("value").alias(name))
-    pairs = number(a, "first").join(number(b, "second"), ["stream_id", "__rn"])
-    out = pairs.select("stream_id", (F.col("__rn") - 1).cast("long").alias("pos"), F.struct("first", "second").alias("value"))
+def _fanout(stream: DataFrame, run: _Run, one: Scan, other: Scan) -> _Made:
+    a, b = one.made(stream, run), other.made(stream, run)
+
+    def numbered(made: _Made, name: str) -> DataFrame:
+        rows, number = run.before(made.emitted, F.lit(1))
+        return rows.select("stream_id", number.alias("pos"), F.col("value").alias(name))
+
+    out = numbered(a, "first").join(numbered(b, "second"), ["stream_id", "pos"]).select("stream_id", "pos", F.struct("first", "second").alias("value"))
     return _Made(out, signals=_unite([a.signals, b.signals]))
 
 
-def _choice(stream: DataFrame, ids: DataFrame, one: Scan, other: Scan) -> _Made:
+def _choice(stream: DataFrame, run: _Run, one: Scan, other: Scan) -> _Made:
     """An arm's signal ends both: what comes behind its position is read by neither. Positions of arms are those
     of the stream as long as no step in them numbers anew."""
 
     def arms(rows: DataFrame) -> tuple[_Made, _Made]:
-        return tuple(s.made(rows.where(F.col("value")["tag"] == tag).withColumn("value", F.col("value")[tag]), ids) for s, tag in ((one, "left"), (other, "right")))
+        return tuple(s.made(rows.where(F.col("value")["tag"] == tag).withColumn("value", F.col("value")[tag]), run) for s, tag in ((one, "left"), (other, "right")))
 
     a, b = arms(stream)
     signals = _unite([a.signals, b.signals])
@@ -442,16 +511,25 @@ def _choice(stream: DataFrame, ids: DataFrame, one: Scan, other: Scan) -> _Made:
     return _Made(a.emitted.unionByName(b.emitted), _unite([a.left, b.left]), signals)
 
 
-_COMPILE = {"map": _map, "filter": _filter, "batches": _batches, "stateful": _stateful, "take": _take, "drop": _drop, "fold": _fold, "aggregate": _aggregate, "hash": _hash, "count": _count, "bomb": _bomb, "chunk": _chunk, "cdc": _cdc, "fanout": _fanout, "choice": _choice}
+_COMPILE = {"batches": _batches, "stateful": _stateful, "fold": _fold, "aggregate": _aggregate, "hash": _hash, "count": _count, "chunk": _chunk, "cdc": _cdc, "fanout": _fanout, "choice": _choice}
 
 
 def flow(stream: DataFrame, **named: Column | Scan) -> DataFrame:
     """Several results over one stream: a row for each stream_id with an aggregate, or what a scan leaves at its
-    end, under each name."""
-    out = stream.groupBy("stream_id").agg(*[c.alias(k) for k, c in named.items() if not isinstance(c, Scan)] or [F.lit(1).alias("__one")])
+    end, under each name. Scans that end in a sum or count share one reading, and what they begin with in
+    common is made once; the others are joined."""
+    frame, lane = lanes.Frame(stream), None
+    out: dict[str, Column] = {}
+    for name, scan in named.items():
+        if not isinstance(scan, Scan):
+            out[name] = scan
+        elif lanes.fits(scan.steps) and lanes.folds(scan.steps):
+            lane = lane or frame.lane()
+            out[name] = lanes.folded(lanes.through(frame, lane, scan.steps[:-1]), scan.steps[-1])
+    made = frame.rows.groupBy("stream_id").agg(*[c.alias(k) for k, c in out.items()] or [F.lit(1).alias("__one")])
     ids = stream.select("stream_id").distinct()
     for name, scan in named.items():
-        if isinstance(scan, Scan):
-            made = scan.made(stream, ids)
-            out = out.join((made.emitted if made.left is None else made.left).select("stream_id", F.col("value").alias(name)), "stream_id", "left")
-    return out.drop("__one").select("stream_id", *named)
+        if name not in out:
+            rest = scan.made(stream, _Run(ids))
+            made = made.join((rest.emitted if rest.left is None else rest.left).select("stream_id", F.col("value").alias(name)), "stream_id", "left")
+    return made.select("stream_id", *named)

@@ -201,8 +201,7 @@ def scan_routes(spark, d):
 def scan_signals(spark, d):
     """The arm of even values stops at its second one; the other arm reads no further."""
     plan = scan.test(lambda v: v % 2 == 0) >> (scan.take(2) | scan.identity())
-    r = plan.run(user_events(spark, d))
-    return r.outputs.join(r.status, "stream_id").select(F.col("stream_id").alias("user_id"), "value", "status")
+    return plan.run(user_events(spark, d)).both.select(F.col("stream_id").alias("user_id"), "value", "status")
 
 
 @query("SELECT user_id, event_id, (event_id // 4)::BIGINT AS value FROM events WHERE event_id % 4 = 0")

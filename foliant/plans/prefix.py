@@ -22,10 +22,9 @@ from pyspark.sql import types as T
 _PART, _FIRST, _END, _WHOLE = "__part", "__first", "__end", "__whole"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the folder that all executors share. Where the session names none in
-    spark.checkpoint.dir, one of this machine is taken if Spark runs within this process, as in tests."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one spark.checkpoint.dir names. Where the session names none, one of
+    this machine is taken if Spark runs within this process, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="foliant-checkpoints-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and stored in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -17,13 +17,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliant.plans import lanes
+from foliant.plans import lanes, prefix
 
 #: Positions of what is left come behind all others.
 LAST = 1 << 62
@@ -156,7 +158,15 @@ class Scan:
         ids = stream.select("stream_id").distinct()
         made = self.made(stream, _Run(ids, long))
         outputs, status = made.whole(), _statuses(ids, made.signals)
-        return Result(outputs, status, outputs.join(status, "stream_id"))
+        return Result(outputs, status, _beside(outputs, status, "inner"))
+
+
+def _beside(one: DataFrame, other: DataFrame, how: str = "left", *also: str) -> DataFrame:
+    """Joined by stream and the columns of also; a null is a stream too."""
+    keys = ["stream_id", *also]
+    other = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(Column.__and__, [one[k].eqNullSafe(other[f"__{k}"]) for k in keys])
+    return one.join(other, same, how).drop(*[f"__{k}" for k in keys])
 
 
 def _statuses(ids: DataFrame, signals: DataFrame | None) -> DataFrame:
@@ -164,7 +174,7 @@ def _statuses(ids: DataFrame, signals: DataFrame | None) -> DataFrame:
         return ids.select("stream_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
     first = F.struct("at", -F.col("step"), F.when(F.col("status") == "failure", 0).otherwise(1))
     worst = signals.groupBy("stream_id").agg(F.min_by(F.struct("status", "error"), first).alias("x"))
-    return ids.join(worst, "stream_id", "left").select("stream_id", F.coalesce("x.status", F.lit("success")).alias("status"), F.col("x.error").alias("error"))
+    return _beside(ids, worst).select("stream_id", F.coalesce("x.status", F.lit("success")).alias("status"), F.col("x.error").alias("error"))
 
 
 def _told(signal: Column) -> tuple[Column, Column]:
@@ -191,6 +201,14 @@ def _by_lanes(scan: Scan, stream: DataFrame, long: bool) -> Result:
 # ---- constructors --------------------------------------------------------------------------------
 
 
+class Failed(Exception):
+    """Raised by a step of one's own to fail its stream; `given` still goes on."""
+
+    def __init__(self, error: str, given: list | None = None):
+        super().__init__(error)
+        self.error, self.given = error, given or []
+
+
 def identity() -> Scan:
     return Scan([])
 
@@ -224,7 +242,8 @@ def lift_chunk(size: int, f: Callable[[Column], Column]) -> Scan:
 
 def stateful(initial: object, step: Callable[[object, object], tuple[object, list]], finish: Callable[[object], list], kind: str) -> Scan:
     """A state of one's own: step gives the next state and values for each that comes, finish those at the end.
-    kind: of the values given. Values of one stream come to one task in order, and aren't held there."""
+    kind: of the values given. Values of one stream come to one task in order, and aren't held there. Either may
+    raise Failed: what was given before goes on, the stream fails, and what comes after it isn't read."""
     return Scan([("stateful", initial, step, finish, kind)])
 
 
@@ -308,6 +327,29 @@ def fold(zero: Column, step: Callable[[Column, Column], Column]) -> Scan:
     return Scan([("fold", zero, step)])
 
 
+def fold_by(lift: Callable[[Column], dict[str, Column]], merge: Callable[[dict, dict], dict], unit: dict[str, object], finish: Callable[[Column], Column]) -> Scan:
+    """One value, left at the end: the values, lifted to summaries of named fields, merged in order. merge takes an
+    earlier and a later summary, each a dict of NumPy arrays of one length, and must be associative; unit is what
+    an empty stream gives; finish makes the value of a summary (a struct). Parts of a stream are merged where
+    they lie, so that no stream is gathered."""
+    return Scan([("merge", lift, merge, unit, finish)])
+
+
+def affine(factor: Column, modulus: int, zero: int = 0) -> Scan:
+    """acc = (acc * factor + value) mod modulus from zero on: a fold of affine maps, which can be merged.
+    The modulus must be less than 2**31."""
+    if not 0 < modulus < 1 << 31:
+        raise ValueError("the modulus must be positive and less than 2**31")
+
+    def merge(a: dict, b: dict) -> dict:
+        return {"times": a["times"] * b["times"] % modulus, "plus": (a["plus"] * b["times"] + b["plus"]) % modulus}
+
+    def lift(v: Column) -> dict[str, Column]:
+        return {"times": F.pmod(factor.cast("long"), F.lit(modulus)), "plus": F.pmod(v.cast("long"), F.lit(modulus))}
+
+    return fold_by(lift, merge, {"times": 1, "plus": 0}, lambda x: F.pmod(x["times"] * F.lit(zero % modulus).cast("long") + x["plus"], F.lit(modulus)))
+
+
 def total(zero: Column | None = None) -> Scan:
     """The sum of the values: a fold that needs no order, and so no list of them."""
     return Scan([("aggregate", F.sum, F.lit(0) if zero is None else zero)])
@@ -364,7 +406,7 @@ def digest(column: str | Column, algorithm: str) -> Column:
 def _left(rows: DataFrame, run: _Run, value: str, zero: Column) -> DataFrame:
     """One value a stream: that of rows, or zero where an earlier step has emptied it."""
     kind = rows.schema[value].dataType
-    return run.ids.join(rows.select("stream_id", value, F.lit(True).alias("__met")), "stream_id", "left").select("stream_id", F.lit(LAST).alias("pos"), F.when(F.col("__met"), F.col(value)).otherwise(zero.cast(kind)).alias("value"))
+    return _beside(run.ids, rows.select("stream_id", value, F.lit(True).alias("__met"))).select("stream_id", F.lit(LAST).alias("pos"), F.when(F.col("__met"), F.col(value)).otherwise(zero.cast(kind)).alias("value"))
 
 
 def _batches(stream: DataFrame, run: _Run, size: int, f: Callable[[Column], Column]) -> _Made:
@@ -379,32 +421,41 @@ def _batches(stream: DataFrame, run: _Run, size: int, f: Callable[[Column], Colu
 
 def _stateful(stream: DataFrame, run: _Run, initial: object, step: Callable, finish: Callable, kind: str) -> _Made:
     value = T._parse_datatype_string(kind)
-    schema = T.StructType([stream.schema["stream_id"], T.StructField("pos", T.LongType()), T.StructField("value", value)])
+    schema = T.StructType([stream.schema["stream_id"], T.StructField("pos", T.LongType()), T.StructField("value", value), T.StructField("error", T.StringType())])
 
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        ids_, poss, values = [], [], []
-        current: tuple | None = None
-        state: object = None
+        ids, places, values, errors = [], [], [], []
+        current, state, failed = None, None, False
         for batch in batches:
             for i, pos, end, v in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "pos", "__end", "value")), strict=True):
                 if current != (i,):
-                    current, state = (i,), initial
-                if end:
-                    given, at = finish(state), LAST
-                else:
-                    (state, given), at = step(state, v), pos
-                ids_ += [i] * len(given)
-                poss += [at] * len(given)
-                values += given
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, batch.column("stream_id").type), pa.array(poss, pa.int64()), pa.array(values, to_arrow_type(value))], ["stream_id", "pos", "value"])
-            ids_, poss, values = [], [], []
+                    current, state, failed = (i,), initial, False
+                if failed:
+                    continue
+                error = None
+                try:
+                    if end:
+                        given = finish(state)
+                    else:
+                        state, given = step(state, v)
+                except Failed as e:
+                    given, error, failed = e.given, e.error, True
+                rows = [(x, None) for x in given] + ([(None, error)] if failed else [])
+                ids += [i] * len(rows)
+                places += [pos] * len(rows)
+                values += [x for x, _ in rows]
+                errors += [e for _, e in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("stream_id").type), pa.array(places, pa.int64()), pa.array(values, to_arrow_type(value)), pa.array(errors, pa.string())], schema.names)
+            ids, places, values, errors = [], [], [], []
 
     ends = run.ids.select("stream_id", F.lit(LAST).alias("pos"), F.lit(None).cast(stream.schema["value"].dataType).alias("value"), F.lit(True).alias("__end"))
     rows = stream.withColumn("pos", F.col("pos").cast("long")).withColumn("__end", F.lit(False)).unionByName(ends)
     ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "pos", "__end")
-    return _Made(ordered.select("stream_id", "pos", "__end", "value").mapInArrow(stepped, schema))
+    made = ordered.select("stream_id", "pos", "__end", "value").mapInArrow(stepped, schema)
+    failures = made.where("error is not null").select("stream_id", F.col("pos").alias("at"), F.lit("failure").alias("status"), "error")
+    return _Made(made.where("error is null").drop("error"), signals=failures)
 
 
 def _nothing(stream: DataFrame, kind: T.DataType) -> DataFrame:
@@ -420,6 +471,62 @@ def _fold(stream: DataFrame, run: _Run, zero: Column, step: Callable[[Column, Co
     return _only(_left(parts.select("stream_id", F.aggregate("parts", zero, lambda a, x: step(a, x["value"])).alias("x")), run, "x", zero))
 
 
+def merged_runs(columns: dict[str, np.ndarray], lengths: np.ndarray, merge: Callable[[dict, dict], dict]) -> dict[str, np.ndarray]:
+    """A summary for each run, neighbours merged pair by pair in all runs at once."""
+    while len(lengths) and lengths.max() > 1:
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+        even = np.flatnonzero(place % 2 == 0)
+        paired = place[even] + 1 < np.repeat(lengths, (lengths + 1) // 2)
+        first, second = even[paired], even[paired] + 1
+        both = merge({k: v[first] for k, v in columns.items()}, {k: v[second] for k, v in columns.items()})
+        columns = {k: v[even].copy() for k, v in columns.items()}
+        for k, v in both.items():
+            columns[k][paired] = v
+        lengths = (lengths + 1) // 2
+    return columns
+
+
+def _merge(stream: DataFrame, run: _Run, lift: Callable, merge: Callable, unit: dict, finish: Callable) -> _Made:
+    """Ranges of (stream, pos) are merged each on its own, then the summaries of a stream, in order of the ranges."""
+    names = list(unit)
+    lifted = stream.select("stream_id", F.col("pos").cast("long").alias("pos"), *[c.alias(f"__{k}") for k, c in lift(F.col("value")).items()])
+    schema = T.StructType([lifted.schema["stream_id"], T.StructField("pos", T.LongType()), *lifted.schema.fields[2:]])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, held, kinds = TaskContext.get().partitionId(), None, None, None
+
+        def given(ids: pa.Array, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), part), pa.int64()), *[pa.array(sums[k], t) for k, t in zip(names, kinds[1], strict=True)]], schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("stream_id")
+            kinds = ids.type, [batch.column(f"__{k}").type for k in names]
+            starts = prefix.starts_of_runs(ids)
+            lengths = np.diff(np.append(starts, batch.num_rows))
+            sums = merged_runs({k: batch.column(f"__{k}").to_numpy(zero_copy_only=False) for k in names}, lengths, merge)
+            if key == (ids[0].as_py(),):
+                joined = merge(held, {k: v[:1] for k, v in sums.items()})
+                for k in names:
+                    sums[k][:1] = joined[k]
+            elif key is not None:
+                yield given(pa.array(list(key), kinds[0]), held)
+            if len(starts) > 1:
+                yield given(ids.take(pa.array(starts[:-1])), {k: v[:-1] for k, v in sums.items()})
+            key, held = (ids[batch.num_rows - 1].as_py(),), {k: v[-1:] for k, v in sums.items()}
+        if key is not None:
+            yield given(pa.array(list(key), kinds[0]), held)
+
+    parts = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = lifted.repartitionByRange(parts, "stream_id", "pos").sortWithinPartitions("stream_id", "pos").mapInArrow(local, schema)
+    whole = summed.repartition("stream_id").sortWithinPartitions("stream_id", "pos").mapInArrow(local, schema)
+    value = F.struct(*[F.col(f"__{k}").alias(k) for k in names])
+    zero = F.struct(*[F.lit(v).cast(lifted.schema[f"__{k}"].dataType).alias(k) for k, v in unit.items()])
+    return _only(_left(whole.select("stream_id", finish(value).alias("x")), run, "x", finish(zero)))
+
+
 def _aggregate(stream: DataFrame, run: _Run, f: Callable[[str], Column], zero: Column) -> _Made:
     return _only(_left(stream.groupBy("stream_id").agg(f("value").alias("x")), run, "x", zero))
 
@@ -490,7 +597,7 @@ def _fanout(stream: DataFrame, run: _Run, one: Scan, other: Scan) -> _Made:
         rows, number = run.before(made.emitted, F.lit(1))
         return rows.select("stream_id", number.alias("pos"), F.col("value").alias(name))
 
-    out = numbered(a, "first").join(numbered(b, "second"), ["stream_id", "pos"]).select("stream_id", "pos", F.struct("first", "second").alias("value"))
+    out = _beside(numbered(a, "first"), numbered(b, "second"), "inner", "pos").select("stream_id", "pos", F.struct("first", "second").alias("value"))
     return _Made(out, signals=_unite([a.signals, b.signals]))
 
 
@@ -505,13 +612,13 @@ def _choice(stream: DataFrame, run: _Run, one: Scan, other: Scan) -> _Made:
     signals = _unite([a.signals, b.signals])
     if signals is not None:
         ends = signals.groupBy("stream_id").agg(F.min("at").alias("__at"))
-        a, b = arms(stream.join(ends, "stream_id", "left").where(F.col("__at").isNull() | (F.col("pos") <= F.col("__at"))).drop("__at"))
-        first = signals.join(ends, "stream_id").where("at = __at").drop("__at")
+        a, b = arms(_beside(stream, ends).where(F.col("__at").isNull() | (F.col("pos") <= F.col("__at"))).drop("__at"))
+        first = _beside(signals, ends, "inner").where("at = __at").drop("__at")
         signals = first
     return _Made(a.emitted.unionByName(b.emitted), _unite([a.left, b.left]), signals)
 
 
-_COMPILE = {"batches": _batches, "stateful": _stateful, "fold": _fold, "aggregate": _aggregate, "hash": _hash, "count": _count, "chunk": _chunk, "cdc": _cdc, "fanout": _fanout, "choice": _choice}
+_COMPILE = {"batches": _batches, "stateful": _stateful, "fold": _fold, "merge": _merge, "aggregate": _aggregate, "hash": _hash, "count": _count, "chunk": _chunk, "cdc": _cdc, "fanout": _fanout, "choice": _choice}
 
 
 def flow(stream: DataFrame, **named: Column | Scan) -> DataFrame:
@@ -531,5 +638,5 @@ def flow(stream: DataFrame, **named: Column | Scan) -> DataFrame:
     for name, scan in named.items():
         if name not in out:
             rest = scan.made(stream, _Run(ids))
-            made = made.join((rest.emitted if rest.left is None else rest.left).select("stream_id", F.col("value").alias(name)), "stream_id", "left")
+            made = _beside(made, (rest.emitted if rest.left is None else rest.left).select("stream_id", F.col("value").alias(name)))
     return made.select("stream_id", *named)

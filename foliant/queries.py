@@ -5,18 +5,22 @@ SQL on the source rows says what must come out."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from foliant.functions import decoders, files, filters, objects
 from foliant.operators import binary as binary_ops
 from foliant.operators import checks, chunking, decode, policy, write
-from foliant.plans import scan
+from foliant.plans import prefix, scan
 from foliant.sources import binary
+from foliant.streaming import scans as stream_scans
+from foliant.streaming import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,7 +130,7 @@ def scan_map_filter_total(spark, d):
 @query("SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003)::BIGINT AS folded FROM events GROUP BY user_id")
 def scan_fold(spark, d):
     stream = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("value"))
-    plan = scan.fold(F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003)
+    plan = scan.affine(F.lit(31), 1000003, zero=7)
     return plan.run(stream).outputs.select(F.col("stream_id").alias("user_id"), F.col("value").alias("folded"))
 
 
@@ -152,6 +156,31 @@ def scan_flow(spark, d):
     return scan.flow(stream, n=F.count(F.lit(1)), first_id=F.min("event_id"), last_id=F.max("event_id"), users=F.countDistinct("user_id")).withColumnRenamed("stream_id", "event_type")
 
 
+@query("SELECT 1::BIGINT AS stream_id, list_reduce(list_prepend(7::BIGINT, list(event_id * 7 + user_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003)::BIGINT AS folded FROM events")
+def scan_combine(spark, d):
+    """One fold over all events as a single stream: ranges of it are merged each on its own."""
+    return scan.affine(F.lit(31), 1000003, zero=7).run(all_events(spark, d)).outputs.select("stream_id", F.col("value").alias("folded"))
+
+
+def all_events(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one stream."""
+    return table(spark, d, "events").select(F.lit(1).cast("long").alias("stream_id"), F.col("event_id").alias("pos"), (F.col("event_id") * 7 + F.col("user_id")).alias("value"))
+
+
+@query("WITH e AS (SELECT event_id AS pos, event_id * 7 + user_id AS value FROM events), a AS (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM e WHERE value % 3 <> 0), b AS (SELECT *, row_number() OVER (ORDER BY pos) AS m FROM a WHERE n > 100) SELECT pos, value, CASE WHEN (SELECT count(*) FROM b) >= 5000 THEN 'stop' ELSE 'success' END AS status FROM b WHERE m <= 5000")
+def scan_long_stream(spark, d):
+    """Steps that count over one stream that is spread over all tasks."""
+    plan = scan.filter_(lambda v: v % 3 != 0) >> scan.drop(100) >> scan.take(5000)
+    return plan.run(all_events(spark, d), long=True).both.select("pos", "value", "status")
+
+
+@query("WITH e AS (SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents), b AS (SELECT encode(t) AS b FROM e) SELECT (i // 65536)::BIGINT AS pos, octet_length(b[i + 1:i + 65536])::BIGINT AS n_bytes, sha256(b[i + 1:i + 65536]) AS sha256 FROM b, (SELECT unnest(range(0, octet_length(b), 65536)) AS i FROM b)")
+def scan_long_chunks(spark, d):
+    """All texts as one stream of bytes, cut into chunks of 64 KiB without joining it."""
+    stream = table(spark, d, "documents").select(F.lit(1).alias("stream_id"), F.col("doc_id").alias("pos"), F.encode("text", "UTF-8").alias("value"))
+    return scan.fixed_chunk(65536).run(stream, long=True).outputs.select("pos", F.octet_length("value").cast("long").alias("n_bytes"), F.sha2("value", 256).alias("sha256"))
+
+
 def user_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("value"))
 
@@ -257,6 +286,54 @@ def byte_count(spark, d):
     return binary_ops.ByteScan().sums(rows).select(F.col("file_id").alias("doc_id"), F.col("n").alias("n_bytes"))
 
 
+# ---- streams --------------------------------------------------------------------------------------
+
+
+def turn_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of conversations as streams that come bit by bit and out of order."""
+    place = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), (F.row_number().over(place) - 1).cast("long").alias("pos"), F.encode("text", "UTF-8").alias("value"), F.lead("turn").over(place).isNull().alias("last"))
+    return sinks.replayed(rows, files=6, per_batch=2)
+
+
+@query("WITH c AS (SELECT conv_id, sum(octet_length(encode(text)))::BIGINT AS n FROM conversations GROUP BY conv_id) SELECT conv_id, least(n, 2000)::BIGINT AS n_bytes, ((least(n, 2000) + 255) // 256)::BIGINT AS n_chunks, CASE WHEN n > 2000 THEN 'failure' ELSE 'success' END AS status, CASE WHEN n > 2000 THEN 'BombError(2001,2000)' END AS error FROM c")
+def stream_bomb_chunks(spark, d):
+    """A guard and chunks of 256 bytes over streams with state; rows come in any order over several batches."""
+    out = sinks.drained(stream_scans.run_stream(turn_stream(spark, d), scan.bomb_guard(2000) >> scan.fixed_chunk(256)))
+    sizes = F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long")
+    return out.groupBy("stream_id").agg(sizes.alias("n_bytes"), F.count("value").alias("n_chunks"), F.max("status").alias("status"), F.max("error").alias("error")).withColumnRenamed("stream_id", "conv_id")
+
+
+@query("WITH t AS (SELECT conv_id, octet_length(encode(text)) * 2 AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations), u AS (SELECT conv_id, v, row_number() OVER (PARTITION BY conv_id ORDER BY rn) AS k FROM t WHERE rn > 1 AND v % 3 <> 0), n AS (SELECT conv_id, max(k) AS n FROM u GROUP BY conv_id) SELECT conv_id, k - 1 AS pos, v::BIGINT AS value, CASE WHEN n >= 3 THEN 'stop' ELSE 'success' END AS status FROM u JOIN n USING (conv_id) WHERE k <= 3")
+def stream_take(spark, d):
+    """Steps with state and expressions between them: operators one behind the other."""
+    plan = scan.drop(1) >> scan.map_(lambda v: F.octet_length(v).cast("long") * 2) >> scan.filter_(lambda v: v % 3 != 0) >> scan.take(3)
+    out = sinks.drained(stream_scans.run_stream(turn_stream(spark, d), plan))
+    status = out.where("status is not null").select("stream_id", "status")
+    return out.where("status is null").drop("status", "error").join(status, "stream_id").select(F.col("stream_id").alias("conv_id"), "pos", "value", "status")
+
+
+@query("WITH e AS (SELECT conv_id, list_reduce(list_prepend(7::BIGINT, list(octet_length(encode(text)) ORDER BY turn)), lambda a, x: (a * 31 + x) % 1000003) AS folded FROM conversations GROUP BY conv_id) SELECT conv_id, folded::BIGINT AS folded FROM e")
+def stream_fold(spark, d):
+    """A fold whose state is a summary."""
+    plan = scan.map_(lambda v: F.octet_length(v)) >> scan.affine(F.lit(31), 1000003, zero=7)
+    out = sinks.drained(stream_scans.run_stream(turn_stream(spark, d), plan))
+    return out.where("status is null").select(F.col("stream_id").alias("conv_id"), F.col("value").alias("folded"))
+
+
+@query(f"SELECT count(*)::BIGINT AS files, sum(5)::BIGINT AS objects, sum(length({TRIMMED}))::BIGINT AS chars, count(DISTINCT sha256({TRIMMED}))::BIGINT AS texts FROM documents")
+def stream_decode_counts(spark, d):
+    """Files decoded, digested and counted in one reading of a stream; counts come with the batches."""
+    files_ = sinks.replayed(made(documents(spark, d), plain_file, "text"), files=6, per_batch=3)
+    opened = decode.opened_df(files_).select("file_id", "sha256", "objects", F.array_join(F.transform("pages", lambda p: p["text"]), "").alias("text"))
+    path = f"{prefix.shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    counts = {"files": F.count(F.lit(1)), "objects": F.sum("objects"), "chars": F.sum(F.length("text"))}
+    sinks.counted_sink(opened, path, counts).awaitTermination()
+    texts = sinks.taken(spark, path, opened.schema).agg(F.countDistinct(F.sha2("text", 256)).alias("texts"))
+    both = sinks.counted(spark, path).unionByName(texts, allowMissingColumns=True)
+    return both.agg(*[F.sum(k).cast("long").alias(k) for k in (*counts, "texts")])
+
+
 # ---- binary decoders -----------------------------------------------------------------------------
 
 

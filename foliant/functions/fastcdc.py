@@ -70,3 +70,65 @@ def _first(gear: np.ndarray, places: np.ndarray, lo: int, hi: int, bits: int, or
             return i + 1
     k = int(np.searchsorted(places, max(lo, near)))
     return int(places[k]) + 1 if k < len(places) and places[k] < hi else 0
+
+
+class Cutter:
+    """Ends of chunks for any starts within data at once. data: of a stream from some place on, to its end or to
+    `most` bytes behind the last start that is asked about."""
+
+    def __init__(self, data: bytes, least: int, average: int, most: int):
+        self.n, self.least, self.average, self.most = len(data), least, average, most
+        bits = average.bit_length() - 1
+        self.strict_bits, self.loose_bits = bits + 2, max(bits - 2, 0)
+        self.kind = kind = np.uint16 if self.strict_bits <= 16 else np.uint32 if self.strict_bits <= 32 else np.uint64
+        gear = GEAR.astype(kind)[np.frombuffer(data, np.uint8)]
+        self.low = gear.copy()
+        for k in range(1, min(self.strict_bits, self.n)):
+            self.low[k:] += gear[:-k] << kind(k)
+        self.places = {b: np.flatnonzero(self.low & kind((1 << b) - 1) == 0) for b in (self.strict_bits, self.loose_bits)}
+
+    def _found(self, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int) -> np.ndarray:
+        """The end after the first place in [lo, hi) whose hash, begun at first, has its low bits zero; 0 if none."""
+        out = np.zeros(len(first), np.int64)
+        mask = self.kind((1 << bits) - 1)
+        before = np.where(first > 0, self.low[np.minimum(np.maximum(first - 1, 0), self.n - 1)], self.kind(0))
+        for d in range(bits - 1):  # what the bytes before first add is taken away
+            at = first + d
+            asked = np.flatnonzero((out == 0) & (at >= lo) & (at < hi))
+            if len(asked):
+                h = self.low[at[asked]] - (before[asked] << self.kind(d + 1))
+                hit = asked[h & mask == 0]
+                out[hit] = at[hit] + 1
+        places = self.places[bits]
+        if len(places):
+            k = np.searchsorted(places, np.maximum(lo, np.minimum(hi, first + bits - 1)))
+            far = places[np.minimum(k, len(places) - 1)]
+            ok = (out == 0) & (k < len(places)) & (far < hi)
+            out[ok] = far[ok] + 1
+        return out
+
+    def ends(self, starts: np.ndarray) -> np.ndarray:
+        stop = np.minimum(self.n, starts + self.most)
+        middle, first = np.minimum(starts + self.average, stop), starts + self.least
+        end = self._found(first, first, middle, self.strict_bits)
+        later = np.flatnonzero(end == 0)
+        end[later] = self._found(first[later], middle[later], stop[later], self.loose_bits)
+        end = np.where(end == 0, stop, end)
+        return np.where(self.n - starts <= self.least, self.n, end)
+
+    def leads(self, upto: int) -> np.ndarray:
+        """Where the chunks that begin at 0, 1, ... most - 1 lead to: the first start at or behind `upto`, less
+        upto. Chains that meet are followed once."""
+        at, of = np.unique(np.minimum(np.arange(self.most), self.n), return_inverse=True)
+        while (open_ := np.flatnonzero(at < min(upto, self.n))).size:
+            at[open_] = self.ends(at[open_])
+            at, back = np.unique(at, return_inverse=True)
+            of = back[of]
+        return np.maximum(at[of] - upto, 0)
+
+    def chain(self, start: int, upto: int) -> list[int]:
+        """The starts from `start` on that are before upto, and the end of the last chunk."""
+        out = [start]
+        while out[-1] < min(upto, self.n):
+            out.append(int(self.ends(np.array(out[-1:]))[0]))
+        return out

@@ -585,7 +585,13 @@ def _joined(stream: DataFrame) -> DataFrame:
 
 def _cdc(stream: DataFrame, run: _Run, least: int, average: int, most: int) -> _Made:
     from foliant.operators.chunking import chunks_df
+    from foliant.plans import cutting
 
+    if run.long:
+        rows, before = run.before(stream, F.octet_length("value"))
+        cut = cutting.cut_streams(rows.select("stream_id", before.alias("at"), "value"), least, average, most)
+        rows, number = run.before(cut.withColumnRenamed("off", "pos"), F.lit(1))
+        return _Made(rows.select("stream_id", number.alias("pos"), "value"))
     rows = chunks_df(_joined(stream).select(F.col("stream_id").alias("file_id"), F.col("bytes").alias("content")), least, average, most, with_bytes=True)
     return _Made(rows.select(F.col("file_id").alias("stream_id"), F.col("chunk_no").cast("long").alias("pos"), F.col("bytes").alias("value")))
 

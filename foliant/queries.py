@@ -181,6 +181,17 @@ def scan_long_chunks(spark, d):
     return scan.fixed_chunk(65536).run(stream, long=True).outputs.select("pos", F.octet_length("value").cast("long").alias("n_bytes"), F.sha2("value", 256).alias("sha256"))
 
 
+@query("SELECT sum(octet_length(encode(text)))::BIGINT AS n_bytes, 0::BIGINT AS gaps, true AS bounded, sha256(string_agg(text, '' ORDER BY doc_id)) AS sha256 FROM documents")
+def scan_long_cdc(spark, d):
+    """Content-defined chunks of all texts as one stream, cut block by block: they follow each other without gaps and
+    put together give the stream. Where they are cut is tested against the kernel."""
+    stream = table(spark, d, "documents").select(F.lit(1).alias("stream_id"), F.col("doc_id").alias("pos"), F.encode("text", "UTF-8").alias("value"))
+    cut = prefix.cut(scan.fast_cdc(4096, 16384, 65536).run(stream, long=True).outputs)
+    sizes = cut.agg(F.sum(F.octet_length("value")).alias("n_bytes"), (F.max("pos") + 1 - F.count(F.lit(1))).alias("gaps"), (F.max(F.octet_length("value")) <= 65536).alias("bounded"))
+    whole = scan.hash_("SHA-256").run(cut).outputs.select(F.col("value").alias("sha256"))
+    return sizes.unionByName(whole, allowMissingColumns=True).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("gaps").alias("gaps"), F.first("bounded", ignorenulls=True).alias("bounded"), F.first("sha256", ignorenulls=True).alias("sha256"))
+
+
 def user_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("value"))
 
@@ -196,10 +207,10 @@ def scan_empty_fold(spark, d):
     return plan.run(user_events(spark, d)).outputs.select(F.col("stream_id").alias("user_id"), F.col("value").alias("folded"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN octet_length(encode(text)) > 300 THEN 'failure' ELSE 'success' END AS status FROM documents WHERE octet_length(encode(text)) <= 300 UNION ALL SELECT doc_id, sha256(decode(encode(text)[1:300])), 'failure' FROM documents WHERE octet_length(encode(text)) > 300 AND octet_length(encode(text)) = length(text)")
+@query("SELECT doc_id, sha256(encode(text)[1:300]) AS sha256, CASE WHEN octet_length(encode(text)) > 300 THEN 'failure' ELSE 'success' END AS status FROM documents")
 def scan_hash(spark, d):
     """The digest of a prefix that a guard lets through is left though the guard fails."""
-    stream = document_bytes(spark, d).where((F.octet_length("value") <= 300) | (F.octet_length("value") == F.length(F.decode("value", "UTF-8"))))
+    stream = document_bytes(spark, d)
     r = (scan.bomb_guard(300) >> scan.hash_("SHA-256")).run(stream)
     return r.outputs.join(r.status, "stream_id").select(F.col("stream_id").alias("doc_id"), F.col("value").alias("sha256"), "status")
 
@@ -271,11 +282,10 @@ def scan_concat(spark, d):
     return scan.concat(rows.where("value % 2 = 0"), rows.where("value % 2 = 1")).withColumnRenamed("stream_id", "user_id")
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, coalesce(list_sum(list_transform(range(0, 128), lambda i: (length(text) - length(replace(text, chr(i::INT), ''))) * (xor(i + 1, 85) * 3 - 1))), 0)::BIGINT AS total FROM documents WHERE octet_length(encode(text)) = length(text) AND length(text) < 2000")
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: xor(('0x' || x)::INT + 1, 85) * 3 - 1)), 0)::BIGINT AS total FROM documents")
 def byte_scan(spark, d):
-    """Three steps on every byte, and the sum of what they give, for texts of ASCII under 2,000 characters, which
-    SQL can count by character."""
-    rows = documents(spark, d).where((F.octet_length("text") == F.length("text")) & (F.length("text") < 2000)).select("file_id", F.encode("text", "UTF-8").alias("content"))
+    """Three steps on every byte, and the sum of what they give."""
+    rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
     plan = binary_ops.ByteScan().map(lambda b: (b + 1) ^ 85) >> binary_ops.ByteScan().map(lambda x: x * 3).map(lambda x: x - 1)
     return plan.sums(rows).select(F.col("file_id").alias("doc_id"), F.col("n").alias("n_bytes"), "total")
 

@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.plans import prefix, scan
+from foliant.functions import fastcdc
+from foliant.plans import cutting, prefix, scan
 from foliant.streaming import scans as stream_scans
 from foliant.streaming import sinks
 
@@ -292,3 +294,38 @@ def test_sinks_count_each_row_once(spark, tmp_path):
     assert seen == [(0, 10), (1, 10), (1, 10), (2, 10)]
     assert sinks.taken(spark, path, "id long, batch long").agg(F.count("*"), F.sum("id")).head()[:] == (30, 435)
     assert sinks.counted(spark, path).agg(F.sum("n"), F.sum("s")).head()[:] == (30, 435)
+
+
+def test_long_streams_are_cut_as_short_ones(spark, monkeypatch):
+    """Blocks much smaller than a stream, bytes without any place to cut included."""
+    monkeypatch.setattr(cutting, "BLOCK", 3000)
+    monkeypatch.setattr(cutting, "FAN", 3)
+    rng = random.Random(4)
+    held = {1: rng.randbytes(60_000), 2: bytes(20_000), 3: b"ab" * 20_000 + rng.randbytes(3001), 4: b"x", None: rng.randbytes(2999), 5: b"", 6: rng.randbytes(9000)}
+    rows = []
+    for i, b in held.items():
+        at = p = 0
+        while at < len(b) or p == 0:
+            n = rng.choice([1, 10, 500, 5000])
+            rows.append((i, p, b[at : at + n]))
+            at, p = at + n, p + 1
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "stream_id long, pos long, value binary")
+    r = scan.fast_cdc(64, 256, 1024).run(df, long=True)
+    want = {}
+    for i, b in held.items():
+        ends = fastcdc.cuts(b, 64, 256, 1024)
+        want |= {i: [b[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]} if ends else {}
+    assert outputs(r.outputs) == want
+    assert r.outputs.where("octet_length(value) > 1024").count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(64, 256, 1024), (4096, 16384, 65536), (1, 1, 5), (3, 8, 64), (100, 128, 128), (256, 256, 1024)])
+def test_ends_of_chunks_from_any_start(sizes):
+    rng = random.Random(1)
+    for data in (rng.randbytes(rng.choice([1, 50, 5000, 70_000])), bytes(3000), rng.randbytes(9000)):
+        cutter = fastcdc.Cutter(data, *sizes)
+        assert cutter.chain(0, len(data))[1:] == fastcdc.cuts(data, *sizes)
+        start = rng.randrange(len(data))
+        ends = fastcdc.cuts(data[start:], *sizes)
+        assert int(cutter.ends(np.array([start]))[0]) == start + ends[0]

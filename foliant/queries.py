@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -18,7 +18,7 @@ from foliant.functions import decoders, files, filters, objects
 from foliant.operators import binary as binary_ops
 from foliant.operators import checks, chunking, decode, policy, write
 from foliant.plans import prefix, scan
-from foliant.sources import binary
+from foliant.sources import binary, ranges
 from foliant.streaming import scans as stream_scans
 from foliant.streaming import sinks
 
@@ -331,6 +331,38 @@ def stream_fold(spark, d):
     return out.where("status is null").select(F.col("stream_id").alias("conv_id"), F.col("value").alias("folded"))
 
 
+def page_files(spark: SparkSession, d: str) -> str:
+    """The folder that pages are written to as files, from pieces of 1,500 bytes that come in any order."""
+    html = F.encode("html", "UTF-8")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(html) - 1, F.lit(0)), F.lit(1500))
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("file_id"), html.alias("b"), F.explode(starts).alias("off")).select("file_id", "off", F.substring("b", F.col("off") + 1, F.lit(1500)).alias("bytes"))
+    path = f"{prefix.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    ranges.write_parts(rows.repartition(8, F.xxhash64("bytes")), path, ".html")
+    return path
+
+
+def page_number(c: str) -> Column:
+    return F.regexp_extract(c, "([0-9]+)[.]html$", 1).cast("long").alias("page_id")
+
+
+@query("SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, greatest((octet_length(encode(html)) + 1023) // 1024, 1)::BIGINT AS n_rows, sha256(html) AS sha256 FROM pages")
+def file_ranges(spark, d):
+    """Files written piece by piece and read by stretches in chunks of 1,024 bytes."""
+    rows = prefix.cut(ranges.read_ranges(spark, page_files(spark, d), glob="*.html", chunkSize=1024, stretch=8192))
+    digests_ = scan.hash_("SHA-256").run(rows.select(F.col("file_id").alias("stream_id"), F.col("off").alias("pos"), F.col("bytes").alias("value"))).outputs
+    sizes = rows.groupBy("file_id").agg(F.sum(F.octet_length("bytes")).alias("n_bytes"), F.count(F.lit(1)).alias("n_rows"))
+    return sizes.join(digests_, F.col("file_id") == F.col("stream_id")).select(page_number("file_id"), "n_bytes", "n_rows", F.col("value").alias("sha256"))
+
+
+@query("WITH p AS (SELECT page_id, octet_length(encode(html)) AS n FROM pages) SELECT page_id, least(n, 9000)::BIGINT AS n_bytes, ((least(n, 9000) + 699) // 700)::BIGINT AS n_chunks, CASE WHEN n > 9000 THEN 'failure' ELSE 'success' END AS status FROM p")
+def stream_file_ranges(spark, d):
+    """The same files as a stream, each a stream of chunks through steps with state."""
+    rows = ranges.stream_ranges(spark, page_files(spark, d), glob="*.html", chunkSize=1024, stretch=8192)
+    parts = rows.select(F.col("file_id").alias("stream_id"), F.floor(F.col("off") / 1024).alias("pos"), F.col("bytes").alias("value"), "last")
+    out = sinks.drained(stream_scans.run_stream(parts, scan.bomb_guard(9000) >> scan.fixed_chunk(700)))
+    return out.groupBy("stream_id").agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("n_bytes"), F.count("value").alias("n_chunks"), F.max("status").alias("status")).select(page_number("stream_id"), "n_bytes", "n_chunks", "status")
+
+
 @query(f"SELECT count(*)::BIGINT AS files, sum(5)::BIGINT AS objects, sum(length({TRIMMED}))::BIGINT AS chars, count(DISTINCT sha256({TRIMMED}))::BIGINT AS texts FROM documents")
 def stream_decode_counts(spark, d):
     """Files decoded, digested and counted in one reading of a stream; counts come with the batches."""

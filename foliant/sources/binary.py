@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import rowcodec, rowcodec_columns
+from foliant.sources import ranges
 
 MIME = "application/pdf"
 MOST = 2**31 - 1
@@ -28,36 +27,15 @@ def stream_files(spark: SparkSession, path: str, glob: str = "*.pdf", files_per_
     return rows.select(F.col("path").alias("file_id"), "content")
 
 
-def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-
-
 def write_files(df: DataFrame, folder: str, name: str = "file_id", content: str = "content", suffix: str = ".pdf") -> int:
     """Each row's content to a file of its own in a folder all executors share, a path or the URI of a store that
-    Arrow knows; the number of bytes written. A file appears under its name once it is whole, so a task that runs
-    again does no harm; what failed tasks have left is removed at the end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _filesystem(folder)
-        attempt = TaskContext.get().taskAttemptId()
-        for batch in batches:
-            sizes = []
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = f"{base}/{i}{suffix}"
-                part = f"{target}.{attempt}.part"
-                with store.open_output_stream(part) as f:
-                    f.write(c or b"")
-                store.move(part, target)
-                sizes.append(len(c or b""))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n"])
-
-    store, base = _filesystem(folder)
-    store.create_dir(base, recursive=True)
-    total = df.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    for left in store.get_file_info(fs.FileSelector(base)):
-        if left.path.endswith(".part"):
-            store.delete_file(left.path)
-    return total
+    Arrow knows; the number of bytes written. Files appear when all are whole; a job that fails leaves none.
+    Names must differ; a file of that name from before is replaced."""
+    ranges.register(df.sparkSession)
+    seen = Observation()
+    rows = df.select(F.col(name).cast("string").alias("file_id"), F.lit(0).cast("long").alias("off"), F.coalesce(F.col(content), F.lit(b"")).alias("bytes"))
+    rows.observe(seen, F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("n")).write.format("parts").mode("append").option("path", folder).option("suffix", suffix).save()
+    return seen.get["n"]
 
 
 def encode_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

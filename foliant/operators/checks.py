@@ -1,16 +1,16 @@
-"""Structural validation and comparison of files: each file is one task's data, so nothing is shuffled where
-files are given; decoded objects are gathered by file once."""
+"""Structural validation and comparison of files: where files are given, each is one task's data and nothing is
+shuffled; decoded objects are joined by file and number."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import files, structure
-from foliant.functions.objects import from_json
+from foliant.operators import tree
 from foliant.operators.decode import per_file, rows_batch
 
 FAULTS = "file_id {k}, kind string, owner long, target long"
@@ -56,39 +56,15 @@ def compare_files(old: DataFrame, new: DataFrame, **options) -> DataFrame:
     return pairs.mapInArrow(run, CHANGES.format(k=kind))
 
 
-def gathered(decoded: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row for each row of meta, with the file's decoded objects in order."""
-    objects = decoded.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "obj_num", "gen", "prim_json", "raw_stream"))).alias("parts"))
-    return meta.select("file_id", "objects", "xrefs", "root_num", "trailer_json").join(objects, "file_id", "left")
-
-
-def objects_of(parts: list[dict] | None) -> list[tuple]:
-    return [(p["obj_num"], p["gen"], from_json(p["prim_json"]), p["raw_stream"]) for p in parts or ()]
-
-
-def _of_gathered(decoded: DataFrame, meta: DataFrame, kernel: Callable[[list[tuple], dict], list[tuple]], schema: str) -> DataFrame:
-    kind = meta.schema["file_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = [], []
-            for i, row in enumerate(batch.drop_columns(["file_id"]).to_pylist()):
-                made = kernel(objects_of(row["parts"]), row)
-                at += [i] * len(made)
-                rows += made
-            yield rows_batch(batch.column("file_id"), at, rows, schema)
-
-    return gathered(decoded, meta).mapInArrow(run, schema.format(k=kind))
-
-
 def page_tree(decoded: DataFrame, meta: DataFrame, depth: int = 16) -> DataFrame:
-    """page_tree_files of objects decoded before."""
-    return _of_gathered(decoded, meta, lambda objects, m: list(structure.page_tree(structure.by_number(objects), m["root_num"], depth)), TREE)
+    """(file_id, node, parent, level, kind) of objects decoded before; depth may be as large as trees are deep."""
+    objects = tree.last_objects(decoded)
+    return tree.page_tree(objects, tree.roots(objects, meta).select("file_id", F.col("top").alias("node")), depth)
 
 
 def validate_df(decoded: DataFrame, meta: DataFrame, single_references: bool = False) -> DataFrame:
-    """validate_files of objects decoded before; meta as it was read from the files."""
-    return _of_gathered(decoded, meta, lambda objects, m: structure.faults(objects, m["xrefs"], m["root_num"], single_references), FAULTS)
+    """The faults of objects decoded before; meta as it was read from the files."""
+    return tree.faults(decoded, meta, single_references)
 
 
 def by_number(decoded: DataFrame) -> DataFrame:

@@ -268,7 +268,12 @@ def ref_number(v: Column) -> Column:
 
 def references(path: str, column: str = "prim_json") -> Column:
     """Object numbers of the references in an array; of other elements none."""
-    return F.filter(F.transform(F.from_json(prim(path, column), "array<string>"), ref_number), lambda x: x.isNotNull())
+    return references_in(prim(path, column))
+
+
+def references_in(array: Column) -> Column:
+    """The same of an array's JSON."""
+    return F.filter(F.transform(F.from_json(array, "array<string>"), ref_number), lambda x: x.isNotNull())
 
 
 def keys(column: str = "prim_json") -> Column:

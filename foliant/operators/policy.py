@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from foliant.functions import files, structure
 from foliant.functions.objects import from_json
 from foliant.functions.structure import DANGEROUS
-from foliant.operators.checks import gathered, objects_of
 from foliant.operators.decode import per_file_struct
 
 VIOLATION = ["rule", "kind", "obj_num", "detail"]
@@ -41,12 +40,30 @@ def facts_files(df: DataFrame, **options) -> DataFrame:
 
 
 def facts_df(decoded: DataFrame, meta: DataFrame) -> DataFrame:
-    """facts_files of objects decoded before."""
+    """facts_files of objects decoded before: facts of each object alone, put together by file. Only what was found is
+    brought together, not the objects."""
 
     def kernel(row: dict) -> dict:
-        return _facts(objects_of(row["parts"]), row["xrefs"], from_json(row["trailer_json"]) if row["trailer_json"] else None)
-
-    return per_file_struct(gathered(decoded, meta).select("file_id", F.struct("parts", "xrefs", "trailer_json").alias("content")), kernel, FACTS)
+        value, number = from_json(row["json"]), row["number"]
+        return {"seq": row["seq"], "assembled": True, **structure.facts({number: (value, None)} if number else {}, None if number else value)}
+
+    last = decoded.groupBy("file_id", "obj_num").agg(F.min("seq").alias("seq"), F.max_by("prim_json", "seq").alias("json"))
+    one = last.select("file_id", F.struct(F.col("obj_num").alias("number"), "seq", "json").alias("content"))
+    trailer = meta.where("trailer_json is not null").select("file_id", F.struct(F.lit(0).cast("long").alias("number"), F.lit(-1).alias("seq"), F.col("trailer_json").alias("json")).alias("content"))
+    made = per_file_struct(one.union(trailer), kernel, "seq int, " + FACTS)
+    lists = ("actions", "named_scripts", "embedded", "attachments", "font_uses", "descendants")
+    flags = ("has_javascript", "has_embedded_file", "has_file_attachment", "has_external_uri", "has_encrypt")
+
+    def together(c: str) -> Column:
+        held = F.sort_array(F.collect_list(F.when(F.size(c) > 0, F.struct("seq", F.col(c).alias("x")))))
+        return F.flatten(F.transform(held, lambda x: x["x"])).alias(c)
+
+    different = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c)))))).alias(c)
+    found = made.groupBy("file_id").agg(different("fonts"), different("dangerous_actions"), F.sum("object_count").alias("object_count"), *[F.max(c).alias(c) for c in flags], *[together(c) for c in lists])
+    kinds = {f.name: f.dataType for f in made.schema}
+    files_ = meta.select("file_id", ((F.col("objects") > 0) & (F.col("xrefs") > 0)).alias("assembled")).join(found, "file_id", "left")
+    empty = {**dict.fromkeys((*lists, "fonts", "dangerous_actions"), F.array()), **dict.fromkeys(flags, F.lit(False)), "object_count": F.lit(0)}
+    return files_.select("file_id", "assembled", *[F.coalesce(F.col(c), empty[c].cast(kinds[c])).alias(c) for c in kinds if c in empty])
 
 
 @dataclass(frozen=True)

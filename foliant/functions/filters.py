@@ -89,6 +89,8 @@ def unpredicted(data: bytes, p: Value | None) -> bytes:
     width, step = (colors * bits * columns + 7) // 8, max(1, colors * bits // 8)
     if kind == 2:
         return b"".join(_tiff_row(data[i : i + width], colors, bits, columns) for i in range(0, len(data), width))
+    if (whole := _png_simple(np.frombuffer(data, np.uint8), width, step)) is not None:
+        return whole
     out, above = [], np.zeros(width, np.uint8)
     for at in range(0, len(data), width + 1):
         row = np.frombuffer(data[at + 1 : at + 1 + width], np.uint8)
@@ -98,6 +100,29 @@ def unpredicted(data: bytes, p: Value | None) -> bytes:
     return b"".join(out)
 
 
+def _png_simple(data: np.ndarray, width: int, step: int) -> bytes | None:
+    """All rows at once if each is left as it is, or refers to the left, or all after the first to what is above; else None."""
+    rows = -(-len(data) // (width + 1))
+    if not rows or len(data) != rows * (width + 1):
+        return None
+    table = data.reshape(rows, width + 1)
+    kinds, body = table[:, 0], table[:, 1:]
+    if not kinds.any():
+        return body.tobytes()
+    if (kinds <= 1).all():
+        padded = np.zeros((rows, -(-width // step) * step), np.uint8)
+        padded[:, :width] = body
+        summed = np.add.accumulate(padded.reshape(rows, -1, step), axis=1, dtype=np.uint8).reshape(rows, -1)[:, :width]
+        return np.where(kinds[:, None] == 1, summed, body).tobytes()
+    if np.isin(kinds, (0, 2)).all():
+        # sums down the rows, begun anew at each row that is left as it is
+        summed = np.add.accumulate(body, axis=0, dtype=np.uint8)
+        first = np.maximum.accumulate(np.where(kinds == 0, np.arange(rows), 0))
+        base = np.where((first > 0)[:, None], summed[np.maximum(first - 1, 0)], 0).astype(np.uint8)
+        return (summed - base).tobytes()
+    return None
+
+
 def _png_row(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return row

@@ -276,32 +276,44 @@ def references_in(array: Column) -> Column:
     return F.filter(F.transform(F.from_json(array, "array<string>"), ref_number), lambda x: x.isNotNull())
 
 
-def keys(column: str = "prim_json") -> Column:
-    return F.json_object_keys(column)
+def at(path: str, kind: str = "string", column: str = "value") -> Column:
+    """What a parsed value, a variant, has under a path of keys; null where that is of another kind."""
+    return F.try_variant_get(F.col(column), "$." + path, kind)
 
 
-def elements_df(decoded: DataFrame) -> DataFrame:
+def name_in(path: str, column: str = "value") -> Column:
+    v = at(path, column=column)
+    return F.when(v.startswith("/"), F.substring(v, 2, 1 << 30))
+
+
+def elements_df(decoded: DataFrame, strict: bool = False) -> DataFrame:
     """decoded with kinds: page, pages, font_resource, info, array, general; image, embedded_file and
     general contents. A page without four numbers for its box, or a pages node with kids that aren't
-    references, has an error."""
+    references, has an error; with strict the first that is met ends the job. Each value is parsed once."""
     # fixed values: keys by which an information dictionary is known
     info = ("Author", "Producer", "Creator", "CreationData", "ModDate")
-    has = lambda *names: F.arrays_overlap(F.coalesce(keys(), F.array().cast("array<string>")), F.array(*map(F.lit, names)))
-    kind_name, subtype, codec = name_at("Type"), name_at("Subtype"), name_at("Filter")
-    data = F.when(kind_name == "Page", "page").when(kind_name == "Pages", "pages").when(has("Font"), "font_resource").when(has(*info), "info").when(F.col("prim_json").startswith("["), "array").otherwise("general")
-    image = (subtype == "Image") & codec.isin("DCTDecode", "CCITTFaxDecode")
-    content = F.when(image, "image").when(kind_name == "EmbeddedFile", "embedded_file").otherwise("general")
-    box = F.from_json(prim("MediaBox"), "array<string>")
-    kids = F.from_json(prim("Kids"), "array<string>")
-    is_data = F.col("kind") == "data"
-    bad_page = is_data & (kind_name == "Page") & ~F.coalesce((F.size(box) == 4) & F.forall(box, lambda x: F.coalesce(x.startswith("#"), F.lit(False))), F.lit(False))
-    bad_pages = is_data & (kind_name == "Pages") & ~F.coalesce(F.forall(kids, lambda x: F.coalesce(x.startswith("@"), F.lit(False))), F.lit(False))
-    return decoded.select(
-        "file_id", "seq", F.when(is_data, data).otherwise(F.concat(F.lit("content_"), content)).alias("kind"), "obj_num", "gen", kind_name.alias("type"), subtype.alias("subtype"),
-        F.transform(box, lambda x: F.substring(x, 2, 1 << 30).try_cast("decimal(38,18)")).alias("media_box"), F.when(kind_name == "Pages", references("Kids")).alias("kids"),
-        F.when(kind_name == "Pages", prim("Parent").isNull()).alias("root"), F.when(image & (codec == "DCTDecode"), "jpg").when(image, "tiff").alias("image_codec"),
-        F.when(bad_page, "MediaBox").when(bad_pages, "Kids").alias("error"), "prim_json",
+    parsed = decoded.select("file_id", "seq", "kind", "obj_num", "gen", "prim_json", F.try_parse_json("prim_json").alias("value"))
+    has = lambda *names: F.greatest(*[at(n, "variant").isNotNull() for n in names], F.lit(False))
+    read = parsed.select(
+        "file_id", "seq", "kind", "obj_num", "gen", "prim_json", name_in("Type").alias("type"), name_in("Subtype").alias("subtype"), name_in("Filter").alias("__codec"),
+        has("Font").alias("__font"), has(*info).alias("__info"), at("MediaBox", "array<string>").alias("__box"), at("Kids", "array<string>").alias("__kids"), at("Parent").isNull().alias("__top"),
     )
+    data = F.when(F.col("type") == "Page", "page").when(F.col("type") == "Pages", "pages").when(F.col("__font"), "font_resource").when(F.col("__info"), "info").when(F.col("prim_json").startswith("["), "array").otherwise("general")
+    image = (F.col("subtype") == "Image") & F.col("__codec").isin("DCTDecode", "CCITTFaxDecode")
+    content = F.when(image, "image").when(F.col("type") == "EmbeddedFile", "embedded_file").otherwise("general")
+    is_data, pages = F.col("kind") == "data", F.col("type") == "Pages"
+    good_box = (F.size("__box") == 4) & F.forall("__box", lambda x: F.coalesce(x.startswith("#"), F.lit(False)))
+    good_kids = F.forall("__kids", lambda x: F.coalesce(x.startswith("@"), F.lit(False)))
+    error = F.when(is_data & (F.col("type") == "Page") & ~F.coalesce(good_box, F.lit(False)), "MediaBox").when(is_data & pages & ~F.coalesce(good_kids, F.lit(False)), "Kids")
+    out = read.select(
+        "file_id", "seq", F.when(is_data, data).otherwise(F.concat(F.lit("content_"), content)).alias("kind"), "obj_num", "gen", "type", "subtype",
+        F.transform("__box", lambda x: F.substring(x, 2, 1 << 30).try_cast("decimal(38,18)")).alias("media_box"), F.when(pages, F.filter(F.transform("__kids", ref_number), lambda x: x.isNotNull())).alias("kids"),
+        F.when(pages, F.col("__top")).alias("root"), F.when(image & (F.col("__codec") == "DCTDecode"), "jpg").when(image, "tiff").alias("image_codec"), error.alias("error"), "prim_json",
+    )
+    if not strict:
+        return out
+    wrong = F.raise_error(F.concat(F.lit("object "), F.col("obj_num").cast("string"), F.lit(": "), F.col("error")))
+    return out.withColumn("error", F.when(F.col("error").isNotNull(), wrong.cast("string")))
 
 
 def uncompressed(decoded: DataFrame, column: str = "payload") -> DataFrame:

@@ -64,8 +64,14 @@ def plain_file(text: str | None) -> bytes:
     return files.build(files.simple_page(shown(text)), TRAILER)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows of a plain scan, dealt out to all cores where its files give fewer tasks than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text", *more)
+    return dealt(table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text", *more))
 
 
 # characters up to U+0020 are trimmed from both ends, as text extraction does
@@ -754,6 +760,13 @@ def pdf_validate_kinds(spark, d):
     return checks.validate_files(rows).withColumnRenamed("file_id", "doc_id")
 
 
+@query(f"SELECT doc_id, kind, owner, target FROM documents JOIN (VALUES {_FAULT_ROWS}) AS f(k, kind, owner, target) ON doc_id % {len(FAULTS)} = k")
+def pdf_validate_objects(spark, d):
+    """The same from object rows, joined by file and number."""
+    rows = made(documents(spark, d).withColumn("which", F.pmod(F.col("file_id"), F.lit(len(FAULTS))).cast("int")), _spoiled, "text", "which")
+    return checks.validate_df(decode.decoded_df(rows), decode.meta_df(rows)).withColumnRenamed("file_id", "doc_id")
+
+
 def _changed(text: str | None, which: int) -> bytes:
     page = files.simple_page(shown(text))
     if which == 1:
@@ -921,15 +934,15 @@ def cdc_store_totals(spark, d):
     """What the different chunks give again: all bytes, and a first chunk of each text."""
     rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
     chunks = chunking.chunks_df(rows, 256, 1024, 4096)
-    whole = chunking.store_df(chunks).agg(F.sum(F.col("len") * F.col("copies")).cast("long").alias("bytes"))
-    return whole.crossJoin(chunks.where("chunk_no = 0").agg(F.count(F.lit(1)).alias("texts")))  # one row and one row
+    first = chunks.groupBy("sha256").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("chunk_no") == 0).alias("firsts"))
+    return first.agg(F.sum(F.col("len") * F.col("copies")).cast("long").alias("bytes"), F.sum("firsts").cast("long").alias("texts"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem")
 def row_codec(spark, d):
     """Rows through the binary row form and back."""
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
-    rows = table(spark, d, "lineitem").select(*columns)
+    rows = dealt(table(spark, d, "lineitem").select(*columns))
     return binary.decode_rows(binary.encode_rows(rows, "l_orderkey", columns), rows.schema)
 
 

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from foliant.functions import files, structure
 from foliant.functions import objects as o
 from foliant.operators import checks, decode, policy, tree
@@ -104,3 +106,11 @@ def test_faults_and_facts_equal_the_kernels(spark):
     assert len({k for _, k, _, _ in want}) > 8
     plain = lambda df: {r["file_id"]: r.asDict(recursive=True) for r in df.collect()}
     assert plain(policy.facts_df(decoded, meta)) == plain(policy.facts_files(rows))
+
+
+def test_strict_elements_end_the_job(spark):
+    page = [(1, 0, o.dictionary(Type=o.name("Page")), None), (2, 0, o.dictionary(Type=o.name("Catalog")), None)]
+    decoded = decode.decoded_df(spark.createDataFrame([(1, files.build(page, o.dictionary(Root=o.ref(2))))], "file_id long, content binary"))
+    assert decode.elements_df(decoded).where("error = 'MediaBox'").count() == 1
+    with pytest.raises(Exception, match="object 1: MediaBox"):
+        decode.elements_df(decoded, strict=True).collect()

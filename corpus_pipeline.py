@@ -25,13 +25,17 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One row of each group of near copies: that of the smallest id.
 
     Rows are told apart by id and text. Repeated rows are one; texts under one id, and those without an id,
-    are compared each on its own."""
+    are compared each on its own. A null text counts as empty, and empty texts are like nothing. An empty table gives
+    no rows. Columns may have any names."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    keyed = docs.withColumn("__row", own)
-    found = minhash.near_copies(keyed.select("__row", "text"), size=5, percent=80, id_col="__row")
-    kept = found.where("kept").select("__row").distinct()
+    keyed = docs.withColumn(row, own)
+    found = minhash.near_copies(keyed.select(row, "text"), size=5, percent=80, id_col=row)
+    kept = found.where("kept").select(row).distinct()
     # repeated rows go before texts are dealt out by row, and the join finds them dealt so
-    return keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")
+    return keyed.dropDuplicates([row]).join(kept, row, "left_semi").drop(row)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,3 +98,14 @@ def test_stages_equal_brute_force(spark, folder):
         assert ends.get(r.sequence_id, 0) == r.offset
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 4096
+
+
+def test_columns_may_have_any_name_and_tables_be_empty(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("__row", F.lit("mine"))
+    near = corpus_pipeline.STAGES[1][1](spark, docs, folder)
+    assert near.columns == docs.columns and near.where("__row = 'mine'").count() == near.count() > 0
+    nothing = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        made = stage(spark, nothing, folder)
+        assert made.columns == docs.columns and made.count() == 0
+    assert corpus_pipeline.STAGES[3][1](spark, nothing, folder).count() == 0

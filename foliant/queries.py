@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliant.functions import decoders, files, filters, objects
+from foliant.functions import decoders, fastcdc, files, filters, objects
 from foliant.operators import binary as binary_ops
 from foliant.operators import checks, chunking, decode, policy, write
 from foliant.plans import prefix, scan
@@ -221,11 +221,36 @@ def scan_hash(spark, d):
     return r.outputs.join(r.status, "stream_id").select(F.col("stream_id").alias("doc_id"), F.col("value").alias("sha256"), "status")
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, true AS bounded FROM documents WHERE length(text) > 0")
+def cut_sql(least: int, average: int, most: int) -> str:
+    """SQL for `cuts` (doc_id, chunk_no, off, len): where the texts of documents are cut by content. Hashes of all places by
+    windows; then cut by cut: near a chunk's beginning the hash without what stands before it, farther on the first
+    of the places found."""
+    bits = average.bit_length() - 1
+    strict, loose = bits + 2, max(bits - 2, 0)
+    gears = ", ".join(str(int(g) & (1 << strict) - 1) for g in fastcdc.GEAR)
+    sums = " + ".join(["g"] + [f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" for k in range(1, strict)])
+
+    def first(b: int, lo: int, hi: int, places: str) -> str:
+        truncated = f"hs[s + j + 1] - hs[s + {least}] * (1::BIGINT << (j - {least} + 1)::INT)"
+        near = f"list_min(list_transform(list_filter(range({max(least, lo)}, least({least + b - 1}, {hi}, n - s)), lambda j: ({truncated}) & {(1 << b) - 1} = 0), lambda j: s + j + 1))"
+        far = f"list_min(list_filter({places}, lambda e: e > s + {max(least + b - 1, lo)} AND e <= s + {hi}))"
+        return f"least({near}, {far})"
+
+    return f"""WITH RECURSIVE bytes AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents)),
+gears AS (SELECT doc_id, i, ([{gears}])[('0x' || x)::INT + 1]::BIGINT AS g FROM bytes),
+hashes AS (SELECT doc_id, i, ({sums}) & {(1 << strict) - 1} AS h FROM gears WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+places AS MATERIALIZED (SELECT doc_id, count(*) AS n, list(h ORDER BY i) AS hs, coalesce(list(i ORDER BY i) FILTER (WHERE h & {(1 << strict) - 1} = 0), []) AS strict, coalesce(list(i ORDER BY i) FILTER (WHERE h & {(1 << loose) - 1} = 0), []) AS loose FROM hashes GROUP BY doc_id),
+ends AS (SELECT doc_id, -1 AS chunk_no, 0::BIGINT AS off, 0::BIGINT AS s FROM places UNION ALL
+SELECT e.doc_id, chunk_no + 1, s, CASE WHEN n - s <= {least} THEN n ELSE coalesce({first(strict, least, average, "strict")}, {first(loose, average, most, "loose")}, least(n, s + {most})) END FROM ends e JOIN places USING (doc_id) WHERE s < n),
+cuts AS (SELECT doc_id, chunk_no::INT AS chunk_no, off, (s - off)::INT AS len FROM ends WHERE chunk_no >= 0)
+"""
+
+
+@query(cut_sql(64, 256, 1024) + "SELECT doc_id, chunk_no::BIGINT AS pos, len AS n_bytes, sha256(encode(text)[off + 1:off + len]) AS sha256 FROM cuts JOIN documents USING (doc_id)")
 def scan_cdc(spark, d):
     """Content-defined chunks of a stream that comes in parts of 512 bytes."""
     out = (scan.fixed_chunk(512) >> scan.fast_cdc(64, 256, 1024)).run(document_bytes(spark, d)).outputs
-    return out.groupBy("stream_id").agg(F.sum(F.octet_length("value")).alias("n_bytes"), (F.max(F.octet_length("value")) <= 1024).alias("bounded")).withColumnRenamed("stream_id", "doc_id")
+    return out.select(F.col("stream_id").alias("doc_id"), "pos", F.octet_length("value").alias("n_bytes"), F.sha2("value", 256).alias("sha256"))
 
 
 @query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS pos, event_id + 1 AS first, event_id * 2 AS second FROM events")
@@ -923,7 +948,14 @@ def cdc_chunks(spark, d):
     return parts.select(F.col("file_id").alias("doc_id"), "total", F.sha2(whole, 256).alias("sha256"), within.alias("within"))
 
 
-@query()
+@query(cut_sql(256, 1024, 4096) + "SELECT doc_id, chunk_no, off, len FROM cuts")
+def cdc_cuts(spark, d):
+    """Where each text is cut."""
+    rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
+    return chunking.chunks_df(rows, 256, 1024, 4096).select(F.col("file_id").alias("doc_id"), "chunk_no", "off", "len")
+
+
+@query(cut_sql(256, 1024, 4096) + "SELECT sha256, any_value(len) AS len, count(*)::BIGINT AS copies FROM (SELECT sha256(encode(text)[off + 1:off + len]) AS sha256, len FROM cuts JOIN documents USING (doc_id)) GROUP BY sha256")
 def cdc_store(spark, d):
     rows = documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))
     return chunking.store_df(chunking.chunks_df(rows, 256, 1024, 4096))

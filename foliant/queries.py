@@ -978,6 +978,20 @@ def row_codec(spark, d):
     return binary.decode_rows(binary.encode_rows(rows, "l_orderkey", columns), rows.schema)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_quantity > 25 THEN l_quantity END AS many, CASE WHEN l_quantity > 25 THEN NULL ELSE l_linestatus END AS few, k.n::BIGINT AS same FROM lineitem JOIN (SELECT l_orderkey AS o, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) k ON l_orderkey = o AND l_returnflag = f")
+def row_codec_nested(spark, d):
+    """Orders with lists of lines, maps and alternatives through the binary row form and back."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_linestatus")).alias("lines"))
+    orders = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("counts"), F.map_from_entries(F.collect_list(F.struct("l_returnflag", "lines"))).alias("by_flag"), F.sum("n").alias("n"))
+    either = F.struct(F.when(F.col("n") > 3, F.col("n")).alias("long"), F.when(F.col("n") <= 3, F.col("n").cast("string")).alias("short"))
+    rows = orders.select("l_orderkey", "counts", "by_flag", either.alias("size", metadata={"variant": True}))
+    back = binary.decode_rows(binary.encode_rows(rows, "l_orderkey", rows.columns), rows.schema)
+    whole = back.where("coalesce(size.long, cast(size.short as long)) = aggregate(map_values(counts), 0L, (a, x) -> a + x)")
+    flat = whole.select("l_orderkey", "counts", F.explode("by_flag").alias("l_returnflag", "lines")).select("l_orderkey", "l_returnflag", F.col("counts")[F.col("l_returnflag")].alias("same"), F.explode("lines").alias("x"))
+    many = F.col("x.l_quantity") > 25
+    return flat.select("l_orderkey", "x.l_linenumber", "x.l_partkey", "l_returnflag", F.when(many, F.col("x.l_quantity")).alias("many"), F.when(~many, F.col("x.l_linestatus")).alias("few"), "same")
+
+
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS length, sha256(text) AS sha256 FROM documents")
 def file_digests(spark, d):
     return decode.digests_df(documents(spark, d).select("file_id", F.encode("text", "UTF-8").alias("content"))).withColumnRenamed("file_id", "doc_id")

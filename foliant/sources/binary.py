@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import rowcodec, rowcodec_columns
+from foliant.functions import rowcodec_columns
 from foliant.sources import ranges
 
 MIME = "application/pdf"
@@ -41,13 +41,12 @@ def write_files(df: DataFrame, folder: str, name: str = "file_id", content: str
 def encode_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, bytes): each row's columns in the binary row form; flat rows column by column."""
     struct = df.select(*columns).schema
-    plain = rowcodec_columns.flat(struct)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.select(columns)
-            raw = rowcodec_columns.encode(own, struct) if plain else pa.array([rowcodec.encode(r, struct) for r in own.to_pylist()], pa.binary())
+            raw = rowcodec_columns.encode(own, struct)
             yield pa.RecordBatch.from_arrays([batch.column(key), raw], [key, "bytes"])
 
     return df.select(key, *[c for c in columns if c != key]).mapInArrow(run, f"{key} {kind}, bytes binary")
@@ -55,16 +54,12 @@ def encode_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def decode_rows(df: DataFrame, schema, column: str = "bytes") -> DataFrame:
     """The rows of such bytes, by their schema."""
-    plain = rowcodec_columns.flat(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            if plain:
-                yield rowcodec_columns.decode(batch.column(0), schema, target)
-            else:
-                yield pa.RecordBatch.from_pylist([rowcodec.decode(b, schema)[0] for b in batch.column(0).to_pylist()], schema=target)
+            yield rowcodec_columns.decode(batch.column(0), schema, target)
 
     return df.select(column).mapInArrow(run, schema)

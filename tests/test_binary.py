@@ -4,6 +4,7 @@ import random
 from decimal import Decimal
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,7 +71,6 @@ def test_rows_by_columns_equal_rows_one_by_one():
     assert made.to_pylist() == [rowcodec.encode(r, schema) for r in rows[7:]]
     assert rowcodec_columns.decode(made.slice(3, 100), schema, batch.schema).to_pylist() == rows[10:110]
     assert rowcodec_columns.encode(batch.slice(0, 0), schema).to_pylist() == []
-    assert not rowcodec_columns.flat(T.StructType([T.StructField("x", T.ArrayType(T.LongType()))]))
 
 
 def test_lookups(spark):
@@ -92,3 +92,77 @@ def test_wrong_lengths():
         assert raw != good and structure.page_texts(files.decode(raw).objects)[0][2] == "x"
     cut = good[: good.index(b"endstream")]
     assert files.decode(cut.replace(b"/Length 12", b"/Length 99999")).unparsed > 0
+
+
+def nested_schema():
+    shape = T.StructType([T.StructField("circle", T.StructType([T.StructField("r", T.DoubleType(), False)])), T.StructField("text", T.StringType()), T.StructField("sizes", T.ArrayType(T.LongType(), False))])
+    inner = T.StructType([T.StructField("name", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType(), True), False), T.StructField("price", T.DecimalType(12, 2))])
+    return T.StructType(
+        [
+            T.StructField("id", T.LongType(), False),
+            T.StructField("shape", shape, False, {"variant": True}),
+            T.StructField("maybe", shape, True, {"variant": True}),
+            T.StructField("inner", inner),
+            T.StructField("list", T.ArrayType(inner, True)),
+            T.StructField("numbers", T.ArrayType(T.IntegerType(), False), False),
+            T.StructField("deep", T.ArrayType(T.ArrayType(T.ShortType(), True), False), False),
+            T.StructField("map", T.MapType(T.StringType(), T.ArrayType(T.LongType(), False), True)),
+            T.StructField("fixed", T.MapType(T.IntegerType(), T.DoubleType(), False), False),
+            T.StructField("flag", T.BooleanType()),
+        ]
+    )
+
+
+def nested_rows(n, seed):
+    rng = random.Random(seed)
+    some = lambda f, p=0.2: None if rng.random() < p else f()
+    text = lambda: "".join(rng.choice("aé€𝄞") for _ in range(rng.randrange(5)))
+    many = lambda f, k=4: [f() for _ in range(rng.randrange(k))]
+    number = lambda: rng.randrange(-(1 << 40), 1 << 40)
+    inner = lambda: {"name": some(text), "tags": many(lambda: some(text)), "price": some(lambda: Decimal(rng.randrange(-9999, 9999)).scaleb(-2))}
+
+    def shape():
+        which = rng.randrange(3)
+        return {"circle": {"r": rng.random()} if which == 0 else None, "text": text() if which == 1 else None, "sizes": many(number) if which == 2 else None}
+
+    return [
+        {
+            "id": number(),
+            "shape": shape(),
+            "maybe": some(shape),
+            "inner": some(inner),
+            "list": some(lambda: many(lambda: some(inner), 6)),
+            "numbers": many(lambda: rng.randrange(1 << 30), 9),
+            "deep": many(lambda: many(lambda: some(lambda: rng.randrange(99)))),
+            "map": some(lambda: {f"k{i}": some(lambda: many(number)) for i in range(rng.randrange(4))}),
+            "fixed": {i: rng.random() for i in range(rng.randrange(4))},
+            "flag": some(lambda: rng.random() < 0.5),
+        }
+        for _ in range(n)
+    ]
+
+
+def plain(rows):
+    """Rows with maps as dicts."""
+    return [r | {k: None if r[k] is None else dict(r[k]) for k in ("map", "fixed")} for r in rows]
+
+
+def test_nested_rows_by_columns():
+    schema = nested_schema()
+    target = to_arrow_schema(schema)
+    for n, seed in ((200, 1), (1, 2), (0, 3)):
+        rows = nested_rows(n, seed)
+        batch = pa.RecordBatch.from_pylist([r | {k: None if r[k] is None else list(r[k].items()) for k in ("map", "fixed")} for r in rows], schema=target)
+        made = rowcodec_columns.encode(batch, schema)
+        assert made.to_pylist() == [rowcodec.encode(r, schema) for r in rows]
+        assert plain(rowcodec_columns.decode(made, schema, target).to_pylist()) == rows
+        if n > 20:
+            assert rowcodec_columns.encode(batch.slice(7, 20), schema).to_pylist() == made.to_pylist()[7:27]
+            assert plain(rowcodec_columns.decode(made.slice(5, 9), schema, target).to_pylist()) == rows[5:14]
+
+
+def test_what_has_no_form():
+    with pytest.raises(ValueError, match="allows none"):
+        rowcodec_columns.encode(pa.RecordBatch.from_pylist([{"x": None}], schema=pa.schema([("x", pa.int64())])), T.StructType([T.StructField("x", T.LongType(), False)]))
+    with pytest.raises(TypeError, match="no binary form"):
+        rowcodec_columns.encode(pa.RecordBatch.from_pylist([], schema=pa.schema([("x", pa.date32())])), T.StructType([T.StructField("x", T.DateType(), False)]))

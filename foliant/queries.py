@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import decoders, fastcdc, files, filters, objects
 from foliant.operators import binary as binary_ops
-from foliant.operators import checks, chunking, decode, policy, write
+from foliant.operators import checks, chunking, decode, linear, policy, write
 from foliant.plans import prefix, scan
 from foliant.sources import binary, ranges
 from foliant.streaming import scans as stream_scans
@@ -724,6 +724,25 @@ def pdf_region_tree(spark, d):
     return tree.groupBy("file_id", "level").agg(F.count(F.lit(1)).alias("n")).select(F.col("file_id").alias("r_regionkey"), F.col("level").cast("int").alias("level"), "n")
 
 
+@query("SELECT conv_id, count(*)::BIGINT AS pages, true AS placed, true AS same, true AS first_page_first FROM conversations GROUP BY conv_id")
+def pdf_linearized(spark, d):
+    """Files of a page for each turn written anew with the first page's objects in front: all cross-references lead to their
+    objects, the pages show what they did, and the first page's entries lie before the others."""
+    old = prefix.cut(conversation_files(spark, d))
+    rows = prefix.cut(linear.linearized(decode.decoded_df(old), decode.meta_df(old)))
+    path = f"{prefix.shared_folder(spark)}/linear-{uuid.uuid4().hex}"
+    ranges.write_parts(rows, path, ".pdf")
+    number = F.regexp_extract("file_id", "([0-9]+)[.]pdf$", 1).cast("long")
+    new = prefix.cut(binary.read_files(spark, path).select(number.alias("file_id"), "content"))
+    entries = decode.xref_entries_df(new).where("in_use").join(new, "file_id")
+    leads = F.substring(F.col("content"), F.col("offset").cast("int") + 1, F.octet_length(F.col("obj_num").cast("string")) + 6).cast("string") == F.concat(F.col("obj_num").cast("string"), F.lit(" 0 obj"))
+    ahead = F.max(F.when(F.col("xref_no") == 0, F.col("offset"))) < F.max(F.when(F.col("xref_no") > 0, F.col("offset")))
+    checked = entries.groupBy("file_id").agg(F.bool_and(leads).alias("placed"), ahead.alias("first_page_first"))
+    texts = lambda files_: decode.page_text_files(files_).groupBy("file_id").agg(F.count(F.lit(1)).alias("pages"), F.sort_array(F.collect_list(F.struct("page_obj", "text"))).alias("texts"))
+    both = texts(old).withColumnsRenamed({"texts": "before", "pages": "had"}).join(texts(new), "file_id").join(checked, "file_id")
+    return both.select(F.col("file_id").alias("conv_id"), "pages", "placed", (F.col("before") == F.col("texts")).alias("same"), "first_page_first")
+
+
 # ---- validation, comparison ----------------------------------------------------------------------
 
 

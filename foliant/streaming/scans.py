@@ -155,36 +155,36 @@ def close(steps: list[Step], states: list, k: int = 0) -> tuple[list, Signal]:
 
 class Runner(StatefulProcessor):
     """Rows (pos, value, gone, last, status, error) of one stream through steps. Rows that are gone keep their
-    position. Outputs are numbered from 0; the last row says how the stream ended."""
+    position. Outputs are numbered from 0; the last row says how the stream ended. Each call asks for the state once and
+    writes it once; rows that came early are asked for by position, if there are any."""
 
     def __init__(self, steps: list[Step], value: T.DataType, timeout: int | None):
         self.steps, self.timeout = steps, timeout
-        kinds = ("next long, given long, ended boolean", "states binary", "pos long", "gone boolean, last boolean, status string, error string")
-        self.at_kind, self.held_kind, self.pos_kind, rest = map(T._parse_datatype_string, kinds)  # workers can't parse them
+        kinds = ("next long, given long, waiting long, ended boolean, states binary", "pos long", "gone boolean, last boolean, status string, error string")
+        self.state_kind, self.pos_kind, rest = map(T._parse_datatype_string, kinds)  # workers can't parse them
         self.row_kind = T.StructType([T.StructField("value", value), *rest.fields])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", self.at_kind)
-        self.held = handle.getValueState("held", self.held_kind)
+        self.state = handle.getValueState("state", self.state_kind)
         self.early = handle.getMapState("early", self.pos_kind, self.row_kind)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        place, given, ended = self.at.get() if self.at.exists() else (0, 0, False)
+        place, given, waiting, ended, held = self.state.get() or (0, 0, 0, False, None)
         if ended:
             return
-        states = pickle.loads(bytes(self.held.get()[0])) if self.held.exists() else [s.initial for s in self.steps]
+        states = pickle.loads(bytes(held)) if held is not None else [s.initial for s in self.steps]
         came = {r["pos"]: (r["value"], r["gone"], r["last"], r["status"], r["error"]) for r in rows if r["pos"] >= place}
         out: list = []
         status: Signal = None
         while not status:
-            if place in came:
-                value, gone, last, told, error = came.pop(place)
-            elif self.early.containsKey((place,)):
-                value, gone, last, told, error = self.early.getValue((place,))
+            row = came.pop(place, None)
+            if row is None and waiting and (row := self.early.getValue((place,))) is not None:
                 self.early.removeKey((place,))
-            else:
+                waiting -= 1
+            if row is None:
                 break
+            value, gone, last, told, error = row
             place += 1
             if told is not None:  # an operator before this one says how it ended
                 made, ended_by = close(self.steps, states)
@@ -200,23 +200,22 @@ class Runner(StatefulProcessor):
                 status = status or ("success", None)
         yield from self.told(key, out, given, status)
         if status:
-            self.forget()
+            self.forget(waiting)
             return
         for pos, row in came.items():
+            if not (waiting and self.early.containsKey((pos,))):  # else it has come twice
+                waiting += 1
             self.early.updateValue((pos,), row)
-        self.at.update((place, given + len(out), False))
-        self.held.update((pickle.dumps(states),))
+        self.state.update((place, given + len(out), waiting, False, pickle.dumps(states)))
         self.wait(timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if not self.at.exists() or self.at.get()[2]:
+        place, given, waiting, ended, held = self.state.get() or (0, 0, 0, True, None)
+        if ended:
             return
-        place, given, _ = self.at.get()
-        states = pickle.loads(bytes(self.held.get()[0]))
-        missing = self.early.exists()
-        out, status = close(self.steps, states)
-        yield from self.told(key, out, given, ("failure", f"MissingError({place})") if missing else status or ("success", None))
-        self.forget()
+        out, status = close(self.steps, pickle.loads(bytes(held)))
+        yield from self.told(key, out, given, ("failure", f"MissingError({place})") if waiting else status or ("success", None))
+        self.forget(waiting)
 
     def wait(self, timers: Any) -> None:
         if self.timeout is not None:
@@ -224,10 +223,10 @@ class Runner(StatefulProcessor):
                 self.handle.deleteTimer(old[0] if isinstance(old, (tuple, list)) else old)
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout)
 
-    def forget(self) -> None:
-        self.early.clear()
-        self.held.clear()
-        self.at.update((0, 0, True))
+    def forget(self, waiting: int) -> None:
+        if waiting:
+            self.early.clear()
+        self.state.update((0, 0, 0, True, None))
 
     @staticmethod
     def told(key: Any, out: list, given: int, status: Signal) -> Iterator[Row]:

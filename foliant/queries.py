@@ -378,8 +378,8 @@ def page_number(c: str) -> Column:
 
 @query("SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, greatest((octet_length(encode(html)) + 1023) // 1024, 1)::BIGINT AS n_rows, sha256(html) AS sha256 FROM pages")
 def file_ranges(spark, d):
-    """Files written piece by piece and read by stretches in chunks of 1,024 bytes."""
-    rows = prefix.cut(ranges.read_ranges(spark, page_files(spark, d), glob="*.html", chunkSize=1024, stretch=8192))
+    """Files written piece by piece and read in chunks of 1,024 bytes."""
+    rows = prefix.cut(ranges.read_ranges(spark, page_files(spark, d), glob="*.html", chunkSize=1024))
     digests_ = scan.hash_("SHA-256").run(rows.select(F.col("file_id").alias("stream_id"), F.col("off").alias("pos"), F.col("bytes").alias("value"))).outputs
     sizes = rows.groupBy("file_id").agg(F.sum(F.octet_length("bytes")).alias("n_bytes"), F.count(F.lit(1)).alias("n_rows"))
     return sizes.join(digests_, F.col("file_id") == F.col("stream_id")).select(page_number("file_id"), "n_bytes", "n_rows", F.col("value").alias("sha256"))
@@ -388,7 +388,7 @@ def file_ranges(spark, d):
 @query("WITH p AS (SELECT page_id, octet_length(encode(html)) AS n FROM pages) SELECT page_id, least(n, 9000)::BIGINT AS n_bytes, ((least(n, 9000) + 699) // 700)::BIGINT AS n_chunks, CASE WHEN n > 9000 THEN 'failure' ELSE 'success' END AS status FROM p")
 def stream_file_ranges(spark, d):
     """The same files as a stream, each a stream of chunks through steps with state."""
-    rows = ranges.stream_ranges(spark, page_files(spark, d), glob="*.html", chunkSize=1024, stretch=8192)
+    rows = ranges.stream_ranges(spark, page_files(spark, d), glob="*.html", chunkSize=1024)
     parts = rows.select(F.col("file_id").alias("stream_id"), F.floor(F.col("off") / 1024).alias("pos"), F.col("bytes").alias("value"), "last")
     out = sinks.drained(stream_scans.run_stream(parts, scan.bomb_guard(9000) >> scan.fixed_chunk(700)))
     return out.groupBy("stream_id").agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("n_bytes"), F.count("value").alias("n_chunks"), F.max("status").alias("status")).select(page_number("stream_id"), "n_bytes", "n_chunks", "status")

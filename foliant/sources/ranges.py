@@ -1,7 +1,7 @@
 """Files of any size as rows of bytes, and rows of bytes as files: Spark data sources.
 
-Reading (`ranges`): a partition is a stretch of one file, read in chunks, so that a file over 2 GiB comes as rows
-(file_id, off, bytes, last) from many tasks. As a stream, each batch has the files that are new; what has been read is a
+Reading (`ranges`): a partition is a stretch of one file, or many small files, read in chunks, so that a file over 2 GiB
+comes as rows (file_id, off, bytes, last) from many tasks. As a stream, each batch has the files that are new; what has been read is a
 time and the files changed since, so that state doesn't grow with the number of files. Files that appear with a
 change time more than `settle` seconds behind the newest one are taken for read.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 ROWS = "file_id string, off long, bytes binary, last boolean"
-CHUNK, STRETCH = 1 << 20, 64 << 20
+CHUNK, STRETCH, OPENING = 1 << 20, 64 << 20, 64 << 10
 
 
 def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -35,7 +35,7 @@ def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     """Bytes begin to end of a file of `size` bytes."""
 
     path: str
@@ -44,6 +44,13 @@ class Stretch(InputPartition):
     size: int
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads."""
+
+    stretches: list[Stretch]
+
+
 def found(path: str, glob: str) -> list[fs.FileInfo]:
     """The files of a folder, those of hidden folders left out."""
     store, base = filesystem(path)
@@ -55,17 +62,30 @@ def found(path: str, glob: str) -> list[fs.FileInfo]:
 class Options:
     def __init__(self, options: dict[str, str]):
         self.path, self.glob = options["path"], options.get("glob", "*")
-        self.chunk, self.stretch = int(options.get("chunksize", CHUNK)), int(options.get("stretch", STRETCH))
+        self.chunk, self.stretch, self.opening = int(options.get("chunksize", CHUNK)), int(options.get("stretch", STRETCH)), int(options.get("opening", OPENING))
         if self.chunk <= 0 or self.stretch <= 0:
             raise ValueError("chunkSize and stretch must be positive")
         self.stretch = max(self.chunk, self.stretch // self.chunk * self.chunk)  # chunks don't cross stretches
 
-    def stretches(self, files: list[fs.FileInfo]) -> list[Stretch]:
-        return [Stretch(f.path, a, min(f.size, a + self.stretch), f.size) for f in files for a in range(0, max(f.size, 1), self.stretch)]
-
-    def read(self, part: Stretch | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # Spark's way to read nothing
-            return
+    def shares(self, files: list[fs.FileInfo]) -> list[Share]:
+        """Shares of about `stretch` bytes, where opening a file counts as reading so many bytes more."""
+        out, room = [], 0
+        for f in files:
+            for a in range(0, max(f.size, 1), self.stretch):
+                one = Stretch(f.path, a, min(f.size, a + self.stretch), f.size)
+                cost = one.end - one.begin + self.opening
+                if cost > room:
+                    out.append(Share([]))
+                    room = max(self.stretch, cost)
+                out[-1].stretches.append(one)
+                room -= cost
+        return out
+
+    def read(self, share: Share | None) -> Iterator[pa.RecordBatch]:
+        for part in share.stretches if share is not None else ():  # None is Spark's way to read nothing
+            yield from self._read(part)
+
+    def _read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(self.path)
         name = part.path.removeprefix(base).lstrip("/")
         with store.open_input_file(part.path) as f:
@@ -86,10 +106,10 @@ class RangeReader(DataSourceReader):
     def __init__(self, options: Options):
         self.options = options
 
-    def partitions(self) -> list[Stretch]:
-        return self.options.stretches(found(self.options.path, self.options.glob))
+    def partitions(self) -> list[Share]:
+        return self.options.shares(found(self.options.path, self.options.glob))
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.options.read(partition)
 
 
@@ -107,12 +127,12 @@ class RangeStream(DataSourceStreamReader):
         time = max(max((f.mtime_ns for f in files), default=0) - self.settle, 0)
         return {"time": time, "since": sorted(f.path for f in files if f.mtime_ns >= time)}
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
         old, new = set(start["since"]), set(end["since"])
         files = [f for f in found(self.options.path, self.options.glob) if f.mtime_ns >= start["time"] and f.path not in old]
-        return self.options.stretches([f for f in files if f.path in new or f.mtime_ns < end["time"]])
+        return self.options.shares([f for f in files if f.path in new or f.mtime_ns < end["time"]])
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.options.read(partition)
 
     def commit(self, end: dict) -> None:
@@ -120,7 +140,8 @@ class RangeStream(DataSourceStreamReader):
 
 
 class RangeSource(DataSource):
-    """Options: path, glob, chunkSize, stretch (bytes of a task), settle (seconds; streams)."""
+    """Options: path, glob, chunkSize, stretch (bytes of a task), opening (what a file costs
+    besides, in bytes), settle (seconds; streams)."""
 
     @classmethod
     def name(cls) -> str:

@@ -39,12 +39,14 @@ def test_written_files_come_back_by_ranges(spark, tmp_path):
     held, folder = files(), f"{tmp_path}/f"
     ranges.write_parts(parts(spark, held), folder, ".bin")
     assert all_files(folder) == sorted(f"{n}.bin" for n in held)
-    rows = ranges.read_ranges(spark, f"file:{folder}", glob="*.bin", chunkSize=512, stretch=2000)
+    rows = ranges.read_ranges(spark, f"file:{folder}", glob="*.bin", chunkSize=512, stretch=2000, opening=0)
     got = rows.collect()
     assert joined(got) == {f"{n}.bin": b for n, b in held.items()}
     assert sum(r["last"] for r in got) == len(held)
     assert max(len(r["bytes"]) for r in got) == 512
     assert rows.select(F.spark_partition_id()).distinct().count() > 20  # stretches of one file are tasks of their own
+    small = ranges.read_ranges(spark, folder, glob="*.bin", opening=10_000, stretch=50_000)
+    assert joined(small.collect()) == joined(got) and small.select(F.spark_partition_id()).distinct().count() < 6
     assert ranges.read_ranges(spark, f"{tmp_path}/none").count() == 0
 
 

@@ -102,6 +102,11 @@ def events_df(df: DataFrame, inline_max_bytes: int = 256 << 10, resolve_indirect
     return per_file(df, kernel, EVENTS)
 
 
+def without_linearization(decoded: DataFrame) -> DataFrame:
+    """decoded without the dictionaries that say how a file is linearised, as a reader of the top level has it."""
+    return decoded.where(~((F.col("kind") == "data") & F.coalesce(F.array_contains(F.json_object_keys("prim_json"), "Linearized"), F.lit(False))))
+
+
 def decoded_df(df: DataFrame, **options) -> DataFrame:
     """Objects of each file, those inside object streams too. kind: data, or content if it has a stream."""
 
@@ -122,9 +127,13 @@ def meta_df(df: DataFrame, **options) -> DataFrame:
     return per_file(df, kernel, META)
 
 
-def xref_entries_df(df: DataFrame, **options) -> DataFrame:
+def xref_entries_df(df: DataFrame, last_first: bool = False, **options) -> DataFrame:
+    """Every entry of each file's cross-references. xref_no counts sections from the file's beginning, or with last_first
+    from its end, the order that a reader of the top level gives."""
+
     def kernel(content: bytes) -> list[tuple]:
-        return [(x, t, k, first + k, "compressed" if o is None else "regular", o, g, int(o) if o and o.isdigit() else None, used, c, i) for x, (tables, _, _) in enumerate(files.decode(content, **options).xrefs) for t, (first, entries) in enumerate(tables) for k, (o, g, used, c, i) in enumerate(entries)]
+        sections = files.decode(content, **options).xrefs
+        return [(x, t, k, first + k, "compressed" if o is None else "regular", o, g, int(o) if o and o.isdigit() else None, used, c, i) for x, (tables, _, _) in enumerate(sections[::-1] if last_first else sections) for t, (first, entries) in enumerate(tables) for k, (o, g, used, c, i) in enumerate(entries)]
 
     return per_file(df, kernel, XREFS)
 

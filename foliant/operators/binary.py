@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.functions.batches import sliced
 from foliant.functions.decoders import Decoder, fixed_values
 from foliant.operators.decode import per_file
 
@@ -34,7 +35,7 @@ def decoded_values(df: DataFrame, decoder: Decoder, kind: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         target = to_arrow_type(value)
-        for batch in batches:
+        for batch in sliced(batches):
             if decoder.fixed:
                 data, ends = _bytes_of(batch.column("content"))
                 values, counts = fixed_values(data, ends, decoder.fixed)
@@ -81,7 +82,7 @@ class ByteScan:
 
     def _per_row(self, df: DataFrame, schema: str, totals: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 data, ends = _bytes_of(batch.column("content"))
                 yield pa.RecordBatch.from_arrays([batch.column("file_id"), *map(pa.array, totals(self.apply(data), ends))], [c.split()[0] for c in schema.split(", ")])
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import files, structure
+from foliant.functions.batches import sliced
 from foliant.operators import tree
 from foliant.operators.decode import per_file, rows_batch
 
@@ -45,7 +46,7 @@ def compare_files(old: DataFrame, new: DataFrame, **options) -> DataFrame:
     kind = pairs.schema["file_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, rows = [], []
             for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 made = structure.compared(files.decode(a or b"", **options), files.decode(b or b"", **options))

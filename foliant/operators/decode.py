@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import contents, files, filters, structure
+from foliant.functions.batches import sliced
 from foliant.functions.objects import Malformed, from_json, number_of, to_json
 from foliant.functions.objects import get as value_at
 
@@ -38,20 +39,15 @@ def per_file(df: DataFrame, kernel: Callable[[bytes], list[tuple]], schema: str)
     kind = df.schema["file_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, data = batch.column(0), batch.column(1)
-            at, rows, size = [], [], 0
+            at, rows = [], []
             for i in range(batch.num_rows):
                 content = data[i].as_py()
-                if content is None:
-                    continue
-                made = kernel(content)
-                at += [i] * len(made)
-                rows += made
-                size += len(content)
-                if size > 32 << 20:  # large files leave in small batches
-                    yield rows_batch(ids, at, rows, schema)
-                    at, rows, size = [], [], 0
+                if content is not None:
+                    made = kernel(content)
+                    at += [i] * len(made)
+                    rows += made
             yield rows_batch(ids, at, rows, schema)
 
     return df.select("file_id", "content").mapInArrow(run, schema.format(k=kind))
@@ -65,7 +61,7 @@ def per_file_struct(df: DataFrame, kernel: Callable[[object], dict], schema: str
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(kind)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, content = batch.column(0), batch.column(1).to_pylist()
             at, rows = [], []
             for i, c in enumerate(content):
@@ -330,7 +326,7 @@ def uncompressed(decoded: DataFrame, column: str = "payload") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decoded.schema) + f", `{column}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for header, raw in zip(batch.column("prim_json").to_pylist(), batch.column("raw_stream").to_pylist(), strict=True):
                 try:
@@ -354,7 +350,7 @@ def page_text_df(decoded: DataFrame) -> DataFrame:
     kind = decoded.schema["file_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [contents.text(b"".join(p["payload"] + b"\n" for p in parts)) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["file_id", "page_obj", "seq", "text"])
 
@@ -366,17 +362,17 @@ def tokens_df(decoded: DataFrame) -> DataFrame:
     kind = decoded.schema["file_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, rows = [], []
-            for i, data in enumerate(batch.column("payload").to_pylist()):
-                for k, (what, v) in enumerate(contents.tokens(data or b"")):
+            for i, (header, raw) in enumerate(zip(batch.column("prim_json").to_pylist(), batch.column("raw_stream").to_pylist(), strict=True)):
+                for k, (what, v) in enumerate(contents.tokens(_payload(from_json(header), raw) or b"")):
                     at.append(i)
                     rows.append((k, what, v.decode("latin-1") if isinstance(v, bytes) else str(v)))
             number, what, value = zip(*rows, strict=True) if rows else ((), (), ())
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("file_id").take(take), batch.column("obj_num").take(take), pa.array(number, pa.int32()), pa.array(what, pa.string()), pa.array(value, pa.string())], ["file_id", "obj_num", "tok_no", "kind", "value"])
 
-    return uncompressed(decoded.where("kind = 'content'")).select("file_id", "obj_num", "payload").mapInArrow(run, f"file_id {kind}, obj_num long, tok_no int, kind string, value string")
+    return decoded.where("kind = 'content'").select("file_id", "obj_num", "prim_json", "raw_stream").mapInArrow(run, f"file_id {kind}, obj_num long, tok_no int, kind string, value string")
 
 
 def image_files(decoded: DataFrame) -> DataFrame:
@@ -393,7 +389,7 @@ def image_files(decoded: DataFrame) -> DataFrame:
         return files.tiff_header(number_of(value_at(v, "Width")) or 0, number_of(value_at(v, "Height")) or 0, len(raw), 4 if (group or 0) < 0 else 3) + raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [saved(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("prim_json", "raw_stream", "image_codec")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("obj_num"), batch.column("image_codec"), pa.array(out, pa.binary())], ["file_id", "obj_num", "extension", "bytes"])
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import files
+from foliant.functions.batches import sliced
 from foliant.functions.objects import from_json, num, write
 from foliant.operators import decode, tree
 from foliant.operators.decode import per_file_struct
@@ -104,7 +105,7 @@ def _main_section(placed: DataFrame, made: DataFrame) -> DataFrame:
     rows = blocks.join(held, ["file_id", "block"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             offs, out = [], []
             for main, own, skip, block, entries in zip(*(batch.column(c).to_pylist() for c in ("main", "own", "skip", "block", "entries")), strict=True):
                 there = {e["obj_num"]: e for e in entries or ()}

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliant.functions import files, filters
+from foliant.functions.batches import sliced
 from foliant.functions.objects import Malformed, from_json, to_json
 from foliant.operators.decode import decoded_df, per_file
 
@@ -20,7 +21,7 @@ def encoded_df(parts: DataFrame) -> DataFrame:
     schema = T.StructType([*parts.schema.fields, T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = (batch.column(c).to_pylist() for c in ("obj_num", "gen", "prim_json", "payload"))
             out = [files.object_bytes(n, g, from_json(v), p) for n, g, v, p in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
@@ -50,7 +51,7 @@ def write_df(parts: DataFrame, trailers: DataFrame) -> DataFrame:
     grouped = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "obj_num", "gen", "bytes"))).alias("objects"), F.first("trailer_json").alias("trailer_json"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for objects, trailer in zip(batch.column("objects").to_pylist(), batch.column("trailer_json").to_pylist(), strict=True):
                 at, places = len(files.HEADER), {}
@@ -74,7 +75,7 @@ def map_contents(decoded: DataFrame, change: Callable[[bytes], bytes]) -> DataFr
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in decoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             headers, raws = batch.column("prim_json").to_pylist(), batch.column("raw_stream").to_pylist()
             for i, (h, raw) in enumerate(zip(headers, raws, strict=True)):
                 if raw is not None:

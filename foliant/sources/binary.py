@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import rowcodec_columns
+from foliant.functions.batches import sliced
 from foliant.sources import ranges
 
 MIME = "application/pdf"
@@ -44,7 +45,7 @@ def encode_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = batch.select(columns)
             raw = rowcodec_columns.encode(own, struct)
             yield pa.RecordBatch.from_arrays([batch.column(key), raw], [key, "bytes"])
@@ -59,7 +60,7 @@ def decode_rows(df: DataFrame, schema, column: str = "bytes") -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             yield rowcodec_columns.decode(batch.column(0), schema, target)
 
     return df.select(column).mapInArrow(run, schema)

@@ -166,3 +166,22 @@ def test_what_has_no_form():
         rowcodec_columns.encode(pa.RecordBatch.from_pylist([{"x": None}], schema=pa.schema([("x", pa.int64())])), T.StructType([T.StructField("x", T.LongType(), False)]))
     with pytest.raises(TypeError, match="no binary form"):
         rowcodec_columns.encode(pa.RecordBatch.from_pylist([], schema=pa.schema([("x", pa.date32())])), T.StructType([T.StructField("x", T.DateType(), False)]))
+
+
+def test_kernels_hold_a_slice_of_a_batch(spark, monkeypatch):
+    """Steps are asked about a slice of a batch at a time, and rows of unlike sizes come out whole and in order."""
+    from foliant.functions import batches
+
+    most = batches.PORTION
+
+    def small(values):
+        assert len(values) <= most
+        return values + 1
+
+    df = spark.range(0, 40, 1, 1).selectExpr("id as file_id", "cast(repeat('a', 1 + cast(id as int) * 9000) as binary) as content")
+    rows = {r.file_id: (r.n, r.total) for r in binary.ByteScan().map(small).sums(df).collect()}
+    assert rows == {i: (1 + i * 9000, 98 * (1 + i * 9000)) for i in range(40)}
+    batch = pa.record_batch({"i": list(range(9)), "x": [b"", b"a" * 100, None, b"b" * 5000, b"c" * 30, b"d" * 30, b"", b"e" * 900, b"f"]})
+    parts = list(batches.sliced([batch, batch.slice(0, 0)], 200))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows < 2 or p.nbytes <= 200 for p in parts)

@@ -13,6 +13,7 @@ from foliant.functions import files, structure
 from foliant.functions.batches import sliced
 from foliant.operators import tree
 from foliant.operators.decode import per_file, rows_batch
+from foliant.plans.prefix import cut
 
 FAULTS = "file_id {k}, kind string, owner long, target long"
 TREE = "file_id {k}, node long, parent long, level int, kind string"
@@ -59,8 +60,8 @@ def compare_files(old: DataFrame, new: DataFrame, **options) -> DataFrame:
 
 def page_tree(decoded: DataFrame, meta: DataFrame, depth: int = 16) -> DataFrame:
     """(file_id, node, parent, level, kind) of objects decoded before; depth may be as large as trees are deep."""
-    objects = tree.last_objects(decoded)
-    return tree.page_tree(objects, tree.roots(objects, meta).select("file_id", F.col("top").alias("node")), depth)
+    objects = cut(tree.last_objects(decoded))
+    return tree.page_tree(objects, cut(tree.roots(objects, meta).select("file_id", F.col("top").alias("node"))), depth)
 
 
 def validate_df(decoded: DataFrame, meta: DataFrame, single_references: bool = False) -> DataFrame:

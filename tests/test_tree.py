@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.functions import files, structure
 from foliant.functions import objects as o
@@ -114,3 +115,18 @@ def test_strict_elements_end_the_job(spark):
     assert decode.elements_df(decoded).where("error = 'MediaBox'").count() == 1
     with pytest.raises(Exception, match="object 1: MediaBox"):
         decode.elements_df(decoded, strict=True).collect()
+
+
+def test_region_files_are_read_in_parts(spark, monkeypatch):
+    """No task makes or reads the whole file of a region; the tree is that of whole files."""
+    from foliant import queries
+
+    read, decoded = [], queries.decode.decoded_df
+    monkeypatch.setattr(queries, "PART", 10)
+    monkeypatch.setattr(queries.decode, "decoded_df", lambda df: read.append(df) or decoded(df))
+    d = "/root/testdata/sf0.001"
+    found = {(r.r_regionkey, r.level): r.n for r in queries.pdf_region_tree(spark, d).collect()}
+    people = spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.expr("c_nationkey = n_nationkey"))
+    counts = people.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("n_nationkey").alias("nations")).collect()
+    assert all(found[r.n_regionkey, 0] == 1 and found[r.n_regionkey, 1] >= r.nations and found[r.n_regionkey, 2] == r.n for r in counts)
+    assert max(r[0] for r in read[0].selectExpr("octet_length(content)").collect()) < 1100

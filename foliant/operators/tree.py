@@ -117,11 +117,14 @@ def content_faults(objects: DataFrame, single: bool = False) -> DataFrame:
 
 def faults(decoded: DataFrame, meta: DataFrame, single: bool = False) -> DataFrame:
     """(file_id, kind, owner, target): every fault of every file. Objects whose stream is broken count as missing."""
+    meta = cut(meta)
     state = F.when(F.col("objects") == 0, "NoObjs").when(F.col("xrefs") == 0, "NoXrefs")
     assembled = meta.where(state.isNull())
     none = meta.select(*_fault(state)).where("kind is not null")
-    mine = decoded.join(assembled.select("file_id"), "file_id", "left_semi")
-    broken = cut(decode.uncompressed(mine.where("kind = 'content'")).where("payload is null").select("file_id", "obj_num"))
+    # files are read once: what is stored are headers, and whether their stream is broken
+    opened = decode.uncompressed(decoded.select("file_id", "seq", "kind", "obj_num", "prim_json", "raw_stream")).select("file_id", "seq", "kind", "obj_num", "prim_json", ((F.col("kind") == "content") & F.col("payload").isNull()).alias("fails"))
+    mine = cut(opened.join(assembled.select("file_id"), "file_id", "left_semi"))
+    broken = mine.where("fails").select("file_id", "obj_num")
     # a number that is broken once counts with its rows that have no stream alone
     sound = mine.join(broken.distinct().withColumn("bad", F.lit(True)), ["file_id", "obj_num"], "left").where("bad is null or kind = 'data'").drop("bad")
     objects = cut(last_objects(sound))

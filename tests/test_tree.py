@@ -130,3 +130,18 @@ def test_region_files_are_read_in_parts(spark, monkeypatch):
     counts = people.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("n_nationkey").alias("nations")).collect()
     assert all(found[r.n_regionkey, 0] == 1 and found[r.n_regionkey, 1] >= r.nations and found[r.n_regionkey, 2] == r.n for r in counts)
     assert max(r[0] for r in read[0].selectExpr("octet_length(content)").collect()) < 1100
+
+
+def test_faults_read_files_once(spark):
+    """Objects and trailers are read once each, however often the faults look at them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    whole = spark.createDataFrame([(i, files.build(files.simple_page(b"BT ET"), o.dictionary(Root=o.ref(1)))) for i in range(4)], "file_id long, content binary")
+    counted = whole.mapInArrow(passed, whole.schema)
+    assert checks.validate_df(decode.decoded_df(counted), decode.meta_df(counted)).count() == 0
+    assert read.value == 8

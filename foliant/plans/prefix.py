@@ -9,7 +9,9 @@ shuffled once; nothing is gathered by stream."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[str]:
+    """A path in the folder that all executors share; what is there is deleted in the end."""
+    sc, path = spark.sparkContext, f"{shared_folder(spark)}/held-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        held = sc._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(sc._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def starts_of_runs(column: pa.Array) -> np.ndarray:
     """Where runs of equal neighbours begin; nulls equal nulls."""
     if not len(column):

@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from foliant.functions import digests
 from foliant.plans import lanes, prefix
 
 #: Positions of what is left come behind all others.
 LAST = 1 << 62
 
+#: Bytes of a long stream that one task digests, and what its last value has beyond.
+SPAN = 128 << 20
+
 
 @dataclass
 class Result:
@@ -534,27 +538,68 @@ def _aggregate(stream: DataFrame, run: _Run, f: Callable[[str], Column], zero: C
 def _hash(stream: DataFrame, run: _Run, algorithm: str) -> _Made:
     """The values of a stream go through its digest in order, one by one."""
     kind = _algorithm(algorithm)
-    schema = T.StructType([stream.schema["stream_id"], T.StructField("x", T.StringType())])
+    rows = stream.select("stream_id", "pos", F.col("value").cast("binary").alias("value"))
+    longest = rows.groupBy("stream_id").agg(F.sum(F.octet_length("value").cast("long")).alias("n")).agg(F.max("n")).head()[0] if run.long else 0
+    if (longest or 0) > SPAN and digests.handed_on(kind):
+        made = _hash_by_spans(rows, kind)
+    else:
+        made = _digested(rows.withColumn("__begun", F.lit(True)), kind).drop("state")
+    return _only(_left(made, run, "x", digest(F.lit(b""), algorithm)))
+
+
+def _digested(rows: DataFrame, kind: str, handed: bool = False) -> DataFrame:
+    """(stream_id, x, state): each stream's digest and, where it is to be handed on, the state it ends in. rows:
+    (stream_id, pos, value, __begun); where __begun is false, value is the state to begin with."""
+    schema = T.StructType([rows.schema["stream_id"], T.StructField("x", T.StringType()), T.StructField("state", T.BinaryType())])
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(ended: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+            made = [(s.hexdigest(), s.state() if handed else None) for _, s in ended]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in ended], of), pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.binary())], schema.names)
+
+        begin = digests.Digest if handed else hashlib.new
         key, state, of = None, None, pa.null()
         for batch in batches:
-            ids, out = [], []
-            of = batch.column("stream_id").type
-            for i, v in zip(batch.column("stream_id").to_pylist(), batch.column("value"), strict=True):
+            ended, of = [], batch.column("stream_id").type
+            for i, begun, v in zip(batch.column("stream_id").to_pylist(), batch.column("__begun").to_pylist(), batch.column("value"), strict=True):
                 if key != (i,):
                     if key is not None:
-                        ids.append(key[0])
-                        out.append(state.hexdigest())
-                    key, state = (i,), hashlib.new(kind)
-                if v.is_valid:
+                        ended.append((key[0], state))
+                    key, state = (i,), begin(kind) if begun else begin(kind, v.as_py())
+                if begun and v.is_valid:
                     state.update(v.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, of), pa.array(out, pa.string())], ["stream_id", "x"])
+            yield given(ended, of)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], of), pa.array([state.hexdigest()])], ["stream_id", "x"])
-
-    ordered = stream.select("stream_id", "pos", F.col("value").cast("binary").alias("value")).repartition("stream_id").sortWithinPartitions("stream_id", "pos")
-    return _only(_left(ordered.mapInArrow(digested, schema), run, "x", digest(F.lit(b""), algorithm)))
+            yield given([(key[0], state)], of)
+
+    ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "__begun", "pos")
+    return ordered.select("stream_id", "value", "__begun").mapInArrow(digested, schema)
+
+
+def _hash_by_spans(rows: DataFrame, kind: str) -> DataFrame:
+    """(stream_id, x): digests of streams that are longer than a task. A digest can't be put together from those of
+    parts, but its state can be handed on: streams are stored by spans of SPAN bytes, and the first spans of all streams
+    are digested, then the second ones from the states that those ended in, and so on. A stream's spans follow each
+    other; no task reads more of a stream than one of them."""
+    spark = rows.sparkSession
+    lengths = prefix.running(rows.select("stream_id", "pos", F.octet_length("value").alias("n")), "stream_id", ["pos"], {"at": F.col("n")})
+    later = lengths.groupBy("stream_id", F.floor(F.col("at") / SPAN).alias("span")).agg(F.min("pos").alias("first")).where("span > 0")
+    # for streams of several spans, where those begin
+    firsts = prefix.cut(later.groupBy("stream_id").agg(F.sort_array(F.collect_list("first")).alias("firsts")))
+    last = firsts.agg(F.max(F.size("firsts"))).head()[0] or 0
+    with prefix.folder(spark) as path:
+        spans = _beside(rows, F.broadcast(firsts)).withColumn("span", F.coalesce(F.size(F.filter("firsts", lambda x: x <= F.col("pos"))), F.lit(0)))
+        spans.drop("firsts").write.partitionBy("span").parquet(f"{path}/values")
+        for k in range(last + 1):
+            span = spark.read.schema(rows.schema).parquet(f"{path}/values/span={k}").withColumn("__begun", F.lit(True))
+            if k:
+                states = spark.read.schema(made.schema).parquet(f"{path}/states/span={k - 1}")
+                go_on = _beside(states, F.broadcast(firsts.where(F.size("firsts") >= k)), "inner")
+                span = span.unionByName(go_on.select("stream_id", F.lit(None).cast(rows.schema["pos"].dataType).alias("pos"), F.col("state").alias("value"), F.lit(False).alias("__begun")))
+            made = _digested(span, kind, handed=True)
+            made.write.parquet(f"{path}/states/span={k}")
+        ends = spark.read.schema(T.StructType([*made.schema.fields, T.StructField("span", T.IntegerType())])).parquet(f"{path}/states")
+        return prefix.cut(ends.groupBy("stream_id").agg(F.max_by("x", "span").alias("x")))
 
 
 def _count(stream: DataFrame, run: _Run) -> _Made:

@@ -1,5 +1,6 @@
 """Scans in batch, over long streams and over streams with state: all against one plain reading of the algebra."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -320,6 +321,31 @@ def test_long_streams_are_cut_as_short_ones(spark, monkeypatch):
     assert r.outputs.where("octet_length(value) > 1024").count() == 0
 
 
+@pytest.mark.parametrize("name", ["SHA-256", "SHA-512", "SHA-1", "MD5"])
+def test_digests_of_long_streams_go_from_task_to_task(spark, monkeypatch, name):
+    """Streams of many spans and of one, a value longer than spans, empty and null values: no task reads more of a stream
+    than a span, its last value and a state; nothing is left in the shared folder."""
+    monkeypatch.setattr(scan, "SPAN", 1000, raising=False)
+    rng = random.Random(7)
+    held = {1: [rng.randbytes(rng.randrange(300)) for _ in range(60)], 2: [b"x"], 3: [], None: [rng.randbytes(150) for _ in range(30)], 5: [b"a", rng.randbytes(5000), b"", None, b"b"], 6: [None], 7: [bytes(1000), b"c"]}
+    rows = [(i, p, v) for i, vs in held.items() for p, v in enumerate(vs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "stream_id long, pos long, value binary")
+    read, digested = [], scan._digested
+
+    def spied(rows, kind, handed=False):
+        read.append(max(r["n"] or 0 for r in rows.groupBy("stream_id").agg(F.sum(F.octet_length("value")).alias("n")).collect()))
+        return digested(rows, kind, handed)
+
+    monkeypatch.setattr(scan, "_digested", spied)
+    got = scan.hash_(name).run(df, long=True).outputs
+    want = {i: [hashlib.new(name.lower().replace("-", ""), b"".join(v or b"" for v in vs)).hexdigest()] for i, vs in held.items() if vs}
+    assert outputs(got) == want == outputs(scan.hash_(name).run(df).outputs)
+    assert len(read) > 5 and max(read[:-1]) <= 1000 + 5000 + 216 and sorted(read[:-1])[-2] <= 1000 + 300 + 216
+    path = spark._jvm.org.apache.hadoop.fs.Path(prefix.shared_folder(spark))
+    assert not [f for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if f.getPath().getName().startswith("held-")]
+
+
 @pytest.mark.parametrize("sizes", [(64, 256, 1024), (4096, 16384, 65536), (1, 1, 5), (3, 8, 64), (100, 128, 128), (256, 256, 1024)])
 def test_ends_of_chunks_from_any_start(sizes):
     rng = random.Random(1)
